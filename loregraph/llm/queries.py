@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loregraph.llm import knn, mixing, splitting
+from loregraph.llm import email_text, knn, mixing, mojibake, splitting
 from loregraph.session import table
 
 
@@ -47,4 +47,22 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_shares(spark, d).filter("capped").select("source")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p4_found, p4_pieces, p7_found, p7_mix, p7_shares)}
+def p3_emails(spark: SparkSession, d: str) -> DataFrame:
+    """Every email reduced to the text its sender newly wrote."""
+    return email_text.reduce_emails(table(spark, d, "pages").filter(F.col("type") == "email"), "id", "compiled_truth")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_emails(spark, d).select("page_id", F.explode("old_lines").alias("line_no"))
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Every garbled document with its chains and restored text."""
+    return mojibake.restore_documents(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_restored(spark, d).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_emails, p4_found, p4_pieces, p7_found, p7_mix, p7_shares, p8_found, p8_restored)}
