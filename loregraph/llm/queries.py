@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loregraph.llm import email_text, knn, mixing, mojibake, splitting
+from loregraph.llm import email_text, knn, leakage, mixing, mojibake, splitting
 from loregraph.session import table
 
 
@@ -65,4 +65,13 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_restored(spark, d).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_emails, p4_found, p4_pieces, p7_found, p7_mix, p7_shares, p8_found, p8_restored)}
+def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with the items that leaked into it."""
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_leaks(spark, d).select("doc_id", "item_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_emails, p4_found, p4_pieces, p6_found, p6_leaks, p7_found, p7_mix, p7_shares, p8_found, p8_restored)}
