@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loregraph.llm import email_text, knn, leakage, mixing, mojibake, splitting
+from loregraph.llm import email_text, knn, leakage, mixing, mojibake, names, splitting
 from loregraph.session import table
 
 
+def p1_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Every page of type person or company with the id of its entity."""
+    return names.resolve_entities(table(spark, d, "pages").filter(F.col("type").isin("person", "company")))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.same_entity_pairs(p1_entities(spark, d))
+
+
 def chunk_collection(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "content_chunks").filter(F.col("model") == "embed-v2").select("id", "embedding")
 
@@ -74,4 +83,4 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_leaks(spark, d).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_emails, p4_found, p4_pieces, p6_found, p6_leaks, p7_found, p7_mix, p7_shares, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_neighbours, p3_found, p3_emails, p4_found, p4_pieces, p6_found, p6_leaks, p7_found, p7_mix, p7_shares, p8_found, p8_restored)}
