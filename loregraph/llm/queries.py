@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loregraph.llm import email_text, knn, leakage, mixing, mojibake, names, splitting
+from loregraph.llm import email_text, knn, leakage, mixing, mojibake, names, personal, splitting
 from loregraph.session import table
 
 
@@ -83,4 +83,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_leaks(spark, d).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_neighbours, p3_found, p3_emails, p4_found, p4_pieces, p6_found, p6_leaks, p7_found, p7_mix, p7_shares, p8_found, p8_restored)}
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every text of pages and chunks that holds personal information, redacted, with what was found."""
+    pages = table(spark, d, "pages")
+    model = personal.train_surnames(pages)
+    a = personal.find_personal(pages, "id", ["compiled_truth", "timeline"], model, "pages")
+    return a.unionByName(personal.find_personal(table(spark, d, "content_chunks"), "id", ["chunk_text"], model, "content_chunks"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_redacted(spark, d).select("tbl", "row_id", "field", F.explode("found").alias("x")).select("tbl", "row_id", "field", "x.kind", "x.start_pos")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_neighbours, p3_found, p3_emails, p4_found, p4_pieces, p5_found, p5_redacted, p6_found, p6_leaks, p7_found, p7_mix, p7_shares, p8_found, p8_restored)}
