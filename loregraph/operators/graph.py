@@ -25,3 +25,47 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         if new.filter("l <> old").limit(1).count() == 0:
             return new.select("node", F.col("l").alias("component"))
         label = new.select("node", "l")
+
+
+def _steps(links: DataFrame, direction: str) -> DataFrame:
+    out = links.select(F.col("from_page_id").alias("at"), F.col("to_page_id").alias("to"), "link_type")
+    back = links.select(F.col("to_page_id").alias("at"), F.col("from_page_id").alias("to"), "link_type")
+    return (out if direction == "out" else back if direction == "in" else out.unionAll(back)).distinct()
+
+
+def fanout(links: DataFrame, seeds: DataFrame, depth: int, direction: str = "out", mentions: bool = False) -> DataFrame:
+    """(seed, node, hop, types): nodes reached from each seed with the fewest hops and the number of link types of the last step at that hop.
+
+    A breadth-first walk: every level joins the frontier with the links and drops nodes already met, so that paths are never enumerated.
+    """
+    if not 1 <= depth <= 10:
+        raise ValueError("depth must be 1 to 10")
+    e = _steps(links if mentions else links.filter(~F.col("link_source").eqNullSafe("mentions")), direction)
+    met = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("hop"), F.lit(0).cast("long").alias("types"))
+    frontier = met
+    for hop in range(1, depth + 1):
+        nxt = frontier.select("seed", F.col("node").alias("at")).join(e, "at").groupBy("seed", F.col("to").alias("node")).agg(F.countDistinct("link_type").alias("types"))
+        frontier = checkpointed(nxt.join(met.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(hop).alias("hop"), "types"))
+        met = met.unionByName(frontier)
+    return met.filter("hop > 0")
+
+
+def walk_edges(links: DataFrame, seeds: DataFrame, depth: int, link_type: str | None = None) -> DataFrame:
+    """(seed, from_page_id, to_page_id, link_type, depth): the edges that a breadth-first walk along outgoing links follows, each once per level."""
+    e = links.select("from_page_id", "to_page_id", "link_type").distinct()
+    if link_type is not None:
+        e = e.filter(F.col("link_type") == link_type)
+    seen = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"))
+    frontier, out = seen, None
+    for d in range(1, depth + 1):
+        step = checkpointed(frontier.join(e, frontier.node == e.from_page_id).select("seed", "from_page_id", "to_page_id", "link_type", F.lit(d).alias("depth")))
+        out = step if out is None else out.unionByName(step)
+        frontier = checkpointed(step.select("seed", F.col("to_page_id").alias("node")).distinct().join(seen, ["seed", "node"], "left_anti"))
+        seen = seen.unionByName(frontier)
+    return out
+
+
+def connects(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Nodes that two fan-outs share: (node, hops), fewest hops first."""
+    x, y = (w.groupBy("node").agg(F.min("hop").alias(n)) for w, n in ((a, "ha"), (b, "hb")))
+    return x.join(y, "node").select("node", (F.col("ha") + F.col("hb")).alias("hops"))
