@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loregraph.operators.graph import connected_components
-from loregraph.session import checkpointed
+from loregraph.session import checkpointed, parallelism
 
 # Short and familiar forms of given names, by full form.
 SHORT_FORMS = """
@@ -223,7 +223,8 @@ def _agree(a: pd.Series, b: pd.Series) -> pd.Series:
 def _edges(p: DataFrame) -> DataFrame:
     """Pairs (src, dst) of entities to merge, each at most once per key: an entity and the one that stands for its key."""
     rep = F.max(F.struct("n", (-F.col("entity")).alias("less"), "cores")).alias("r")
-    blocks = p.filter(F.size("cores") > 0).select("entity", "n", "kind", "cores", "gives", "inits", F.explode(_variants("cores")).alias("v"))
+    keyed = checkpointed(p.filter(F.size("cores") > 0).repartition(2 * parallelism(p.sparkSession), "entity").withColumn("vs", _variants("cores")))  # once, on all cores
+    blocks = keyed.select("entity", "n", "kind", "cores", "gives", "inits", F.explode("vs").alias("v"))
 
     # full names: the same frequent part and a rare part one edit apart
     full = blocks.filter(F.size("gives") > 0).select("entity", "n", "cores", "kind", "v", F.explode("gives").alias("g"))
