@@ -193,4 +193,25 @@ ORACLES: dict[str, str] = {
         WHEN regexp_matches(lower(context), '\b(advises|adviser|advisor|mentor)\b') THEN 'advises' WHEN regexp_matches(lower(context), '\b(works at|engineer|joined|employee|head of)\b') THEN 'works_at' ELSE 'mentions' END AS inferred, count(*) AS n FROM links GROUP BY 1""",
     "markdown_round_trip": "SELECT id, true AS same FROM pages",
     "money_totals": r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[$€£]([0-9][0-9,]*(?:\.[0-9]+)?)', 1)) AS a FROM documents) SELECT doc_id, sum(replace(a, ',', '')::DOUBLE) AS total FROM m GROUP BY 1 HAVING total > 0""",
+    "facts_by_entity": """SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS "rank" FROM events QUALIFY "rank" <= 3""",
+    "facts_health": """SELECT count(*) AS total, count(*) FILTER (h >= 0 AND h < 24) AS last_day, count(*) FILTER (h >= 0 AND h < 168) AS last_week, count(DISTINCT user_id) AS entities
+        FROM (SELECT *, (epoch_us(TIMESTAMP '2024-01-30') - epoch_us(ts)) / 3600e6 AS h FROM events)""",
+    "superseded_facts": """SELECT event_id AS id, user_id, value, event_id % 2 = 0 AS expired, CASE WHEN event_id % 2 = 0 THEN event_id + 1000000 END AS superseded_by FROM events
+        UNION ALL SELECT event_id + 1000000, user_id, value * 2, false, NULL FROM events WHERE event_id % 2 = 0""",
+    "fact_duplicates": f"""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT b.vec_id AS new_id, a.vec_id AS id, round({_COS}, 6) AS similarity FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE b.vec_id % 25 = 0)
+        SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY similarity DESC, id) AS "rank", similarity >= 0.5 AS duplicate FROM s QUALIFY "rank" <= 3""",
+    "upserted_takes": f"""SELECT id % 500 AS page_id, id // 500 AS row_num, round(CASE WHEN (id % 500) % 3 = 0 AND quality = 'partial' THEN least(greatest(weight * 3 - 1, 0), 1) ELSE weight END, 6) AS weight,
+        CASE WHEN quality <> 'partial' THEN quality END AS quality FROM ({_CLAIMS})""",
+    "telemetry_stats": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, count(DISTINCT ts::DATE) AS days FROM events GROUP BY 1",
+    "tier_pairs": f"""WITH p AS (SELECT id, CASE WHEN {_FACTOR} > 1.05 THEN 'curated' WHEN {_FACTOR} < 0.95 THEN 'bulk' ELSE 'other' END AS tier FROM pages)
+        SELECT least(a.tier, b.tier) AS tier_a, greatest(a.tier, b.tier) AS tier_b, count(*) AS n FROM links l JOIN p a ON l.from_page_id = a.id JOIN p b ON l.to_page_id = b.id GROUP BY 1, 2""",
+    "job_stats": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS mean_price, strftime(max(o_orderdate), '%Y-%m-%d') AS last FROM orders GROUP BY 1, 2",
+    "quarter_windows": "SELECT year(o_orderdate)::VARCHAR || 'Q' || quarter(o_orderdate)::VARCHAR AS quarter, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1",
+    "result_pairs": """WITH r AS (SELECT o_custkey AS query_id, o_orderkey AS doc, o_orderstatus AS s, o_totalprice AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders QUALIFY r <= 5)
+        SELECT a.query_id, a.doc AS doc_a, b.doc AS doc_b, round(a.p + b.p, 2) AS combined FROM r a JOIN r b ON a.query_id = b.query_id AND a.r < b.r AND a.s <> b.s""",
+    "edge_union": "SELECT from_page_id, CASE WHEN link_source IS NULL THEN 'unresolved' ELSE 'resolved' END AS state, count(*) AS n, count(DISTINCT to_page_id) AS targets FROM links GROUP BY 1, 2",
+    "page_link_coverage": f"""SELECT type, count(*) AS n, round(avg(h), 6) AS share, round(sqrt(avg(h) * (1 - avg(h)) / count(*)), 6) AS error FROM (SELECT type, (id IN (SELECT to_page_id FROM links))::INT::DOUBLE AS h FROM ({_LIVE})) GROUP BY 1""",
+    "chunk_page_context": """SELECT c.id, p.slug, coalesce(t.newest > p.updated_at::DATE, false) AS stale FROM content_chunks c JOIN pages p ON c.page_id = p.id LEFT JOIN (SELECT page_id, max(date) AS newest FROM timeline_entries GROUP BY 1) t ON t.page_id = p.id""",
+    "frontmatter_stats": """SELECT source_id, count(*) AS pages, count(*) FILTER (frontmatter = '{}') AS bare, count(*) FILTER (json_extract(frontmatter, '$.title') IS NOT NULL) AS titled, count(*) FILTER (json_extract(frontmatter, '$.tags') IS NOT NULL) AS tagged FROM pages GROUP BY 1""",
 }
+ORACLES["retrieval_gate"] = f"SELECT count(*) AS queries, round(avg(r_at_k), 6) AS recall, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(r_at_k), 6) >= 0.7 AND round(avg(rr), 6) >= 0.6 AS passed FROM ({ORACLES['ir_metrics']})"

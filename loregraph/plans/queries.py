@@ -509,3 +509,121 @@ def markdown_round_trip(spark, d):
 @q
 def money_totals(spark, d):
     return table(spark, d, "documents").filter(F.col("text").isNotNull()).select("doc_id", T.money_total(F.col("text")).cast("double").alias("total")).filter("total > 0")
+
+
+# -- facts, claims, roll-ups ---------------------------------------------------------------------------------------------------------------------------------------
+
+from loregraph.operators import facts as K  # noqa: E402
+
+
+@q
+def facts_by_entity(spark, d):
+    return K.by_entity(table(spark, d, "events"), "user_id", "ts", "event_id", 3).select("user_id", "event_id", "rank")
+
+
+@q
+def facts_health(spark, d):
+    return K.health(table(spark, d, "events"), "ts", "2024-01-30 00:00:00")
+
+
+@q
+def superseded_facts(spark, d):
+    """Events as facts: even ids are superseded by new facts with the id + 1,000,000."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), "user_id", "value", F.lit(None).cast("timestamp_ntz").alias("expired_at"), F.lit(None).cast("long").alias("superseded_by"))
+    new = e.filter("id % 2 = 0").select((F.col("id") + 1_000_000).alias("id"), "user_id", (F.col("value") * 2).alias("value"), "expired_at", "superseded_by", F.col("id").alias("supersedes"))
+    return K.insert_superseding(e, new, "2024-02-01 00:00:00").select("id", "user_id", "value", F.col("expired_at").isNotNull().alias("expired"), "superseded_by")
+
+
+@q
+def fact_duplicates(spark, d):
+    e = table(spark, d, "embeddings")
+    return K.dedup_candidates(e, e.filter("vec_id % 25 = 0"), "label", "vec_id", "embedding", 3, 0.5).select("new_id", "id", "similarity", "rank", "duplicate")
+
+
+@q
+def consolidated_facts(spark, d):
+    return K.consolidate(table(spark, d, "embeddings"), "label", "vec_id", "embedding", 3, 0.4)
+
+
+@q
+def upserted_takes(spark, d):
+    c = claims(spark, d).select((F.col("id") % 500).alias("page_id"), F.floor(F.col("id") / 500).alias("row_num"), "weight", F.when(F.col("quality") != "partial", F.col("quality")).alias("quality"))
+    new = c.filter("page_id % 3 = 0").withColumn("weight", F.col("weight") * 3 - 1).withColumn("quality", F.lit(None).cast("string"))
+    return K.upsert_takes(c, new).select("page_id", "row_num", F.round("weight", 6).alias("weight"), "quality")
+
+
+@q
+def telemetry_stats(spark, d):
+    e = table(spark, d, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.sum("value").alias("s"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return e.groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("s") / F.sum("n"), 6).alias("mean"), F.min("lo").alias("least"), F.max("hi").alias("most"), F.count("*").alias("days"))
+
+
+@q
+def tier_pairs(spark, d):
+    """Links by the tiers of their ends: curated above 1.05, bulk below 0.95."""
+    f = X.source_factor(F.col("slug"))
+    p = table(spark, d, "pages").select("id", F.when(f > 1.05, "curated").when(f < 0.95, "bulk").otherwise("other").alias("tier"))
+    l = table(spark, d, "links").join(p.select(F.col("id").alias("from_page_id"), F.col("tier").alias("a")), "from_page_id").join(p.select(F.col("id").alias("to_page_id"), F.col("tier").alias("b")), "to_page_id")
+    return l.groupBy(F.least("a", "b").alias("tier_a"), F.greatest("a", "b").alias("tier_b")).agg(F.count("*").alias("n"))
+
+
+@q
+def job_stats(spark, d):
+    o = table(spark, d, "orders")
+    return o.groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean_price"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("last"))
+
+
+@q
+def quarter_windows(spark, d):
+    o = table(spark, d, "orders")
+    label = F.concat(F.year("o_orderdate").cast("string"), F.lit("Q"), F.quarter("o_orderdate").cast("string"))
+    return o.groupBy(label.alias("quarter")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@q
+def result_pairs(spark, d):
+    """Pairs of each customer's five dearest orders of different status, with their combined score."""
+    r = R.top(table(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("doc"), "o_orderstatus", "o_totalprice"), "query_id", "o_totalprice", 5, "doc")
+    a, b = (r.select("query_id", F.col("doc").alias(f"doc_{x}"), F.col("o_orderstatus").alias(f"s_{x}"), F.col("o_totalprice").alias(f"p_{x}"), F.col("rank").alias(f"r_{x}")) for x in "ab")
+    return a.join(b, "query_id").filter("r_a < r_b and s_a <> s_b").select("query_id", "doc_a", "doc_b", F.round(F.col("p_a") + F.col("p_b"), 2).alias("combined"))
+
+
+@q
+def retrieval_gate(spark, d):
+    """Means of the retrieval metrics over all queries, and whether they pass the gate of 0.70 recall and 0.60 first relevant."""
+    m = ir_metrics(spark, d)
+    return m.agg(F.count("*").alias("queries"), F.round(F.avg("r_at_k"), 6).alias("recall"), F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg("ndcg"), 6).alias("ndcg")).withColumn("passed", (F.col("recall") >= 0.7) & (F.col("mrr") >= 0.6))
+
+
+@q
+def edge_union(spark, d):
+    """Outgoing edges of resolved and unresolved links in one frame, with the kind of each."""
+    l = table(spark, d, "links")
+    a = l.filter("link_source is not null").select("from_page_id", "to_page_id", "link_type", F.lit("resolved").alias("state"))
+    b = l.filter("link_source is null").select("from_page_id", "to_page_id", F.lit("unresolved").alias("state"))
+    return a.unionByName(b, allowMissingColumns=True).groupBy("from_page_id", "state").agg(F.count("*").alias("n"), F.countDistinct("to_page_id").alias("targets"))
+
+
+@q
+def page_link_coverage(spark, d):
+    """Per type: pages, the share with an inbound link, and the half-width of its error."""
+    p = table(spark, d, "pages").filter("deleted_at is null")
+    hit = table(spark, d, "links").select(F.col("to_page_id").alias("id")).distinct().withColumn("hit", F.lit(1.0))
+    s = p.join(hit, "id", "left").groupBy("type").agg(F.count("*").alias("n"), F.avg(F.coalesce("hit", F.lit(0.0))).alias("p"))
+    return s.select("type", "n", F.round("p", 6).alias("share"), F.round(F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n")), 6).alias("error"))
+
+
+@q
+def chunk_page_context(spark, d):
+    """Each page's chunks with the page's slug and whether they are older than the newest dated entry of the page."""
+    t = table(spark, d, "timeline_entries").groupBy("page_id").agg(F.max("date").alias("newest"))
+    p = table(spark, d, "pages").select(F.col("id").alias("page_id"), "slug", "updated_at").join(t, "page_id", "left")
+    c = table(spark, d, "content_chunks").select("id", "page_id")
+    return c.join(p, "page_id").select("id", "slug", F.coalesce(F.col("newest") > F.col("updated_at").cast("date"), F.lit(False)).alias("stale"))
+
+
+@q
+def frontmatter_stats(spark, d):
+    p = table(spark, d, "pages")
+    has = lambda k: F.get_json_object("frontmatter", f"$.{k}").isNotNull()
+    return p.groupBy("source_id").agg(F.count("*").alias("pages"), F.count_if(F.col("frontmatter") == "{}").alias("bare"), F.count_if(has("title")).alias("titled"), F.count_if(has("tags")).alias("tagged"))
