@@ -22,7 +22,7 @@ def keyword_scores(chunks: DataFrame, queries: DataFrame, text: str = "chunk_tex
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
     need = terms.groupBy("query_id").agg(F.count("*").alias("need"))
-    postings = chunks.select(F.col(id_col).alias("chunk_id"), F.explode(words(F.col(text))).alias("term")).join(broadcast_if_small(terms.select("term").distinct()), "term", "left_semi")
+    postings = chunks.select(F.col(id_col).alias("chunk_id"), F.explode(F.split(F.lower(F.col(text)), "[^a-z0-9]+")).alias("term")).join(broadcast_if_small(terms.select("term").distinct()), "term", "left_semi")
     tf = postings.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
     hit = tf.join(broadcast_if_small(terms), "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("found"), F.sum(1 + F.log("tf")).alias("score"))
     return hit.join(broadcast_if_small(need), "query_id").filter("found = need").select("query_id", "chunk_id", "score")
