@@ -215,3 +215,25 @@ ORACLES: dict[str, str] = {
     "frontmatter_stats": """SELECT source_id, count(*) AS pages, count(*) FILTER (frontmatter = '{}') AS bare, count(*) FILTER (json_extract(frontmatter, '$.title') IS NOT NULL) AS titled, count(*) FILTER (json_extract(frontmatter, '$.tags') IS NOT NULL) AS tagged FROM pages GROUP BY 1""",
 }
 ORACLES["retrieval_gate"] = f"SELECT count(*) AS queries, round(avg(r_at_k), 6) AS recall, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(r_at_k), 6) >= 0.7 AND round(avg(rr), 6) >= 0.6 AS passed FROM ({ORACLES['ir_metrics']})"
+
+_G = "list_distinct(flatten(list_transform({0}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+_SLUG = "regexp_replace(regexp_replace(translate(lower({0}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+ORACLES |= {
+    "resolved_names": f"""WITH n AS (SELECT name, {_SLUG.format("name")} AS s, {_G.format(_WORDS.format("name"))} AS g FROM (VALUES ('Retrieval quality notes'), ('Weekly review'), ('Obsidian Weather Board'), ('release rhythm draft'), ('Runway')) v(name)),
+        p AS (SELECT id, slug, split_part(slug, '/', -1) AS tail, {_G.format(_WORDS.format("title"))} AS g FROM ({_LIVE})),
+        e AS (SELECT name, min(slug) AS x FROM n JOIN p ON tail = s GROUP BY 1), f AS (SELECT name, slug AS x FROM (SELECT name, slug, round(len(list_intersect(n.g, p.g)) / len(list_distinct(list_concat(n.g, p.g)))::DOUBLE, 12) AS sim FROM n, p)
+        WHERE sim >= 0.4 QUALIFY row_number() OVER (PARTITION BY name ORDER BY round(sim, 6) DESC, slug) = 1),
+        d AS (SELECT to_page_id AS id, count(*) AS deg FROM links GROUP BY 1), r AS (SELECT name, slug AS x FROM n JOIN p ON starts_with(tail, s || '-') LEFT JOIN d USING (id) QUALIFY row_number() OVER (PARTITION BY name ORDER BY coalesce(deg, 0) DESC, slug) = 1)
+        SELECT n.name, coalesce(e.x, f.x, r.x, n.s) AS slug, CASE WHEN e.x IS NOT NULL THEN 'exact' WHEN f.x IS NOT NULL THEN 'fuzzy' WHEN r.x IS NOT NULL THEN 'prefix' ELSE 'new' END AS how FROM n LEFT JOIN e USING (name) LEFT JOIN f USING (name) LEFT JOIN r USING (name)""",
+    "query_intents": r"""SELECT item_id, CASE WHEN regexp_matches(lower(question), '\b(when|yesterday|today|last (week|month|year)|recent|latest|since|20\d\d)\b') THEN 'temporal'
+        WHEN regexp_matches(lower(question), '\b(who|whom|person|founder|ceo|works? at|invested)\b') THEN 'entity' WHEN regexp_matches(lower(question), '\b(meeting|call|launch|offsite|event|met)\b') THEN 'event' ELSE 'general' END AS intent FROM eval_items""",
+    "far_set": f"""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), c AS (SELECT * FROM v WHERE label < 3 AND vec_id % 10 = 0)
+        SELECT a.vec_id AS id, a.label, round(1 - max({_COS}), 6) AS distance FROM v a, c b WHERE a.label NOT IN (SELECT label FROM c) GROUP BY 1, 2 ORDER BY distance DESC, id LIMIT 25""",
+    "adaptive_returns": """SELECT o_custkey AS query_id, o_orderkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS "rank" FROM orders QUALIFY "rank" <= CASE WHEN o_custkey % 2 = 0 THEN 2 ELSE 6 END""",
+    "timeline_by_month": """WITH t AS (SELECT * FROM timeline_entries QUALIFY row_number() OVER (PARTITION BY page_id, date, summary, source ORDER BY id) = 1)
+        SELECT source, strftime(date, '%Y-%m') AS month, count(*) AS n, count(*) FILTER (date_diff('day', date, created_at::DATE) > 90) AS late FROM t GROUP BY 1, 2""",
+    "events_as_of_orders": """SELECT event_id, purchase_id FROM (SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS purchase_id FROM events)
+        WHERE event_id % 10 = 0 AND purchase_id IS NOT NULL""",
+    "near_link_types": """WITH l AS (SELECT DISTINCT from_page_id, to_page_id, link_type FROM links WHERE link_type <> '') SELECT a.link_type, b.link_type AS other, count(*) AS n FROM l a JOIN l b USING (from_page_id, to_page_id) WHERE a.link_type < b.link_type GROUP BY 1, 2""",
+    "reciprocal_links": "SELECT from_page_id, to_page_id FROM links WHERE from_page_id < to_page_id INTERSECT SELECT to_page_id, from_page_id FROM links",
+}

@@ -627,3 +627,63 @@ def frontmatter_stats(spark, d):
     p = table(spark, d, "pages")
     has = lambda k: F.get_json_object("frontmatter", f"$.{k}").isNotNull()
     return p.groupBy("source_id").agg(F.count("*").alias("pages"), F.count_if(F.col("frontmatter") == "{}").alias("bare"), F.count_if(has("title")).alias("titled"), F.count_if(has("tags")).alias("tagged"))
+
+
+# -- names, intents, samples ---------------------------------------------------------------------------------------------------------------------------------------
+
+from loregraph.operators import resolve as V  # noqa: E402
+
+
+@q
+def resolved_names(spark, d):
+    names = spark.createDataFrame([("Retrieval quality notes",), ("Weekly review",), ("Obsidian Weather Board",), ("release rhythm draft",), ("Runway",)], "name string")
+    return V.resolve_names(names, table(spark, d, "pages"), table(spark, d, "links"))
+
+
+@q
+def query_intents(spark, d):
+    return table(spark, d, "eval_items").select("item_id", V.intent(F.col("question")).alias("intent"))
+
+
+@q
+def far_set(spark, d):
+    e = table(spark, d, "embeddings")
+    return V.far_set(e, e.filter("label < 3 and vec_id % 10 = 0"), "vec_id", "label", "embedding", 25)
+
+
+@q
+def adaptive_returns(spark, d):
+    o = R.top(table(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("doc"), "o_totalprice", F.when(F.col("o_custkey") % 2 == 0, "entity").otherwise("general").alias("intent")), "query_id", "o_totalprice", 10, "doc")
+    return V.adaptive_return(o, "query_id", "rank", "intent").select("query_id", "doc", "rank")
+
+
+@q
+def timeline_by_month(spark, d):
+    """Distinct dated entries per source and month, and how many were written more than 90 days late."""
+    t = table(spark, d, "timeline_entries")
+    t = P.dedup_timeline(t).select("id").join(t.select("id", "date", "source", "created_at"), "id")
+    late = F.count_if(F.datediff(F.col("created_at").cast("date"), F.col("date")) > 90)
+    return t.groupBy("source", F.date_format("date", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), late.alias("late"))
+
+
+@q
+def events_as_of_orders(spark, d):
+    """As-of join: for each tenth event the last earlier event of the same user of type purchase, by one window over the union instead of a range join."""
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w)
+    return e.withColumn("purchase_id", last).filter("event_id % 10 = 0 and purchase_id is not null").select("event_id", "purchase_id")
+
+
+@q
+def near_link_types(spark, d):
+    """Pairs of link types that lead from one page to the same page, with how often."""
+    l = table(spark, d, "links").filter("link_type <> ''").select("from_page_id", "to_page_id", "link_type").distinct()
+    return l.join(l.withColumnRenamed("link_type", "other"), ["from_page_id", "to_page_id"]).filter("link_type < other").groupBy("link_type", "other").agg(F.count("*").alias("n"))
+
+
+@q
+def reciprocal_links(spark, d):
+    l = table(spark, d, "links").select("from_page_id", "to_page_id").distinct()
+    back = l.select(F.col("to_page_id").alias("from_page_id"), F.col("from_page_id").alias("to_page_id"))
+    return l.intersect(back).filter("from_page_id < to_page_id")
