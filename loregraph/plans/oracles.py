@@ -51,7 +51,7 @@ def _pool(k: int, pages: str = "pages") -> str:
 _VISIBLE = """(SELECT * FROM pages WHERE deleted_at IS NULL AND json_extract(frontmatter, '$.quarantine') IS NULL AND NOT starts_with(slug, 'test/') AND NOT starts_with(slug, 'attachments/')
     AND NOT starts_with(slug, '.raw/') AND source_id NOT IN (SELECT id FROM sources WHERE archived))"""
 _TAGS = "SELECT DISTINCT id AS page_id, unnest(from_json(json_extract(frontmatter, '$.tags'), '[\"VARCHAR\"]')) AS tag FROM pages WHERE json_extract(frontmatter, '$.tags') IS NOT NULL"
-_SEEDS = "SELECT id FROM pages WHERE type = 'concept' AND id % 20 = 0"
+_SEEDS = "SELECT id FROM pages WHERE type = 'concept'"
 _COS = "(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))))"
 
 ORACLES: dict[str, str] = {
@@ -60,7 +60,7 @@ ORACLES: dict[str, str] = {
     "list_pages_by_tag": f"SELECT id, slug FROM ({_LIVE}) WHERE list_contains(from_json(json_extract(frontmatter, '$.tags'), '[\"VARCHAR\"]'), 'wedding') ORDER BY created_at DESC, id LIMIT 1000",
     "visible_pages": f"SELECT id, slug FROM {_VISIBLE}",
     "page_tags": _TAGS,
-    "upsert_pages": "SELECT id, CASE WHEN id % 10 = 0 THEN upper(title) ELSE title END AS title, import_filename FROM pages",
+    "upsert_pages": "SELECT id, CASE WHEN type = 'daily' THEN upper(title) ELSE title END AS title, import_filename FROM pages",
     "duplicate_pages": f"SELECT content_hash, count(*) AS copies, min(id) AS first_id FROM ({_LIVE}) WHERE content_hash IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "purge_deleted_pages": "SELECT id FROM pages WHERE deleted_at IS NULL OR deleted_at >= TIMESTAMP '2024-06-01' - INTERVAL 72 HOUR",
     "newest_chunks": "SELECT id, page_id, chunk_index FROM content_chunks QUALIFY row_number() OVER (PARTITION BY page_id, chunk_index ORDER BY embedded_at DESC NULLS LAST, id DESC) = 1",
@@ -146,7 +146,7 @@ ORACLES: dict[str, str] = {
     "hybrid_search_keyword": f"""WITH {_KW}, {_pool(50, _VISIBLE)}, c AS (SELECT pooled.*, ceil(length(chunk_text) / 4.0) AS cost FROM pooled JOIN content_chunks ON id = chunk_id),
         r AS (SELECT query_id, page_id, chunk_id, score, "rank", sum(cost) OVER (PARTITION BY query_id ORDER BY "rank" ROWS UNBOUNDED PRECEDING) AS running FROM c) SELECT * FROM r WHERE running <= 4000""",
     "substring_search": """SELECT query_id, id, ((length(compiled_truth) - length(replace(compiled_truth, query, ''))) / length(query))::INT AS score FROM pages JOIN (VALUES (1, 'Größere'), (2, 'réunion')) q(query_id, query) ON contains(compiled_truth, query)""",
-    "vector_search": f"""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT b.id AS query_id, a.id AS chunk_id, round({_COS}, 6) AS score FROM v a, v b WHERE b.id % 50 = 0)
+    "vector_search": f"""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT b.id AS query_id, a.id AS chunk_id, round({_COS}, 6) AS score FROM v a, v b WHERE b.id % 20 = 0)
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS "rank" FROM s QUALIFY "rank" <= 10""",
     "rank_fusion": """WITH a AS (SELECT o_custkey AS query_id, o_orderkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS r2 FROM orders),
         s AS (SELECT query_id, doc, CASE WHEN r <= 10 THEN 1 / (60.0::DOUBLE + r - 1) ELSE 0 END + CASE WHEN r2 <= 10 THEN 1 / (120.0::DOUBLE + r2 - 1) ELSE 0 END AS s FROM a WHERE r <= 10 OR r2 <= 10)
@@ -196,11 +196,11 @@ ORACLES: dict[str, str] = {
     "facts_by_entity": """SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS "rank" FROM events QUALIFY "rank" <= 3""",
     "facts_health": """SELECT count(*) AS total, count(*) FILTER (h >= 0 AND h < 24) AS last_day, count(*) FILTER (h >= 0 AND h < 168) AS last_week, count(DISTINCT user_id) AS entities
         FROM (SELECT *, (epoch_us(TIMESTAMP '2024-01-30') - epoch_us(ts)) / 3600e6 AS h FROM events)""",
-    "superseded_facts": """SELECT event_id AS id, user_id, value, event_id % 2 = 0 AS expired, CASE WHEN event_id % 2 = 0 THEN event_id + 1000000 END AS superseded_by FROM events
-        UNION ALL SELECT event_id + 1000000, user_id, value * 2, false, NULL FROM events WHERE event_id % 2 = 0""",
-    "fact_duplicates": f"""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT b.vec_id AS new_id, a.vec_id AS id, round({_COS}, 6) AS similarity FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE b.vec_id % 25 = 0)
+    "superseded_facts": """SELECT event_id AS id, user_id, value, event_type = 'error' AS expired, CASE WHEN event_type = 'error' THEN event_id + 1000000 END AS superseded_by FROM events
+        UNION ALL SELECT event_id + 1000000, user_id, value * 2, false, NULL FROM events WHERE event_type = 'error'""",
+    "fact_duplicates": f"""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT b.vec_id AS new_id, a.vec_id AS id, round({_COS}, 6) AS similarity FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE b.vec_id % 20 = 0)
         SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY similarity DESC, id) AS "rank", similarity >= 0.5 AS duplicate FROM s QUALIFY "rank" <= 3""",
-    "upserted_takes": f"""SELECT id % 500 AS page_id, id // 500 AS row_num, round(CASE WHEN (id % 500) % 3 = 0 AND quality = 'partial' THEN least(greatest(weight * 3 - 1, 0), 1) ELSE weight END, 6) AS weight,
+    "upserted_takes": f"""SELECT id % 500 AS page_id, id // 500 AS row_num, round(CASE WHEN quality = 'partial' THEN least(greatest(weight * 3 - 1, 0), 1) ELSE weight END, 6) AS weight,
         CASE WHEN quality <> 'partial' THEN quality END AS quality FROM ({_CLAIMS})""",
     "telemetry_stats": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, count(DISTINCT ts::DATE) AS days FROM events GROUP BY 1",
     "tier_pairs": f"""WITH p AS (SELECT id, CASE WHEN {_FACTOR} > 1.05 THEN 'curated' WHEN {_FACTOR} < 0.95 THEN 'bulk' ELSE 'other' END AS tier FROM pages)
@@ -227,13 +227,13 @@ ORACLES |= {
         SELECT n.name, coalesce(e.x, f.x, r.x, n.s) AS slug, CASE WHEN e.x IS NOT NULL THEN 'exact' WHEN f.x IS NOT NULL THEN 'fuzzy' WHEN r.x IS NOT NULL THEN 'prefix' ELSE 'new' END AS how FROM n LEFT JOIN e USING (name) LEFT JOIN f USING (name) LEFT JOIN r USING (name)""",
     "query_intents": r"""SELECT item_id, CASE WHEN regexp_matches(lower(question), '\b(when|yesterday|today|last (week|month|year)|recent|latest|since|20\d\d)\b') THEN 'temporal'
         WHEN regexp_matches(lower(question), '\b(who|whom|person|founder|ceo|works? at|invested)\b') THEN 'entity' WHEN regexp_matches(lower(question), '\b(meeting|call|launch|offsite|event|met)\b') THEN 'event' ELSE 'general' END AS intent FROM eval_items""",
-    "far_set": f"""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), c AS (SELECT * FROM v WHERE label < 3 AND vec_id % 10 = 0)
+    "far_set": f"""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), c AS (SELECT * FROM v WHERE label < 3)
         SELECT a.vec_id AS id, a.label, round(1 - max({_COS}), 6) AS distance FROM v a, c b WHERE a.label NOT IN (SELECT label FROM c) GROUP BY 1, 2 ORDER BY distance DESC, id LIMIT 25""",
     "adaptive_returns": """SELECT o_custkey AS query_id, o_orderkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS "rank" FROM orders QUALIFY "rank" <= CASE WHEN o_custkey % 2 = 0 THEN 2 ELSE 6 END""",
     "timeline_by_month": """WITH t AS (SELECT * FROM timeline_entries QUALIFY row_number() OVER (PARTITION BY page_id, date, summary, source ORDER BY id) = 1)
         SELECT source, strftime(date, '%Y-%m') AS month, count(*) AS n, count(*) FILTER (date_diff('day', date, created_at::DATE) > 90) AS late FROM t GROUP BY 1, 2""",
     "events_as_of_orders": """SELECT event_id, purchase_id FROM (SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS purchase_id FROM events)
-        WHERE event_id % 10 = 0 AND purchase_id IS NOT NULL""",
+        WHERE purchase_id IS NOT NULL""",
     "near_link_types": """WITH l AS (SELECT DISTINCT from_page_id, to_page_id, link_type FROM links WHERE link_type <> '') SELECT a.link_type, b.link_type AS other, count(*) AS n FROM l a JOIN l b USING (from_page_id, to_page_id) WHERE a.link_type < b.link_type GROUP BY 1, 2""",
     "reciprocal_links": "SELECT from_page_id, to_page_id FROM links WHERE from_page_id < to_page_id INTERSECT SELECT to_page_id, from_page_id FROM links",
 }

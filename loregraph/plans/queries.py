@@ -30,8 +30,8 @@ def claims(spark: SparkSession, d: str) -> DataFrame:
 
 
 def some_queries(spark: SparkSession, d: str) -> DataFrame:
-    """Search queries and their vectors: titles of notes and concepts, with the vector of the page's first usable chunk."""
-    p = table(spark, d, "pages").filter(F.col("type").isin("concept") & (F.col("id") % 20 == 0)).select(F.col("id").alias("query_id"), F.col("title").alias("query"))
+    """Search queries and their vectors: titles of all concept pages, with the vector of the page's first usable chunk."""
+    p = table(spark, d, "pages").filter("type = 'concept'").select(F.col("id").alias("query_id"), F.col("title").alias("query"))
     c = table(spark, d, "content_chunks").filter((F.col("model") == "embed-v2") & F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0))
     v = c.groupBy(F.col("page_id").alias("query_id")).agg(F.min_by("embedding", "id").alias("embedding"))
     return p.join(v, "query_id")
@@ -68,7 +68,7 @@ def page_tags(spark, d):
 @q
 def upsert_pages(spark, d):
     p = table(spark, d, "pages")
-    new = p.filter("id % 10 = 0").withColumn("title", F.upper("title")).withColumn("import_filename", F.lit(None).cast("string"))
+    new = p.filter("type = 'daily'").withColumn("title", F.upper("title")).withColumn("import_filename", F.lit(None).cast("string"))
     return P.upsert_pages(p, new).select("id", "title", "import_filename")
 
 
@@ -363,7 +363,7 @@ def substring_search(spark, d):
 @q
 def vector_search(spark, d):
     e = table(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
-    qs = e.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+    qs = e.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
     return R.top(R.vector_scores(e, qs), "query_id", "score", 10, "chunk_id")
 
 
@@ -422,7 +422,7 @@ def hybrid_search_keyword(spark, d):
 
 
 def graph_seeds(spark, d):
-    return table(spark, d, "pages").filter("type = 'concept' and id % 20 = 0").select("id")
+    return table(spark, d, "pages").filter("type = 'concept'").select("id")
 
 
 @q
@@ -528,16 +528,16 @@ def facts_health(spark, d):
 
 @q
 def superseded_facts(spark, d):
-    """Events as facts: even ids are superseded by new facts with the id + 1,000,000."""
-    e = table(spark, d, "events").select(F.col("event_id").alias("id"), "user_id", "value", F.lit(None).cast("timestamp_ntz").alias("expired_at"), F.lit(None).cast("long").alias("superseded_by"))
-    new = e.filter("id % 2 = 0").select((F.col("id") + 1_000_000).alias("id"), "user_id", (F.col("value") * 2).alias("value"), "expired_at", "superseded_by", F.col("id").alias("supersedes"))
+    """Events as facts: errors are superseded by new facts with the id + 1,000,000."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), "event_type", "user_id", "value", F.lit(None).cast("timestamp_ntz").alias("expired_at"), F.lit(None).cast("long").alias("superseded_by"))
+    new = e.filter("event_type = 'error'").select((F.col("id") + 1_000_000).alias("id"), "event_type", "user_id", (F.col("value") * 2).alias("value"), "expired_at", "superseded_by", F.col("id").alias("supersedes"))
     return K.insert_superseding(e, new, "2024-02-01 00:00:00").select("id", "user_id", "value", F.col("expired_at").isNotNull().alias("expired"), "superseded_by")
 
 
 @q
 def fact_duplicates(spark, d):
     e = table(spark, d, "embeddings")
-    return K.dedup_candidates(e, e.filter("vec_id % 25 = 0"), "label", "vec_id", "embedding", 3, 0.5).select("new_id", "id", "similarity", "rank", "duplicate")
+    return K.dedup_candidates(e, e.filter("vec_id % 20 = 0"), "label", "vec_id", "embedding", 3, 0.5).select("new_id", "id", "similarity", "rank", "duplicate")
 
 
 @q
@@ -548,7 +548,7 @@ def consolidated_facts(spark, d):
 @q
 def upserted_takes(spark, d):
     c = claims(spark, d).select((F.col("id") % 500).alias("page_id"), F.floor(F.col("id") / 500).alias("row_num"), "weight", F.when(F.col("quality") != "partial", F.col("quality")).alias("quality"))
-    new = c.filter("page_id % 3 = 0").withColumn("weight", F.col("weight") * 3 - 1).withColumn("quality", F.lit(None).cast("string"))
+    new = c.withColumn("weight", F.col("weight") * 3 - 1).withColumn("quality", F.lit(None).cast("string"))
     return K.upsert_takes(c, new).select("page_id", "row_num", F.round("weight", 6).alias("weight"), "quality")
 
 
@@ -648,7 +648,7 @@ def query_intents(spark, d):
 @q
 def far_set(spark, d):
     e = table(spark, d, "embeddings")
-    return V.far_set(e, e.filter("label < 3 and vec_id % 10 = 0"), "vec_id", "label", "embedding", 25)
+    return V.far_set(e, e.filter("label < 3"), "vec_id", "label", "embedding", 25)
 
 
 @q
@@ -668,11 +668,11 @@ def timeline_by_month(spark, d):
 
 @q
 def events_as_of_orders(spark, d):
-    """As-of join: for each tenth event the last earlier event of the same user of type purchase, by one window over the union instead of a range join."""
+    """As-of join: for each event the last earlier event of the same user of type purchase, by one window over the union instead of a range join."""
     e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w)
-    return e.withColumn("purchase_id", last).filter("event_id % 10 = 0 and purchase_id is not null").select("event_id", "purchase_id")
+    return e.withColumn("purchase_id", last).filter("purchase_id is not null").select("event_id", "purchase_id")
 
 
 @q
