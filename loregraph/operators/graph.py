@@ -69,3 +69,9 @@ def connects(a: DataFrame, b: DataFrame) -> DataFrame:
     """Nodes that two fan-outs share: (node, hops), fewest hops first."""
     x, y = (w.groupBy("node").agg(F.min("hop").alias(n)) for w, n in ((a, "ha"), (b, "hb")))
     return x.join(y, "node").select("node", (F.col("ha") + F.col("hb")).alias("hops"))
+
+
+def blast(links: DataFrame, seeds: DataFrame, depth: int = 5) -> DataFrame:
+    """(seed, node, hop, confidence): what a change of a seed may reach along inbound edges, with confidence 1 / (1 + 0.3 hop) within 0.05 to 1."""
+    c = F.least(F.greatest(1 / (1 + 0.3 * F.col("hop")), F.lit(0.05)), F.lit(1.0))
+    return fanout(links, seeds, depth, "in", mentions=True).select("seed", "node", "hop", F.round(c, 6).alias("confidence"))

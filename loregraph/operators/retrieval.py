@@ -143,3 +143,44 @@ def hybrid_search(pages: DataFrame, chunks: DataFrame, links: DataFrame, queries
     r = r.withColumn("score", F.round(title_boost(s, F.col("title"), F.col("query")), 6))
     d = dedup_results(r.select("query_id", "page_id", "chunk_id", "type", "score"))
     return top(d, "query_id", "score", k, "page_id", "chunk_id")
+
+
+def cosine_rescore(fused: DataFrame, vectors: DataFrame, queries: DataFrame, vec: str = "embedding", weight: float = 0.7) -> DataFrame:
+    """weight x score / best + (1 - weight) x cosine, for fused rows (query_id, chunk_id, score); rows without a usable vector keep their relative score."""
+    v = vectors.filter(F.exists(vec, lambda x: x != 0)).select(F.col("id").alias("chunk_id"), F.col(vec).alias("v"))
+    q = broadcast_if_small(queries.select("query_id", F.col(vec).alias("qv")), 2_000)
+    r = fused.join(v, "chunk_id", "left").join(q, "query_id", "left")
+    base = F.col("score") / F.max("score").over(Window.partitionBy("query_id"))
+    return r.select("query_id", "chunk_id", F.when(F.size("v") == F.size("qv"), weight * base + (1 - weight) * cosine(F.col("v"), F.col("qv"))).otherwise(base).alias("score"))
+
+
+def floored(score: Column, boosted: Column, best: Column, ratio: float) -> Column:
+    """Boosts apply only to rows of at least ``ratio`` of the best score."""
+    return F.when(score >= ratio * best, boosted).otherwise(score)
+
+
+def exact_match_boost(score: Column, slug: Column, title: Column, query: Column, strong: float = 1.25, weak: float = 1.10) -> Column:
+    """Strong if the query is the title or the slug's last segment, weak if the slug ends in it after a hyphen."""
+    from loregraph.functions.expressions import slugify
+
+    s, tail = slugify(query), F.substring_index(slug, "/", -1)
+    return F.when((F.lower(F.trim(title)) == F.lower(F.trim(query))) | (tail == s), score * strong).when(F.endswith(tail, F.concat(F.lit("-"), s)), score * weak).otherwise(score)
+
+
+def graph_signals(results: DataFrame, adjacency: DataFrame, head: int = 20, hub: float = 1.05, foreign: float = 1.10, session: float = 0.95) -> DataFrame:
+    """Within the best ``head`` results (query_id, page_id, slug, score): pages with two inbound results, or two foreign sources, rise; then all but the best page of a folder sink."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("page_id"))
+    r = results.withColumn("__rn", F.row_number().over(w)).join(adjacency.withColumnRenamed("id", "page_id"), "page_id", "left")
+    up = F.when(F.coalesce("inbound", F.lit(0)) >= 2, hub).otherwise(1.0) * F.when(F.coalesce("foreign_sources", F.lit(0)) >= 2, foreign).otherwise(1.0)
+    r = r.withColumn("score", F.when(F.col("__rn") <= head, F.col("score") * up).otherwise(F.col("score"))).withColumn("__folder", F.regexp_extract("slug", r"^(.*)/[^/]*$", 1))
+    place = F.row_number().over(Window.partitionBy("query_id", "__folder").orderBy(F.desc("score"), F.asc("page_id")))
+    return r.withColumn("score", F.when((place > 1) & (F.col("__folder") != ""), F.col("score") * session).otherwise(F.col("score"))).select("query_id", "page_id", "score")
+
+
+def alias_hop(results: DataFrame, aliases: DataFrame, queries: DataFrame, boost: float = 1.10, most: int = 3) -> DataFrame:
+    """Pages whose alias is the whole query are boosted if they are among the results (query_id, page_id, score), else put on top, ``most`` at most."""
+    hit = queries.join(aliases, F.lower(F.trim("query")) == F.lower("alias")).groupBy("query_id", "page_id").agg(F.lit(True).alias("hit"))
+    present = results.join(hit, ["query_id", "page_id"], "left").select("query_id", "page_id", F.when(F.col("hit"), F.col("score") * boost).otherwise(F.col("score")).alias("score"))
+    best = present.groupBy("query_id").agg(F.max("score").alias("best"))
+    new = hit.join(results, ["query_id", "page_id"], "left_anti").join(best, "query_id", "left").withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy("page_id"))).filter(F.col("rn") <= most)
+    return present.unionByName(new.select("query_id", "page_id", (F.coalesce("best", F.lit(0.0)) + 1e-6).alias("score")))

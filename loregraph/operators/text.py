@@ -152,3 +152,19 @@ def conversation_windows(turns: DataFrame, by: str, order: str, size: int) -> Da
     w = Window.partitionBy(by).orderBy(order)
     n = F.row_number().over(w) - 1
     return turns.withColumn("window", F.floor(n / size))
+
+
+def semantic_breaks(vectors: DataFrame, by: str, order: str, vec: str, share: float = 0.2) -> DataFrame:
+    """(by, order, segment): a new segment begins where the similarity to the row before is a local minimum of the smoothed curve below its ``share`` quantile.
+
+    The curve is smoothed by the quadratic five-point filter, in windows over neighbours; sequences are not collected.
+    """
+    from loregraph.functions.expressions import cosine
+
+    w = Window.partitionBy(by).orderBy(order)
+    s = vectors.withColumn("c", cosine(F.col(vec), F.lag(vec).over(w)))
+    at = lambda k: F.coalesce(F.lead("c", k).over(w) if k > 0 else F.lag("c", -k).over(w) if k < 0 else F.col("c"), F.col("c"))
+    s = s.withColumn("smooth", (-3 * at(-2) + 12 * at(-1) + 17 * at(0) + 12 * at(1) - 3 * at(2)) / 35)
+    low = F.percentile("smooth", F.lit(share)).over(Window.partitionBy(by))
+    cut = (F.col("smooth") <= low) & (F.col("smooth") <= F.coalesce(F.lag("smooth").over(w), F.lit(2.0))) & (F.col("smooth") < F.coalesce(F.lead("smooth").over(w), F.lit(2.0)))
+    return s.withColumn("cut", F.coalesce(cut, F.lit(False)).cast("int")).select(by, order, F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("segment"))

@@ -237,3 +237,17 @@ ORACLES |= {
     "near_link_types": """WITH l AS (SELECT DISTINCT from_page_id, to_page_id, link_type FROM links WHERE link_type <> '') SELECT a.link_type, b.link_type AS other, count(*) AS n FROM l a JOIN l b USING (from_page_id, to_page_id) WHERE a.link_type < b.link_type GROUP BY 1, 2""",
     "reciprocal_links": "SELECT from_page_id, to_page_id FROM links WHERE from_page_id < to_page_id INTERSECT SELECT to_page_id, from_page_id FROM links",
 }
+
+ORACLES |= {
+    "cosine_rescored": f"""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), f AS (SELECT b.vec_id AS query_id, a.vec_id AS chunk_id, 1 / (60.0::DOUBLE + abs(a.vec_id - b.vec_id)) AS s, {_COS} AS c FROM v a JOIN v b ON a.label = b.label WHERE b.vec_id % 20 = 0)
+        SELECT query_id, chunk_id, round(0.7 * s / max(s) OVER (PARTITION BY query_id) + 0.3 * c, 6) AS score FROM f""",
+    "exact_matches": f"""SELECT id, query, round({_FACTOR} * CASE WHEN lower(trim(title)) = lower(trim(query)) OR split_part(slug, '/', -1) = {_SLUG.format("query")} THEN 1.25 WHEN ends_with(split_part(slug, '/', -1), '-' || {_SLUG.format("query")}) THEN 1.1 ELSE 1.0 END, 6) AS score
+        FROM ({_LIVE}), (VALUES ('Runway log'), ('notes'), ('weekly review digest')) q(query)""",
+    "graph_signals": """WITH r AS (SELECT id, source_id, slug, emotional_weight::DOUBLE AS s FROM pages WHERE type IN ('concept', 'daily')),
+        a AS (SELECT b.id, count(DISTINCT a.id) AS i, count(DISTINCT CASE WHEN a.source_id <> b.source_id THEN a.source_id END) AS f FROM links l JOIN r a ON l.from_page_id = a.id JOIN r b ON l.to_page_id = b.id WHERE a.id <> b.id GROUP BY b.id),
+        u AS (SELECT id, slug, s * CASE WHEN coalesce(i, 0) >= 2 THEN 1.05 ELSE 1.0 END::DOUBLE * CASE WHEN coalesce(f, 0) >= 2 THEN 1.1 ELSE 1.0 END::DOUBLE AS s FROM r LEFT JOIN a USING (id)),
+        p AS (SELECT *, regexp_extract(slug, '^(.*)/[^/]*$', 1) AS g FROM u) SELECT id AS page_id, round(CASE WHEN g <> '' AND row_number() OVER (PARTITION BY g ORDER BY s DESC, id) > 1 THEN s * 0.95::DOUBLE ELSE s END, 6) AS score FROM p""",
+    "blast_radius": f"""WITH e AS (SELECT DISTINCT to_page_id AS src, from_page_id AS nxt FROM links), h1 AS (SELECT DISTINCT src AS seed, nxt AS node, 1 AS hop FROM e WHERE src IN ({_SEEDS}) AND nxt <> src),
+        h2 AS (SELECT DISTINCT seed, nxt AS node, 2 AS hop FROM h1 JOIN e ON h1.node = e.src WHERE nxt <> seed AND NOT EXISTS (SELECT 1 FROM h1 x WHERE x.seed = h1.seed AND x.node = nxt))
+        SELECT seed, node, hop, round(1 / (1 + 0.3::DOUBLE * hop), 6) AS confidence FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2)""",
+}

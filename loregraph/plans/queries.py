@@ -687,3 +687,40 @@ def reciprocal_links(spark, d):
     l = table(spark, d, "links").select("from_page_id", "to_page_id").distinct()
     back = l.select(F.col("to_page_id").alias("from_page_id"), F.col("from_page_id").alias("to_page_id"))
     return l.intersect(back).filter("from_page_id < to_page_id")
+
+
+@q
+def cosine_rescored(spark, d):
+    """Vectors of one label as a fused list of each query vector, re-scored with the cosine."""
+    e = table(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
+    qs = e.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding", "label")
+    fused = e.join(qs.select("query_id", "label"), "label").select("query_id", F.col("id").alias("chunk_id"), (1 / (60 + F.abs(F.col("id") - F.col("query_id")))).alias("score"))
+    return R.cosine_rescore(fused, e, qs).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@q
+def exact_matches(spark, d):
+    p = table(spark, d, "pages").filter("deleted_at is null")
+    qs = spark.createDataFrame([("Runway log",), ("notes",), ("weekly review digest",)], "query string")
+    from loregraph.session import broadcast_if_small
+
+    return p.crossJoin(broadcast_if_small(qs)).select("id", "query", F.round(R.exact_match_boost(X.source_factor(F.col("slug")), F.col("slug"), F.col("title"), F.col("query")), 6).alias("score"))
+
+
+@q
+def graph_signals(spark, d):
+    p = table(spark, d, "pages")
+    sel = p.filter("type in ('concept', 'daily')")
+    adj = S.adjacency(sel.select("id"), table(spark, d, "links"), p)
+    r = sel.select(F.lit(1).alias("query_id"), F.col("id").alias("page_id"), "slug", F.col("emotional_weight").cast("double").alias("score"))
+    return R.graph_signals(r, adj, 10_000).select("page_id", F.round("score", 6).alias("score"))
+
+
+@q
+def blast_radius(spark, d):
+    return G.blast(table(spark, d, "links"), graph_seeds(spark, d), 2)
+
+
+@q
+def semantic_segments(spark, d):
+    return T.semantic_breaks(table(spark, d, "embeddings"), "label", "vec_id", "embedding")
