@@ -1,7 +1,8 @@
-"""Evaluation passages that leaked into a corpus: five-word seeds join documents to items, Smith-Waterman alignment over words scores the copies.
+"""Evaluation passages that leaked into a corpus: five-word seeds join documents to items, banded edit distances on both sides of every chain of seeds measure the copies.
 
-A copy of ``MIN_WORDS`` words with at most one altered in ten holds an unaltered run of seven words, that is three seeds in a row on one diagonal of document and passage.
-Such chains are rare where single seeds are not, and asking for one loses no copy; a cut by document frequency would lose the passages that leaked most often.
+A copy of ``MIN_WORDS`` words or more with at most one altered in ten holds an unaltered run of six words (20 words with two altered: 6 x 6 x 6), that is two seeds in a row on
+one diagonal of document and passage. Such chains are rare where single seeds are not, and asking for one loses no copy; a cut by document frequency would lose the passages
+that leaked most often. The best local alignment would not do to measure a copy: it ends where a short run beyond an altered word does not pay for the edit.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from loregraph.session import broadcast_if_small, checkpointed
 
-SEED_WORDS, CHAIN, MIN_WORDS, ALTERED_SHARE = 5, 3, 15, 0.1
+SEED_WORDS, CHAIN, MIN_WORDS, ALTERED_SHARE = 5, 2, 15, 0.1
 #: Up to so many seeds of items, which are counted first, the documents' seeds are filtered where they are made; beyond, by the join alone.
 FILTER_SEEDS = 2_000_000
 MATCH, EDIT = 1, -2
@@ -108,6 +109,51 @@ def longest_copy(ops: str, share: float = ALTERED_SHARE) -> tuple[int, int]:
     return best
 
 
+def reaches(passage: list[str], words: list[str], edits: int) -> list[tuple[int, int]]:
+    """How far a copy goes on from the beginning of both lists with 0, 1, ... ``edits`` words altered: (passage words, words), the last ones equal; (0, 0) if there are none.
+
+    Edit distances by rows of the passage, in the band that so many edits can reach.
+    """
+    far = [(0, 0)] * (edits + 1)
+    ids: dict[str, int] = {}
+    p = [ids.setdefault(w, len(ids)) for w in passage]
+    width, never = 2 * edits + 1, edits + 1
+    # column c of row i stands for i + c - edits words
+    t = np.full(len(p) + width + 1, -1)
+    known = [ids.get(w, -1) for w in words[: len(t) - edits - 1]]
+    t[edits + 1 : edits + 1 + len(known)] = known
+    ramp = np.arange(width)
+    row = np.where(ramp >= edits, ramp - edits, never)
+    for i, w in enumerate(p, 1):
+        here = t[i : i + width]
+        same = here == w
+        for e in range(int(row[same].min(initial=never)), never):
+            c = int(np.flatnonzero(same & (row <= e))[0])
+            far[e] = (i, i + c - edits)
+        new = row + ~same
+        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
+        new = np.minimum.accumulate(new - ramp) + ramp
+        new[: max(0, edits - i)] = never  # before the first word
+        row = np.minimum(new, never)
+        if row.min() > edits:
+            break
+    return far
+
+
+def extend(passage: list[str], words: list[str], at: int, pos: int, n: int, share: float = ALTERED_SHARE) -> tuple[int, int, int]:
+    """The longest copy around ``n`` equal words, which begin at ``at`` in the passage and at ``pos`` in the words: (passage words, altered, where it begins in the words).
+
+    At most ``share`` of the passage words are altered; it begins and ends with equal words.
+    """
+    most = int(share * len(passage))
+    near = len(passage) + most + 1
+    left = reaches(passage[:at][::-1], words[max(0, pos - near) : pos][::-1], most)
+    right = reaches(passage[at + n :], words[pos + n : pos + n + near], most)
+    found = [(a + n + b, -(x + y), pos - back) for x, (a, back) in enumerate(left) for y, (b, _) in enumerate(right) if x + y <= share * (a + n + b)]
+    size, less, begin = max(found)
+    return size, -less, begin
+
+
 def _seeds(items: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
@@ -124,7 +170,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", tex
 
     Null and empty texts and passages match nothing; a passage of fewer than ``min_words`` words can't leak. A document that holds several copies of an item reports the
     longest; rows that repeat a doc_id count as one document. An item passage that repeats under several ids leaks under each. Whole texts are read, whatever their
-    length; only the surroundings of seed chains are aligned. Other columns are not looked at; empty tables give an empty result.
+    length; every chain of seeds is measured on both sides. Other columns are not looked at; empty tables give an empty result.
     """
     spark = docs.sparkSession
     its = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(passage).alias("passage"))
@@ -156,25 +202,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", tex
     # runs of neighbouring positions on a diagonal have one value of position less rank
     run = shared.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("doc_id", "item_id", "diag").orderBy("pos")))
     chains = run.groupBy("doc_id", "item_id", "diag", "run").agg(F.count("*").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi")).filter(F.col("n") >= CHAIN)
-    pairs = chains.groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("lo", "hi")).alias("chains"))
+    pairs = chains.groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("lo", "hi", "diag")).alias("chains"))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for doc, item, words, text_, chains_ in zip(b["doc_id"], b["item_id"], b["words"], b["passage"], b["chains"]):
                 p, w = words_of(text_), words.split(" ")
-                reach = len(p) + len(p) // 5 + 10  # as far as a copy can stretch from a chain
-                windows: list[list[int]] = []
-                for lo, hi in sorted((max(0, c["lo"] - reach), min(len(w), c["hi"] + SEED_WORDS + reach)) for c in chains_):
-                    if windows and lo <= windows[-1][1]:
-                        windows[-1][1] = max(hi, windows[-1][1])
-                    else:
-                        windows.append([lo, hi])
                 best = (0, 0, 0)
-                for lo, hi in windows:
-                    if a := align(p, w[lo:hi]):
-                        n, k = longest_copy(a[0])
-                        best = max(best, (n, -k, lo + a[2] + 1))
+                for c in chains_:
+                    n, k, begin = extend(p, w, c["lo"] - c["diag"], c["lo"], c["hi"] - c["lo"] + SEED_WORDS)
+                    best = max(best, (n, -k, begin + 1))
                 if best[0] >= min_words:
                     out.append((doc, item, best[0], -best[1], len(p), best[2]))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "copied_words", "altered_words", "passage_words", "first_word"])

@@ -1,6 +1,7 @@
 import random
+from itertools import combinations
 
-from loregraph.llm.leakage import align, find_leaks, longest_copy, words_of
+from loregraph.llm.leakage import align, extend, find_leaks, longest_copy, words_of
 
 VOCAB = [f"w{i}" for i in range(400)]
 
@@ -65,3 +66,35 @@ def test_degenerate(spark):
     assert got == [(d, i, 30, 0) for d in (3, 4) for i in (7, 8)]
     assert find_leaks(docs.limit(0), items).count() == 0
     assert find_leaks(docs, items.limit(0)).count() == 0
+
+
+def test_every_shape_of_a_short_copy(spark):
+    """All places of the altered words in copies of 15 to 20 words, substituted, left out and put in."""
+    passage = VOCAB[:60]
+    docs = {}
+    for n in range(15, 21):
+        for places in combinations(range(1, n - 1), n // 10):
+            for change in (lambda w: ["new"], lambda w: [], lambda w: [w, "extra"]):
+                part = [x for k, w in enumerate(passage[20 : 20 + n]) for x in (change(w) if k in places else [w])]
+                docs[len(docs)] = " ".join([*VOCAB[100:110], *part, *VOCAB[110:120]])
+    got = {r.doc_id: r for r in find_leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame([(1, " ".join(passage))], "item_id long, passage string")).collect()}
+    assert set(got) == set(docs)
+    assert all(r.copied_words >= 15 and r.altered_words <= r.copied_words / 10 and 11 <= r.first_word <= 17 for r in got.values())
+
+
+def test_two_stretches_in_one_window(spark):
+    """A run of 14 words does not hide the altered copy of 15 words beside it; 14 words alone are no case."""
+    passage = VOCAB[:60]
+    run, copy = passage[:14], [*passage[40:47], "new", *passage[48:55]]
+    docs = [(1, " ".join([*run, "x", "y", *copy])), (2, " ".join(run)), (3, " ".join([*run, *VOCAB[100:103], *run]))]
+    got = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(passage))], "item_id long, passage string")).collect()
+    assert [(r.doc_id, r.copied_words, r.altered_words, r.first_word) for r in got] == [(1, 15, 1, 17)]
+
+
+def test_extension():
+    p = VOCAB[:30]
+    assert extend(p, ["x", *p[:2], "new", *p[3:], "y"], 3, 4, 27) == (30, 1, 1)
+    assert extend(p, p, 0, 0, 30) == (30, 0, 0)
+    assert extend(p, [*p[:10], "new", *p[11:19]], 0, 0, 10) == (19, 1, 0)
+    assert extend(p, [*p[:10], "new", *p[11:18]], 0, 0, 10) == (18, 1, 0)
+    assert extend(p, [*p[:7], "new"], 0, 0, 7) == (7, 0, 0)
