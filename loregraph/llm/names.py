@@ -21,15 +21,25 @@ from loregraph.session import checkpointed, parallelism
 
 # Short and familiar forms of given names, by full form.
 SHORT_FORMS = """
-alexander: alex al sandy sasha; alexandra: alex sandra sasha; anthony: tony; catherine: cathy kate cat; charles: charlie chuck;
-christopher: chris; daniel: dan danny; david: dave; deborah: deb debbie debby debra; dominic: dom nic dominick; edward: ed eddie eddy ted ned teddy;
-eleanor: nell ellie nora; elizabeth: liz beth lizzie eliza betty lisa; frances: fran frannie francie; grace:; gregory: greg gregg; henry: harry hank hal;
-ingrid: inga inge; isabella: bella izzy isa izzie isabel; james: jim jimmy; jennifer: jen jenny jenn; john: jack johnny; joseph: joe joey jo;
-katherine: kate kathy kat katie kathryn kitty kay katharine; lawrence: larry laurie; margaret: meg peggy maggie marge margie greta; mark: marc; matthew: matt;
-michael: mike mick mikey micky; nicholas: nick nicky nico nicolas; oliver: ollie olly; patricia: pat patty trish tricia patsy; penelope: penny nell pen; quentin: quin;
-richard: rick dick rich; robert: rob bob bobby robbie bert; rose: rosie rosy rosa; susannah: sue susie suzy susanna susan; theodora: dora theo thea teddy;
-thomas: tom tommy; ursula: ulla uschi sula; victoria: vicky tori vicki vic vikki; vincent: vince vin vinnie vinny; wilhelmina: willa mina billie;
-william: will bill billy liam willy; yvonne: evi vonnie evie eve; zachary: zach zack zac zak zeke
+alexander: alex al sandy xander lex sasha alec; alexandra: alex sandra lexi sasha; andrew: andy drew; anthony: tony; benjamin: ben benny; catherine: cathy kate cat; charles: charlie chuck chas chip;
+charlotte: lottie charlie; christopher: chris kit; daniel: dan danny; david: dave davy; deborah: deb debbie debby debra; dominic: dom nic dominick; dorothy: dot dolly; edward: ed eddie eddy ted ned teddy;
+eleanor: nell ellie nora; elizabeth: liz beth lizzie eliza betty lisa betsy libby; emily: em emmy; frances: fran frannie francie fanny frankie; frederick: fred freddie; gabriel: gabe; george: georgie; grace: gracie;
+gregory: greg gregg; henry: harry hank hal; ingrid: inga inge; isabella: bella izzy isa izzie isabel; jacob: jake; james: jim jimmy jamie; jennifer: jen jenny jenn jenna; jessica: jess jessie; john: jack johnny; jonathan: jon;
+joseph: joe joey jo; joshua: josh; katherine: kate kathy kat katie kathryn kitty kay katharine; kenneth: ken; lawrence: larry laurie lars lawrie; leonard: leo len; margaret: meg peggy maggie marge margie greta madge; mark: marc marky; martin: marty;
+matthew: matt; michael: mike mick mikey micky; nicholas: nick nicky nico nicolas; oliver: ollie olly noll; patricia: pat patty trish tricia patsy; patrick: pat paddy; penelope: penny nell pen; peter: pete; philip: phil; quentin: quin quint; rebecca: becky;
+richard: rick dick rich; robert: rob bob bobby robbie bert; rose: rosie rosy rosa; samuel: sam; stephen: steve; susannah: sue susie suzy susanna susan sukie; theodora: dora theo thea teddy; theodore: ted theo; thomas: tom tommy; timothy: tim;
+ursula: ulla uschi ursa ursel sula; victoria: vicky tori vicki vic vikki; vincent: vince vin vinnie vinny; walter: walt; wilhelmina: willa mina billie wilma minnie helma; william: will bill billy liam willy; yvonne: evi vonnie evie yvi eve; zachary: zach zack zac zak zeke;
+aaron:; abigail: abby gail; adam:; adrian:; agnes:; alan: allan; albert: bertie; alfred: alfie; alice:; amanda:; angela: angie; arthur: artie; barbara: barb babs;
+beatrice: bea trixie; bernard:; brenda:; brian: bryan; bridget: bridie; bruce:; caroline: carrie carolyn; cecilia: cecily; christine:; colin:; cynthia: cindy; dennis:;
+diana: diane; donald:; douglas: doug; duncan:; edith:; edmund:; edwin:; ernest: ernie; esther:; eugene:; evelyn:; felix:; fiona:; geoffrey: geoff jeff jeffrey;
+gerald: gerry; gertrude: trudy; gilbert: gil; gordon:; hannah:; harold:; harriet: hattie; helen: helena; herbert: herb; howard: howie; hugh:; ian:; irene:; isaac: ike;
+janet:; jeremy:; judith: judy; julia: julie; karen:; kevin: kev; laura:; linda:; louis: lewis; lucy:; lydia:; malcolm:; marcus:; maurice:; maximilian:; melanie:;
+miriam:; monica:; nancy:; naomi:; natalie:; nathaniel: nathan; norman:; olivia: livvy; oscar:; pamela: pam; paul:; rachel:; ralph:; raymond:; reginald: reg reggie;
+roger:; roland:; rosemary:; russell: russ; ruth:; sarah: sadie; sebastian: seb; simon:; sophia: sophie; stanley: stan; stuart: stewart; sylvia:; teresa: theresa;
+terence:; tobias:; valerie: val; vanessa: nessa; veronica:; wendy:; winifred:; xavier:; agnieszka: aga; birgit:; carlos:; carmen:; chantal:; dieter:; diego:;
+dmitri: dmitry dima; dolores: lola; francisco: paco; francois:; gunter: guenter; heike:; heinrich: heinz; ivan:; jacques:; jorge:; juan:; jurgen: juergen;
+katarzyna: kasia; klaus:; krzysztof:; malgorzata: gosia; matthias:; miguel:; mikhail: misha; olga:; pablo:; pawel:; philippe:; pierre:; piotr:; sabine:; sergei: sergey;
+stefan:; svetlana:; tatiana: tanya; thierry:; tomasz:; ulrike:; vladimir: volodya; wojciech:; wolfgang:; yuri:
 """
 # Branch words of firm names with their abbreviations.
 BRANCHES = """

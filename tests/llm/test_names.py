@@ -1,6 +1,6 @@
 import pytest
 
-from loregraph.llm.names import close, deletions, parse, resolve_entities, same_entity_pairs
+from loregraph.llm.names import GIVEN, close, deletions, parse, resolve_entities, same_entity_pairs
 
 
 def test_close():
@@ -52,3 +52,11 @@ def test_hot_name_and_pairs(spark):
     assert members.filter("entity_id = 0").count() == 300
     assert same_entity_pairs(members.filter("page_id < 20")).count() == 190
     assert same_entity_pairs(resolve_entities(df.limit(0))).count() == 0
+
+
+def test_given_names_beyond_the_sample():
+    full = "andrew benjamin charlotte dorothy emily frederick gabriel george jacob jessica jonathan joshua kenneth leonard martin patrick peter philip rebecca samuel stephen theodore timothy walter"
+    assert all(w in GIVEN[w] for w in full.split())
+    short = {"xander": "alexander", "frankie": "frances", "kit": "christopher", "jamie": "james", "minnie": "wilhelmina", "gracie": "grace", "doug": "douglas", "kasia": "katarzyna", "dima": "dmitri"}
+    assert all(f in GIVEN[s] for s, f in short.items())
+    assert parse("person", "Xander Gleironfror", None) == parse("person", "Alexander Gleironfror", None)

@@ -59,3 +59,8 @@ def test_empty_training(spark):
     empty = spark.createDataFrame([], "id long, type string, title string, slug string, compiled_truth string")
     model = P.train_surnames(empty)
     assert [k for _, _, k in P.Finder(model).find("Hi Oliver, mail a@b.test")] == ["name", "email"]
+
+
+def test_given_names_beyond_the_sample(finder):
+    text = "Dear Frankie, Xander, Gracie, Walter and Kasia Tongolchul"
+    assert [text[a:b] for a, b, _ in finder.find(text)] == ["Frankie", "Xander", "Gracie", "Walter", "Kasia Tongolchul"]
