@@ -44,14 +44,16 @@ def speakers(pages: DataFrame, text: str = "compiled_truth") -> DataFrame:
 def mentions(texts: DataFrame, gazetteer: DataFrame, id_col: str, text: str, least: int = 4) -> DataFrame:
     """(id, entity): names of the gazetteer (name, entity) that occur as runs of words, once per text.
 
-    Runs of up to the longest name's words are joined with the names by equality; the gazetteer is broadcast only if counted small.
+    Runs of as many words as some name has, however long, are joined with the names by equality; the gazetteer is broadcast only if counted small.
     """
-    names = gazetteer.filter(F.length("name") >= least).select(F.array_join(words(F.col("name")), " ").alias("run"), "entity").filter("run <> ''").distinct()
-    w = words(F.col(text))
-    runs = F.flatten(
-        F.transform(F.arrays_zip(w.alias("a"), F.slice(w, 2, 1 << 30).alias("b"), F.slice(w, 3, 1 << 30).alias("c")), lambda x: F.array(x["a"], F.concat_ws(" ", x["a"], x["b"]), F.concat_ws(" ", x["a"], x["b"], x["c"])))
-    )
-    return texts.select(F.col(id_col).alias("id"), F.explode(runs).alias("run")).join(broadcast_if_small(names), "run").select("id", "entity").distinct()
+    w = words(F.col("name"))
+    names = gazetteer.filter(F.length("name") >= least).select(F.array_join(w, " ").alias("run"), F.size(w).alias("k"), "entity").filter("run <> ''").distinct()
+    lengths = sorted(r.k for r in names.select("k").distinct().collect())  # no more than the longest name has words
+    if not lengths:
+        return texts.select(F.col(id_col).alias("id")).crossJoin(names.select("entity")).limit(0)
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1), lambda i: F.array_join(F.slice("w", i, F.col("k")), " "))
+    by_length = texts.select(F.col(id_col).alias("id"), words(F.col(text)).alias("w")).withColumn("k", F.explode(F.array(*map(F.lit, lengths)))).filter(F.size("w") >= F.col("k"))
+    return by_length.select("id", F.explode(runs).alias("run")).join(broadcast_if_small(names.select("run", "entity")), "run").select("id", "entity").distinct()
 
 
 def strip_html(text: Column) -> Column:

@@ -185,3 +185,14 @@ def test_stream_dedup_slides(spark, tmp_path):
     assert one(SI.rate_limited(df, "k", 1, "20 hours").filter("dropped > 0")).dropped == 1  # 240 and 250 fall into one window
     ok, bad = SI.split_valid(df.withColumn("event_type", F.lit(None).cast("string")))
     assert ok.count() == 0 and bad.count() == 4
+
+
+def test_mentions_of_long_names(spark):
+    from loregraph.operators.text import mentions
+
+    long = " ".join(f"Part{i}" for i in range(12))
+    names = spark.createDataFrame([("The Jilwolwhox Systems Company", 1), (long, 2), ("Runway", 3), ("Hourborvrenx Partners B.V.", 4), ("abc", 5), (None, 6)], "name string, entity long")
+    texts = [(1, "Met the JILWOLWHOX systems company, twice: the Jilwolwhox Systems Company."), (2, f"x {long.lower()} y runway"), (3, "The Jilwolwhox Systems; Hourborvrenx Partners B.V."), (4, None), (5, ""), (6, "abc")]
+    df = spark.createDataFrame(texts, "id long, t string")
+    assert sorted(map(tuple, mentions(df, names, "id", "t").collect())) == [(1, 1), (2, 2), (2, 3), (3, 4)]
+    assert mentions(df, names.limit(0), "id", "t").count() == 0
