@@ -34,6 +34,7 @@ AT_SIGNS = ("@", "[at]", "(at)", "{at}", "<at>", "＠")
 STREET_EN = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Boulevard|Blvd|Terrace|Court|Ct|Close|Drive|Dr|Way|Place|Pl|Square|Sq|Crescent|Row|Hill|Parkway|Highway|Walk|Gardens|Mews|Grove"
 STREET_FR = "rue|avenue|boulevard|allée|impasse|place|chemin|quai|cours|route|passage|ruelle|square|av\\.|bd"
 STREET_ES = "Calle|Avenida|Avda\\.?|Plaza|Paseo|Camino|Ronda|Carrera|Rua|Praça|C/"
+BOXES = "Postfach|Apartado|Boîte postale|BP"
 STREET_DE = "straße|strasse|str\\.|weg|platz|allee|gasse|ring|damm|ufer"
 HONORIFICS = frozenset("mr mrs ms miss mx dr prof professor sir dame herr frau mme mlle monsieur madame señor señora sr sra don doña dipl.-ing ing rev".split())
 #: Given names that are words, too: what may not follow them if they are names, and those that need a sign of a name beside them.
@@ -72,17 +73,23 @@ _TOWN = r"\p{Lu}\p{Ll}[\p{L}’'-]*(?: \p{Lu}\p{Ll}[\p{L}’'-]*)?"
 _ADDRESSES = re.compile(
     r"(?<![\p{L}\p{N}])(?:"
     rf"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite)\s\d+\w?,\s)?\d{{1,5}}\p{{Ll}}?\s(?:\p{{Lu}}[\p{{L}}’'-]+\s){{1,3}}(?:{STREET_EN})(?![\p{{L}}])\.?(?:,\s(?:Suite|Apt\.?|Unit|Flat|Floor)\s\d+\w?)?(?:,\s{_TOWN}(?:\s(?:\d{{5}}|\p{{Lu}}{{1,2}}\d{{1,2}}\p{{Lu}}?\s?\d\p{{Lu}}{{2}}))?)?"
-    rf"|(?i:P\.?\s?O\.?\sBox|Postfach|Apartado|Boîte postale|BP)\s\d+(?:,\s(?:\d{{5}}\s)?{_TOWN}(?:\s\d{{5}})?)?"
+    rf"|(?i:P\.?\s?O\.?\sBox|{BOXES})\s\d+(?:,\s(?:\d{{5}}\s)?{_TOWN}(?:\s\d{{5}})?)?"
     rf"|\p{{Lu}}[\p{{L}}-]*(?:{STREET_DE})\s?\d{{1,4}}\s?[a-z]?(?![\p{{L}}\p{{N}}])(?:,\s(?:D-)?\d{{5}}\s{_TOWN})?"
     rf"|\d{{1,4}}(?:\s?(?:bis|ter))?,?\s(?:{STREET_FR})\s(?:(?:de|du|des|la|le|les|l['’]|d['’])\s?)*\p{{Lu}}[\p{{L}}’'-]*(?:[\s]\p{{Lu}}[\p{{L}}’'-]*)*(?:,\s\d{{5}}\s{_TOWN})?"
     rf"|(?:{STREET_ES})\s(?:(?:de|del|la|las|los|el|da|do|das|dos)\s)*\p{{Lu}}[\p{{L}}-]*(?:\s(?:(?:de|del|la|las|los)\s)*\p{{Lu}}[\p{{L}}-]*)*,?\s\d{{1,4}}(?:,\s\d{{1,2}}\s?[ºª°]\s?\p{{L}}?)?(?:,\s\d{{4,5}}(?:-\d{{3}})?\s{_TOWN})?"
     r")"
 )
-_STREET_ANCHORS = (
-    *(f" {w.lower()}" for w in STREET_EN.split("|") if len(w) > 2), " st.", " st,", " st ", " rd", " ave", " ln", " ct", " dr", " pl", " sq",
-    "straße", "strasse", "str.", "weg ", "platz ", "allee ", "gasse ", "damm ", "ufer ", "ring ", *(f" {w} " for w in STREET_FR.replace("\\", "").split("|")),
-    "calle ", "avenida ", "avda", "plaza ", "paseo ", "camino ", "ronda ", "carrera ", "rua ", "praça ", "c/ ", "o. box", "o box", "postfach", "apartado", "bp ",
-)
+def _anchors(words: str) -> set[str]:
+    """The words of a part of the address pattern, an optional last dot with and without."""
+    out = set()
+    for w in words.lower().split("|"):
+        out |= {w[:-3], w[:-3] + "."} if w.endswith("\\.?") else {w.replace("\\.", ".")}
+    return out
+
+
+#: Words of ``_ADDRESSES``: endings, which a blank or a digit must follow, and words on their own, which have no letter or digit before and no letter after them.
+_STREET_ENDINGS = _anchors(STREET_DE)
+_STREET_WORDS = set().union(*map(_anchors, (STREET_EN, STREET_FR, STREET_ES, BOXES))) | {"box"}
 
 _TOKEN = re.compile(r"\p{Lu}(?:\p{L}|\p{M}|(?<=\p{L})['’-](?=\p{Lu}|\p{Ll}{3}))*\.?")
 _MIXED = re.compile(r"^(?!(?:Mc|Mac|De|Di|La|Le|Van|Von)\p{Lu}\p{Ll}+$).*\p{Ll}\p{Lu}|\p{Lu}{2,}\p{Ll}")
@@ -97,7 +104,9 @@ def _automaton() -> ahocorasick.Automaton:
         a.add_word(w, ("at", w))
     for w in ID_CUES:
         a.add_word(w, ("id", w))
-    for w in set(_STREET_ANCHORS):
+    for w in _STREET_ENDINGS:
+        a.add_word(w, ("ending", w))
+    for w in _STREET_WORDS:
         a.add_word(w, ("street", w))
     a.make_automaton()
     return a
@@ -290,6 +299,9 @@ class Finder:
                     if "\n" not in between and not stdre.search(r"\d", between) and not _NOT_ID.search(text[max(0, m.start() - 12) : m.start()]):
                         spans.append((*m.span(), "national_id"))
             else:
+                after = text[b : b + 1]
+                if not (after.isspace() or after.isdigit()) if what == "ending" else (after.isalpha() or text[a - 1 : a].isalnum()):
+                    continue  # part of another word
                 line = text.rfind("\n", 0, a) + 1
                 low = max(line, a - 100)
                 if a > seen_line:

@@ -64,3 +64,13 @@ def test_empty_training(spark):
 def test_given_names_beyond_the_sample(finder):
     text = "Dear Frankie, Xander, Gracie, Walter and Kasia Tongolchul"
     assert [text[a:b] for a, b, _ in finder.find(text)] == ["Frankie", "Xander", "Gracie", "Walter", "Kasia Tongolchul"]
+
+
+@pytest.mark.parametrize("end", ["", ";", ")", ":", "|", "\n", ",", ".", " and"])
+def test_every_address_word_is_reached(finder, end):
+    opt = lambda words: [w.replace("\\.?", "").replace("\\.", ".") for w in words.split("|")]
+    forms = [f"14 Quillham {w}" for w in opt(P.STREET_EN)] + [f"Quillham{w} 14" for w in opt(P.STREET_DE)] + [f"Quillham{w}14" for w in opt(P.STREET_DE)]
+    forms += [f"14 {w} Quillham" for w in opt(P.STREET_FR)] + [f"{w} Quillham 14" for w in opt(P.STREET_ES)] + [f"{w} 14" for w in ("P.O. Box", "PO Box", "Postfach", "Apartado", "Boîte postale", "BP")]
+    for form in forms:
+        text = f"at {form}{end}"
+        assert [text[a:b].rstrip(".") for a, b, k in finder.find(text) if k == "address"] == [form], text
