@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from loregraph.llm.names import BRANCH, GIVEN, LEGAL, parse, plain
 
-#: Pages that the surname model is fitted on at most: titles of persons and firms for the names, bodies for the other words.
+#: Pages whose titles of persons and firms the surname model is fitted on at most. Words are counted over all bodies.
 SAMPLE_PAGES = 20_000
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "national_id": "[NATIONAL_ID]", "address": "[ADDRESS]", "name": "[NAME]"}
 
@@ -112,18 +112,23 @@ def _automaton() -> ahocorasick.Automaton:
     return a
 
 
+def ordinary_from(pages: int) -> tuple[int, int]:
+    """Pages, of ``pages``, from which a word counts as ordinary: if as many have it in small letters, and if not. The shares are the same whatever the number of pages."""
+    return max(3, 3 * pages // SAMPLE_PAGES), max(3, pages // 1000)
+
+
 class SurnameModel:
-    """Logistic model over hashed letter n-grams, and the ordinary words of the sample."""
+    """Logistic model over hashed letter n-grams, and the ordinary words of the bodies."""
 
     BITS = 16
 
     def __init__(self, surnames: Iterable[str], firms: Iterable[str], words: Counter[str], lower: Counter[str] | None = None, pages: int = 0, rounds: int = 8) -> None:
         """``words`` and ``lower``: the number of pages, of ``pages``, that have a word at all and in small letters. A word that is only ever written with a capital must be more
-        frequent to count as ordinary, for the surnames of people whose page is not in the sample are among those.
+        frequent to count as ordinary, for the surnames of people who have no page are among those.
         """
         good = set(surnames)
-        often = max(3, pages // 1000)
-        self.ordinary = {w for w, n in words.items() if w not in good and n >= (3 if lower is None or lower[w] >= 3 else often)}
+        least, often = ordinary_from(pages)
+        self.ordinary = {w for w, n in words.items() if w not in good and n >= (least if lower is None or lower[w] >= least else often)}
         bad = [*self.ordinary, *(w for w in set(firms) if w not in good)]
         data = [(self._features(w), 1.0) for w in sorted(good)] + [(self._features(w), 0.0) for w in sorted(bad)]
         self.weights = np.zeros(1 << self.BITS, np.float32)
@@ -355,30 +360,37 @@ _SMALL = re.compile(r"(?<![\w.@+-])\p{Ll}+(?!\w|[@+-]|\.\w|\s?[(\[]at[)\]]|\s\.\
 
 
 def train_surnames(pages: DataFrame, *, bound: int = SAMPLE_PAGES) -> SurnameModel:
-    """Fit on about ``bound`` pages, chosen by the hash of their ids: their titles show surnames and firms, their bodies ordinary words.
+    """Fit on the titles of about ``bound`` pages, chosen by the hash of their ids, which show surnames and firms, and on the ordinary words of all bodies.
 
-    Words are counted by the executors; the driver gets the surnames and firms of the sample and the words that at least three of its pages have.
+    Words are counted by the executors over all pages, and a surname of any title is no ordinary word; the driver gets the surnames and firms of the sample and the words
+    that are frequent enough to be ordinary, whose number a share of all pages bounds.
     """
     n = pages.count()
     share = min(1.0, bound / max(n, 1))
-    src = pages.select("id", "type", "title", "slug", F.col("compiled_truth").alias("body")).filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    least, _ = ordinary_from(n)
+    chosen = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))
+    src = pages.select(F.coalesce(chosen, F.lit(False)).alias("chosen"), "type", "title", "slug", F.col("compiled_truth").alias("body"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for kind, title, slug, body in zip(b["type"], b["title"], b["slug"], b["body"]):
-                if kind in ("person", "company"):
-                    out += [(kind[0], c[1:]) for c in parse(kind, title, slug)[0] if c[0] == "="]
-                out += [("w", w) for w in {plain(w).lower() for w in _WORD.findall(body or "")}]
-                out += [("l", w) for w in {plain(w) for w in _SMALL.findall(body or "")}]
-                out.append(("n", ""))
-            yield pd.DataFrame(out, columns=["what", "word"])
-
-    rows = src.mapInPandas(run, "what string, word string").groupBy("what", "word").agg(F.count("*").alias("n")).filter("n >= 3 or what in ('p', 'c', 'n')").collect()
-    got: dict[str, Counter[str]] = {k: Counter() for k in "pcwln"}
-    for r in rows:
-        got[r.what][r.word] = r.n
-    return SurnameModel(got["p"], got["c"], got["w"], got["l"], got["n"][""])
+            out: Counter[tuple[str, str]] = Counter()
+            for mine, kind, title, slug, body in zip(b["chosen"], b["type"], b["title"], b["slug"], b["body"]):
+                if kind in ("person", "company") and (mine or kind == "person"):
+                    names = [c[1:] for c in parse(kind, title, slug)[0] if c[0] == "="]
+                    out.update(("s", w) for w in names if kind == "person")
+                    out.update((kind[0], w) for w in names if mine)
+                out.update(("w", w) for w in {plain(w).lower() for w in _WORD.findall(body or "")})
+                out.update(("l", w) for w in {plain(w) for w in _SMALL.findall(body or "")})
+            yield pd.DataFrame([(k, w, c) for (k, w), c in out.items()], columns=["what", "word", "n"])
+
+    total = [F.coalesce(F.sum(F.when(F.col("what") == k, F.col("n"))), F.lit(0)).alias(k) for k in "pcwls"]
+    words = src.mapInPandas(run, "what string, word string, n long").groupBy("word").agg(*total)
+    got: dict[str, Counter[str]] = {k: Counter() for k in "pcwl"}
+    for r in words.filter(f"p > 0 or c > 0 or (s = 0 and w >= {least})").select("word", "p", "c", F.when(F.col("s") == 0, F.col("w")).alias("w"), "l").collect():
+        for k, c in got.items():
+            if r[k] and (k in "pc" or (r.w or 0) >= least):
+                c[r.word] = r[k]
+    return SurnameModel(got["p"], got["c"], got["w"], got["l"], n)
 
 
 def find_personal(df: DataFrame, id_col: str, fields: list[str], model: SurnameModel, tbl: str) -> DataFrame:

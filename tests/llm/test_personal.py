@@ -74,3 +74,13 @@ def test_every_address_word_is_reached(finder, end):
     for form in forms:
         text = f"at {form}{end}"
         assert [text[a:b].rstrip(".") for a, b, k in finder.find(text) if k == "address"] == [form], text
+
+
+def test_surnames_outside_the_sample(spark):
+    """A surname that many bodies hold and one title shows is no ordinary word, whether or not that title is in the sample; ordinary words come from all bodies."""
+    rows = [(i, "note", f"n{i}", f"n/{i}", "Tongolchul shipped the weekly board") for i in range(60)] + [(i, "person", "Rose Tongolchul", None, "") for i in (100,)]
+    df = spark.createDataFrame(rows, "id long, type string, title string, slug string, compiled_truth string")
+    for bound in (1, 5, 20, 1000):
+        model = P.train_surnames(df, bound=bound)
+        assert "tongolchul" not in model.ordinary and {"shipped", "weekly", "board"} <= model.ordinary
+    assert P.ordinary_from(20_000) == (3, 20) and P.ordinary_from(600_000) == (90, 600)
