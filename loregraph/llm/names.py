@@ -226,6 +226,25 @@ def _variants(cores: pd.Series) -> pd.Series:
     return cores.map(lambda c: sorted({d for w in c for d in deletions(w)}))
 
 
+def agreement_keys(word: str) -> set[str]:
+    """Keys of a word such that two words of which one has a key with a 1 and the other the same key, with 1 or 0, are close: the word itself, its deletions
+    by place (one letter differs), the word with two neighbours in order (a swap), and with 0 its deletions (one letter more than a word).
+    """
+    keys = {"1+" + word}
+    if len(word) > 3:
+        for i in range(len(word)):
+            d = word[:i] + word[i + 1 :]
+            keys |= {"0+" + d, f"1{i}~{d}"}
+        for i in range(len(word) - 1):
+            keys.add(f"1{i}^{word[:i]}{''.join(sorted(word[i : i + 2]))}{word[i + 2 :]}")
+    return keys
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _agreement_keys(cores: pd.Series) -> pd.Series:
+    return cores.map(lambda c: sorted({k for w in c for k in agreement_keys(w)}))
+
+
 @F.pandas_udf(T.BooleanType())
 def _agree(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([any(close(x, y) for x in p for y in q) for p, q in zip(a, b)], dtype=bool)
@@ -242,16 +261,19 @@ def _edges(p: DataFrame) -> DataFrame:
     stands = full.groupBy("kind", "v", "g").agg(rep, F.count("*").alias("size")).filter("size > 1").select("kind", "v", "g", (-F.col("r.less")).alias("dst"), F.col("r.cores").alias("other"))
     a = full.join(stands, ["kind", "v", "g"]).filter((F.col("entity") != F.col("dst")) & _agree("cores", "other")).select(F.col("entity").alias("src"), "dst")
 
-    # names without the frequent part go to the only entity that has the rare part and the initial, or among themselves if there is none
+    # names without the frequent part go to the only entity that has the rare part, as written before one edit apart, and the initial, or among themselves if there is none
     key = F.explode(F.when(F.size("inits") > 0, F.col("inits")).otherwise(F.array(F.lit("")))).alias("i")
     lean = blocks.filter(F.size("gives") == 0).select("entity", "n", "cores", "kind", "v", key)
-    whole = blocks.filter(F.size("gives") > 0).select("entity", "n", "cores", "kind", "v", F.explode(F.array_append("inits", F.lit(""))).alias("i"))
-    one = whole.groupBy("kind", "v", "i").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi"), rep).select("kind", "v", "i", "lo", "hi", F.col("r.cores").alias("other"))
-    wide = lean.join(one, ["kind", "v", "i"], "left")
-    # an entity counts as having no owner only if none of its keys has one
-    owned = wide.groupBy("entity").agg(
-        F.min(F.when(_agree("cores", F.coalesce("other", F.array())), F.col("lo"))).alias("lo"), F.max(F.when(_agree("cores", F.coalesce("other", F.array())), F.col("hi"))).alias("hi")
-    )
+    sure = keyed.select("entity", "kind", "gives", "inits", F.explode(_agreement_keys("cores")).alias("k")).withColumn("strong", F.col("k").startswith("1")).withColumn("k", F.expr("substring(k, 2)"))
+    asks = sure.filter(F.size("gives") == 0).select("entity", "kind", "k", "strong", key)
+    whole = sure.filter(F.size("gives") > 0).select("entity", "kind", "k", "strong", F.explode(F.array_append("inits", F.lit(""))).alias("i"))
+    mine = F.when(F.col("strong"), F.col("entity"))
+    one = whole.groupBy("kind", "k", "i").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi"), F.min(mine).alias("lo1"), F.max(mine).alias("hi1"))
+    wide = asks.join(one, ["kind", "k", "i"], "left")
+    # only owners that agree are counted; an entity counts as having no owner only if none of its keys has one
+    pick = lambda c: F.when(F.col("strong"), F.col(c)).otherwise(F.col(c + "1"))
+    same = lambda c: F.when(F.col("strong") & F.col("k").startswith("+="), F.col(c + "1"))
+    owned = wide.groupBy("entity").agg(F.coalesce(F.min(same("lo")), F.min(pick("lo"))).alias("lo"), F.coalesce(F.max(same("hi")), F.max(pick("hi"))).alias("hi"))
     b = owned.filter("lo = hi").select(F.col("entity").alias("src"), F.col("lo").alias("dst"))
     free = lean.join(owned.filter("lo is null").select("entity"), "entity")
     peers = free.groupBy("kind", "v", "i").agg(rep).select("kind", "v", "i", (-F.col("r.less")).alias("dst"), F.col("r.cores").alias("other"))

@@ -1,6 +1,6 @@
 import pytest
 
-from loregraph.llm.names import GIVEN, close, deletions, parse, resolve_entities, same_entity_pairs
+from loregraph.llm.names import GIVEN, agreement_keys, close, deletions, parse, resolve_entities, same_entity_pairs
 
 
 def test_close():
@@ -60,3 +60,18 @@ def test_given_names_beyond_the_sample():
     short = {"xander": "alexander", "frankie": "frances", "kit": "christopher", "jamie": "james", "minnie": "wilhelmina", "gracie": "grace", "doug": "douglas", "kasia": "katarzyna", "dima": "dmitri"}
     assert all(f in GIVEN[s] for s, f in short.items())
     assert parse("person", "Xander Gleironfror", None) == parse("person", "Alexander Gleironfror", None)
+
+
+def test_keys_guarantee_agreement():
+    words = ["meyer", "meier", "mayer", "meyr", "meyers", "myeer", "emyer", "mee", "abc", "abcd", "abd", "tongolchul"]
+    for a in words:
+        for b in words:
+            x, y = agreement_keys(a), agreement_keys(b)
+            meet = any(k in y or "0" + k[1:] in y for k in x if k[0] == "1") or any(k in x or "0" + k[1:] in x for k in y if k[0] == "1")
+            assert meet == (a == b or (close(a, b) and max(len(a), len(b)) > 3)), (a, b)
+
+
+def test_owner_as_written_before_near_ones(spark):
+    p = lambda i, t: (i, t, None, "person", "")
+    rows = [p(1, "Jacob Tongolchul"), p(2, "J. Tongolchul"), p(3, "Joshua Tongolchal"), p(4, "Tongolchul"), p(5, "Rose Plenchasjon"), p(6, "Rebecca Plenchasjon"), p(7, "R. Plenchasjon"), p(8, "Mark Gemurveir"), p(9, "M. Gemurveer")]
+    assert entities(spark, rows) == [[1, 2, 4], [3], [5], [6], [7], [8, 9]]
