@@ -53,7 +53,8 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_shares(spark, d).filter("capped").select("source")
+    """Sources that the mix uses up: every document as often as the cap allows, and still fewer tokens than the target."""
+    return p7_shares(spark, d).filter("mixed_docs = src_docs * max_repeats AND mixed_tokens < target_tokens").select("source")
 
 
 def p3_emails(spark: SparkSession, d: str) -> DataFrame:

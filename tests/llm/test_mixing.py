@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from loregraph.llm.mixing import mix_documents
@@ -33,3 +35,16 @@ def test_seed_decides(data):
 def test_empty(data):
     mix, report = mix_documents(data[0].limit(0), data[1])
     assert mix.count() == 0 and {x.actual_share for x in report.collect()} == {0.0}
+
+
+def test_found_comes_out_of_the_mix(spark):
+    """The optimized plan of the query holds the windows of the sampling, and its rows are the capped sources."""
+    from loregraph.llm.queries import p7_found, p7_shares
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("needs the test tables")
+    found = p7_found(spark, d)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number()" in plan and plan.count("Window [") >= 2
+    assert {r.source for r in found.collect()} == {r.source for r in p7_shares(spark, d).filter("capped").collect()}
