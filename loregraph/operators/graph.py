@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 from loregraph.session import checkpointed
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def both_directions(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(a, b) in either direction, each once, kept; edges with a null are dropped."""
+    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter(F.col("a").isNotNull() & F.col("b").isNotNull())
+    return checkpointed(e.union(e.select("b", "a")).distinct())
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", *, prepared: bool = False) -> DataFrame:
     """(node, component): each node of an undirected edge list with the smallest node of its component.
 
     Smallest labels spread along the edges and are shortened by jumping to the label's label, so that long chains need few rounds. Only minima are
-    aggregated, partially before each shuffle; no neighbourhood is ever collected. Self-loops make single nodes; nulls are dropped.
+    aggregated, partially before each shuffle; no neighbourhood is ever collected. Self-loops make single nodes; nulls are dropped. ``prepared``: the edges come from
+    ``both_directions``.
     """
-    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-    e = checkpointed(e.union(e.select("b", "a")).distinct())
+    e = edges if prepared else both_directions(edges, src, dst)
     label = checkpointed(e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")).withColumnRenamed("a", "node"))
     while True:
         near = e.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("l").alias("m"))

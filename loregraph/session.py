@@ -33,10 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; only where none is configured (tests) a local one is made."""
+    """The shared folder that the session names. A local one is made only where none is named and all executors run in this process; on a cluster that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="loregraph-ckpt-"))
     return sc.getCheckpointDir()
 
@@ -56,5 +58,11 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """``df`` on at least two partitions a core, for work in Python that follows; more partitions than that stay as they are."""
+    wanted = 2 * parallelism(df.sparkSession)
+    return df.repartition(wanted, *cols) if df._jdf.queryExecution().toRdd().getNumPartitions() < wanted else df
+
+
 def empty_like(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
