@@ -10,14 +10,15 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex as re
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from loregraph.operators.graph import connected_components
-from loregraph.session import checkpointed, parallelism
+from loregraph.operators.graph import both_directions, connected_components
+from loregraph.session import broadcast_if_small, checkpointed, spread
 
 # Short and familiar forms of given names, by full form.
 SHORT_FORMS = """
@@ -107,8 +108,14 @@ def _lookup(word: str, branch: bool) -> frozenset[str]:
     return frozenset(f for w in found for f in table[w])
 
 
+_MARKS = re.compile(r"(?<=\p{Latin}\p{Mn}*)\p{Mn}")
+
+
 def plain(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).replace("ß", "ss").replace("ø", "o").replace("ł", "l").replace("Ł", "L").replace("Ø", "O")
+    """Compatibility forms without the accents of Latin letters; marks of other scripts, where they make another letter, stay."""
+    if text.isascii():
+        return text
+    return unicodedata.normalize("NFC", _MARKS.sub("", unicodedata.normalize("NFKD", text))).replace("ß", "ss").replace("ø", "o").replace("ł", "l").replace("Ł", "L").replace("Ø", "O")
 
 
 _SOUNDS = [(re.compile(p), r) for p, r in (("sch", "sh"), ("zh", "j"), ("ph", "f"), ("ch", "C"), ("sh", "S"), ("c", "k"), ("ck|kk", "k"), ("q", "k"), ("z", "s"), ("w", "v"), ("ei|ai|ay|ey|ie|y", "i"), ("ou|ow|ov|oo", "u"), (r"(.)\1+", r"\1"))]
@@ -124,17 +131,27 @@ def sound(word: str) -> str:
 
 _NOTE = re.compile(r"\[[^\]]*\]|\([^)]*\)|\s[–—-]\s.*$|[?*!]+")
 _CAMEL = re.compile(r"(?<=\p{Ll})(?=\p{Lu})")
+#: Firms written by their initials alone: they agree only if they are equal.
+_ACRONYM = re.compile(r"(\p{Lu}{2,5})(?: (?:Group|Inc|Ltd|LLC|AG|GmbH|SA|plc|Corp)\.?)?")
 _HASH = re.compile(r"^[a-z]-[0-9a-f]{8}(?:-|$)")
 
 
+_LETTERS = re.compile(r"[\p{L}\p{M}]+(?:'[\p{L}\p{M}]+)*")
+
+
 def _tokens(text: str) -> list[str]:
-    return re.findall(r"[a-z]+(?:'[a-z]+)*", text.lower())
+    return _LETTERS.findall(text.lower())
+
+
+def _initial(word: str) -> bool:
+    """A single letter of a script that has capitals; a single sign of another script is a name."""
+    return len(word) == 1 and word.upper() != word
 
 
 def _person(tokens: list[str], surname_first: bool) -> tuple[set[str], set[str], set[str]]:
     """Surnames, given names, first initials."""
-    words = [w for w in tokens if len(w) > 1]
-    letters = [w for w in tokens if len(w) == 1]
+    words = [w for w in tokens if not _initial(w)]
+    letters = [w for w in tokens if _initial(w)]
     known = [w for w in words if _lookup(w, False)]
     if not words:
         return set(), set(), set()
@@ -151,17 +168,17 @@ def _person(tokens: list[str], surname_first: bool) -> tuple[set[str], set[str],
 
 def _firm(tokens: list[str]) -> tuple[set[str], set[str], set[str]]:
     """Head words, branches, no initials."""
-    words = [w for w in tokens if w.replace("'", "") not in LEGAL and (len(w) > 1 or w in BRANCH)]
+    words = [w for w in tokens if w.replace("'", "") not in LEGAL and (not _initial(w) or w in BRANCH)]
     branch = [w for w in words if w in BRANCH] or [w for w in words if _lookup(w, True)][-1:]
     rest = [w for w in words if w not in branch]
     if not rest:
         return set(), set(), set()
     head = max(rest, key=len)
-    return ({head} if len(head) > 3 else set()), {*branch[:1], *(w for w in rest if w != head and len(w) > 3)}, set()
+    return ({head} if len(head) > 3 or not head.isascii() else set()), {*branch[:1], *(w for w in rest if w != head and len(w) > 3)}, set()
 
 
 def parse(kind: str, title: str | None, slug: str | None) -> tuple[list[str], list[str], list[str]]:
-    """Rare parts (as heard, and after an equals sign as written), frequent parts (full forms) and initials that title and slug show together."""
+    """Rare parts (as heard, after an equals sign as written, after a number sign initials of a firm), frequent parts (full forms) and initials that title and slug show together."""
     firm = kind == "company"
     cores: set[str] = set()
     gives: set[str] = set()
@@ -179,7 +196,9 @@ def parse(kind: str, title: str | None, slug: str | None) -> tuple[list[str], li
         t = _NOTE.sub(" ", plain(title)).strip(" ,;:-–—")
         if firm:
             t = re.sub(r"(?i)\b(?:s\.a\.|b\.v\.|n\.v\.)", " ", t)
-            if not (re.fullmatch(r"[A-Z]{2,4}(?: Group)?", t)):
+            if m := _ACRONYM.fullmatch(t):
+                cores.add("#" + m.group(1).lower())
+            else:
                 take([x for w in t.split() for x in ([w] if w.isupper() else _CAMEL.split(w)) for x in _tokens(x)])
         else:
             t = re.sub(r"(?i)(?:^|\s)(?:dipl\.-ing\.)", " ", t)
@@ -189,7 +208,7 @@ def parse(kind: str, title: str | None, slug: str | None) -> tuple[list[str], li
             text = t if surname_first else head
             tokens = [x for w in text.split() for x in ([w] if w.isupper() else _CAMEL.split(w)) for x in _tokens(x)]
             tokens = [w for w in tokens if w not in TITLES and w not in DEGREES]
-            if len(tokens) == 1 and t.islower() and not _lookup(tokens[0], False) and len(tokens[0]) > 4:
+            if len(tokens) == 1 and t.isascii() and t.islower() and not _lookup(tokens[0], False) and len(tokens[0]) > 4:
                 cores.update((sound(tokens[0][1:]), "=" + tokens[0][1:]))  # an account name: initial and surname
                 inits.add(tokens[0][0])
             elif tokens:
@@ -221,99 +240,119 @@ def _profiles(df: DataFrame) -> DataFrame:
     return df.mapInPandas(run, f"page_id long, {_PROFILE}")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _variants(cores: pd.Series) -> pd.Series:
-    return cores.map(lambda c: sorted({d for w in c for d in deletions(w)}))
-
-
 def agreement_keys(word: str) -> set[str]:
     """Keys of a word such that two words of which one has a key with a 1 and the other the same key, with 1 or 0, are close: the word itself, its deletions
-    by place (one letter differs), the word with two neighbours in order (a swap), and with 0 its deletions (one letter more than a word).
+    by place (one letter differs), the word with two neighbours in order (a swap), and with 0 its deletions (one letter more than a word). Words that share a key
+    with a 1 are all close to each other, so that one of them can stand for the others. A sign before the word says how it is written; initials of firms have one key.
     """
-    keys = {"1+" + word}
-    if len(word) > 3:
-        for i in range(len(word)):
-            d = word[:i] + word[i + 1 :]
-            keys |= {"0+" + d, f"1{i}~{d}"}
-        for i in range(len(word) - 1):
-            keys.add(f"1{i}^{word[:i]}{''.join(sorted(word[i : i + 2]))}{word[i + 2 :]}")
+    sign, bare = (word[0], word[1:]) if word[:1] in ("=", "#") else ("", word)
+    keys = {f"1+{sign}{bare}"}
+    if len(bare) > 3 and sign != "#":
+        for i in range(len(bare)):
+            d = bare[:i] + bare[i + 1 :]
+            keys |= {f"0+{sign}{d}", f"1{i}~{sign}{d}"}
+        for i in range(len(bare) - 1):
+            keys.add(f"1{i}^{sign}{bare[:i]}{''.join(sorted(bare[i : i + 2]))}{bare[i + 2 :]}")
     return keys
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _agreement_keys(cores: pd.Series) -> pd.Series:
-    return cores.map(lambda c: sorted({k for w in c for k in agreement_keys(w)}))
+#: How an entity has a key: as a weak one, as a strong one (with a 1), as the word as written.
+WEAK, STRONG, WRITTEN = 0, 1, 2
 
 
-@F.pandas_udf(T.BooleanType())
-def _agree(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([any(close(x, y) for x in p for y in q) for p, q in zip(a, b)], dtype=bool)
+def _key_rows(p: DataFrame, tags: str) -> DataFrame:
+    """(key, entity, how): the keys of every rare part of an entity together with each of its ``tags`` (an array column), as hashes of 64 bits made in Python, so that
+    neither spellings nor keys go through a shuffle.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys, entities, hows = [], [], []
+            for entity, kind, cores, tags_ in zip(b["entity"], b["kind"], b["cores"], b["tags"]):
+                mine: dict[str, int] = {}
+                for c in cores:
+                    for k in agreement_keys(c):
+                        how = WRITTEN if k[:2] == "1+" and c[0] in "=#" else int(k[0])
+                        mine[k[1:]] = max(how, mine.get(k[1:], 0))
+                for t in tags_:
+                    seed = xxhash.xxh64_intdigest(f"{kind}|{t}")
+                    keys += [xxhash.xxh64_intdigest(k, seed) for k in mine]
+                    entities += [entity] * len(mine)
+                    hows += mine.values()
+            yield pd.DataFrame({"key": np.array(keys, np.uint64).view(np.int64), "entity": np.array(entities, np.int64), "how": np.array(hows, np.int8)})
+
+    src = p.select("entity", "kind", "cores", F.expr(tags).alias("tags")).filter("size(tags) > 0")
+    return spread(src).mapInPandas(run, "key long, entity long, how byte")
+
+
+def _same_key(rows: DataFrame) -> DataFrame:
+    """(src, dst): every entity of a key and the first of those that have it as a strong one. Nothing is paired within a key, and every two entities that agree are linked, for
+    the words of one edit, or swap, meet in a key of which one has the strong form.
+    """
+    first = F.min(F.when(F.col("how") > WEAK, F.col("entity"))).over(Window.partitionBy("key"))
+    return rows.withColumn("dst", first).filter("dst <> entity").select(F.col("entity").alias("src"), "dst")
 
 
-def _edges(p: DataFrame) -> DataFrame:
-    """Pairs (src, dst) of entities to merge, each at most once per key: an entity and the one that stands for its key."""
-    rep = F.max(F.struct("n", (-F.col("entity")).alias("less"), "cores")).alias("r")
-    keyed = checkpointed(p.filter(F.size("cores") > 0).repartition(2 * parallelism(p.sparkSession), "entity").withColumn("vs", _variants("cores")))  # once, on all cores
-    blocks = keyed.select("entity", "n", "kind", "cores", "gives", "inits", F.explode("vs").alias("v"))
+def _full_edges(p: DataFrame) -> DataFrame:
+    """Full names: the same frequent part and a rare part one edit apart."""
+    return _same_key(_key_rows(p, "transform(gives, x -> concat('g', x))"))
 
-    # full names: the same frequent part and a rare part one edit apart
-    full = blocks.filter(F.size("gives") > 0).select("entity", "n", "cores", "kind", "v", F.explode("gives").alias("g"))
-    stands = full.groupBy("kind", "v", "g").agg(rep, F.count("*").alias("size")).filter("size > 1").select("kind", "v", "g", (-F.col("r.less")).alias("dst"), F.col("r.cores").alias("other"))
-    a = full.join(stands, ["kind", "v", "g"]).filter((F.col("entity") != F.col("dst")) & _agree("cores", "other")).select(F.col("entity").alias("src"), "dst")
 
-    # names without the frequent part go to the only entity that has the rare part, as written before one edit apart, and the initial, or among themselves if there is none
-    key = F.explode(F.when(F.size("inits") > 0, F.col("inits")).otherwise(F.array(F.lit("")))).alias("i")
-    lean = blocks.filter(F.size("gives") == 0).select("entity", "n", "cores", "kind", "v", key)
-    sure = keyed.select("entity", "kind", "gives", "inits", F.explode(_agreement_keys("cores")).alias("k")).withColumn("strong", F.col("k").startswith("1")).withColumn("k", F.expr("substring(k, 2)"))
-    asks = sure.filter(F.size("gives") == 0).select("entity", "kind", "k", "strong", key)
-    whole = sure.filter(F.size("gives") > 0).select("entity", "kind", "k", "strong", F.explode(F.array_append("inits", F.lit(""))).alias("i"))
-    mine = F.when(F.col("strong"), F.col("entity"))
-    one = whole.groupBy("kind", "k", "i").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi"), F.min(mine).alias("lo1"), F.max(mine).alias("hi1"))
-    wide = asks.join(one, ["kind", "k", "i"], "left")
+def _lean_edges(p: DataFrame) -> DataFrame:
+    """Names without the frequent part go to the only entity that has the rare part and the initial, as written before one edit apart, or among themselves if there is none."""
+    asks = checkpointed(_key_rows(p.filter("size(gives) = 0"), "if(size(inits) > 0, transform(inits, x -> concat('i', x)), array('i'))"))
+    wanted = broadcast_if_small(asks.select("key").distinct(), 1_000_000)
+    owners = _key_rows(p.filter("size(gives) > 0"), "array_append(transform(inits, x -> concat('i', x)), 'i')").join(wanted, "key", "left_semi")
+    strong = F.when(F.col("how") > WEAK, F.col("entity"))
+    one = owners.groupBy("key").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi"), F.min(strong).alias("lo1"), F.max(strong).alias("hi1"))
     # only owners that agree are counted; an entity counts as having no owner only if none of its keys has one
-    pick = lambda c: F.when(F.col("strong"), F.col(c)).otherwise(F.col(c + "1"))
-    same = lambda c: F.when(F.col("strong") & F.col("k").startswith("+="), F.col(c + "1"))
-    owned = wide.groupBy("entity").agg(F.coalesce(F.min(same("lo")), F.min(pick("lo"))).alias("lo"), F.coalesce(F.max(same("hi")), F.max(pick("hi"))).alias("hi"))
-    b = owned.filter("lo = hi").select(F.col("entity").alias("src"), F.col("lo").alias("dst"))
-    free = lean.join(owned.filter("lo is null").select("entity"), "entity")
-    peers = free.groupBy("kind", "v", "i").agg(rep).select("kind", "v", "i", (-F.col("r.less")).alias("dst"), F.col("r.cores").alias("other"))
-    c = free.join(peers, ["kind", "v", "i"]).filter((F.col("entity") != F.col("dst")) & _agree("cores", "other")).select(F.col("entity").alias("src"), "dst")
-    return a.union(b).union(c).distinct()
+    pick = lambda c: F.when(F.col("how") > WEAK, F.col(c)).otherwise(F.col(c + "1"))
+    same = lambda c: F.when(F.col("how") == WRITTEN, F.col(c + "1"))
+    owned = asks.join(one, "key", "left").groupBy("entity").agg(F.coalesce(F.min(same("lo")), F.min(pick("lo"))).alias("lo"), F.coalesce(F.max(same("hi")), F.max(pick("hi"))).alias("hi"))
+    owned = checkpointed(owned)
+    free = asks.join(owned.filter("lo is null").select("entity"), "entity", "left_semi")
+    return owned.filter("lo = hi").select(F.col("entity").alias("src"), F.col("lo").alias("dst")).union(_same_key(free))
 
 
 def _merge(p: DataFrame, comp: DataFrame) -> DataFrame:
     """Entities of a component become one, with all their spellings and initials; their number is bounded by the ways to write a name, not by the pages."""
     j = p.join(comp, p.entity == comp.node, "left").withColumn("entity", F.coalesce("component", "entity"))
     flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
-    return j.groupBy("entity").agg(F.sum("n").alias("n"), F.first("kind").alias("kind"), flat("cores"), flat("gives"), flat("inits"))
+    return j.groupBy("entity").agg(F.first("kind").alias("kind"), flat("cores"), flat("gives"), flat("inits"))
 
 
-def resolve_entities(df: DataFrame, *, id_col: str = "id", title: str = "title", slug: str = "slug", kind: str = "type", max_rounds: int = 20) -> DataFrame:
+def resolve_entities(df: DataFrame, *, id_col: str = "id", title: str = "title", slug: str = "slug", kind: str = "type") -> DataFrame:
     """(page_id, entity_id): one row per page; pages of one entity share the smallest page id of it.
 
     ``kind`` tells persons from companies ("company"); entities never mix kinds, a null kind counts as one of its own. A page whose title and slug tell no surname or head word (null, empty, a
-    given name or initials alone) stays by itself, unless it is written exactly like another page that tells one. Equally parsed pages are one profile from the start, so
-    that a name repeated on millions of pages costs as much as one. Names that fit several entities alike stay by themselves. Other columns of ``df`` are not looked at.
+    given name or initials alone) stays by itself, unless it is written exactly like another page that tells one. Names of any script are read; equal initials of firms are one firm.
+    Equally parsed pages are one profile from the start, so that a name repeated on millions of pages costs as much as one. Names that fit several entities alike stay by themselves.
+    Rounds go on until nothing merges: every round leaves fewer entities than it found. Full names are merged to the end before lean ones ask for their only owner; an owner
+    that gained spellings blocks again. A repeated id gives one row for each way its rows are written. Other columns of ``df`` are not looked at.
     """
     src = df.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(kind), F.lit("")).alias("kind"), F.col(title).alias("title"), F.col(slug).alias("slug")).filter("page_id is not null")
-    pages = checkpointed(_profiles(src))
-    named = pages.filter(F.size("cores") > 0)
     keys = ["kind", "cores", "gives", "inits"]
-    nodes = named.groupBy(*keys).agg(F.min("page_id").alias("entity"), F.count("*").alias("n"))
-    p = checkpointed(nodes.select("entity", "n", *keys))
-    home = p.select(*keys, F.col("entity").alias("node0"), F.col("entity"))
-    for _ in range(max_rounds):
-        edges = checkpointed(_edges(p))
-        if edges.limit(1).count() == 0:
+    pages = checkpointed(_profiles(src).withColumn("h1", F.xxhash64(*keys)).withColumn("h2", F.xxhash64(F.lit(7), *keys)))
+    named = pages.filter(F.size("cores") > 0)
+    nodes = checkpointed(named.groupBy("h1", "h2").agg(F.min("page_id").alias("entity"), *[F.first(k).alias(k) for k in keys]))
+    p, merges, lean = nodes.select("entity", *keys), [], False
+    while True:
+        edges = both_directions(_lean_edges(p) if lean else _full_edges(p))
+        if edges.limit(1).count():
+            merges.append(connected_components(edges, prepared=True))
+            p, lean = checkpointed(_merge(p, merges[-1])), False
+        elif lean:
             break
-        comp = connected_components(edges)
-        p = checkpointed(_merge(p, comp))
-        home = checkpointed(home.join(comp, home.entity == comp.node, "left").select(*keys, "node0", F.coalesce("component", "entity").alias("entity")))
-    member = pages.join(home.select(*keys, "entity"), keys, "left").select("page_id", F.coalesce("entity", "page_id").alias("entity"))
-    return member.select("page_id", F.col("entity").alias("entity_id"))
+        else:
+            lean = True
+    home = nodes.select("h1", "h2", "entity")
+    for comp in merges:
+        home = home.join(comp, home.entity == comp.node, "left").select("h1", "h2", F.coalesce("component", "entity").alias("entity"))
+    return pages.select("page_id", "h1", "h2").join(home, ["h1", "h2"], "left").select("page_id", F.coalesce("entity", "page_id").alias("entity_id"))
 
 
 def same_entity_pairs(members: DataFrame) -> DataFrame:
     """(page_a, page_b), page_a < page_b, of every two pages of an entity."""
-    a, b = (members.select(F.col("page_id").alias(n), "entity_id") for n in ("page_a", "page_b"))
-    return a.join(b, "entity_id").filter("page_a < page_b").select("page_a", "page_b").distinct()
+    m = members.distinct()
+    a, b = (m.select(F.col("page_id").alias(n), "entity_id") for n in ("page_a", "page_b"))
+    return a.join(b, "entity_id").filter("page_a < page_b").select("page_a", "page_b")

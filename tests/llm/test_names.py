@@ -69,9 +69,34 @@ def test_keys_guarantee_agreement():
             x, y = agreement_keys(a), agreement_keys(b)
             meet = any(k in y or "0" + k[1:] in y for k in x if k[0] == "1") or any(k in x or "0" + k[1:] in x for k in y if k[0] == "1")
             assert meet == (a == b or (close(a, b) and max(len(a), len(b)) > 3)), (a, b)
+    assert agreement_keys("#abcd") == {"1+#abcd"} and agreement_keys("=abc") == {"1+=abc"}
 
 
 def test_owner_as_written_before_near_ones(spark):
     p = lambda i, t: (i, t, None, "person", "")
     rows = [p(1, "Jacob Tongolchul"), p(2, "J. Tongolchul"), p(3, "Joshua Tongolchal"), p(4, "Tongolchul"), p(5, "Rose Plenchasjon"), p(6, "Rebecca Plenchasjon"), p(7, "R. Plenchasjon"), p(8, "Mark Gemurveir"), p(9, "M. Gemurveer")]
     assert entities(spark, rows) == [[1, 2, 4], [3], [5], [6], [7], [8, 9]]
+
+
+def test_frequent_spelling_hides_no_link(spark):
+    """Two spellings one edit apart stay linked when a third, two edits from them, is the most frequent of their keys."""
+    p = lambda i, t: (i, t, None, "person", "")
+    pair = [p(1, "John Smithe"), p(2, "John Kmithe")]
+    assert entities(spark, pair) == [[1, 2]]
+    got = entities(spark, [*pair, p(3, "John Mithea"), p(4, "John Mithea"), p(5, "John Mithea")])
+    assert any({1, 2} <= set(g) for g in got)
+
+
+def test_other_scripts_and_initials_of_firms(spark):
+    p = lambda i, t, k="person": (i, t, None, k, "")
+    rows = [p(1, "Иван Петров"), p(2, "ИВАН ПЕТРОВ"), p(3, "И. Петров"), p(4, "山田 太郎"), p(5, "山田 太郎"), p(6, "山田 花子"), p(7, "IBM", "company"), p(8, "IBM", "company"), p(9, "IBN", "company"), p(10, "Ольга Петрова")]
+    assert entities(spark, rows) == [[1, 2, 3], [4, 5], [6], [7, 8], [9], [10]]
+
+
+def test_long_chains_merge_to_the_end(spark):
+    """A chain of spellings, each one edit from the next, takes many merges and ends in one entity."""
+    word, rows = "abcdefghijklmnopqrst", []
+    for i in range(len(word) + 1):
+        rows.append((i, "Rose " + word.capitalize(), None, "person", ""))
+        word = word[:i] + "zyxwv"[i % 5] + word[i + 1 :]
+    assert entities(spark, rows) == [list(range(21))]
