@@ -60,21 +60,21 @@ _DELIMITER = re.compile(r"\s*(?:--|—|–|__|-- ?-|\*\*|---)\s*$")
 _CLOSING = re.compile(rf"(?i)\s*(?:{CLOSING})\s*[,.!]?\s*$")
 _DEVICE = re.compile(rf"(?i)\s*(?:{DEVICE})\s*[.!]?\s*$")
 _NOTICE = re.compile(rf"(?i){NOTICE}")
-_GREETING = re.compile(r"(?i)\s*(?:hi|hello|hey|dear|hallo|guten (?:tag|morgen)|liebe\w*|sehr geehrte\w*|bonjour|salut|chère?|hola|buenos días|estimad[oa]|olá|ciao|cześć|привет)\b")
-_NAME_LINE = re.compile(r"\s*(?:\p{Lu}[\p{L}.'’-]*\s*){1,4}$")
-#: Lines a signature may go on for.
-SIGNATURE_LINES = 12
+#: Thanks and wishes that open a sentence of the text as often as they close a mail.
+_LIGHT = re.compile(r"(?i)\s*(?:best|cheers|thanks(?: \w+){0,2}|many thanks|thank you|thx|danke|vielen dank|besten dank|merci(?: .*)?|gracias|muchas gracias|obrigad[oa]|grazie|dziękuję|dzięki|спасибо)\s*[,.!]?\s*$")
+_NAME_LINE = re.compile(r"\s*[-—–*]*\s*(?:(?:\p{Lu}[\p{L}.'’-]*|d[aeiu]|del|de la|van|von|der|den|le|la|y|e)[,\s]*){1,6}$")
+_CONTACT = re.compile(r"(?i)[\w.+-]+\s?(?:@|\[at\]|\(at\))\s?[\w-]+|https?://|\bwww\.|\+\d[\d ().-]{6,}|\(?\d{2,5}\)?[ ./-]\d{2,}|^\s*(?:t|m|f|tel|phone|mobile|cell|fax|e-?mail|web)\b\s*[.:]?\s*\S")
+_SENTENCE = re.compile(r"[.!?…]\s*$|[.!?…]\s+\p{Lu}")
+_END_MARK = re.compile(rf"(?i)\s*[-_=*—–]{{2,}}\s*(?:end(?:e)? (?:of |der |des )?|fin (?:du |de la |del |de )?|fim da |fine del |koniec |конец )(?:.{{0,20}}\s)?(?:message|nachricht|mensaje|mensagem|messaggio|wiadomości|сообщения)\b.*$")
 
 
 def _attribution(lines: list[str], i: int) -> int:
-    """How many lines from ``i`` on introduce a quotation; 0 if they don't. Programs wrap such lines, so up to three are read as one."""
-    for n in (1, 2, 3):
+    """How many lines from ``i`` on introduce a quotation; 0 if they don't. Programs wrap such lines at about 70 characters, so up to four are read as one."""
+    for n in (1, 2, 3, 4):
         part = lines[i : i + n]
         if len(part) < n or not all(x.strip() for x in part) or any(_QUOTED.match(x) for x in part):
             return 0
         text = " ".join(x.strip() for x in part)
-        if len(text) > 300:
-            return 0
         if _WROTE_END.match(text):
             after = next((x for x in lines[i + n :] if x.strip()), "")
             certain = _DATE.search(text) or _ADDRESS.search(text) or _NAMES_WROTE.match(text)
@@ -87,10 +87,9 @@ def _attribution(lines: list[str], i: int) -> int:
 def _header_block(lines: list[str], i: int) -> bool:
     """Whether a block of mail header fields with a sender begins at ``i``."""
     block = []
-    for x in lines[i : i + 8]:
-        if not _FIELD.match(x):
-            break
-        block.append(x)
+    while i < len(lines) and _FIELD.match(lines[i]):
+        block.append(lines[i])
+        i += 1
     return len(block) >= 2 and any(_FROM.match(x) for x in block) and bool(_FROM.match(block[0]) or len(block) >= 3)
 
 
@@ -111,9 +110,9 @@ def old_lines(body: str) -> list[bool]:
             old[i : i + k] = [True] * k
             i += k
         elif _ORIGINAL.match(line) or _BEGIN_FORWARD.match(line) or _header_block(lines, i) or (_RULE.match(line) and _header_block(lines, _next(lines, i + 1))):
-            # an unquoted earlier message reaches to the end of the mail
-            old[i:] = [bool(x.strip()) for x in lines[i:]]
-            break
+            stop = _message_end(lines, i)
+            old[i:stop] = [bool(x.strip()) for x in lines[i:stop]]
+            i = stop
         elif _DEVICE.match(line):
             old[i] = True
             i += 1
@@ -126,11 +125,9 @@ def old_lines(body: str) -> list[bool]:
         elif _NOTICE.search(line) and _nothing_new_after(lines, i + 1):
             old[i] = True
             i += 1
-        elif _is_signature(lines, i):
-            stop = min(n, i + SIGNATURE_LINES)
-            while i < stop and lines[i].strip() and not _QUOTED.match(lines[i]) and not _attribution(lines, i):
-                old[i] = True
-                i += 1
+        elif stop := _signature(lines, i):
+            old[i:stop] = [bool(x.strip()) for x in lines[i:stop]]
+            i = stop
         else:
             i += 1
     return old
@@ -146,11 +143,79 @@ def _at(lines: list[str], i: int) -> str:
     return lines[i] if i < len(lines) else ""
 
 
-def _is_signature(lines: list[str], i: int) -> bool:
-    """A closing formula or a delimiter line, followed by at most a short block."""
-    if not (_CLOSING.match(lines[i]) or _DELIMITER.match(lines[i])):
-        return False
-    return not (_DELIMITER.match(lines[i]) and not lines[i + 1 : i + 2])
+def _begins_old(lines: list[str], i: int) -> bool:
+    """Whether an earlier message, a quotation or a notice begins at ``i``."""
+    x = lines[i]
+    return bool(_QUOTED.match(x) or _ORIGINAL.match(x) or _BEGIN_FORWARD.match(x) or _NOTICE.search(x) or _DEVICE.match(x) or _RULE.match(x) or _header_block(lines, i) or _attribution(lines, i))
+
+
+def _signs(line: str) -> bool:
+    """Whether a line looks like part of a signature: a name, a way to reach someone, or a few words that are no sentence."""
+    return bool(_NAME_LINE.match(line) or _CONTACT.search(line) or "|" in line or (len(line.split()) <= 6 and not _SENTENCE.search(line)))
+
+
+def _block(lines: list[str], i: int) -> int:
+    """Where the lines that follow one another from ``i`` on end: at a blank line or an earlier message."""
+    while i < len(lines) and lines[i].strip() and not _QUOTED.match(lines[i]) and not _attribution(lines, i):
+        i += 1
+    return i
+
+
+def _signature(lines: list[str], i: int) -> int:
+    """Where the signature that begins at ``i`` with a closing formula or a delimiter ends; 0 if none begins there.
+
+    A name may stand after a blank line, and a block of ways to reach the sender after a further one. Thanks before a sentence close nothing; a closing formula before a
+    sentence is the whole signature.
+    """
+    n, delimiter = len(lines), bool(_DELIMITER.match(lines[i]))
+    if not delimiter and not _CLOSING.match(lines[i]):
+        return 0
+    if delimiter and i + 1 == n:
+        return 0
+    end, first = i + 1, _next(lines, i + 1)
+    if first == i + 1 and first < n and not _begins_old(lines, first):
+        if not delimiter and not _signs(lines[first]) and not _DELIMITER.match(lines[first]):
+            return 0 if _LIGHT.match(lines[i]) else end
+        end = _block(lines, first)
+    elif first < n and not _begins_old(lines, first) and not _DELIMITER.match(lines[first]):
+        stop = _block(lines, first)
+        if _NAME_LINE.match(lines[first]) and not (delimiter and _SENTENCE.search(lines[first])) and all(_signs(x) for x in lines[first:stop]):
+            end = stop
+        elif _LIGHT.match(lines[i]) and not all(_signs(x) for x in lines[first:stop]):
+            return 0 if not delimiter and _text_follows(lines, first) else end
+    # further blocks of nothing but ways to reach the sender
+    while (nxt := _next(lines, end)) < n and nxt > end and not _begins_old(lines, nxt):
+        stop = _block(lines, nxt)
+        if not (all(_signs(x) for x in lines[nxt:stop]) and any(_CONTACT.search(x) for x in lines[nxt:stop])):
+            break
+        end = stop
+    return end
+
+
+def _text_follows(lines: list[str], i: int) -> bool:
+    """Whether new text and a closing formula or delimiter of its own follow: then thanks before it were no end."""
+    while i < len(lines) and not _begins_old(lines, i):
+        if lines[i].strip() and (_DELIMITER.match(lines[i]) or (_CLOSING.match(lines[i]) and not _LIGHT.match(lines[i]))):
+            return True
+        i += 1
+    return False
+
+
+def _message_end(lines: list[str], i: int) -> int:
+    """Where an unquoted earlier message that begins at ``i`` ends: after a line that says so, after its own signature if sentences follow that, or else with the mail."""
+    for k in range(i + 1, len(lines)):
+        if _END_MARK.match(lines[k]):
+            return k + 1
+    k = i + 1
+    while k < len(lines):
+        if (stop := _signature(lines, k)) > k:
+            below = _next(lines, stop)
+            if stop < below < len(lines) and (_NAME_LINE.match(lines[stop - 1]) or _CONTACT.search(lines[stop - 1])) and not _begins_old(lines, below) and _SENTENCE.search(lines[below]):
+                return stop
+            k = stop
+        else:
+            k += 1
+    return len(lines)
 
 
 def _nothing_new_after(lines: list[str], i: int) -> bool:

@@ -1,8 +1,10 @@
-"""Evaluation passages that leaked into a corpus: five-word seeds join documents to items, banded edit distances on both sides of every chain of seeds measure the copies.
+"""Evaluation passages that leaked into a corpus: rare n-gram seeds join documents to items, Smith-Waterman alignment scores the copies, an exact check measures them.
 
-A copy of ``MIN_WORDS`` words or more with at most one altered in ten holds an unaltered run of six words (20 words with two altered: 6 x 6 x 6), that is two seeds in a row on
-one diagonal of document and passage. Such chains are rare where single seeds are not, and asking for one loses no copy; a cut by document frequency would lose the passages
-that leaked most often. The best local alignment would not do to measure a copy: it ends where a short run beyond an altered word does not pay for the edit.
+A copy of ``MIN_WORDS`` words or more with at most one altered in ten holds an unaltered run of six words (20 words with two altered: 6 x 6 x 6), that is two five-word
+seeds in a row. Of every two neighbouring seeds of a passage the rarer one, by the documents and items that have it, is joined, so that boilerplate between rarer words costs
+nothing, and still every such run has a seed. In each run the alignment is computed in a band along its diagonal. Its score is a proven gate: no copy scores less than
+``least_score``. The best alignment alone would not do to measure a copy, for it ends where a short run beyond an altered word does not pay for the edit; so the copies that
+pass the gate are measured by edit distances on both sides of their run.
 """
 
 from __future__ import annotations
@@ -20,9 +22,11 @@ from pyspark.sql import functions as F
 from loregraph.session import broadcast_if_small, checkpointed
 
 SEED_WORDS, CHAIN, MIN_WORDS, ALTERED_SHARE = 5, 2, 15, 0.1
-#: Up to so many seeds of items, which are counted first, the documents' seeds are filtered where they are made; beyond, by the join alone.
-FILTER_SEEDS = 2_000_000
-MATCH, EDIT = 1, -2
+MATCH, EDIT = 1, -1
+#: Bits of the filter that drops words which are in no seed, for each seed of the items, and its bounds: at most 32 MB, whatever the items.
+FILTER_BITS, LEAST_BITS, MOST_BITS = 32, 23, 28
+#: Hits of a seed in documents from which its rows are spread over several tasks.
+HOT_SEED = 100_000
 
 _TAG = re.compile(r"<[^<>]{1,200}>|&#?\w{1,10};")
 _FORMAT = re.compile(r"\p{Cf}+")
@@ -61,51 +65,29 @@ class Hasher:
         return out.view(np.int64)
 
 
-def align(passage: list[str], words: list[str]) -> tuple[str, int, int] | None:
-    """The best local alignment: its operations (= equal, x substituted, d left out, i put in), and where it begins in the passage and in the words."""
-    if not passage or not words:
-        return None
-    ids: dict[str, int] = {}
-    p, t = ([ids.setdefault(w, len(ids)) for w in x] for x in (passage, words))
-    t = np.array(t)
-    m = len(t)
-    h = np.zeros((len(p) + 1, m + 1), np.int32)
-    ramp = -EDIT * np.arange(m + 1)
-    for i, w in enumerate(p, 1):
-        row = np.zeros(m + 1, np.int32)
-        row[1:] = np.maximum(0, np.maximum(h[i - 1, :-1] + np.where(t == w, MATCH, EDIT), h[i - 1, 1:] + EDIT))
-        h[i] = np.maximum.accumulate(row + ramp) - ramp
-    i, j = (int(x) for x in np.unravel_index(int(h.argmax()), h.shape))
-    ops = []
-    while i and j and h[i, j] > 0:
-        same = p[i - 1] == t[j - 1]
-        if h[i, j] == h[i - 1, j - 1] + (MATCH if same else EDIT):
-            ops.append("=" if same else "x")
-            i, j = i - 1, j - 1
-        elif h[i, j] == h[i - 1, j] + EDIT:
-            ops.append("d")
-            i -= 1
-        else:
-            ops.append("i")
-            j -= 1
-    return "".join(reversed(ops)), i, j
-
-
-def longest_copy(ops: str, share: float = ALTERED_SHARE) -> tuple[int, int]:
-    """The most consecutive passage words of an alignment of which at most ``share`` are altered, as (words, altered); the stretch begins and ends with equal words."""
-    covered = np.concatenate([[0], np.cumsum([o != "i" for o in ops])])
-    altered = np.concatenate([[0], np.cumsum([o != "=" for o in ops])])
-    equal = [k for k, o in enumerate(ops) if o == "="]
-    best = (0, 0)
-    for a in equal:
-        for b in reversed(equal):
-            n = int(covered[b + 1] - covered[a])
-            if b < a or n <= best[0]:
-                break
-            k = int(altered[b + 1] - altered[a])
-            if k <= share * n:
-                best = (n, k)
-                break
+def least_score(min_words: int = MIN_WORDS, share: float = ALTERED_SHARE) -> int:
+    """The lowest alignment score that a copy of ``min_words`` passage words or more, with at most ``share`` of them altered, can have."""
+    return min(n * MATCH + int(share * n) * (EDIT - MATCH) for n in range(min_words, min_words + int(1 / share) + 1))
+
+
+def alignment_score(passage: list[int], words: np.ndarray, diagonal: int, band: int) -> int:
+    """Smith-Waterman: the score of the best local alignment that stays within ``band`` words of a diagonal (position in the words less position in the passage).
+
+    A row of the table for each passage word, as wide as the band; the gaps along a row are a running maximum. Words that lie outside the list match nothing.
+    """
+    width = 2 * band + 1
+    padded = np.full(len(passage) + width, -1)
+    low = diagonal - band
+    lo, hi = max(0, low), min(len(words), low + len(padded))
+    if lo < hi:
+        padded[lo - low : hi - low] = words[lo:hi]
+    ramp = -EDIT * np.arange(width)
+    row, best = np.zeros(width, np.int64), 0
+    for i, w in enumerate(passage):
+        new = row + np.where(padded[i : i + width] == w, MATCH, EDIT)
+        new[:-1] = np.maximum(new[:-1], row[1:] + EDIT)
+        row = np.maximum.accumulate(np.maximum(new, 0) + ramp) - ramp
+        best = max(best, int(row.max()))
     return best
 
 
@@ -154,70 +136,150 @@ def extend(passage: list[str], words: list[str], at: int, pos: int, n: int, shar
     return size, -less, begin
 
 
+def runs(doc: np.ndarray, item: np.ndarray, step: int = 20_000) -> list[tuple[int, int, int]]:
+    """(position in the document, position in the passage, seeds) of the longest runs of at least ``CHAIN`` equal seeds in a row, given the seeds of both.
+
+    Documents are read in steps, so that memory is bounded by the step and the passage.
+    """
+    order = np.argsort(item, kind="stable")
+    ranked = item[order]
+    at = np.flatnonzero(np.isin(doc, ranked))
+    open_, out = {}, []
+    for a in range(0, len(at), step):
+        pos = at[a : a + step]
+        lo, hi = np.searchsorted(ranked, doc[pos]), np.searchsorted(ranked, doc[pos], "right")
+        n = hi - lo
+        p = np.repeat(pos, n)
+        q = order[np.repeat(lo, n) + np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n)]
+        by = np.lexsort((p, p - q))
+        p, q = p[by], q[by]
+        first = np.flatnonzero(np.r_[True, (p[1:] - q[1:] != p[:-1] - q[:-1]) | (p[1:] != p[:-1] + 1)])
+        for x, y in zip(first, np.r_[first[1:], len(p)]):
+            d, i, k = int(p[x]), int(q[x]), int(y - x)
+            before = open_.pop((d, i), None)  # a run that the end of the last step cut
+            if before:
+                d, i, k = before[0], before[1], before[2] + k
+            if len(pos) == step and d + k == int(pos[-1]) + 1:
+                open_[(d + k, i + k)] = (d, i, k)
+            else:
+                out.append((d, i, k))
+        late = [key for key in open_ if key[0] <= int(pos[0])]
+        out += [open_.pop(key) for key in late]
+    return [r for r in [*out, *open_.values()] if r[2] >= CHAIN]
+
+
+def best_copy(passage: list[str], words: list[str], found: list[tuple[int, int, int]], min_words: int, share: float = ALTERED_SHARE) -> tuple[int, int, int, int] | None:
+    """(passage words, altered, where it begins in the words, alignment score) of the longest copy around one of the runs ``found``; None if there is none."""
+    ids: dict[str, int] = {}
+    p = [ids.setdefault(w, len(ids)) for w in passage]
+    w = np.array([ids.get(x, -2) for x in words])
+    band, gate = int(share * len(passage)), least_score(min_words, share)
+    best = None
+    for pos, at, n in found:
+        score = alignment_score(p, w, pos - at, band)
+        if score < gate:
+            continue
+        size, k, begin = extend(passage, words, at, pos, n + SEED_WORDS - 1, share)
+        if size >= min_words:
+            best = max(best or (0, 0, 0, 0), (size, -k, begin, score))
+    return best and (best[0], -best[1], best[2], best[3])
+
+
 def _seeds(items: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
         for b in batches:
-            for item, passage in zip(b["item_id"], b["passage"]):
+            for item, passage in zip(b["passage_id"], b["passage"]):
                 g = hasher(words_of(passage))
-                yield pd.DataFrame({"gram": g, "item_id": item, "item_pos": np.arange(len(g))})
+                yield pd.DataFrame({"gram": g, "passage_id": item, "at": np.arange(len(g))})
+
+    return items.mapInPandas(run, "gram long, passage_id long, at int")
+
 
-    return items.mapInPandas(run, "gram long, item_id long, item_pos int")
+def _seed_filter(seeds: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit for each residue of a seed; its size follows the number of seeds between two bounds. A word list is dropped early or late, never wrongly."""
+    bits = int(np.clip(np.ceil(np.log2(FILTER_BITS * max(seeds.count(), 1))), LEAST_BITS, MOST_BITS))
+    cell = F.shiftright("bit", 6)
+    rows = seeds.select(F.col("gram").bitwiseAND(F.lit((1 << bits) - 1)).alias("bit")).groupBy(cell.alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("v"))
+    got = rows.toPandas()  # at most 2 ** (MOST_BITS - 6) rows of the filter itself
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[got["cell"].to_numpy(np.int64)] = got["v"].to_numpy(np.int64)
+    return out.view(np.uint64), bits
+
+
+def in_filter(table: np.ndarray, bits: int, grams: np.ndarray) -> np.ndarray:
+    g = grams.view(np.uint64) & np.uint64((1 << bits) - 1)
+    return (table[(g >> np.uint64(6)).astype(np.int64)] >> (g & np.uint64(63))) & np.uint64(1) == 1
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per document and leaked item: doc_id, item_id, copied_words, altered_words, passage_words, first_word (of the copy in the document, from 1).
+    """One row per document and leaked item: doc_id, item_id, copied_words, altered_words, passage_words, first_word (of the copy in the document, from 1), score.
 
     Null and empty texts and passages match nothing; a passage of fewer than ``min_words`` words can't leak. A document that holds several copies of an item reports the
-    longest; rows that repeat a doc_id count as one document. An item passage that repeats under several ids leaks under each. Whole texts are read, whatever their
-    length; every chain of seeds is measured on both sides. Other columns are not looked at; empty tables give an empty result.
+    longest; rows that repeat a doc_id count as one document. An item passage that repeats under several ids is searched once and leaks under each. Whole texts are read, whatever
+    their length, and every run of seeds is measured. Other columns are not looked at; empty tables give an empty result.
     """
     spark = docs.sparkSession
-    its = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(passage).alias("passage"))
-    seeds = checkpointed(_seeds(its))
-    few = seeds.count() <= FILTER_SEEDS
-    wanted = spark.sparkContext.broadcast(np.unique(np.array([r.gram for r in seeds.select("gram").distinct().collect()], np.int64)) if few else None)
+    its = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(passage).alias("passage")).filter("passage is not null").withColumn("passage_id", F.xxhash64("passage"))
+    passages = checkpointed(its.groupBy("passage_id").agg(F.first("passage").alias("passage")))
+    seeds = checkpointed(_seeds(passages))
+    wanted = spark.sparkContext.broadcast(_seed_filter(seeds))
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher, known = Hasher(), wanted.value
+        hasher, (table, bits) = Hasher(), wanted.value
         for b in batches:
             rows = []
             for doc, t in zip(b["doc_id"], b["t"]):
                 words = words_of(t)
                 g = hasher(words)
-                if known is None:
-                    at = np.arange(len(g))
-                elif len(known):
-                    at = np.flatnonzero(known[np.minimum(np.searchsorted(known, g), len(known) - 1)] == g)
-                else:
-                    at = np.empty(0, np.int64)
-                if len(at) >= CHAIN:
-                    rows.append((doc, " ".join(words), g[at], at.astype(np.int32)))
-            yield pd.DataFrame(rows, columns=["doc_id", "words", "grams", "at"])
+                if len(g) < CHAIN:
+                    continue
+                hit = in_filter(table, bits, g)
+                pair = hit[1:] & hit[:-1]  # a copy has two seeds in a row
+                hit[0], hit[-1], hit[1:-1] = pair[0], pair[-1], pair[1:] | pair[:-1]
+                if hit.any():
+                    rows.append((doc, " ".join(words), np.unique(g[hit])))
+            yield pd.DataFrame(rows, columns=["doc_id", "words", "grams"])
 
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
-    found = checkpointed(src.mapInPandas(hits, "doc_id long, words string, grams array<long>, at array<int>"))
-    pos = found.select("doc_id", F.explode(F.arrays_zip("grams", "at")).alias("x")).select("doc_id", F.col("x.grams").alias("gram"), F.col("x.at").alias("pos"))
-    shared = pos.join(broadcast_if_small(seeds, FILTER_SEEDS // 4), "gram").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diag"), "pos").distinct()
-    # runs of neighbouring positions on a diagonal have one value of position less rank
-    run = shared.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("doc_id", "item_id", "diag").orderBy("pos")))
-    chains = run.groupBy("doc_id", "item_id", "diag", "run").agg(F.count("*").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi")).filter(F.col("n") >= CHAIN)
-    pairs = chains.groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("lo", "hi", "diag")).alias("chains"))
+    found = checkpointed(src.mapInPandas(hits, "doc_id long, words string, grams array<long>"))
+    at = found.select("doc_id", F.xxhash64("words").alias("words_id"), F.explode("grams").alias("gram"))
+    docs_with = at.groupBy("gram").agg(F.count("*").alias("n_docs"))
+    known = seeds.join(docs_with, "gram", "left").withColumn("cost", F.coalesce("n_docs", F.lit(0)) * F.count("*").over(Window.partitionBy("gram")))
+    # of two neighbours the rarer; the last seed of a passage and the first have one neighbour each
+    w = Window.partitionBy("passage_id").orderBy("at")
+    rarer = (F.col("cost") <= F.lead("cost").over(w)) | (F.col("cost") < F.lag("cost").over(w))
+    chosen = checkpointed(known.withColumn("rarer", F.coalesce(rarer, F.lit(False))).filter("rarer and cost > 0").select("gram", "passage_id", "n_docs").distinct())
+    # seeds that very many documents hold are spread: their documents by hash, their passages to each part
+    hot = broadcast_if_small(chosen.filter(F.col("n_docs") > HOT_SEED).select("gram", F.ceil(F.col("n_docs") / F.lit(HOT_SEED)).cast("int").alias("parts")).distinct())
+    part = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"), F.lit(0)).alias("part")
+    parts = F.explode(F.sequence(F.lit(0), F.coalesce(F.ceil(F.col("n_docs") / F.lit(HOT_SEED)), F.lit(1)).cast("int") - 1)).alias("part")
+    left = at.join(hot, "gram", "left").select("doc_id", "words_id", "gram", part)
+    right = broadcast_if_small(chosen.select("gram", "passage_id", parts), 500_000)
+    pairs = left.join(right, ["gram", "part"]).select("doc_id", "words_id", "passage_id").distinct()
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher, texts = Hasher(), {}
+
+        def read(text: str, split) -> tuple[list[str], np.ndarray]:
+            if text not in texts:
+                if len(texts) >= 64:
+                    texts.clear()
+                w = split(text)
+                texts[text] = w, hasher(w)
+            return texts[text]
+
         for b in batches:
             out = []
-            for doc, item, words, text_, chains_ in zip(b["doc_id"], b["item_id"], b["words"], b["passage"], b["chains"]):
-                p, w = words_of(text_), words.split(" ")
-                best = (0, 0, 0)
-                for c in chains_:
-                    n, k, begin = extend(p, w, c["lo"] - c["diag"], c["lo"], c["hi"] - c["lo"] + SEED_WORDS)
-                    best = max(best, (n, -k, begin + 1))
-                if best[0] >= min_words:
-                    out.append((doc, item, best[0], -best[1], len(p), best[2]))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "copied_words", "altered_words", "passage_words", "first_word"])
-
-    todo = pairs.join(found.select("doc_id", "words"), "doc_id").join(broadcast_if_small(its), "item_id").select("doc_id", "item_id", "words", "passage", "chains")
-    scored = todo.mapInPandas(score, "doc_id long, item_id long, copied_words int, altered_words int, passage_words int, first_word int")
-    best = F.max(F.struct("copied_words", (-F.col("altered_words")).alias("less"), "passage_words", "first_word")).alias("b")
-    return scored.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.copied_words", (-F.col("b.less")).alias("altered_words"), "b.passage_words", "b.first_word")
+            for doc, item, words, text_ in zip(b["doc_id"], b["passage_id"], b["words"], b["passage"]):
+                (w, wg), (p, pg) = read(words, str.split), read(text_, words_of)
+                if got := best_copy(p, w, runs(wg, pg), min_words):
+                    out.append((doc, item, got[0], got[1], len(p), got[2] + 1, got[3]))
+            yield pd.DataFrame(out, columns=["doc_id", "passage_id", "copied_words", "altered_words", "passage_words", "first_word", "score"])
+
+    words = found.select("doc_id", F.xxhash64("words").alias("words_id"), "words")
+    todo = pairs.join(words, ["doc_id", "words_id"]).join(broadcast_if_small(passages), "passage_id").select("doc_id", "passage_id", "words", "passage")
+    scored = todo.mapInPandas(score, "doc_id long, passage_id long, copied_words int, altered_words int, passage_words int, first_word int, score int")
+    best = F.max(F.struct("copied_words", (-F.col("altered_words")).alias("less"), "passage_words", "first_word", "score")).alias("b")
+    got = scored.groupBy("doc_id", "passage_id").agg(best).join(broadcast_if_small(its.select("passage_id", "item_id")), "passage_id")
+    return got.select("doc_id", "item_id", "b.copied_words", (-F.col("b.less")).alias("altered_words"), "b.passage_words", "b.first_word", "b.score").distinct()

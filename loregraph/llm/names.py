@@ -131,7 +131,7 @@ def sound(word: str) -> str:
 
 _NOTE = re.compile(r"\[[^\]]*\]|\([^)]*\)|\s[–—-]\s.*$|[?*!]+")
 _CAMEL = re.compile(r"(?<=\p{Ll})(?=\p{Lu})")
-#: Firms written by their initials alone: they agree only if they are equal.
+#: Firms written by their initials alone: where the slug tells no name either, three initials or more agree if they are equal; two tell too little.
 _ACRONYM = re.compile(r"(\p{Lu}{2,5})(?: (?:Group|Inc|Ltd|LLC|AG|GmbH|SA|plc|Corp)\.?)?")
 _HASH = re.compile(r"^[a-z]-[0-9a-f]{8}(?:-|$)")
 
@@ -183,6 +183,7 @@ def parse(kind: str, title: str | None, slug: str | None) -> tuple[list[str], li
     cores: set[str] = set()
     gives: set[str] = set()
     inits: set[str] = set()
+    acronym = None
 
     def take(tokens: list[str], surname_first: bool = False) -> None:
         c, g, i = _firm(tokens) if firm else _person(tokens, surname_first)
@@ -196,9 +197,8 @@ def parse(kind: str, title: str | None, slug: str | None) -> tuple[list[str], li
         t = _NOTE.sub(" ", plain(title)).strip(" ,;:-–—")
         if firm:
             t = re.sub(r"(?i)\b(?:s\.a\.|b\.v\.|n\.v\.)", " ", t)
-            if m := _ACRONYM.fullmatch(t):
-                cores.add("#" + m.group(1).lower())
-            else:
+            acronym = _ACRONYM.fullmatch(t)
+            if not acronym:
                 take([x for w in t.split() for x in ([w] if w.isupper() else _CAMEL.split(w)) for x in _tokens(x)])
         else:
             t = re.sub(r"(?i)(?:^|\s)(?:dipl\.-ing\.)", " ", t)
@@ -224,6 +224,8 @@ def parse(kind: str, title: str | None, slug: str | None) -> tuple[list[str], li
                 take([w for w in parts if w])
             else:
                 take([w for w in parts if w.isalpha()])
+    if acronym and not cores and len(acronym.group(1)) > 2:
+        cores.add("#" + acronym.group(1).lower())
     inits.update(g[0] for g in gives if not firm)
     return sorted(cores), sorted(gives), sorted(inits)
 
@@ -325,7 +327,7 @@ def resolve_entities(df: DataFrame, *, id_col: str = "id", title: str = "title",
     """(page_id, entity_id): one row per page; pages of one entity share the smallest page id of it.
 
     ``kind`` tells persons from companies ("company"); entities never mix kinds, a null kind counts as one of its own. A page whose title and slug tell no surname or head word (null, empty, a
-    given name or initials alone) stays by itself, unless it is written exactly like another page that tells one. Names of any script are read; equal initials of firms are one firm.
+    given name or initials alone) stays by itself, unless it is written exactly like another page that tells one. Names of any script are read; equal initials of firms, three or more, are one firm.
     Equally parsed pages are one profile from the start, so that a name repeated on millions of pages costs as much as one. Names that fit several entities alike stay by themselves.
     Rounds go on until nothing merges: every round leaves fewer entities than it found. Full names are merged to the end before lean ones ask for their only owner; an owner
     that gained spellings blocks again. A repeated id gives one row for each way its rows are written. Other columns of ``df`` are not looked at.

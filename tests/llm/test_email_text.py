@@ -17,6 +17,17 @@ CASES = [
     ("Text\n\nSent from my phone", [3]),
     ("Text\n\n****************\nCONFIDENTIAL: this message is meant only for the addressee.\nDelete it.", [3, 4, 5]),
     ("Text\r\n\r\n-- \r\nAnn\r\n", [3, 4]),
+    # a signature after a blank line, and a second block of it
+    ("Text\n\nBest regards,\n\nAnna Smith\nCEO\n+44 20 7946 0104", [3, 5, 6, 7]),
+    ("Text\n\n-- \n\nAnna Smith\nHead of Data", [3, 5, 6]),
+    ("Text\n\nRegards\nAnna Smith\n\nExample Ltd | www.example.test\n+44 20 7946 0104\n\nP.S. The list is on page two.", [3, 4, 6, 7]),
+    # thanks before a sentence
+    ("Hi,\nThanks\nI will send the file tomorrow after the board has met.\nAll fine.", []),
+    ("Many thanks\nAnna", [1, 2]),
+    # a reply below an earlier message that says where it ends
+    ("-----Original Message-----\nFrom: A\nSent: x\n\nold\n-----End of message-----\nnew below", [1, 2, 3, 5, 6]),
+    # replies below an earlier message that its signature ends
+    ("-----Original Message-----\nFrom: A\nSent: x\n\nCan you come?\n\nRegards,\nAnn Lee\n\nYes, I can come on Monday.\n\nBo", [1, 2, 3, 5, 7, 8]),
     # not what it looks like
     ("On Tuesday the board wrote: ship it, so I did.", []),
     ("From: line in the report is wrong, I fixed it.", []),

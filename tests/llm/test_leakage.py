@@ -1,7 +1,9 @@
 import random
 from itertools import combinations
 
-from loregraph.llm.leakage import align, extend, find_leaks, longest_copy, words_of
+import numpy as np
+
+from loregraph.llm.leakage import EDIT, MATCH, alignment_score, extend, find_leaks, least_score, runs, words_of
 
 VOCAB = [f"w{i}" for i in range(400)]
 
@@ -27,14 +29,40 @@ def test_normal_form():
     assert words_of(None) == words_of("") == []
 
 
-def test_alignment():
-    a, b, c = VOCAB[:6], VOCAB[10:16], VOCAB[20:26]
-    ops, i, j = align([*a, "old", *b, *c, "left", *a], ["x", *a, "new", *b, "put", *c, *a, "y"])
-    assert ops == "=" * 6 + "x" + "=" * 6 + "i" + "=" * 6 + "d" + "=" * 6 and (i, j) == (0, 1)
-    assert align([], ["a"]) is None
-    assert longest_copy("=" * 14) == (14, 0)
-    assert longest_copy("=" * 9 + "x" + "=" * 9) == (19, 1)
-    assert longest_copy("==x" * 6) == (2, 0)
+def test_alignment_scores():
+    """The banded score is that of the whole table where the band is wide, and no copy scores below the gate."""
+
+    def whole(p, t):
+        row, best = [0] * (len(t) + 1), 0
+        for x in p:
+            new = [0]
+            for j, y in enumerate(t):
+                new.append(max(0, row[j] + (MATCH if x == y else EDIT), row[j + 1] + EDIT, new[j] + EDIT))
+            row, best = new, max(best, *new)
+        return best
+
+    rng = random.Random(5)
+    for _ in range(200):
+        p, t = rng.choices(range(6), k=rng.randrange(1, 14)), rng.choices(range(6), k=rng.randrange(0, 14))
+        assert alignment_score(p, np.array(t, int), 0, 30) == whole(p, t)
+    assert least_score() == 13 and least_score(20, 0.1) == 16
+    assert alignment_score(list(range(20)), np.array([*range(7), 99, *range(8, 13), 98, *range(14, 20)]), 0, 2) == 16
+
+
+def test_runs_in_steps():
+    rng = np.random.default_rng(3)
+    doc, item = rng.integers(0, 4, 300), rng.integers(0, 4, 25)
+    sure = []
+    for d in range(300):
+        for i in range(25):
+            if doc[d] == item[i] and not (d and i and doc[d - 1] == item[i - 1]):
+                n = 0
+                while d + n < 300 and i + n < 25 and doc[d + n] == item[i + n]:
+                    n += 1
+                if n >= 2:
+                    sure.append((d, i, n))
+    for step in (1, 7, 50, 1000):
+        assert sorted(runs(doc, item, step)) == sorted(sure), step
 
 
 def test_against_brute_force(spark):
@@ -98,3 +126,15 @@ def test_extension():
     assert extend(p, [*p[:10], "new", *p[11:19]], 0, 0, 10) == (19, 1, 0)
     assert extend(p, [*p[:10], "new", *p[11:18]], 0, 0, 10) == (18, 1, 0)
     assert extend(p, [*p[:7], "new"], 0, 0, 7) == (7, 0, 0)
+
+
+def test_two_altered_of_twenty_amid_boilerplate(spark):
+    """The 7th and 14th of 20 words altered leave runs of six; phrases that all documents and items share are found by their rarer neighbours."""
+    boiler = [f"common{i}" for i in range(12)]
+    items = [(i, " ".join([*boiler, *(f"i{i}w{k}" for k in range(20)), *boiler])) for i in range(30)]
+    docs = [(i, " ".join(boiler * 3)) for i in range(200)]
+    part = items[4][1].split()[12:32]
+    part[6], part[13] = "new", "other"
+    docs += [(500, " ".join(["x", *part, "y"])), (501, " ".join(items[7][1].split()[4:27]))]
+    got = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.copied_words, r.altered_words) for r in got) == [(500, 4, 20, 2), (501, 7, 23, 0)]

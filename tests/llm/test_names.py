@@ -89,8 +89,8 @@ def test_frequent_spelling_hides_no_link(spark):
 
 def test_other_scripts_and_initials_of_firms(spark):
     p = lambda i, t, k="person": (i, t, None, k, "")
-    rows = [p(1, "Иван Петров"), p(2, "ИВАН ПЕТРОВ"), p(3, "И. Петров"), p(4, "山田 太郎"), p(5, "山田 太郎"), p(6, "山田 花子"), p(7, "IBM", "company"), p(8, "IBM", "company"), p(9, "IBN", "company"), p(10, "Ольга Петрова")]
-    assert entities(spark, rows) == [[1, 2, 3], [4, 5], [6], [7, 8], [9], [10]]
+    rows = [p(1, "Иван Петров"), p(2, "ИВАН ПЕТРОВ"), p(3, "И. Петров"), p(4, "山田 太郎"), p(5, "山田 太郎"), p(6, "山田 花子"), p(7, "IBM", "company"), p(8, "IBM", "company"), p(9, "IBN", "company"), p(10, "Ольга Петрова"), p(11, "GH", "company"), p(12, "GH", "company")]
+    assert entities(spark, rows) == [[1, 2, 3], [4, 5], [6], [7, 8], [9], [10], [11], [12]]
 
 
 def test_long_chains_merge_to_the_end(spark):
