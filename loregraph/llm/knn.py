@@ -1,7 +1,7 @@
 """The k most similar vectors for a set of query vectors: a block matrix join over int8 codes.
 
 Vectors are normalised and coded as int8 with one scale each. A tile multiplies a block of query codes with a block of collection codes;
-the products are whole numbers below 2**24, so a float32 matrix product gives them exactly. With the norm of what the coding lost on either side
+the sums of up to 1,024 products are whole numbers below 2**24, so a float32 matrix product gives them exactly; longer vectors are multiplied in slices of that length. With the norm of what the coding lost on either side
 every estimate has a proven error bound. Pairs whose upper bound misses the k-th lower bound are dropped, the surviving pairs are recomputed in
 double precision, and the best of every tile are merged.
 """
@@ -34,6 +34,17 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return unit, codes, scale, lost
 
 
+#: Products of int8 codes that float32 sums exactly: 127 * 127 * 1,024 < 2 ** 24.
+SLICE = 1_024
+
+
+def code_products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The exact inner products of all rows of two arrays of int8 codes, given as float32."""
+    if q.shape[1] <= SLICE:
+        return q @ c.T
+    return sum((q[:, s : s + SLICE] @ c[:, s : s + SLICE].T).astype(np.float64) for s in range(0, q.shape[1], SLICE))
+
+
 def _kth(values: np.ndarray, k: int) -> np.ndarray:
     return np.partition(values, values.shape[1] - k, axis=1)[:, values.shape[1] - k]
 
@@ -59,7 +70,7 @@ def tile_top(queries: np.ndarray, collection: np.ndarray, members: list[np.ndarr
         for c in range(0, len(ccf), SUB_C):
             d = min(c + SUB_C, len(ccf))
             # |<u,v> - <u~,v~>| <= |u - u~| + |u~| |v - v~|; the scales turn code products into <u~,v~>
-            est = (qf @ ccf[c:d].T) * (qs[a:b, None] * cs[None, c:d]).astype(np.float32)
+            est = code_products(qf, ccf[c:d]) * (qs[a:b, None] * cs[None, c:d]).astype(np.float32)
             bound = ql[a:b] + (1.0 + ql[a:b]) * cl[c:d].max() + 2e-6
             if c == 0 and d - c >= k:
                 floor = _kth(est, k) - bound
@@ -137,7 +148,9 @@ def nearest_vectors(df: DataFrame, id_col: str, vec_col: str, is_query, *, k: in
     tiles = q_blocks * c_blocks
     left, right = left.repartition(tiles, "tile", "dim"), right.repartition(tiles, "tile", "dim")
     found = left.groupBy("tile", "dim").cogroup(right.groupBy("tile", "dim")).applyInArrow(_tile(k + 1), "h1 long, h2 long, best array<struct<far double, id long>>")
-    best = found.groupBy("h1", "h2").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k + 1).alias("best"))
+    # the sorted lists of the tiles are merged as a stream that stops after k + 1, so that no task holds those of all tiles
+    far = found.select("h1", "h2", F.inline("best")).withColumn("rn", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("far", "id"))).filter(F.col("rn") <= k + 1)
+    best = far.groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("far", "id"))).alias("best"))
     hits = asked.select("id", "h1", "h2").join(best, ["h1", "h2"])
     mine = F.slice(F.filter("best", lambda x: x["id"] != F.col("id")), 1, k)
     return hits.select(F.col("id").alias("query_id"), F.posexplode(mine).alias("pos", "x")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.id").alias("neighbour_id"), (-F.col("x.far")).alias("similarity"))

@@ -238,25 +238,29 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", tex
                 pair = hit[1:] & hit[:-1]  # a copy has two seeds in a row
                 hit[0], hit[-1], hit[1:-1] = pair[0], pair[-1], pair[1:] | pair[:-1]
                 if hit.any():
-                    rows.append((doc, " ".join(words), np.unique(g[hit])))
-            yield pd.DataFrame(rows, columns=["doc_id", "words", "grams"])
+                    at = np.flatnonzero(hit)
+                    three = np.unique(np.stack([g[at], g[np.maximum(at - 1, 0)], g[np.minimum(at + 1, len(g) - 1)]], axis=1), axis=0)
+                    rows.append((doc, " ".join(words), *three.T))
+            yield pd.DataFrame(rows, columns=["doc_id", "words", "grams", "before", "after"])
 
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
-    found = checkpointed(src.mapInPandas(hits, "doc_id long, words string, grams array<long>"))
-    at = found.select("doc_id", F.xxhash64("words").alias("words_id"), F.explode("grams").alias("gram"))
+    found = checkpointed(src.mapInPandas(hits, "doc_id long, words string, grams array<long>, before array<long>, after array<long>"))
+    at = found.select("doc_id", F.xxhash64("words").alias("words_id"), F.inline(F.arrays_zip("grams", "before", "after"))).withColumnRenamed("grams", "gram")
     docs_with = at.groupBy("gram").agg(F.count("*").alias("n_docs"))
     known = seeds.join(docs_with, "gram", "left").withColumn("cost", F.coalesce("n_docs", F.lit(0)) * F.count("*").over(Window.partitionBy("gram")))
     # of two neighbours the rarer; the last seed of a passage and the first have one neighbour each
     w = Window.partitionBy("passage_id").orderBy("at")
     rarer = (F.col("cost") <= F.lead("cost").over(w)) | (F.col("cost") < F.lag("cost").over(w))
-    chosen = checkpointed(known.withColumn("rarer", F.coalesce(rarer, F.lit(False))).filter("rarer and cost > 0").select("gram", "passage_id", "n_docs").distinct())
+    beside = [F.lag("gram").over(w).alias("item_before"), F.lead("gram").over(w).alias("item_after")]
+    chosen = checkpointed(known.select("*", *beside, F.coalesce(rarer, F.lit(False)).alias("rarer")).filter("rarer and cost > 0").select("gram", "passage_id", "n_docs", "item_before", "item_after").distinct())
     # seeds that very many documents hold are spread: their documents by hash, their passages to each part
     hot = broadcast_if_small(chosen.filter(F.col("n_docs") > HOT_SEED).select("gram", F.ceil(F.col("n_docs") / F.lit(HOT_SEED)).cast("int").alias("parts")).distinct())
     part = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"), F.lit(0)).alias("part")
     parts = F.explode(F.sequence(F.lit(0), F.coalesce(F.ceil(F.col("n_docs") / F.lit(HOT_SEED)), F.lit(1)).cast("int") - 1)).alias("part")
-    left = at.join(hot, "gram", "left").select("doc_id", "words_id", "gram", part)
-    right = broadcast_if_small(chosen.select("gram", "passage_id", parts), 500_000)
-    pairs = left.join(right, ["gram", "part"]).select("doc_id", "words_id", "passage_id").distinct()
+    left = at.join(hot, "gram", "left").select("doc_id", "words_id", "gram", "before", "after", part)
+    right = broadcast_if_small(chosen.select("gram", "passage_id", "item_before", "item_after", parts), 500_000)
+    # the seed beside it is shared, too
+    pairs = left.join(right, ["gram", "part"]).filter("before = item_before or after = item_after").select("doc_id", "words_id", "passage_id").distinct()
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher, texts = Hasher(), {}

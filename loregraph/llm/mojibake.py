@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Documents that the classifier is fitted on at most; everything else covers all rows.
 SAMPLE_DOCS = 4_000
+#: Words of these documents that the driver fits on at most, the most frequent first.
+SAMPLE_WORDS = 200_000
 BUCKETS, SMOOTHING = 1 << 15, 0.05
 #: Nats by which a chain must beat the reading as correct text: for chains from UTF-8, whose strict decoding is evidence of its own, and for the others; a word whose own
 #: evidence is weaker counts if the document holds a word of the same chain that reaches the limit.
@@ -218,28 +220,32 @@ class Restorer:
         return []
 
 
-def train(texts: Iterable[str]) -> Classifier:
-    """Fit on ``texts``, most of which must be correct.
+def fit(words: Counter[str]) -> Classifier:
+    """Fit on the counted words of texts, most of which must be correct.
 
     Words that read as UTF-8, and words that some chain turns into a word ``RARER`` times as frequent, are no examples of correct text.
     """
-    words: Counter[str] = Counter()
-    for t in texts:
-        if t and "\ufffd" not in t:
-            words.update(words_of(t))
     plain = {w: n for w, n in words.items() if not any((_UTF8[k] and r.isprintable()) or words[r] >= RARER * n for k, r in _candidates(w))}
     return Classifier(Counter(plain))
 
 
-def sample_texts(df: DataFrame, id_col: str, text_col: str, bound: int = SAMPLE_DOCS) -> list[str]:
-    """At most ``bound`` texts, chosen by the hash of their ids."""
-    n = df.count()
-    if not n:
-        return []
-    share = min(1.0, 1.1 * bound / n)
-    src = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    rows = src.filter((F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(1 << 30)) < int(share * (1 << 30))) & F.col("t").isNotNull()).limit(bound).select("t").collect()
-    return [r.t for r in rows]
+def train(texts: Iterable[str]) -> Classifier:
+    return fit(Counter(w for t in texts if t and "\ufffd" not in t for w in words_of(t)))
+
+
+def sample_words(df: DataFrame, id_col: str, text_col: str, bound: int = SAMPLE_DOCS, most: int = SAMPLE_WORDS) -> Counter[str]:
+    """The words of about ``bound`` documents, chosen by the hash of their ids, counted by the executors; the driver gets the ``most`` most frequent of them."""
+    share = min(1.0, bound / max(df.count(), 1))
+    src = df.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).filter(F.col("t").rlike(r"[^\x00-\x7F]") & ~F.col("t").contains("\ufffd"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            c = Counter(w for t in b["t"] for w in words_of(t))
+            yield pd.DataFrame({"word": list(c), "n": list(c.values())})
+
+    chosen = src.filter(F.coalesce(F.pmod(F.xxhash64("i"), F.lit(1 << 30)), F.lit(0)) < int(share * (1 << 30)))
+    counted = chosen.select("t").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return Counter({r.word: r.n for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()})
 
 
 def restore_documents(df: DataFrame, id_col: str, text_col: str, *, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -249,7 +255,7 @@ def restore_documents(df: DataFrame, id_col: str, text_col: str, *, sample_docs:
     text is. Repeated rows give repeated results; other columns of ``df`` are not looked at. An empty table gives an empty result.
     """
     spark = df.sparkSession
-    model = spark.sparkContext.broadcast(train(sample_texts(df, id_col, text_col, sample_docs)))  # len(CHAINS) x BUCKETS floats, whatever the data
+    model = spark.sparkContext.broadcast(fit(sample_words(df, id_col, text_col, sample_docs)))  # len(CHAINS) x BUCKETS floats, whatever the data
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Restorer(model.value)

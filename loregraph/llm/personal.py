@@ -1,7 +1,7 @@
 """Personal information in free text: anchor expansion.
 
-An Aho-Corasick automaton finds at-signs (plain and disguised), identifier cues and street words; deterministic local parsers expand each to the left and right and validate
-what they find. Phone numbers are validated digit groups. Names are built around given names, honorifics and words that a small letter model takes for surnames.
+An Aho-Corasick automaton finds at-signs (plain and disguised), schemes, identifier cues and street words; deterministic local parsers expand each to the left and right and
+validate what they find by its form. Check digits are not asked for: a mistyped identity number is personal, too. Phone numbers without a scheme are validated digit groups. Names are built around given names, honorifics and words that a small letter model takes for surnames.
 """
 
 from __future__ import annotations
@@ -27,9 +27,13 @@ PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "national_id": "[NATIONAL
 
 # Words that announce identity numbers, honorifics, street words, ambiguous given names.
 ID_CUES = (
-    "ssn", "social security", "steuer-id", "steuernummer", "steueridentifikationsnummer", "dni", "nie ", "nif ", "national id", "ni number", "national insurance", "nino", "passport", "reisepass", "passeport", "pasaporte",
-    "personalausweis", "ausweis", "id on file", "id card", "id no", "id number", "identity number", "badge", "paperwork lists", "tax id", "insee", "sécurité sociale", "numéro fiscal", "pesel", "bsn", "cpf", "hr file",
+    "id", "ssn", "social security", "steuer-id", "steuernummer", "steueridentifikationsnummer", "sozialversicherungsnummer", "dni", "nie", "nif", "national id", "ni number", "national insurance", "nino", "passport", "reisepass",
+    "passeport", "pasaporte", "passaporte", "passaporto", "paspoort", "паспорт", "paszport", "personalausweis", "ausweis", "ausweisnummer", "passnummer", "identity", "identification", "badge", "tax id", "taxpayer", "tin", "itin",
+    "insee", "sécurité sociale", "numéro fiscal", "carte d'identité", "carnet de identidad", "seguridad social", "pesel", "dowód", "dowodu", "bsn", "burgerservicenummer", "cpf", "curp", "codice fiscale", "aadhaar", "personnummer",
+    "снилс", "инн", "driver's license", "driver's licence", "driving licence", "driving license", "führerschein", "permis de conduire",
 )
+#: Schemes that announce a phone number, and those whose authority may hold an at-sign that is none of an email address.
+CALL_SCHEMES, WEB_SCHEMES = ("tel:", "sms:", "callto:", "whatsapp:", "facetime:", "fax:"), ("http://", "https://", "ftp://", "sftp://", "ssh://", "git://")
 AT_SIGNS = ("@", "[at]", "(at)", "{at}", "<at>", "＠")
 STREET_EN = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Boulevard|Blvd|Terrace|Court|Ct|Close|Drive|Dr|Way|Place|Pl|Square|Sq|Crescent|Row|Hill|Parkway|Highway|Walk|Gardens|Mews|Grove"
 STREET_FR = "rue|avenue|boulevard|allée|impasse|place|chemin|quai|cours|route|passage|ruelle|square|av\\.|bd"
@@ -37,12 +41,17 @@ STREET_ES = "Calle|Avenida|Avda\\.?|Plaza|Paseo|Camino|Ronda|Carrera|Rua|Praça|
 BOXES = "Postfach|Apartado|Boîte postale|BP"
 STREET_DE = "straße|strasse|str\\.|weg|platz|allee|gasse|ring|damm|ufer"
 HONORIFICS = frozenset("mr mrs ms miss mx dr prof professor sir dame herr frau mme mlle monsieur madame señor señora sr sra don doña dipl.-ing ing rev".split())
-#: Given names that are words, too: what may not follow them if they are names, and those that need a sign of a name beside them.
-NOT_BEFORE = {
-    "grace": {"period", "periods", "note", "notes"}, "mark": {"all", "the", "each", "every", "it", "them", "this", "that", "these", "those", "as", "any", "down", "up", "my", "our", "your"},
-    "rose": {"by", "to", "from", "sharply", "again", "garden", "gold"}, "will": {"the", "you", "we", "it", "they", "i", "he", "she", "this", "that", "be", "not"}, "pat": {"the"}, "bill": {"of", "for", "the"}, "sue": {"the", "for"},
+#: Words that begin the object of a verb: after a given name that is a verb, too, they show that it is none here.
+OBJECT_WORDS = frozenset("the a an all each every both any some no this that these those it them him us me my our your his its their you we they i he she".split())
+#: Words with which a given name makes an ordinary English compound.
+COMPOUNDS = {
+    "grace": "period periods note notes", "rose": "garden gardens gold bush window", "mark": "up down", "bill": "of", "art": "gallery director work history", "may": "day be", "dot": "com product matrix plot", "chip": "set card maker",
+    "kit": "car bag", "penny": "stock stocks", "jack": "of plug socket", "nick": "of", "max": "value length size pool", "min": "value length size", "pen": "name drive", "dan": "grade", "ray": "tracing", "frank": "discussion exchange",
+    "rich": "text media list", "sandy": "beach soil", "will": "be not have", "april": "fool fools", "june": "bug", "dolly": "zoom", "drew": "up on", "ted": "talk talks", "rob": "banks", "sue": "for", "dick": "test", "lance": "corporal",
 }
-NEEDS_SIGN = frozenset("al em jo pen dot chip kit hal sandy will bill pat sue rob bob jack nick penny drew dolly min lars len rich dick hank chas ted ed eve dan ben sam max art may june april rosa lex laurie kay dom theo ned".split())
+NEEDS_SIGN = frozenset("al em jo pen dot chip kit hal sandy will bill pat sue rob bob jack nick penny drew dolly min lars len rich dick hank chas ted ed eve dan ben sam max art may june april rosa lex laurie kay dom theo ned mark grace rose ray frank lance".split())
+#: Of these, words that are common as names even where no sign of one stands beside them.
+MOSTLY_NAMES = frozenset("mark grace rose ray frank lance".split())
 
 _DOT = r"(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?|\sdot\s)"
 _LOCAL = re.compile(rf"(?i)[a-z0-9](?:[a-z0-9_%+'-]|(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?|\s\.\s)(?=[a-z0-9]))*\s?$")
@@ -50,7 +59,8 @@ _LOCAL_PLAIN = re.compile(r"(?i)[a-z0-9](?:[a-z0-9._%+'-])*$")
 _DOMAIN = re.compile(rf"(?i)\s?((?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?{_DOT})+[a-z]{{2,24}})(?![a-z0-9_-]|\.\d)")
 
 _ID = stdre.compile(
-    r"(?<![\w.@/-])(?:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{3}([- ])\d{2}\1\d{4}|\d{4}-\d{4}-\d{3}|\d{2} \d{3} \d{3} \d{3}|[XYZ]?-?\d{7,8}-?[A-Z]|[A-Z]{1,2}\d{7,8}|[12] \d{2} \d{2} \d{2} \d{3} \d{3}(?: \d{2})?|\d{11}|\d{9})(?![\w@/-]|\.\d)"
+    r"(?<![\w.@/+(-])(?:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{3}([- ])\d{2}\1\d{4}|[12] \d{2} \d{2} \d{2} \d{3} \d{3}(?: \d{2})?|[XYZ]?-?\d{7,8}-?[A-Z]|[A-Z]{1,3}\d{6,9}"
+    r"|\d{3}\.\d{3}\.\d{3}-\d{2}|(?!\d{3}([-. ])\d{3}\2\d{4}(?!\d))\d{2,4}([- ])\d{2,4}(?:\3\d{2,4}){1,3}|\d{8,13})(?![\w@/-]|\.\d)"
 )
 _PHONE = stdre.compile(
     r"(?<![\w.@/+%=-])(?<!\d )(?:"
@@ -68,6 +78,8 @@ _PHONE_EQ = stdre.compile(r"(?<==)\+?\d|(?<==)\(\d")
 _NUMBERED = stdre.compile(r"(?i)(?:ticket|order|invoice|build|trace|batch|commit|version|v|ref|issue|case|release|bestellung|rechnung|facture|commande|pedido|factura|#|nr|no)\.?:?\s?#?$")
 
 _NOT_ID = stdre.compile(r"(?i)(?:ticket|order|invoice|build|trace|batch|commit|version|release|phone|tel|call|at)\.?:?\s?$")
+#: Things whose ids are no person's.
+_THING_BEFORE = stdre.compile(r"(?i)(?:ticket|order|invoice|build|trace|batch|commit|version|release|message|session|request|job|task|doc|document|page|chunk|user|item|product|event|device|object|record|row)[ _-]$")
 
 _TOWN = r"\p{Lu}\p{Ll}[\p{L}’'-]*(?: \p{Lu}\p{Ll}[\p{L}’'-]*)?"
 _ADDRESSES = re.compile(
@@ -98,12 +110,19 @@ _SIGN_BEFORE = re.compile(r"(?:[|/:;&([*>,#]|\b(?:with|via|per|by|and|und|et|y|t
 _SIGN_AFTER = re.compile(r"\s*(?:['’]s\b|[,:;)|/&*\]]|\(|$|\n|(?:and|und|et|y|called|wrote|asked|split|said)\b)")
 
 
+_CUE_WORDS = frozenset(plain(w) for w in ID_CUES)
+
+
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for w in AT_SIGNS:
         a.add_word(w, ("at", w))
     for w in ID_CUES:
         a.add_word(w, ("id", w))
+    for w in CALL_SCHEMES:
+        a.add_word(w, ("call", w))
+    for w in WEB_SCHEMES:
+        a.add_word(w, ("web", w))
     for w in _STREET_ENDINGS:
         a.add_word(w, ("ending", w))
     for w in _STREET_WORDS:
@@ -170,6 +189,8 @@ class Finder:
                 got = "g"
             elif bare in BRANCH or bare in LEGAL:
                 got = "f"
+            elif bare in _CUE_WORDS:
+                got = "o"
             else:
                 parts = bare.split("-")
                 bare = bare.replace("'", "").replace("’", "").replace("-", "")
@@ -262,9 +283,9 @@ class Finder:
         """Whether a given name that stands alone is a name here."""
         w = plain(word).lower()
         after = _AFTER.match(text, b)
-        if w in NOT_BEFORE and after and text[b : b + 1] == " " and after.group(1) in NOT_BEFORE[w]:
+        if w in NEEDS_SIGN and after and text[b : b + 1] == " " and (after.group(1) in OBJECT_WORDS or after.group(1) in COMPOUNDS.get(w, "").split()):
             return False
-        if w in NEEDS_SIGN:
+        if w in NEEDS_SIGN and w not in MOSTLY_NAMES:
             return bool(_SIGN_BEFORE.search(text[max(0, a - 14) : a]) or _SIGN_AFTER.match(text, b) or not text[:a].strip() or text[a - 1] == "\n")
         return not (after and text[b : b + 1] == " " and after.group(1)[0].isupper() and self._kind(after.group(1)) == "f")
 
@@ -289,16 +310,25 @@ class Finder:
         lower = text.lower()
         if len(lower) != len(text):
             lower = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-        lines, seen_line, at_end = [], -1, -1
+        lines, seen_line, at_end, authority, authority_from = [], -1, -1, -1, 0
         for end, (what, w) in self.anchors.iter(lower):
             a, b = end + 1 - len(w), end + 1
             if what == "at":
-                if a < at_end:
+                if a < at_end or (a < authority and "/" not in text[authority_from:a]):
                     continue
                 if got := self._email(text, a, b, len(w) == 1):
                     spans.append((*got, "email"))
                     at_end = got[1]
+            elif what == "web":
+                authority_from = b
+                authority = b + len(_NO_BLANK.match(text, b).group())
+            elif what == "call":
+                m = _CALLED.match(text, b)
+                if m and 7 <= sum(c.isdigit() for c in m.group()) <= 15 and not (a and text[a - 1].isalnum()):
+                    spans.append((*m.span(), "phone"))
             elif what == "id":
+                if (a and text[a - 1].isalnum()) or text[b : b + 1].isalpha() or _THING_BEFORE.search(text[max(0, a - 12) : a]):
+                    continue  # part of another word, or the id of a thing
                 if m := _ID.search(text, b, b + 45):
                     between = text[b : m.start()]
                     if "\n" not in between and not stdre.search(r"\d", between) and not _NOT_ID.search(text[max(0, m.start() - 12) : m.start()]):
@@ -343,6 +373,8 @@ class Finder:
 
 
 _PHONE_ANY = stdre.compile(_PHONE.pattern.replace(r"(?<![\w.@/+%=-])(?<!\d )", ""))
+_CALLED = stdre.compile(r"(?:\+|\()?\d(?:[ ().-]{0,2}\d)*")
+_NO_BLANK = stdre.compile(r"\S*")
 _has_digit = stdre.compile(r"\d{3}|\d[ .]\d").search
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LIMIT_TOKENS, OVERLAP_TOKENS, CHARS_PER_TOKEN = 512, 64, 4
+#: Code points of the texts whose pieces leave Python at once.
+FRAME_CHARS = 8_000_000
 
 #: Boundaries from strong to weak; the cut is made at the end of a match.
 BOUNDARIES = [
@@ -65,6 +67,15 @@ def bisect_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int
     core = limit - overlap
     levels = [[m.end() for m in b.finditer(text)] for b in BOUNDARIES]
 
+    def _inside(ends: list[int], mid: int, way: int, low: int, high: int) -> int:
+        """The boundary nearest to ``mid`` on one side that lies within the part; 0 if there is none."""
+        j = bisect.bisect_left(ends, mid) - (way < 0)
+        while 0 <= j < len(ends) and low < ends[j] < high:
+            if not splits_cluster(text, ends[j]):
+                return ends[j]
+            j += way
+        return 0
+
     def cut(low: int, high: int) -> int:
         mid, reach = (low + high) // 2, max(1, (high - low) // 4)
         for ends in levels:
@@ -72,7 +83,9 @@ def bisect_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int
             near = [ends[j] for j in (k - 1, k) if 0 <= j < len(ends) and abs(ends[j] - mid) <= reach and low < ends[j] < high and not splits_cluster(text, ends[j])]
             if near:
                 return min(near, key=lambda e: abs(e - mid))
-        return _hard_cut(text, mid, low)
+        # no boundary in the middle half: the one nearest to the midpoint, wherever it is
+        far = [e for ends in levels for e in (_inside(ends, mid, -1, low, high), _inside(ends, mid, 1, low, high)) if e]
+        return min(far, key=lambda e: abs(e - mid)) if far else _hard_cut(text, mid, low)
 
     todo, cores = [(0, n)], []
     while todo:
@@ -109,21 +122,17 @@ def split_oversized(
     over = df.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("t")).filter(token_size(F.col("t"), chars_per_token) > limit)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["item_id", "item_tokens", "piece_no", "start_pos", "end_pos", "overlap_chars", "piece_tokens", "piece_text"]
         for batch in batches:
+            rows, size = [], 0
             for item, text in zip(batch["item_id"], batch["t"]):
-                pieces = bisect_text(text, limit * chars_per_token, overlap * chars_per_token)
-                yield pd.DataFrame(
-                    {
-                        "item_id": item,
-                        "item_tokens": -(-len(text) // chars_per_token),
-                        "piece_no": range(1, len(pieces) + 1),
-                        "start_pos": [s + 1 for s, _, _ in pieces],
-                        "end_pos": [e for _, e, _ in pieces],
-                        "overlap_chars": [o for _, _, o in pieces],
-                        "piece_tokens": [-(-(e - s) // chars_per_token) for s, e, _ in pieces],
-                        "piece_text": [text[s:e] for s, e, _ in pieces],
-                    }
-                )
+                for k, (s, e, o) in enumerate(bisect_text(text, limit * chars_per_token, overlap * chars_per_token), 1):
+                    rows.append((item, -(-len(text) // chars_per_token), k, s + 1, e, o, -(-(e - s) // chars_per_token), text[s:e]))
+                size += len(text)
+                if size > FRAME_CHARS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
     schema = "item_id long, item_tokens long, piece_no int, start_pos int, end_pos int, overlap_chars int, piece_tokens int, piece_text string"
     return over.mapInPandas(run, schema).select(F.lit(kind).alias("item_kind"), "*")

@@ -38,3 +38,11 @@ def test_degenerate_rows(spark):
     got = {(r.query_id, r.neighbour_id) for r in nearest_vectors(df, "id", "e", F.lit(True)).collect()}
     assert got == {(1, 7), (7, 1)}
     assert nearest_vectors(df.limit(0), "id", "e", F.lit(True)).count() == 0
+
+
+def test_products_of_long_vectors_are_exact():
+    from loregraph.llm.knn import code_products
+
+    q, c = (np.full((n, 3_000), 127, np.float32) for n in (2, 3))
+    q[0, 1::2] = -127
+    assert (code_products(q, c)[1] == 127 * 127 * 3_000).all() and (code_products(q, c)[0] == 0).all()

@@ -35,6 +35,12 @@ CASES = [
     ("Mark all links. Grace periods of 4 days are stable. Glulutrex Capital works on runway.", []),
     ("Henry, Oliver Plenchasjon and MARK KREISPLENKRIL's", [("name", "Henry"), ("name", "Oliver Plenchasjon"), ("name", "MARK KREISPLENKRIL")]),
     ("Between Norbury-under-Hythe and 9f75ab UjkAlFVrydMihHIUZQXG=", []),
+    # phrasings of no test table
+    ("Her Ausweisnummer is L01X00T47, formerly Ausweisnummer L0123456.", [("national_id", "L0123456")]),
+    ("CPF 123.456.789-09 and PESEL: 44051401359 were copied; order id 44051401359 was not", [("national_id", "123.456.789-09"), ("national_id", "44051401359")]),
+    ("see tel:5551234567 or sms:+49 151 23456789 and https://bot:key@host.test/a", [("phone", "5551234567"), ("phone", "+49 151 23456789")]),
+    ("Her id is 8812-4410-230; an idea 8812-4410-230 is none", [("national_id", "8812-4410-230")]),
+    ("Mark every page. Grace notes and Rose gardens. Mark agreed, Grace called.", [("name", "Mark"), ("name", "Grace")]),
     ("", []),
 ]
 

@@ -41,3 +41,11 @@ def test_frame(spark):
     six = got[got.item_id == 6].sort_values("piece_no")
     assert "".join(t[o:] for t, o in zip(six.piece_text, six.overlap_chars)) == "läng " * 20000
     assert split_oversized(df.limit(0), "page", "id", "t").count() == 0
+
+
+def test_boundaries_outside_the_middle():
+    """One unbroken run amid words is cut at the words around it where the limit allows."""
+    text = "word " * 90 + "x" * 1100 + " word" * 90
+    pieces = bisect_text(text, 1200, 64)
+    assert [text[s:e] for s, e, o in pieces if "x" * 1100 in text[s:e]] and len(pieces) == 3
+    assert "".join(text[s + o : e] for s, e, o in pieces) == text
