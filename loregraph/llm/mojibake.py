@@ -2,7 +2,7 @@
 
 A multinomial classifier over hashed byte bigrams is trained on words of the corpus itself and on the same words garbled synthetically through every
 chain. It names the chain of each suspicious word; the chain is inverted and the inversion must decode strictly. Text spoilt beyond restoration
-(replacement characters) is reported with the chain ``lost``.
+(replacement characters, words that lost bytes) is reported as lost places.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ BUCKETS, SMOOTHING = 1 << 15, 0.05
 MARGIN_UTF8, MARGIN_BYTE, MARGIN_WEAK = -2.0, 6.0, 1.0
 #: Nats a character by which a word restored through a chain from a single-byte encoding must look more like correct text than it did.
 MARGIN_CLEAN = 2.0
+#: Nats by which a chain from UTF-8 must beat the reading as correct text for a word that it no longer decodes, because bytes were dropped, to count as garbled beyond restoration.
+MARGIN_STRAY = 9.0
 RARER = 50
 
 # Fixed values: (encoding of the bytes, encoding they were wrongly read in), applied from left to right.
@@ -46,12 +48,15 @@ _ONE = [
 CHAINS: list[tuple[tuple[str, str], ...]] = [(c,) for c in _ONE] + [(("utf-8", a), ("utf-8", b)) for a in ("cp1252", "latin-1", "mac_roman", "cp850", "cp437", "cp1250", "cp1251") for b in ("cp1252", "latin-1", a) if b == a or a in ("cp1252", "latin-1")]
 CHAINS = list(dict.fromkeys(CHAINS))
 _UTF8 = [c[0][0] == "utf-8" for c in CHAINS]
+_FROM_UTF8 = np.array(_UTF8)
 NAMES = [">".join(f"{r}:{w}" for r, w in c) for c in CHAINS]
 
 _WORD = re.compile(r"(?<![^ \t\r\n])[!-~]*+[^\x00-\x7f][^ \t\r\n]*")
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _BAD = re.compile(r"[\ufffd\p{Cn}\x80-\x9f]")
 _LOST = re.compile("\ufffd+")
+#: A letter beside a sign that is none of a word: both halves of what was one character.
+_STRAY = re.compile(r"(?=[^\x00-\x7f])\p{L}(?=[^\x00-\x7f])[^\p{L}\p{M}\s\ufffd]")
 _INVISIBLE = "\xa0\xad"
 
 
@@ -208,7 +213,12 @@ class Restorer:
             out += [text[at:a], r]
             at = b
         fixed = "".join([*out, text[at:]]) if fixes else text
-        return fixed, used, len(_LOST.findall(fixed))
+        return fixed, used, len(_LOST.findall(fixed)) + sum(self.stray(w) for w in words_of(fixed) if _STRAY.search(w))
+
+    def stray(self, word: str) -> bool:
+        """Whether a word is the rest of one that a chain from UTF-8 garbled and that lost bytes since: it can't be inverted, but its bigrams are the chain's."""
+        s = self.model.scores(word)
+        return float(s[1:][_FROM_UTF8].max() - s[0]) >= MARGIN_STRAY
 
     def _spans(self, word: str) -> Iterable[tuple[int, int, list]]:
         """The word as a whole; if no chain explains it, those of its runs outside ASCII that read as UTF-8: correct and garbled characters may stand in one word."""
@@ -251,8 +261,8 @@ def sample_words(df: DataFrame, id_col: str, text_col: str, bound: int = SAMPLE_
 def restore_documents(df: DataFrame, id_col: str, text_col: str, *, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """One row per affected document: doc_id, chains (found), restored_text, lost (places that can't be restored).
 
-    Null, empty and correct texts give no row. A document that holds a replacement character is affected though it can't be restored there; the rest of its
-    text is. Repeated rows give repeated results; other columns of ``df`` are not looked at. An empty table gives an empty result.
+    Null, empty and correct texts give no row. A document that holds a replacement character, or a garbled word that lost bytes, is affected though it can't be restored
+    there; the rest of its text is. Repeated rows give repeated results; other columns of ``df`` are not looked at. An empty table gives an empty result.
     """
     spark = df.sparkSession
     model = spark.sparkContext.broadcast(fit(sample_words(df, id_col, text_col, sample_docs)))  # len(CHAINS) x BUCKETS floats, whatever the data

@@ -68,3 +68,11 @@ def test_frame(spark):
     assert set(got) == {102, 103}
     assert got[102].restored_text == SENTENCES[0] and got[103].lost == 2
     assert M.restore_documents(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_words_that_lost_bytes(model):
+    """Undefined or trimmed bytes leave words that no chain inverts; they are reported, and correct words beside signs are not."""
+    r = M.Restorer(model)
+    assert r.restore("they donâ€t charge")[2] == 1 and r.restore("aprÃ¨s lâ€Ã©tÃ")[2] >= 1
+    for w in "Ângela 4 € São Paulo… l’été… “naïve”, É… Größe±2".split():
+        assert not (M._STRAY.search(w) and r.stray(w)), w
