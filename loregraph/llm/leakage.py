@@ -70,6 +70,11 @@ def least_score(min_words: int = MIN_WORDS, share: float = ALTERED_SHARE) -> int
     return min(n * MATCH + int(share * n) * (EDIT - MATCH) for n in range(min_words, min_words + int(1 / share) + 1))
 
 
+def least_seeds(min_words: int = MIN_WORDS, share: float = ALTERED_SHARE) -> int:
+    """The fewest seeds that such a copy shares with the passage: each altered word spoils as many as a seed has words, and an end of unaltered words has fewer by one."""
+    return max(CHAIN, min(n - int(share * n) - (SEED_WORDS - 1) * (int(share * n) + 1) for n in range(min_words, min_words + int(1 / share) + 1)))
+
+
 def alignment_score(passage: list[int], words: np.ndarray, diagonal: int, band: int) -> int:
     """Smith-Waterman: the score of the best local alignment that stays within ``band`` words of a diagonal (position in the words less position in the passage).
 
@@ -137,7 +142,7 @@ def extend(passage: list[str], words: list[str], at: int, pos: int, n: int, shar
 
 
 def runs(doc: np.ndarray, item: np.ndarray, step: int = 20_000) -> list[tuple[int, int, int]]:
-    """(position in the document, position in the passage, seeds) of the longest runs of at least ``CHAIN`` equal seeds in a row, given the seeds of both.
+    """(position in the document, position in the passage, seeds) of the longest runs of equal seeds in a row, given the seeds of both.
 
     Documents are read in steps, so that memory is bounded by the step and the passage.
     """
@@ -165,17 +170,27 @@ def runs(doc: np.ndarray, item: np.ndarray, step: int = 20_000) -> list[tuple[in
                 out.append((d, i, k))
         late = [key for key in open_ if key[0] <= int(pos[0])]
         out += [open_.pop(key) for key in late]
-    return [r for r in [*out, *open_.values()] if r[2] >= CHAIN]
+    return [*out, *open_.values()]
 
 
 def best_copy(passage: list[str], words: list[str], found: list[tuple[int, int, int]], min_words: int, share: float = ALTERED_SHARE) -> tuple[int, int, int, int] | None:
     """(passage words, altered, where it begins in the words, alignment score) of the longest copy around one of the runs ``found``; None if there is none."""
+    band, gate, few = int(share * len(passage)), least_score(min_words, share), least_seeds(min_words, share)
+    near = len(passage) + 2 * band + 1
+    # runs of one seed, and runs that have too few seeds near them, begin no copy
+    r = np.array(found).reshape(-1, 3)
+    r = r[np.lexsort((r[:, 0], r[:, 0] - r[:, 1]))]
+    diag = r[:, 0] - r[:, 1]
+    lo, hi = np.searchsorted(diag, diag - band), np.searchsorted(diag, diag + band, "right")
+    seeds = [int(r[a:b][abs(r[a:b, 0] - x) <= near, 2].sum()) if n >= CHAIN else 0 for a, b, x, n in zip(lo, hi, r[:, 0], r[:, 2])]
+    todo = [(int(a), int(b), int(n)) for (a, b, n), k in zip(r, seeds) if k >= few]
+    if not todo:
+        return None
     ids: dict[str, int] = {}
     p = [ids.setdefault(w, len(ids)) for w in passage]
     w = np.array([ids.get(x, -2) for x in words])
-    band, gate = int(share * len(passage)), least_score(min_words, share)
     best = None
-    for pos, at, n in found:
+    for pos, at, n in todo:
         score = alignment_score(p, w, pos - at, band)
         if score < gate:
             continue

@@ -3,7 +3,7 @@ from itertools import combinations
 
 import numpy as np
 
-from loregraph.llm.leakage import EDIT, MATCH, alignment_score, extend, find_leaks, least_score, runs, words_of
+from loregraph.llm.leakage import EDIT, MATCH, alignment_score, extend, find_leaks, least_score, least_seeds, runs, words_of
 
 VOCAB = [f"w{i}" for i in range(400)]
 
@@ -45,7 +45,7 @@ def test_alignment_scores():
     for _ in range(200):
         p, t = rng.choices(range(6), k=rng.randrange(1, 14)), rng.choices(range(6), k=rng.randrange(0, 14))
         assert alignment_score(p, np.array(t, int), 0, 30) == whole(p, t)
-    assert least_score() == 13 and least_score(20, 0.1) == 16
+    assert least_score() == 13 and least_score(20, 0.1) == 16 and least_seeds() == 6
     assert alignment_score(list(range(20)), np.array([*range(7), 99, *range(8, 13), 98, *range(14, 20)]), 0, 2) == 16
 
 
@@ -59,8 +59,7 @@ def test_runs_in_steps():
                 n = 0
                 while d + n < 300 and i + n < 25 and doc[d + n] == item[i + n]:
                     n += 1
-                if n >= 2:
-                    sure.append((d, i, n))
+                sure.append((d, i, n))
     for step in (1, 7, 50, 1000):
         assert sorted(runs(doc, item, step)) == sorted(sure), step
 
