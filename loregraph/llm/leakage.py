@@ -278,26 +278,28 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", tex
     pairs = left.join(right, ["gram", "part"]).filter("before = item_before or after = item_after").select("doc_id", "words_id", "passage_id").distinct()
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher, texts = Hasher(), {}
-
-        def read(text: str, split) -> tuple[list[str], np.ndarray]:
-            if text not in texts:
-                if len(texts) >= 64:
-                    texts.clear()
-                w = split(text)
-                texts[text] = w, hasher(w)
-            return texts[text]
-
+        hasher, passages_ = Hasher(), {}
         for b in batches:
             out = []
-            for doc, item, words, text_ in zip(b["doc_id"], b["passage_id"], b["words"], b["passage"]):
-                (w, wg), (p, pg) = read(words, str.split), read(text_, words_of)
-                if got := best_copy(p, w, runs(wg, pg), min_words):
-                    out.append((doc, item, got[0], got[1], len(p), got[2] + 1, got[3]))
+            for doc, words, items_ in zip(b["doc_id"], b["words"], b["items"]):
+                w = words.split(" ")
+                wg = hasher(w)
+                for x in items_:
+                    item = x["passage_id"]
+                    if item not in passages_:
+                        if len(passages_) >= 100_000:
+                            passages_.clear()
+                        p = words_of(x["passage"])
+                        passages_[item] = p, hasher(p)
+                    p, pg = passages_[item]
+                    if got := best_copy(p, w, runs(wg, pg), min_words):
+                        out.append((doc, item, got[0], got[1], len(p), got[2] + 1, got[3]))
             yield pd.DataFrame(out, columns=["doc_id", "passage_id", "copied_words", "altered_words", "passage_words", "first_word", "score"])
 
     words = found.select("doc_id", F.xxhash64("words").alias("words_id"), "words")
-    todo = pairs.join(words, ["doc_id", "words_id"]).join(broadcast_if_small(passages), "passage_id").select("doc_id", "passage_id", "words", "passage")
+    # one row for a document: its text is sent to Python once, whatever the number of passages
+    asked = pairs.join(broadcast_if_small(passages), "passage_id").groupBy("doc_id", "words_id").agg(F.collect_list(F.struct("passage_id", "passage")).alias("items"))
+    todo = asked.join(words, ["doc_id", "words_id"]).select("doc_id", "words", "items")
     scored = todo.mapInPandas(score, "doc_id long, passage_id long, copied_words int, altered_words int, passage_words int, first_word int, score int")
     best = F.max(F.struct("copied_words", (-F.col("altered_words")).alias("less"), "passage_words", "first_word", "score")).alias("b")
     got = scored.groupBy("doc_id", "passage_id").agg(best).join(broadcast_if_small(its.select("passage_id", "item_id")), "passage_id")

@@ -213,7 +213,8 @@ class Restorer:
             out += [text[at:a], r]
             at = b
         fixed = "".join([*out, text[at:]]) if fixes else text
-        return fixed, used, len(_LOST.findall(fixed)) + sum(self.stray(w) for w in words_of(fixed) if _STRAY.search(w))
+        strays = sum(self.stray(w) for w in words_of(fixed) if _STRAY.search(w)) if _STRAY.search(fixed) else 0
+        return fixed, used, len(_LOST.findall(fixed)) + strays
 
     def stray(self, word: str) -> bool:
         """Whether a word is the rest of one that a chain from UTF-8 garbled and that lost bytes since: it can't be inverted, but its bigrams are the chain's."""
