@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # Score factor by slug prefix; the longest matching prefix counts.
 SOURCE_FACTORS = {
     "originals/": 1.5, "writing/": 1.4, "concepts/": 1.3, "people/": 1.2, "companies/": 1.2, "deals/": 1.2, "meetings/": 1.1, "media/articles/": 1.1, "media/repos/": 1.1,
-    "yc/": 1.0, "civic/": 1.0, "daily/": 0.8, "media/x/": 0.7,
+    "yc/": 1.0, "civic/": 1.0, "daily/": 0.8, "media/x/": 0.7, "openclaw/chat/": 0.5, "archive/": 0.5, "extracts/": 0.3,
 }
 # Fixed values: (half-life in days, coefficient) by slug prefix; 0 means evergreen.
 RECENCY = {
@@ -62,8 +62,20 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Runs of a-z and 0-9 of the lower-case text."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    """Runs of letters and digits, of any script, of the lower-case text."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def english_stem(word: Column) -> Column:
+    """A word without the ending of an English plural (the three rules of the S-stemmer)."""
+    return (
+        F.when(word.rlike("[^ea]ies$"), F.regexp_replace(word, "ies$", "y")).when(word.rlike("ies$"), word)
+        .when(word.rlike("[^aeo]es$"), F.regexp_replace(word, "es$", "e")).when(word.rlike("es$"), word).when(word.rlike("[^us]s$"), F.regexp_replace(word, "s$", "")).otherwise(word)
+    )
+
+
+def stems(text: Column) -> Column:
+    return F.transform(words(text), english_stem)
 
 
 def trigrams(text: Column) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loregraph.functions.expressions import cosine
+from loregraph.operators.vectors import nearest
 
 
 def active(facts: DataFrame) -> DataFrame:
@@ -36,12 +36,9 @@ def supersessions(facts: DataFrame, k: int) -> DataFrame:
 
 
 def dedup_candidates(facts: DataFrame, new: DataFrame, entity: str, id_col: str, vec: str, k: int, duplicate: float = 0.95) -> DataFrame:
-    """For each new fact its ``k`` nearest facts of the entity, with the decision duplicate / related."""
-    a = new.select(F.col(id_col).alias("new_id"), F.col(entity), F.col(vec).alias("nv"))
-    b = facts.select(F.col(id_col).alias("id"), F.col(entity), F.col(vec).alias("ov"))
-    c = a.join(b, entity).filter("id <> new_id").select("new_id", "id", F.round(cosine(F.col("nv"), F.col("ov")), 6).alias("similarity"))
-    w = Window.partitionBy("new_id").orderBy(F.desc("similarity"), F.asc("id"))
-    return c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("duplicate", F.col("similarity") >= duplicate)
+    """For each new fact its ``k`` nearest facts of the entity, with the decision duplicate / related; an entity's facts are compared in blocks."""
+    near = nearest(facts, new.withColumn("query_id", F.col(id_col)), k, id_col=id_col, vec=vec, group=entity, other_than_itself=True)
+    return near.select(F.col("query_id").alias("new_id"), "id", F.col("score").alias("similarity"), "rank", (F.col("score") >= duplicate).alias("duplicate"))
 
 
 def consolidate(facts: DataFrame, entity: str, id_col: str, vec: str, least: int = 3, limit: float = 0.85) -> DataFrame:
@@ -53,21 +50,22 @@ def consolidate(facts: DataFrame, entity: str, id_col: str, vec: str, least: int
     n = facts.groupBy(entity).agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(entity)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, ids = None, []
-        heads = np.empty((0, 0))
+        now, ids, heads = None, [], np.empty((0, 0))
         for b in batches:
             out = []
             for e, i, v in zip(b["e"], b["id"], b["v"]):
                 v = np.asarray(v, dtype=float)
                 v = v / (np.linalg.norm(v) or 1.0)
                 if e != now:
-                    now, ids, heads = e, [], np.empty((0, len(v)))
-                near = np.flatnonzero(heads @ v >= limit) if len(ids) else []
+                    now, ids, heads = e, [], np.empty((64, len(v)))
+                near = np.flatnonzero(heads[: len(ids)] @ v >= limit) if ids else []
                 if len(near):
                     out.append((e, ids[near[0]], int(i)))
                 else:
+                    if len(ids) == len(heads):
+                        heads = np.concatenate([heads, np.empty_like(heads)])  # twice the room
+                    heads[len(ids)] = v
                     ids.append(int(i))
-                    heads = np.vstack([heads, v])
                     out.append((e, int(i), int(i)))
             yield pd.DataFrame(out, columns=["entity", "head", "id"])
 
@@ -99,7 +97,12 @@ def resolve_takes(takes: DataFrame, outcomes: DataFrame) -> DataFrame:
     return takes.join(o, ["page_id", "row_num"], "left").withColumn("quality", F.coalesce("quality", "__q")).select(*takes.columns)
 
 
-def health(facts: DataFrame, stamp: str, as_of: str) -> DataFrame:
+def health(facts: DataFrame, stamp: str, as_of: str, entity: str) -> DataFrame:
     """Counts in all, of the last day and week, and of entities."""
     age = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(F.col(stamp).cast("timestamp"))) / F.lit(3_600e6)
-    return facts.agg(F.count("*").alias("total"), F.count_if((age >= 0) & (age < 24)).alias("last_day"), F.count_if((age >= 0) & (age < 168)).alias("last_week"), F.countDistinct("user_id").alias("entities"))
+    return facts.agg(F.count("*").alias("total"), F.count_if((age >= 0) & (age < 24)).alias("last_day"), F.count_if((age >= 0) & (age < 168)).alias("last_week"), F.countDistinct(entity).alias("entities"))
+
+
+def top_entities(facts: DataFrame, entity: str, k: int = 5) -> DataFrame:
+    """The entities with the most facts."""
+    return facts.groupBy(F.col(entity).alias("entity")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc("entity")).limit(k)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loregraph.functions.expressions import cosine, jaccard, slugify, trigrams
+from loregraph.functions.expressions import jaccard, slugify, trigrams
+from loregraph.operators.vectors import nearest
 from loregraph.session import broadcast_if_small
 
 
@@ -38,11 +39,10 @@ def intent(query: Column) -> Column:
 
 
 def far_set(vectors: DataFrame, close: DataFrame, id_col: str, group: str, vec: str, m: int) -> DataFrame:
-    """The ``m`` vectors, of groups that have none in the close set, with the greatest distance 1 - max cosine to it; the close set is small and counted."""
-    c = broadcast_if_small(close.select(F.col(vec).alias("cv")), 2_000)
-    v = vectors.join(close.select(group).distinct(), group, "left_anti").select(F.col(id_col).alias("id"), F.col(group), F.col(vec).alias("v"))
-    d = v.join(c, F.size("v") == F.size("cv")).groupBy("id", group).agg(F.round(1 - F.max(cosine(F.col("v"), F.col("cv"))), 6).alias("distance"))
-    return d.orderBy(F.desc("distance"), F.asc("id")).limit(m)
+    """The ``m`` vectors, of groups that have none in the close set, with the greatest distance 1 - max cosine to it: each vector's nearest of the close set, in blocks."""
+    v = vectors.join(close.select(group).distinct(), group, "left_anti").select(F.col(id_col).alias("query_id"), group, vec)
+    d = nearest(close, v, 1, id_col=id_col, vec=vec).select("query_id", F.round(1 - F.col("score"), 6).alias("distance"))
+    return v.join(d, "query_id").select(F.col("query_id").alias("id"), group, "distance").orderBy(F.desc("distance"), F.asc("id")).limit(m)
 
 
 def adaptive_return(ranked: DataFrame, by: str, rank: str, intent_col: str, entity: int = 2, other: int = 6) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loregraph.functions.expressions import cosine, jaccard, recency, source_factor, words
+from loregraph.functions.expressions import age_days, cosine, jaccard, recency, slugify, source_factor, stems, trigrams, words
+from loregraph.operators.text import greedy_distinct
+from loregraph.operators.vectors import nearest
 from loregraph.session import broadcast_if_small
 
 
@@ -15,28 +17,60 @@ def top(df: DataFrame, by: str | list[str], score: str, k: int, *ties: str, rank
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
-def keyword_scores(chunks: DataFrame, queries: DataFrame, text: str = "chunk_text", id_col: str = "id") -> DataFrame:
-    """(query_id, chunk_id, score): all terms of a query must occur; the score sums 1 + ln(term frequency).
+def keyword_scores(chunks: DataFrame, queries: DataFrame, text: str = "chunk_text", id_col: str = "id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, chunk_id, ``keep``, score): all terms of a query must occur; the score sums 1 + ln(term frequency).
 
-    The terms of all queries are broadcast only if counted small; postings are made for query terms alone, so that the corpus is not exploded into the shuffle.
+    The terms of all queries are broadcast only if counted small; postings are made for query terms alone and counted before the shuffle. Columns of the chunks that later steps
+    need go along, so that the chunks are read once.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
-    need = terms.groupBy("query_id").agg(F.count("*").alias("need"))
-    postings = chunks.select(F.col(id_col).alias("chunk_id"), F.explode(F.split(F.lower(F.col(text)), "[^a-z0-9]+")).alias("term")).join(broadcast_if_small(terms.select("term").distinct()), "term", "left_semi")
-    tf = postings.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-    hit = tf.join(broadcast_if_small(terms), "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("found"), F.sum(1 + F.log("tf")).alias("score"))
-    return hit.join(broadcast_if_small(need), "query_id").filter("found = need").select("query_id", "chunk_id", "score")
+    terms = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term")).withColumn("need", F.count("*").over(Window.partitionBy("query_id")))
+    tokens = chunks.select(F.col(id_col).alias("chunk_id"), *keep, F.explode(words(F.col(text))).alias("term"))
+    tf = tokens.join(broadcast_if_small(terms), "term").groupBy("query_id", "need", "chunk_id", *keep, "term").agg(F.count("*").alias("tf"))
+    hit = tf.groupBy("query_id", "need", "chunk_id", *keep).agg(F.count("*").alias("found"), F.sum(1 + F.log("tf")).alias("score"))
+    return hit.filter("found = need").select("query_id", "chunk_id", *keep, "score")
 
 
-def pool_pages(hits: DataFrame, chunks: DataFrame, pages: DataFrame, k: int, detail: str = "medium") -> DataFrame:
-    """Scores times the source factor, the best chunk of each page, the top ``k`` pages per query."""
+def parse_websearch(queries: DataFrame) -> DataFrame:
+    """(query_id, alt, terms, phrases, without): one row per alternative of a query in the syntax of web searches: words are all needed, "quoted words" must stand in this
+    order, or separates alternatives, a hyphen before a word excludes it. Words are stemmed.
+    """
+    alt = queries.select("query_id", F.posexplode(F.split("query", r"(?i)\s+or\s+")).alias("alt", "q"))
+    without = F.regexp_extract_all("q", F.lit(r"(?:^|\s)-([\p{L}\p{N}]+)"), 1)
+    kept = F.regexp_replace("q", r"(?:^|\s)-[\p{L}\p{N}]+", " ")
+    phrases = F.transform(F.regexp_extract_all("q", F.lit('"([^"]+)"'), 1), lambda p: F.array_join(stems(p), " "))
+    got = alt.select("query_id", "alt", F.array_distinct(stems(kept)).alias("terms"), phrases.alias("phrases"), F.flatten(F.transform(without, stems)).alias("without"))
+    return got.filter("size(terms) > 0")
+
+
+def websearch_scores(chunks: DataFrame, queries: DataFrame, text: str = "chunk_text", id_col: str = "id") -> DataFrame:
+    """(query_id, chunk_id, score) of queries in the syntax of ``parse_websearch``: sum of 1 + ln(term frequency), of the best alternative that fits."""
+    alts = parse_websearch(queries)
+    need = alts.select("query_id", "alt", F.size("terms").alias("need"), "phrases", "without", F.explode("terms").alias("term"))
+    doc = chunks.select(F.col(id_col).alias("chunk_id"), stems(F.col(text)).alias("w"))
+    hits = doc.select("chunk_id", F.explode("w").alias("term")).join(broadcast_if_small(need.select("query_id", "alt", "need", "term")), "term")
+    tf = hits.groupBy("query_id", "alt", "need", "chunk_id", "term").agg(F.count("*").alias("tf"))
+    full = tf.groupBy("query_id", "alt", "need", "chunk_id").agg(F.count("*").alias("found"), F.sum(1 + F.log("tf")).alias("score")).filter("found = need")
+    rules = broadcast_if_small(alts.select("query_id", "alt", "phrases", "without"))
+    run = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
+    fits = F.forall("phrases", lambda p: F.contains(run, F.concat(F.lit(" "), p, F.lit(" ")))) & ~F.arrays_overlap("w", "without")
+    ok = full.join(rules, ["query_id", "alt"]).join(doc, "chunk_id").filter(fits)
+    return ok.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+
+
+def pool_pages(hits: DataFrame, chunks: DataFrame | None, pages: DataFrame, k: int, detail: str = "medium") -> DataFrame:
+    """Scores times the source factor, the best chunk of each page, the top ``k`` pages per query. ``chunks`` may be left out if the hits carry page_id."""
     p = pages.select(F.col("id").alias("page_id"), "slug", "source_id", "type")
-    h = hits.join(chunks.select(F.col("id").alias("chunk_id"), "page_id", "chunk_source"), "chunk_id").join(p, "page_id")
+    h = (hits if chunks is None else hits.join(chunks.select(F.col("id").alias("chunk_id"), "page_id", "chunk_source"), "chunk_id")).join(p, "page_id")
     h = h.withColumn("score", F.round(F.col("score") * source_factor(F.col("slug"), detail), 6))
     best = top(h, ["query_id", "page_id"], "score", 1, "chunk_id")
     return top(best.drop("rank"), "query_id", "score", k, "page_id", "chunk_id")
 
 
+def over_fetched(hits: DataFrame, chunks: DataFrame, pages: DataFrame, k: int, factor: int = 5) -> DataFrame:
+    """Pooling over the ``factor`` x ``k`` best chunks of each query only, as an engine does that fetches more chunks than pages are wanted."""
+    return pool_pages(top(hits, "query_id", "score", factor * k, "chunk_id").drop("rank"), chunks, pages, k)
+
+
 def substring_scores(pages: DataFrame, queries: DataFrame, text: str) -> DataFrame:
     """Occurrences of a literal query, for scripts without word boundaries."""
     q = broadcast_if_small(queries)
@@ -44,11 +78,9 @@ def substring_scores(pages: DataFrame, queries: DataFrame, text: str) -> DataFra
     return pages.join(q, F.contains(F.col(text), F.col("query"))).select("query_id", "id", n.cast("int").alias("score"))
 
 
-def vector_scores(chunks: DataFrame, queries: DataFrame, vec: str = "embedding") -> DataFrame:
-    """Exact cosine of each query vector with every chunk; the query vectors are a stated, counted set."""
-    q = broadcast_if_small(queries.select("query_id", F.col(vec).alias("qv")), 2_000)
-    c = chunks.filter(F.col(vec).isNotNull() & F.exists(vec, lambda x: x != 0)).select(F.col("id").alias("chunk_id"), vec)
-    return c.join(q, F.size(vec) == F.size("qv")).select("query_id", "chunk_id", F.round(cosine(F.col(vec), F.col("qv")), 6).alias("score"))
+def vector_hits(chunks: DataFrame, queries: DataFrame, k: int, vec: str = "embedding") -> DataFrame:
+    """(query_id, chunk_id, score, rank): the ``k`` chunks of the greatest cosine."""
+    return nearest(chunks, queries, k, vec=vec).withColumnRenamed("id", "chunk_id")
 
 
 def rrf(arms: list[tuple[DataFrame, float]], key: str, k: int = 60, base: int = 0) -> DataFrame:
@@ -91,9 +123,13 @@ def evidence(alias: Column, title: Column, base: Column) -> Column:
     return F.when(alias, "alias").when(title, "title").when(base >= 0.85, "strong").when(base >= 0.60, "medium").otherwise("weak")
 
 
-def dedup_results(results: DataFrame, *, per_page: int = 3, share: float = 0.6, cap: int = 2) -> DataFrame:
-    """Of each query's results (query_id, page_id, chunk_id, type, score): the best per page, at most a share per type, then at most ``cap`` per page."""
+def dedup_results(results: DataFrame, *, per_page: int = 3, share: float = 0.6, cap: int = 2, alike: float | None = None) -> DataFrame:
+    """Of each query's results (query_id, page_id, chunk_id, type, score): the best per page, without texts (chunk_text) nearer than ``alike`` to a better one if that is given,
+    at most a share per type, then at most ``cap`` per page.
+    """
     r = top(results, ["query_id", "page_id"], "score", per_page, "chunk_id", rank="__page").drop("__page")
+    if alike is not None:
+        r = greedy_distinct(r, "query_id", ["score", "page_id", "chunk_id"], [False, True, True], "chunk_text", alike)
     most = F.ceil(F.count("*").over(Window.partitionBy("query_id")) * share)
     r = r.withColumn("__most", most)
     w = Window.partitionBy("query_id", "type").orderBy(F.desc("score"), F.asc("page_id"), F.asc("chunk_id"))
@@ -106,8 +142,6 @@ def similar_titles(pages: DataFrame, least: float, title: str = "title") -> Data
 
     Distinct titles are joined on their rarest trigrams: a pair of the wanted similarity shares one of the first n - ceil(least x n) + 1 in order of rarity (prefix filter).
     """
-    from loregraph.functions.expressions import trigrams
-
     t = pages.filter(F.col(title).isNotNull()).groupBy("type", F.lower(title).alias("t")).agg(F.min("id").alias("id")).withColumn("g", trigrams(F.col("t"))).filter(F.size("g") > 0)
     df = t.select(F.explode("g").alias("x")).groupBy("x").agg(F.count("*").alias("df"))
     ranked = t.select("type", "id", F.size("g").alias("n"), F.explode("g").alias("x")).join(df, "x").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "x")))
@@ -128,21 +162,48 @@ def expert_score(raw: Column, days: Column, salience: Column) -> Column:
     return F.log1p(raw) * F.greatest(F.lit(0.1), F.exp(-days / 180)) * (0.5 + 0.5 * salience / (1 + salience))
 
 
-def hybrid_search(pages: DataFrame, chunks: DataFrame, links: DataFrame, queries: DataFrame, as_of: str, k: int = 10) -> DataFrame:
-    """Keyword and vector arms for all queries (query_id, query, embedding), fused, boosted and deduplicated."""
-    from loregraph.functions.expressions import age_days
+def guarantee_compiled(kept: DataFrame, results: DataFrame) -> DataFrame:
+    """Pages among ``kept`` (query_id, page_id, chunk_id, chunk_source, score, ...) without a chunk of their compiled truth get the best one of ``results`` for their lowest chunk."""
+    mine = Window.partitionBy("query_id", "page_id")
+    k = kept.withColumn("__has", F.max((F.col("chunk_source") == "compiled_truth").cast("int")).over(mine)).withColumn("__low", F.row_number().over(mine.orderBy("score", F.desc("chunk_id"))))
+    best = top(results.filter("chunk_source = 'compiled_truth'"), ["query_id", "page_id"], "score", 1, "chunk_id").select("query_id", "page_id", *[F.struct(*[c for c in kept.columns if c not in ("query_id", "page_id")]).alias("__new")])
+    j = k.join(best, ["query_id", "page_id"], "left")
+    swap = (F.col("__has") == 0) & (F.col("__low") == 1) & F.col("__new").isNotNull()
+    return j.select("query_id", "page_id", *[F.when(swap, F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) for c in kept.columns if c not in ("query_id", "page_id")]).select(*kept.columns)
+
 
-    kw = top(keyword_scores(chunks, queries), "query_id", "score", 100, "chunk_id")
-    ve = top(vector_scores(chunks, queries), "query_id", "score", 100, "chunk_id")
+def query_adjacency(results: DataFrame, links: DataFrame, pages: DataFrame) -> DataFrame:
+    """(query_id, page_id, inbound, foreign_sources): the other results of the same query that link to a result, and the other sources they are of."""
+    r = results.select("query_id", "page_id").distinct().join(pages.select(F.col("id").alias("page_id"), "source_id"), "page_id")
+    a, b = (r.select("query_id", F.col("page_id").alias(p), F.col("source_id").alias(s)) for p, s in (("from_page_id", "sa"), ("to_page_id", "sb")))
+    e = links.select("from_page_id", "to_page_id").distinct().join(a, "from_page_id").join(b, ["query_id", "to_page_id"]).filter("from_page_id <> to_page_id")
+    return e.groupBy("query_id", F.col("to_page_id").alias("page_id")).agg(F.countDistinct("from_page_id").alias("inbound"), F.countDistinct(F.when(F.col("sa") != F.col("sb"), F.col("sa"))).alias("foreign_sources"))
+
+
+def fused_scores(pages: DataFrame, chunks: DataFrame, links: DataFrame, queries: DataFrame, as_of: str, *, arm: int = 100, floor: float = 0.5, aliases: DataFrame | None = None) -> DataFrame:
+    """Keyword and vector arms for all queries (query_id, query, embedding) of live pages, fused by reciprocal ranks, with the boosts for compiled truth and source, and, for chunks of at
+    least ``floor`` of the query's best, those for backlinks, salience, recency, titles and exact matches: query_id, page_id, chunk_id, chunk_source, slug, type, score.
+    """
+    kw = top(keyword_scores(chunks, queries).withColumn("score", F.round("score", 6)), "query_id", "score", arm, "chunk_id")
+    ve = vector_hits(chunks, queries, arm)
     fused = rrf([(kw, 1.0), (ve, 1.0)], "chunk_id").join(chunks.select(F.col("id").alias("chunk_id"), "page_id", "chunk_source"), "chunk_id")
-    p = pages.filter(F.col("deleted_at").isNull()).select(F.col("id").alias("page_id"), "slug", "title", "type", F.coalesce("effective_date", "updated_at", "created_at").alias("at"))
+    p = pages.filter(F.col("deleted_at").isNull()).select(F.col("id").alias("page_id"), "slug", "title", "type", F.coalesce(F.col("emotional_weight").cast("double"), F.lit(0.0)).alias("weight"), F.coalesce("effective_date", "updated_at", "created_at").alias("at"))
     n = links.filter(~F.col("link_source").eqNullSafe("mentions")).groupBy(F.col("to_page_id").alias("page_id")).agg(F.count("*").alias("n"))
     r = fused.join(p, "page_id").join(n, "page_id", "left").join(broadcast_if_small(queries.select("query_id", "query")), "query_id")
-    s = compiled_boost(F.col("score"), F.col("chunk_source"))
-    s = recency_boost(backlink_boost(s, F.coalesce("n", F.lit(0))), F.col("slug"), age_days(F.col("at"), as_of), 0.5)
-    r = r.withColumn("score", F.round(title_boost(s, F.col("title"), F.col("query")), 6))
-    d = dedup_results(r.select("query_id", "page_id", "chunk_id", "type", "score"))
-    return top(d, "query_id", "score", k, "page_id", "chunk_id")
+    r = r.withColumn("score", F.round(compiled_boost(F.col("score"), F.col("chunk_source")) * source_factor(F.col("slug")), 9)).withColumn("best", F.max("score").over(Window.partitionBy("query_id")))
+    s = salience_boost(backlink_boost(F.col("score"), F.coalesce("n", F.lit(0))), F.col("weight"))
+    s = recency_boost(s, F.col("slug"), age_days(F.col("at"), as_of), 0.5)
+    s = exact_match_boost(title_boost(s, F.col("title"), F.col("query")), F.col("slug"), F.col("title"), F.col("query"))
+    r = r.withColumn("score", F.round(floored(F.col("score"), s, F.col("best"), floor), 6)).select("query_id", "page_id", "chunk_id", "chunk_source", "slug", "type", "score")
+    return r if aliases is None else alias_hop(r, aliases, queries)
+
+
+def hybrid_search(pages: DataFrame, chunks: DataFrame, links: DataFrame, queries: DataFrame, as_of: str, k: int = 10, *, aliases: DataFrame | None = None) -> DataFrame:
+    """The whole pipeline: fused and boosted arms, the four layers of deduplication and the guarantee of a compiled chunk, graph signals over the best 20, the top ``k``."""
+    r = fused_scores(pages, chunks, links, queries, as_of, aliases=aliases).join(chunks.select(F.col("id").alias("chunk_id"), "chunk_text"), "chunk_id", "left")
+    d = guarantee_compiled(dedup_results(r, alike=0.85), r)
+    g = graph_signals(d, query_adjacency(d, links, pages))
+    return top(g.withColumn("score", F.round("score", 6)), "query_id", "score", k, "page_id", "chunk_id").select("query_id", "page_id", "chunk_id", "score", "rank")
 
 
 def cosine_rescore(fused: DataFrame, vectors: DataFrame, queries: DataFrame, vec: str = "embedding", weight: float = 0.7) -> DataFrame:
@@ -161,26 +222,29 @@ def floored(score: Column, boosted: Column, best: Column, ratio: float) -> Colum
 
 def exact_match_boost(score: Column, slug: Column, title: Column, query: Column, strong: float = 1.25, weak: float = 1.10) -> Column:
     """Strong if the query is the title or the slug's last segment, weak if the slug ends in it after a hyphen."""
-    from loregraph.functions.expressions import slugify
-
     s, tail = slugify(query), F.substring_index(slug, "/", -1)
     return F.when((F.lower(F.trim(title)) == F.lower(F.trim(query))) | (tail == s), score * strong).when(F.endswith(tail, F.concat(F.lit("-"), s)), score * weak).otherwise(score)
 
 
 def graph_signals(results: DataFrame, adjacency: DataFrame, head: int = 20, hub: float = 1.05, foreign: float = 1.10, session: float = 0.95) -> DataFrame:
-    """Within the best ``head`` results (query_id, page_id, slug, score): pages with two inbound results, or two foreign sources, rise; then all but the best page of a folder sink."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("page_id"))
-    r = results.withColumn("__rn", F.row_number().over(w)).join(adjacency.withColumnRenamed("id", "page_id"), "page_id", "left")
+    """Within the best ``head`` results (query_id, page_id, slug, score, ...): pages with two inbound results, or two foreign sources, rise; then all but the best page of a folder
+    sink. Results beyond the head keep their scores. ``adjacency`` is by query_id and page_id, or by id for all queries.
+    """
+    adj, on = (adjacency, ["query_id", "page_id"]) if "query_id" in adjacency.columns else (adjacency.withColumnRenamed("id", "page_id"), ["page_id"])
+    ties = [F.asc("page_id"), *([F.asc("chunk_id")] if "chunk_id" in results.columns else [])]
+    r = results.withColumn("__rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *ties))).withColumn("__head", F.col("__rn") <= head).join(adj, on, "left")
     up = F.when(F.coalesce("inbound", F.lit(0)) >= 2, hub).otherwise(1.0) * F.when(F.coalesce("foreign_sources", F.lit(0)) >= 2, foreign).otherwise(1.0)
-    r = r.withColumn("score", F.when(F.col("__rn") <= head, F.col("score") * up).otherwise(F.col("score"))).withColumn("__folder", F.regexp_extract("slug", r"^(.*)/[^/]*$", 1))
-    place = F.row_number().over(Window.partitionBy("query_id", "__folder").orderBy(F.desc("score"), F.asc("page_id")))
-    return r.withColumn("score", F.when((place > 1) & (F.col("__folder") != ""), F.col("score") * session).otherwise(F.col("score"))).select("query_id", "page_id", "score")
+    r = r.withColumn("score", F.when(F.col("__head"), F.col("score") * up).otherwise(F.col("score"))).withColumn("__folder", F.regexp_extract("slug", r"^(.*)/[^/]*$", 1))
+    place = F.row_number().over(Window.partitionBy("query_id", "__folder", "__head").orderBy(F.desc("score"), *ties))
+    r = r.withColumn("__place", place)
+    return r.withColumn("score", F.when(F.col("__head") & (F.col("__place") > 1) & (F.col("__folder") != ""), F.col("score") * session).otherwise(F.col("score"))).select(*results.columns)
 
 
 def alias_hop(results: DataFrame, aliases: DataFrame, queries: DataFrame, boost: float = 1.10, most: int = 3) -> DataFrame:
-    """Pages whose alias is the whole query are boosted if they are among the results (query_id, page_id, score), else put on top, ``most`` at most."""
-    hit = queries.join(aliases, F.lower(F.trim("query")) == F.lower("alias")).groupBy("query_id", "page_id").agg(F.lit(True).alias("hit"))
-    present = results.join(hit, ["query_id", "page_id"], "left").select("query_id", "page_id", F.when(F.col("hit"), F.col("score") * boost).otherwise(F.col("score")).alias("score"))
+    """Pages whose alias (alias, page_id) is the whole query are boosted if they are among the results (query_id, page_id, score, ...), else put on top, ``most`` at most."""
+    norm = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    hit = queries.select("query_id", norm(F.col("query")).alias("a")).join(aliases.select(norm(F.col("alias")).alias("a"), "page_id"), "a").select("query_id", "page_id").distinct().withColumn("hit", F.lit(True))
+    present = results.join(hit, ["query_id", "page_id"], "left").withColumn("score", F.when(F.col("hit"), F.col("score") * boost).otherwise(F.col("score"))).select(*results.columns)
     best = present.groupBy("query_id").agg(F.max("score").alias("best"))
-    new = hit.join(results, ["query_id", "page_id"], "left_anti").join(best, "query_id", "left").withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy("page_id"))).filter(F.col("rn") <= most)
-    return present.unionByName(new.select("query_id", "page_id", (F.coalesce("best", F.lit(0.0)) + 1e-6).alias("score")))
+    new = hit.join(results.select("query_id", "page_id").distinct(), ["query_id", "page_id"], "left_anti").join(best, "query_id", "left").withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy("page_id"))).filter(F.col("rn") <= most)
+    return present.unionByName(new.select("query_id", "page_id", (F.coalesce("best", F.lit(0.0)) + 1e-6).alias("score")), allowMissingColumns=True)

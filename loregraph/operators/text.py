@@ -42,18 +42,21 @@ def speakers(pages: DataFrame, text: str = "compiled_truth") -> DataFrame:
 
 
 def mentions(texts: DataFrame, gazetteer: DataFrame, id_col: str, text: str, least: int = 4) -> DataFrame:
-    """(id, entity): names of the gazetteer (name, entity) that occur as runs of words, once per text.
+    """(id, entity): names of the gazetteer (name, entity, source_id) that occur as runs of words in a text of their source, once per text and entity; a text's own name does not count.
 
-    Runs of as many words as some name has, however long, are joined with the names by equality; the gazetteer is broadcast only if counted small.
+    A word of a text is looked up among the first words of names, and only runs that begin with one are built, as long as the names that begin with it; so what is
+    joined follows the mentions, not the words. Of names that begin at one word the longest that occurs counts.
     """
     w = words(F.col("name"))
-    names = gazetteer.filter(F.length("name") >= least).select(F.array_join(w, " ").alias("run"), F.size(w).alias("k"), "entity").filter("run <> ''").distinct()
-    lengths = sorted(r.k for r in names.select("k").distinct().collect())  # no more than the longest name has words
-    if not lengths:
-        return texts.select(F.col(id_col).alias("id")).crossJoin(names.select("entity")).limit(0)
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1), lambda i: F.array_join(F.slice("w", i, F.col("k")), " "))
-    by_length = texts.select(F.col(id_col).alias("id"), words(F.col(text)).alias("w")).withColumn("k", F.explode(F.array(*map(F.lit, lengths)))).filter(F.size("w") >= F.col("k"))
-    return by_length.select("id", F.explode(runs).alias("run")).join(broadcast_if_small(names.select("run", "entity")), "run").select("id", "entity").distinct()
+    names = gazetteer.filter(F.length("name") >= least).select(F.array_join(w, " ").alias("run"), F.element_at(w, 1).alias("first"), F.size(w).alias("k"), "entity", "source_id").filter("run <> ''").distinct()
+    starts = broadcast_if_small(names.groupBy("first").agg(F.sort_array(F.collect_set("k"), False).alias("ks")))
+    longest_name = names.agg(F.max("k")).first()[0] or 1
+    heads = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.slice("w", i, longest_name))
+    tokens = texts.select(F.col(id_col).alias("id"), "source_id", words(F.col(text)).alias("w")).filter("size(w) > 0").select("id", "source_id", F.posexplode(heads).alias("p", "head"))
+    runs = tokens.withColumn("first", F.col("head")[0]).join(starts, "first").select("id", "source_id", "p", "head", F.explode("ks").alias("k")).filter("size(head) >= k")
+    hit = runs.select("id", "source_id", "p", "k", F.array_join(F.slice("head", F.lit(1), F.col("k")), " ").alias("run")).join(broadcast_if_small(names.select("run", "entity", "source_id")), ["run", "source_id"])
+    longest = hit.groupBy("id", "p").agg(F.max("k").alias("k"))
+    return hit.join(longest, ["id", "p", "k"]).filter("id <> entity").select("id", "entity").distinct()
 
 
 def strip_html(text: Column) -> Column:
@@ -130,23 +133,31 @@ def sections(pages: DataFrame, text: str = "compiled_truth") -> DataFrame:
     return line.select("id", (F.col("p") + 1).alias("line_no"), F.length(F.regexp_extract("l", r"^(#+)", 1)).alias("level"), F.trim(F.regexp_replace("l", r"^#+ ", "")).alias("heading"))
 
 
-def greedy_distinct(results: DataFrame, by: str, rank: str, text: str, limit: float = 0.85) -> DataFrame:
-    """Of each ranking the rows whose word set is not nearer than ``limit`` (Jaccard) to one already kept; for result lists, which are short by construction."""
-    schema = results.schema
+def distinct_texts(texts: list[str | None], limit: float) -> list[bool]:
+    """Of texts in order, those whose set of lower-case words is not nearer than ``limit`` (Jaccard) to one already kept."""
+    kept: list[set[str]] = []
+    out = []
+    for t in texts:
+        s = set((t or "").lower().split())
+        out.append(all(len(s & k) <= limit * len(s | k) for k in kept if min(len(s), len(k)) >= limit * max(len(s), len(k)) and (s or k)))
+        if out[-1]:
+            kept.append(s)
+    return out
+
+
+def greedy_distinct(results: DataFrame, by: str, order: list[str], ascending: list[bool], text: str, limit: float = 0.85) -> DataFrame:
+    """Of each ranking the rows whose text is not nearer than ``limit`` to a better one that is kept; for result lists, which are short by construction. Texts alone and row keys
+    go to Python; a null text is kept.
+    """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        kept: list[set[str]] = []
-        keep = []
-        for _, r in g.sort_values(rank).iterrows():
-            s = set((r[text] or "").split())
-            if all(len(s & k) <= limit * len(s | k) for k in kept):
-                kept.append(s)
-                keep.append(True)
-            else:
-                keep.append(False)
-        return g.sort_values(rank)[keep]
-
-    return results.groupBy(by).applyInPandas(run, schema)
+        g = g.sort_values(order, ascending=ascending, kind="stable")
+        known = g[text].notna()
+        keep = pd.Series(True, index=g.index)
+        keep[known] = distinct_texts(g.loc[known, text].tolist(), limit)
+        return g[keep]
+
+    return results.groupBy(by).applyInPandas(run, results.schema)
 
 
 def conversation_windows(turns: DataFrame, by: str, order: str, size: int) -> DataFrame:

@@ -1,17 +1,19 @@
 """DuckDB statements that give the same rows as the registered queries."""
 
+from loregraph.functions.expressions import RECENCY, RECENCY_DEFAULT, SOURCE_FACTORS
+
 AS_OF = "TIMESTAMP '2025-06-01 00:00:00'"
 _LIVE = "SELECT * FROM pages WHERE deleted_at IS NULL"
 _DEGREES = "SELECT id, count(*) AS degree FROM (SELECT from_page_id AS id FROM links UNION ALL SELECT to_page_id FROM links) GROUP BY id"
-_FACTOR = """CASE WHEN starts_with(slug, 'media/articles/') THEN 1.1 WHEN starts_with(slug, 'media/repos/') THEN 1.1 WHEN starts_with(slug, 'originals/') THEN 1.5 WHEN starts_with(slug, 'companies/') THEN 1.2
-    WHEN starts_with(slug, 'concepts/') THEN 1.3 WHEN starts_with(slug, 'meetings/') THEN 1.1 WHEN starts_with(slug, 'writing/') THEN 1.4 WHEN starts_with(slug, 'media/x/') THEN 0.7
-    WHEN starts_with(slug, 'people/') THEN 1.2 WHEN starts_with(slug, 'deals/') THEN 1.2 WHEN starts_with(slug, 'daily/') THEN 0.8 ELSE 1.0 END::DOUBLE"""
-_HALF = """CASE WHEN starts_with(slug, 'media/articles/') THEN 90 WHEN starts_with(slug, 'originals/') THEN 180 WHEN starts_with(slug, 'companies/') THEN 365 WHEN starts_with(slug, 'concepts/') THEN 0
-    WHEN starts_with(slug, 'meetings/') THEN 60 WHEN starts_with(slug, 'writing/') THEN 365 WHEN starts_with(slug, 'media/x/') THEN 7 WHEN starts_with(slug, 'people/') THEN 365
-    WHEN starts_with(slug, 'deals/') THEN 180 WHEN starts_with(slug, 'daily/') THEN 14 WHEN starts_with(slug, 'chat/') THEN 7 ELSE 90 END::DOUBLE"""
-_COEF = """CASE WHEN starts_with(slug, 'media/articles/') THEN 0.5 WHEN starts_with(slug, 'originals/') THEN 0.5 WHEN starts_with(slug, 'companies/') THEN 0.3 WHEN starts_with(slug, 'concepts/') THEN 0
-    WHEN starts_with(slug, 'meetings/') THEN 1.0 WHEN starts_with(slug, 'writing/') THEN 0.4 WHEN starts_with(slug, 'media/x/') THEN 1.5 WHEN starts_with(slug, 'people/') THEN 0.3
-    WHEN starts_with(slug, 'deals/') THEN 0.5 WHEN starts_with(slug, 'daily/') THEN 1.5 WHEN starts_with(slug, 'chat/') THEN 1.0 ELSE 0.5 END::DOUBLE"""
+def _by_prefix(table: dict, default: float, col: str = "slug") -> str:
+    """The longest matching prefix decides."""
+    cases = " ".join(f"WHEN starts_with({col}, '{p}') THEN {float(v)}" for p, v in sorted(table.items(), key=lambda x: -len(x[0])))
+    return f"CASE {cases} ELSE {float(default)} END::DOUBLE"
+
+
+_FACTOR = _by_prefix(SOURCE_FACTORS, 1.0)
+_HALF = _by_prefix({p: v[0] for p, v in RECENCY.items()}, RECENCY_DEFAULT[0])
+_COEF = _by_prefix({p: v[1] for p, v in RECENCY.items()}, RECENCY_DEFAULT[1])
 
 
 def _recency(days: str) -> str:
@@ -33,7 +35,7 @@ def _scorecard(by: str) -> str:
     round(avg((weight - hit) * (weight - hit)), 6) AS brier, round(avg(hit), 6) AS accuracy, round(count(*) FILTER (quality = 'partial')::DOUBLE / count(*), 6) AS partial_rate FROM h GROUP BY {by}"""
 
 
-_WORDS = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> '')"
+_WORDS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 _KW = f"""qs(query_id, query) AS (VALUES (1, 'retrieval quality'), (2, 'citation check'), (3, 'board freeze'), (4, 'zebra')),
     terms AS (SELECT DISTINCT query_id, unnest({_WORDS.format("query")}) AS term FROM qs),
     post AS (SELECT id AS chunk_id, unnest({_WORDS.format("chunk_text")}) AS term FROM content_chunks),
@@ -51,7 +53,7 @@ def _pool(k: int, pages: str = "pages") -> str:
 _VISIBLE = """(SELECT * FROM pages WHERE deleted_at IS NULL AND json_extract(frontmatter, '$.quarantine') IS NULL AND NOT starts_with(slug, 'test/') AND NOT starts_with(slug, 'attachments/')
     AND NOT starts_with(slug, '.raw/') AND source_id NOT IN (SELECT id FROM sources WHERE archived))"""
 _TAGS = "SELECT DISTINCT id AS page_id, unnest(from_json(json_extract(frontmatter, '$.tags'), '[\"VARCHAR\"]')) AS tag FROM pages WHERE json_extract(frontmatter, '$.tags') IS NOT NULL"
-_SEEDS = "SELECT id FROM pages WHERE type = 'concept'"
+_SEEDS = "SELECT id FROM pages WHERE id % 20 = 0"
 _COS = "(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))))"
 
 ORACLES: dict[str, str] = {
@@ -107,7 +109,7 @@ ORACLES: dict[str, str] = {
     "recent_salience": f"""SELECT id, round(5 * coalesce(emotional_weight::DOUBLE, 0) + ln(1 + coalesce(n, 0)) + {_recency("age")}, 6) AS score FROM (SELECT *, {_age("updated_at")} AS age FROM ({_LIVE}))
         LEFT JOIN (SELECT page_id, count(DISTINCT (date, summary)) AS n FROM timeline_entries GROUP BY 1) t ON t.page_id = id WHERE age BETWEEN 0 AND 700 ORDER BY score DESC, id LIMIT 50""",
     "enrich_candidates": f"""SELECT id, inbound FROM ({_LIVE}) JOIN (SELECT to_page_id AS id, count(*) AS inbound FROM links GROUP BY 1) USING (id) WHERE coalesce(length(compiled_truth), 0) < 400 ORDER BY inbound DESC, id LIMIT 50""",
-    "adjacency_boosts": """WITH r AS (SELECT id, source_id FROM pages WHERE type IN ('concept', 'daily')) SELECT b.id, count(DISTINCT a.id) AS inbound, count(DISTINCT CASE WHEN a.source_id <> b.source_id THEN a.source_id END) AS foreign_sources
+    "adjacency_boosts": """WITH r AS (SELECT id, source_id FROM pages) SELECT b.id, count(DISTINCT a.id) AS inbound, count(DISTINCT CASE WHEN a.source_id <> b.source_id THEN a.source_id END) AS foreign_sources
         FROM links l JOIN r a ON l.from_page_id = a.id JOIN r b ON l.to_page_id = b.id WHERE a.id <> b.id GROUP BY b.id""",
     "prefix_sample": f"""SELECT prefix, id, degree FROM (SELECT split_part(slug, '/', 1) AS prefix, id, slug, coalesce(degree, 0) AS degree FROM ({_LIVE}) LEFT JOIN ({_DEGREES}) USING (id))
         QUALIFY row_number() OVER (PARTITION BY prefix ORDER BY degree DESC, slug, id) = 1""",
@@ -159,7 +161,7 @@ ORACLES: dict[str, str] = {
         a AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_id, page_id ORDER BY score DESC, chunk_id) <= 3), b AS (SELECT *, ceil(count(*) OVER (PARTITION BY query_id) * 0.6::DOUBLE) AS most FROM a),
         c AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY query_id, type ORDER BY score DESC, page_id, chunk_id) <= most)
         SELECT query_id, page_id, chunk_id FROM c QUALIFY row_number() OVER (PARTITION BY query_id, page_id ORDER BY score DESC, chunk_id) <= 2""",
-    "similar_titles": f"""WITH t AS (SELECT type, lower(title) AS t, min(id) AS id FROM pages WHERE type IN ('person', 'company', 'concept') AND title IS NOT NULL GROUP BY 1, 2),
+    "similar_titles": f"""WITH t AS (SELECT type, lower(title) AS t, min(id) AS id FROM pages WHERE title IS NOT NULL GROUP BY 1, 2),
         g AS (SELECT type, id, list_distinct(flatten(list_transform({_WORDS.format("t")}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS g FROM t),
         s AS (SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g)))::DOUBLE, 6) AS similarity FROM g a JOIN g b ON a.type = b.type AND a.id < b.id) SELECT * FROM s WHERE similarity >= 0.7""",
     "fanout_inbound": f"""WITH e AS (SELECT DISTINCT to_page_id AS src, from_page_id AS nxt, link_type FROM links WHERE link_source IS DISTINCT FROM 'mentions')
@@ -173,7 +175,7 @@ ORACLES: dict[str, str] = {
     "connects": """WITH RECURSIVE e AS (SELECT DISTINCT from_page_id AS a, to_page_id AS b FROM links WHERE link_source IS DISTINCT FROM 'mentions' UNION SELECT to_page_id, from_page_id FROM links WHERE link_source IS DISTINCT FROM 'mentions'),
         w AS (SELECT s AS seed, s AS node, 0 AS hop FROM (VALUES (3), (7)) t(s) UNION SELECT seed, b, hop + 1 FROM w JOIN e ON node = a WHERE hop < 2), m AS (SELECT seed, node, min(hop) AS hop FROM w GROUP BY 1, 2 HAVING min(hop) > 0)
         SELECT x.node, x.hop + y.hop AS hops FROM m x JOIN m y ON x.node = y.node AND x.seed = 3 AND y.seed = 7""",
-    "connected_components": """WITH RECURSIVE e AS (SELECT from_page_id AS a, to_page_id AS b FROM links WHERE link_type = 'founded' UNION SELECT to_page_id, from_page_id FROM links WHERE link_type = 'founded'),
+    "connected_components": """WITH RECURSIVE e AS (SELECT from_page_id AS a, to_page_id AS b FROM links UNION SELECT to_page_id, from_page_id FROM links),
         w AS (SELECT a AS page_id, a AS m FROM e UNION SELECT e.b, w.m FROM w JOIN e ON w.page_id = e.a) SELECT page_id, min(m) AS component FROM w GROUP BY 1""",
     "slugs_of_titles": """SELECT id, regexp_replace(regexp_replace(translate(lower(title), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages""",
     "headings": r"""WITH l AS (SELECT id, unnest(x) AS l, unnest(range(1, len(x) + 1)) AS line_no FROM (SELECT id, regexp_split_to_array(compiled_truth, '\r?\n') AS x FROM pages))
@@ -186,9 +188,10 @@ ORACLES: dict[str, str] = {
         SELECT id, line_no, CASE WHEN a THEN regexp_extract(l, '^\*\*([^*]+)\*\* \((\d{1,2}:\d{2})\): (.*)$', 1) ELSE regexp_extract(l, '^\[(\d{1,2}:\d{2})\] ([^:]{1,60}): (.*)$', 2) END AS speaker,
         CASE WHEN a THEN regexp_extract(l, '^\*\*([^*]+)\*\* \((\d{1,2}:\d{2})\): (.*)$', 2) ELSE regexp_extract(l, '^\[(\d{1,2}:\d{2})\] ([^:]{1,60}): (.*)$', 1) END AS "at",
         CASE WHEN a THEN regexp_extract(l, '^\*\*([^*]+)\*\* \((\d{1,2}:\d{2})\): (.*)$', 3) ELSE regexp_extract(l, '^\[(\d{1,2}:\d{2})\] ([^:]{1,60}): (.*)$', 3) END AS message FROM m""",
-    "title_mentions": f"""WITH w AS (SELECT id, {_WORDS.format("compiled_truth")} AS w FROM pages), r AS (SELECT id, ' ' || array_to_string(w, ' ') || ' ' AS t FROM w),
-        n AS (SELECT id AS entity, array_to_string({_WORDS.format("title")}, ' ') AS run, len({_WORDS.format("title")}) AS k FROM pages WHERE type = 'company' AND length(title) >= 4)
-        SELECT DISTINCT r.id, entity FROM r JOIN n ON run <> '' AND k <= 3 AND contains(t, ' ' || run || ' ')""",
+    "title_mentions": f"""WITH w AS (SELECT id, source_id, {_WORDS.format("compiled_truth")} AS w FROM pages), pos AS (SELECT id, source_id, unnest(w) AS first, unnest(range(1, len(w) + 1)) AS p FROM w),
+        n AS (SELECT DISTINCT array_to_string({_WORDS.format("title")}, ' ') AS run, ({_WORDS.format("title")})[1] AS first, len({_WORDS.format("title")}) AS k, id AS entity, source_id FROM pages WHERE length(title) >= 4),
+        c AS (SELECT pos.id, p, k, entity, run FROM pos JOIN n ON pos.first = n.first AND pos.source_id = n.source_id), h AS (SELECT c.id, p, k, entity FROM c JOIN w USING (id) WHERE p + k - 1 <= len(w) AND array_to_string(w[p:p + k - 1], ' ') = run)
+        SELECT DISTINCT id, entity FROM (SELECT *, max(k) OVER (PARTITION BY id, p) AS most FROM h) WHERE k = most AND id <> entity""",
     "context_link_types": r"""SELECT CASE WHEN regexp_matches(lower(context), '\b(founded|founder|co-founded|started)\b') THEN 'founded' WHEN regexp_matches(lower(context), '\b(invested|investor|backed|led the round)\b') THEN 'invested_in'
         WHEN regexp_matches(lower(context), '\b(advises|adviser|advisor|mentor)\b') THEN 'advises' WHEN regexp_matches(lower(context), '\b(works at|engineer|joined|employee|head of)\b') THEN 'works_at' ELSE 'mentions' END AS inferred, count(*) AS n FROM links GROUP BY 1""",
     "markdown_round_trip": "SELECT id, true AS same FROM pages",
@@ -227,7 +230,7 @@ ORACLES |= {
         SELECT n.name, coalesce(e.x, f.x, r.x, n.s) AS slug, CASE WHEN e.x IS NOT NULL THEN 'exact' WHEN f.x IS NOT NULL THEN 'fuzzy' WHEN r.x IS NOT NULL THEN 'prefix' ELSE 'new' END AS how FROM n LEFT JOIN e USING (name) LEFT JOIN f USING (name) LEFT JOIN r USING (name)""",
     "query_intents": r"""SELECT item_id, CASE WHEN regexp_matches(lower(question), '\b(when|yesterday|today|last (week|month|year)|recent|latest|since|20\d\d)\b') THEN 'temporal'
         WHEN regexp_matches(lower(question), '\b(who|whom|person|founder|ceo|works? at|invested)\b') THEN 'entity' WHEN regexp_matches(lower(question), '\b(meeting|call|launch|offsite|event|met)\b') THEN 'event' ELSE 'general' END AS intent FROM eval_items""",
-    "far_set": f"""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), c AS (SELECT * FROM v WHERE label < 3)
+    "far_set": f"""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), c AS (SELECT * FROM v WHERE label < 3 AND vec_id % 20 = 0)
         SELECT a.vec_id AS id, a.label, round(1 - max({_COS}), 6) AS distance FROM v a, c b WHERE a.label NOT IN (SELECT label FROM c) GROUP BY 1, 2 ORDER BY distance DESC, id LIMIT 25""",
     "adaptive_returns": """SELECT o_custkey AS query_id, o_orderkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS "rank" FROM orders QUALIFY "rank" <= CASE WHEN o_custkey % 2 = 0 THEN 2 ELSE 6 END""",
     "timeline_by_month": """WITH t AS (SELECT * FROM timeline_entries QUALIFY row_number() OVER (PARTITION BY page_id, date, summary, source ORDER BY id) = 1)
@@ -239,15 +242,36 @@ ORACLES |= {
 }
 
 ORACLES |= {
-    "cosine_rescored": f"""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), f AS (SELECT b.vec_id AS query_id, a.vec_id AS chunk_id, 1 / (60.0::DOUBLE + abs(a.vec_id - b.vec_id)) AS s, {_COS} AS c FROM v a JOIN v b ON a.label = b.label WHERE b.vec_id % 20 = 0)
-        SELECT query_id, chunk_id, round(0.7 * s / max(s) OVER (PARTITION BY query_id) + 0.3 * c, 6) AS score FROM f""",
+    "cosine_rescored": f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), f AS (SELECT b.vec_id AS query_id, a.vec_id AS chunk_id, {_COS} AS c FROM v a, v b WHERE b.vec_id % 20 = 0),
+        r AS (SELECT *, 1 / (60.0::DOUBLE + row_number() OVER (PARTITION BY query_id ORDER BY round(c, 6) DESC, chunk_id)) AS s FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(c, 6) DESC, chunk_id) <= 50)
+        SELECT query_id, chunk_id, round(0.7 * s / max(s) OVER (PARTITION BY query_id) + 0.3 * c, 6) AS score FROM r""",
     "exact_matches": f"""SELECT id, query, round({_FACTOR} * CASE WHEN lower(trim(title)) = lower(trim(query)) OR split_part(slug, '/', -1) = {_SLUG.format("query")} THEN 1.25 WHEN ends_with(split_part(slug, '/', -1), '-' || {_SLUG.format("query")}) THEN 1.1 ELSE 1.0 END, 6) AS score
         FROM ({_LIVE}), (VALUES ('Runway log'), ('notes'), ('weekly review digest')) q(query)""",
-    "graph_signals": """WITH r AS (SELECT id, source_id, slug, emotional_weight::DOUBLE AS s FROM pages WHERE type IN ('concept', 'daily')),
+    "graph_signals": """WITH r AS (SELECT id, source_id, slug, type, emotional_weight::DOUBLE AS s FROM pages),
         a AS (SELECT b.id, count(DISTINCT a.id) AS i, count(DISTINCT CASE WHEN a.source_id <> b.source_id THEN a.source_id END) AS f FROM links l JOIN r a ON l.from_page_id = a.id JOIN r b ON l.to_page_id = b.id WHERE a.id <> b.id GROUP BY b.id),
-        u AS (SELECT id, slug, s * CASE WHEN coalesce(i, 0) >= 2 THEN 1.05 ELSE 1.0 END::DOUBLE * CASE WHEN coalesce(f, 0) >= 2 THEN 1.1 ELSE 1.0 END::DOUBLE AS s FROM r LEFT JOIN a USING (id)),
-        p AS (SELECT *, regexp_extract(slug, '^(.*)/[^/]*$', 1) AS g FROM u) SELECT id AS page_id, round(CASE WHEN g <> '' AND row_number() OVER (PARTITION BY g ORDER BY s DESC, id) > 1 THEN s * 0.95::DOUBLE ELSE s END, 6) AS score FROM p""",
+        h AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY s DESC, id) <= 20 AS head FROM r),
+        u AS (SELECT id, slug, type, head, CASE WHEN head THEN s * CASE WHEN coalesce(i, 0) >= 2 THEN 1.05 ELSE 1.0 END::DOUBLE * CASE WHEN coalesce(f, 0) >= 2 THEN 1.1 ELSE 1.0 END::DOUBLE ELSE s END AS s FROM h LEFT JOIN a USING (id)),
+        p AS (SELECT *, regexp_extract(slug, '^(.*)/[^/]*$', 1) AS g FROM u)
+        SELECT id AS page_id, round(CASE WHEN head AND g <> '' AND row_number() OVER (PARTITION BY type, g, head ORDER BY s DESC, id) > 1 THEN s * 0.95::DOUBLE ELSE s END, 6) AS score FROM p""",
     "blast_radius": f"""WITH e AS (SELECT DISTINCT to_page_id AS src, from_page_id AS nxt FROM links), h1 AS (SELECT DISTINCT src AS seed, nxt AS node, 1 AS hop FROM e WHERE src IN ({_SEEDS}) AND nxt <> src),
         h2 AS (SELECT DISTINCT seed, nxt AS node, 2 AS hop FROM h1 JOIN e ON h1.node = e.src WHERE nxt <> seed AND NOT EXISTS (SELECT 1 FROM h1 x WHERE x.seed = h1.seed AND x.node = nxt))
         SELECT seed, node, hop, round(1 / (1 + 0.3::DOUBLE * hop), 6) AS confidence FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2)""",
 }
+
+_TITLE_FIT = "(t = qt OR (contains(qt, ' ') AND contains(' ' || t || ' ', ' ' || qt || ' ')))"
+_TAIL = "split_part(slug, '/', -1)"
+ORACLES["hybrid_fused"] = f"""WITH v AS (SELECT id, page_id, embedding::DOUBLE[] AS e FROM content_chunks WHERE model = 'embed-v2' AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    qs AS (SELECT p.id AS query_id, p.title AS query, array_to_string({_WORDS.format("p.title")}, ' ') AS qt, e FROM pages p JOIN (SELECT page_id, min_by(e, id) AS e FROM v GROUP BY 1) x ON x.page_id = p.id WHERE p.id % 20 = 0),
+    terms AS (SELECT DISTINCT query_id, unnest({_WORDS.format("query")}) AS term FROM qs), need AS (SELECT query_id, count(*) AS need FROM terms GROUP BY 1),
+    post AS (SELECT id AS chunk_id, unnest({_WORDS.format("chunk_text")}) AS term FROM content_chunks), tf AS (SELECT chunk_id, term, count(*) AS tf FROM post WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
+    kw AS (SELECT query_id, chunk_id, round(sum(1 + ln(tf)), 6) AS s FROM tf JOIN terms USING (term) JOIN need USING (query_id) GROUP BY query_id, chunk_id, need HAVING count(*) = need),
+    kr AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS r FROM kw QUALIFY r <= 100),
+    all_v AS (SELECT id, embedding::DOUBLE[] AS e FROM content_chunks WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    vs AS (SELECT b.query_id, a.id AS chunk_id, round({_COS}, 6) AS s FROM all_v a JOIN qs b ON len(a.e) = len(b.e)), vr AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS r FROM vs QUALIFY r <= 100),
+    f AS (SELECT query_id, chunk_id, sum(1 / (60.0::DOUBLE + r - 1)) AS rrf FROM (SELECT * FROM kr UNION ALL SELECT * FROM vr) GROUP BY 1, 2), g AS (SELECT *, rrf / max(rrf) OVER (PARTITION BY query_id) AS s0 FROM f),
+    n AS (SELECT to_page_id AS page_id, count(*) AS n FROM links WHERE link_source IS DISTINCT FROM 'mentions' GROUP BY 1),
+    j AS (SELECT g.query_id, g.chunk_id, c.page_id, p.slug, p.title, array_to_string({_WORDS.format("p.title")}, ' ') AS t, qs.qt, qs.query, coalesce(p.emotional_weight::DOUBLE, 0) AS ew, coalesce(n, 0) AS n, {_age("coalesce(p.effective_date, p.updated_at, p.created_at)")} AS age,
+        round(s0 * CASE WHEN c.chunk_source = 'compiled_truth' THEN 2.0::DOUBLE ELSE 1 END * {_FACTOR}, 9) AS s FROM g JOIN content_chunks c ON c.id = g.chunk_id JOIN ({_LIVE}) p ON p.id = c.page_id JOIN qs USING (query_id) LEFT JOIN n ON n.page_id = c.page_id),
+    b AS (SELECT *, max(s) OVER (PARTITION BY query_id) AS best, s * (1 + 0.05::DOUBLE * ln(1 + n)) * (1 + 0.15::DOUBLE * ln(1 + ew)) * (1 + 0.5::DOUBLE * {_recency("age")}) * CASE WHEN {_TITLE_FIT} THEN 1.25::DOUBLE ELSE 1 END
+        * CASE WHEN lower(trim(title)) = lower(trim(query)) OR {_TAIL} = {_SLUG.format("query")} THEN 1.25::DOUBLE WHEN ends_with({_TAIL}, '-' || {_SLUG.format("query")}) THEN 1.1::DOUBLE ELSE 1 END AS boosted FROM j)
+    SELECT query_id, page_id, chunk_id, round(CASE WHEN s >= 0.5 * best THEN boosted ELSE s END, 6) AS score FROM b"""

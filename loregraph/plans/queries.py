@@ -30,8 +30,8 @@ def claims(spark: SparkSession, d: str) -> DataFrame:
 
 
 def some_queries(spark: SparkSession, d: str) -> DataFrame:
-    """Search queries and their vectors: titles of all concept pages, with the vector of the page's first usable chunk."""
-    p = table(spark, d, "pages").filter("type = 'concept'").select(F.col("id").alias("query_id"), F.col("title").alias("query"))
+    """Search queries and their vectors: titles of the pages whose id is divisible by 20, with the vector of the page's first usable chunk."""
+    p = table(spark, d, "pages").filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("title").alias("query"))
     c = table(spark, d, "content_chunks").filter((F.col("model") == "embed-v2") & F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0))
     v = c.groupBy(F.col("page_id").alias("query_id")).agg(F.min_by("embedding", "id").alias("embedding"))
     return p.join(v, "query_id")
@@ -234,7 +234,7 @@ def enrich_candidates(spark, d):
 @q
 def adjacency_boosts(spark, d):
     p = table(spark, d, "pages")
-    return S.adjacency(p.filter("type in ('concept', 'daily')").select("id"), table(spark, d, "links"), p)
+    return S.adjacency(p.select("id"), table(spark, d, "links"), p)
 
 
 @q
@@ -351,7 +351,7 @@ def keyword_chunks(spark, d):
 @q
 def keyword_pages(spark, d):
     c = table(spark, d, "content_chunks")
-    return R.pool_pages(R.keyword_scores(c, kw_queries(spark)), c, table(spark, d, "pages"), 20).select("query_id", "page_id", "chunk_id", "score", "rank")
+    return R.pool_pages(R.keyword_scores(c, kw_queries(spark), keep=("page_id",)), None, table(spark, d, "pages"), 20).select("query_id", "page_id", "chunk_id", "score", "rank")
 
 
 @q
@@ -364,7 +364,7 @@ def substring_search(spark, d):
 def vector_search(spark, d):
     e = table(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
     qs = e.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
-    return R.top(R.vector_scores(e, qs), "query_id", "score", 10, "chunk_id")
+    return R.vector_hits(e, qs, 10)
 
 
 @q
@@ -401,7 +401,13 @@ def result_dedup(spark, d):
 
 @q
 def similar_titles(spark, d):
-    return R.similar_titles(table(spark, d, "pages").filter("type in ('person', 'company', 'concept')"), 0.7)
+    return R.similar_titles(table(spark, d, "pages"), 0.7)
+
+
+@q
+def hybrid_fused(spark, d):
+    """The arms of the hybrid search, fused and boosted, before deduplication."""
+    return R.fused_scores(table(spark, d, "pages"), table(spark, d, "content_chunks"), table(spark, d, "links"), some_queries(spark, d), AS_OF).select("query_id", "page_id", "chunk_id", "score")
 
 
 @q
@@ -413,16 +419,17 @@ def hybrid_search(spark, d):
 def hybrid_search_keyword(spark, d):
     """The flagship: keyword search over chunks with source factors, pooled to pages and cut by a token budget."""
     c = table(spark, d, "content_chunks")
-    pooled = R.pool_pages(R.keyword_scores(c, kw_queries(spark)), c, P.visible(table(spark, d, "pages"), table(spark, d, "sources")), 50)
-    cost = c.select(F.col("id").alias("chunk_id"), F.ceil(F.length("chunk_text") / 4).alias("cost"))
-    return S.token_budget(pooled.join(cost, "chunk_id"), "query_id", "rank", F.col("cost"), 4000).select("query_id", "page_id", "chunk_id", "score", "rank", "running")
+    c = c.withColumn("cost", F.ceil(F.length("chunk_text") / 4))
+    pooled = R.pool_pages(R.keyword_scores(c, kw_queries(spark), keep=("page_id", "cost")), None, P.visible(table(spark, d, "pages"), table(spark, d, "sources")), 50)
+    return S.token_budget(pooled, "query_id", "rank", F.col("cost"), 4000).select("query_id", "page_id", "chunk_id", "score", "rank", "running")
 
 
 # -- graph --------------------------------------------------------------------------------------------------------------------------------------------------------
 
 
 def graph_seeds(spark, d):
-    return table(spark, d, "pages").filter("type = 'concept'").select("id")
+    """The searches' seeds: every page whose id is divisible by 20, against all links."""
+    return table(spark, d, "pages").filter("id % 20 = 0").select("id")
 
 
 @q
@@ -449,7 +456,7 @@ def connects(spark, d):
 
 @q
 def connected_components(spark, d):
-    c = G.connected_components(table(spark, d, "links").filter("link_type = 'founded'"), "from_page_id", "to_page_id")
+    c = G.connected_components(table(spark, d, "links"), "from_page_id", "to_page_id")
     return c.select(F.col("node").alias("page_id"), "component")
 
 
@@ -484,7 +491,7 @@ def entity_refs(spark, d):
 @q
 def title_mentions(spark, d):
     p = table(spark, d, "pages")
-    names = p.filter("type = 'company'").select(F.col("title").alias("name"), F.col("id").alias("entity"))
+    names = p.select(F.col("title").alias("name"), F.col("id").alias("entity"), "source_id")
     return T.mentions(p, names, "id", "compiled_truth")
 
 
@@ -523,7 +530,7 @@ def facts_by_entity(spark, d):
 
 @q
 def facts_health(spark, d):
-    return K.health(table(spark, d, "events"), "ts", "2024-01-30 00:00:00")
+    return K.health(table(spark, d, "events"), "ts", "2024-01-30 00:00:00", "user_id")
 
 
 @q
@@ -648,7 +655,7 @@ def query_intents(spark, d):
 @q
 def far_set(spark, d):
     e = table(spark, d, "embeddings")
-    return V.far_set(e, e.filter("label < 3"), "vec_id", "label", "embedding", 25)
+    return V.far_set(e, e.filter("label < 3 and vec_id % 20 = 0"), "vec_id", "label", "embedding", 25)
 
 
 @q
@@ -691,10 +698,10 @@ def reciprocal_links(spark, d):
 
 @q
 def cosine_rescored(spark, d):
-    """Vectors of one label as a fused list of each query vector, re-scored with the cosine."""
+    """The nearest 50 vectors of each query vector with the reciprocal of their rank as the fused score, re-scored with the cosine."""
     e = table(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
-    qs = e.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding", "label")
-    fused = e.join(qs.select("query_id", "label"), "label").select("query_id", F.col("id").alias("chunk_id"), (1 / (60 + F.abs(F.col("id") - F.col("query_id")))).alias("score"))
+    qs = e.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    fused = R.vector_hits(e, qs, 50).select("query_id", "chunk_id", (1 / (60 + F.col("rank"))).alias("score"))
     return R.cosine_rescore(fused, e, qs).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -710,10 +717,9 @@ def exact_matches(spark, d):
 @q
 def graph_signals(spark, d):
     p = table(spark, d, "pages")
-    sel = p.filter("type in ('concept', 'daily')")
-    adj = S.adjacency(sel.select("id"), table(spark, d, "links"), p)
-    r = sel.select(F.lit(1).alias("query_id"), F.col("id").alias("page_id"), "slug", F.col("emotional_weight").cast("double").alias("score"))
-    return R.graph_signals(r, adj, 10_000).select("page_id", F.round("score", 6).alias("score"))
+    adj = S.adjacency(p.select("id"), table(spark, d, "links"), p)
+    r = p.select(F.col("type").alias("query_id"), F.col("id").alias("page_id"), "slug", F.col("emotional_weight").cast("double").alias("score"))
+    return R.graph_signals(r, adj).select("page_id", F.round("score", 6).alias("score"))
 
 
 @q

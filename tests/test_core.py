@@ -155,7 +155,7 @@ def test_similar_titles_equals_brute_force(spark):
 
 def test_greedy_distinct(spark):
     r = spark.createDataFrame([("q", 1, "a b c d"), ("q", 2, "a b c d"), ("q", 3, "x y"), ("q", 4, None)], "q string, r int, t string")
-    assert sorted(x.r for x in T.greedy_distinct(r, "q", "r", "t").collect()) == [1, 3, 4]
+    assert sorted(x.r for x in T.greedy_distinct(r, "q", ["r"], [True], "t").collect()) == [1, 3, 4]
 
 
 def test_sources(spark, tmp_path):
@@ -191,8 +191,70 @@ def test_mentions_of_long_names(spark):
     from loregraph.operators.text import mentions
 
     long = " ".join(f"Part{i}" for i in range(12))
-    names = spark.createDataFrame([("The Jilwolwhox Systems Company", 1), (long, 2), ("Runway", 3), ("Hourborvrenx Partners B.V.", 4), ("abc", 5), (None, 6)], "name string, entity long")
+    names = spark.createDataFrame([("The Jilwolwhox Systems Company", 1), (long, 2), ("Runway", 3), ("Hourborvrenx Partners B.V.", 4), ("abc", 5), (None, 6), ("Systems Company", 7)], "name string, entity long").withColumn("source_id", F.lit("s"))
     texts = [(1, "Met the JILWOLWHOX systems company, twice: the Jilwolwhox Systems Company."), (2, f"x {long.lower()} y runway"), (3, "The Jilwolwhox Systems; Hourborvrenx Partners B.V."), (4, None), (5, ""), (6, "abc")]
-    df = spark.createDataFrame(texts, "id long, t string")
-    assert sorted(map(tuple, mentions(df, names, "id", "t").collect())) == [(1, 1), (2, 2), (2, 3), (3, 4)]
+    df = spark.createDataFrame(texts, "id long, t string").withColumn("source_id", F.lit("s"))
+    assert sorted(map(tuple, mentions(df.withColumn("id", F.col("id") + 10), names, "id", "t").collect())) == [(11, 1), (11, 7), (12, 2), (12, 3), (13, 4)]
+    assert mentions(df.withColumn("source_id", F.lit("other")), names, "id", "t").count() == 0
+    assert sorted(map(tuple, mentions(df, names, "id", "t").collect())) == [(1, 7), (2, 3), (3, 4)]  # a text's own name does not count
     assert mentions(df, names.limit(0), "id", "t").count() == 0
+
+
+def test_nearest_in_blocks(spark):
+    """A third of all rows in one group, equal vectors, ties, unusable rows: the same as by brute force."""
+    import numpy as np
+
+    from loregraph.operators import vectors as V
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 8)).round(1)
+    x[::3] = x[0]
+    rows = [(i, [float(v) for v in x[i]], "hot" if i % 3 == 0 else f"g{i % 7}") for i in range(300)] + [(900, None, "hot"), (901, [0.0] * 8, "hot"), (902, [], "hot"), (903, [1.0, 2.0], "hot")]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, g string")
+    qs = df.filter("id % 20 = 0").withColumnRenamed("id", "query_id")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for group in (None, "g"):
+        got = {(r.query_id, r.rank): r.id for r in V.nearest(df, qs, 4, group=group, other_than_itself=True).collect()}
+        for q in range(0, 300, 20):
+            s = np.round(u @ u[q], 6)
+            sure = [j for j in np.lexsort((np.arange(300), -s)) if j != q and (group is None or rows[j][2] == rows[q][2])][:4]
+            assert [got[(q, r)] for r in range(1, 5)] == sure
+    assert V.nearest(df.limit(0), qs, 4).count() == 0
+
+
+def test_result_list_layers(spark):
+    from loregraph.operators import retrieval as R
+
+    rows = [(1, 10, 100, "timeline", "people/a", "person", "The same words here today", 0.9), (1, 10, 101, "compiled_truth", "people/a", "person", "other text", 0.1), (1, 20, 200, "timeline", "people/b", "person", "the SAME words here today", 0.8),
+            (1, 30, 300, "compiled_truth", "notes/c", "note", None, 0.7), (1, 40, 400, "timeline", "notes/d", "note", "quite another one", 0.6)]
+    df = spark.createDataFrame(rows, "query_id long, page_id long, chunk_id long, chunk_source string, slug string, type string, chunk_text string, score double")
+    kept = R.dedup_results(df, cap=1, alike=0.85)
+    assert sorted(r.chunk_id for r in kept.collect()) == [100, 300, 400]  # 200 repeats 100, 101 is over the cap
+    assert sorted(r.chunk_id for r in R.guarantee_compiled(kept, df).collect()) == [101, 300, 400]
+    adj = spark.createDataFrame([(1, 40, 2, 2)], "query_id long, page_id long, inbound long, foreign_sources long")
+    got = {r.chunk_id: round(r.score, 4) for r in R.graph_signals(df, adj, head=4).collect()}
+    assert got == {100: 0.9, 200: 0.76, 300: 0.7, 400: 0.6584, 101: 0.1}
+    al = spark.createDataFrame([("Big  Board", 40), ("big board", 99)], "alias string, page_id long")
+    qs = spark.createDataFrame([(1, " BIG board ")], "query_id long, query string")
+    hop = {(r.page_id, round(r.score, 3)) for r in R.alias_hop(df, al, qs).collect()}
+    assert (40, 0.66) in hop and (99, 0.9) in hop
+
+
+def test_swamp(spark):
+    """A chat log full of a term does not hide the page written about it."""
+    from loregraph.operators import retrieval as R
+
+    chunks = spark.createDataFrame([(1, 1, "compiled_truth", "the ledger idea"), (2, 2, "compiled_truth", "ledger ledger idea idea ledger idea")], "id long, page_id long, chunk_source string, chunk_text string")
+    pages = spark.createDataFrame([(1, "originals/ledger", "s", "concept"), (2, "openclaw/chat/2024", "s", "note")], "id long, slug string, source_id string, type string")
+    qs = spark.createDataFrame([(1, "ledger idea")], "query_id long, query string")
+    assert [r.page_id for r in R.pool_pages(R.keyword_scores(chunks, qs), chunks, pages, 5).orderBy("rank").collect()] == [1, 2]
+    assert [r.page_id for r in R.pool_pages(R.keyword_scores(chunks, qs), chunks, pages, 5, "high").orderBy("rank").collect()] == [2, 1]
+
+
+def test_websearch_syntax(spark):
+    from loregraph.operators import retrieval as R
+
+    chunks = spark.createDataFrame([(1, "Größere boards freeze budgets"), (2, "the budget board froze"), (3, "freeze the board"), (4, "zebras"), (5, None)], "id long, chunk_text string")
+    qs = spark.createDataFrame([(1, "board -froze"), (2, '"freeze budget"'), (3, "zebra or größere"), (4, "budget board"), (5, "")], "query_id long, query string")
+    got = sorted((r.query_id, r.chunk_id) for r in R.websearch_scores(chunks, qs).collect())
+    assert got == [(1, 1), (1, 3), (2, 1), (3, 1), (3, 4), (4, 1), (4, 2)]
