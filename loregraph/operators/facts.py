@@ -106,3 +106,92 @@ def health(facts: DataFrame, stamp: str, as_of: str, entity: str) -> DataFrame:
 def top_entities(facts: DataFrame, entity: str, k: int = 5) -> DataFrame:
     """The entities with the most facts."""
     return facts.groupBy(F.col(entity).alias("entity")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc("entity")).limit(k)
+
+
+def listed(facts: DataFrame, *, entity: tuple[str, object] | None = None, since: tuple[str, str] | None = None, kinds: tuple[str, list[str]] | None = None, visible: list[str] | None = None, only_active: bool = True, order: tuple[str, str] = ("valid_from", "id"), limit: int = 100) -> DataFrame:
+    """Facts, newest first: of one entity (column, value) or session, since a time (column, time), of some kinds (column, values), of allowed visibilities."""
+    f = active(facts) if only_active and "expired_at" in facts.columns else facts
+    if entity is not None:
+        f = f.filter(F.col(entity[0]) == entity[1])
+    if since is not None:
+        f = f.filter(F.col(since[0]) >= F.lit(since[1]).cast("timestamp_ntz"))
+    if kinds is not None:
+        f = f.filter(F.col(kinds[0]).isin(kinds[1]))
+    if visible is not None:
+        f = f.filter(F.col("visibility").isin(visible))
+    return f.orderBy(F.desc_nulls_last(order[0]), F.desc(order[1])).limit(limit)
+
+
+def trajectory(facts: DataFrame, entity: str, metric: str, value: str, stamp: str, id_col: str, *, of: object, metrics: list[str], since: str, until: str) -> DataFrame:
+    """(id, metric, value, at) of one entity's metrics within a window of days, in the order of time."""
+    f = facts.filter((F.col(entity) == of) & F.col(metric).isin(metrics) & (F.col(stamp) >= F.lit(since).cast("timestamp_ntz")) & (F.col(stamp) < F.lit(until).cast("timestamp_ntz")))
+    return f.select(F.col(id_col).alias("id"), F.col(metric).alias("metric"), F.col(value).alias("value"), F.col(stamp).alias("at")).orderBy("at", "id")
+
+
+def expired(facts: DataFrame, ids: DataFrame, at: str) -> DataFrame:
+    """The named facts (id, superseded_by or null) expire at ``at`` unless they have."""
+    s = ids.groupBy("id").agg(F.min("superseded_by").alias("__by"), F.lit(True).alias("__hit"))
+    j = facts.join(s, "id", "left")
+    hit = F.coalesce(F.col("__hit") & F.col("expired_at").isNull(), F.lit(False))
+    new = {"expired_at": F.when(hit, F.lit(at).cast("timestamp_ntz")).otherwise(F.col("expired_at")), "superseded_by": F.when(hit, F.coalesce("__by", "superseded_by")).otherwise(F.col("superseded_by"))}
+    return j.select(*[new.get(c, F.col(c)).alias(c) for c in facts.columns])
+
+
+def without_pages(facts: DataFrame, pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """Without facts that were derived from the named pages; facts of no page stay."""
+    return facts.join(pages.select(key).distinct(), key, "left_anti")
+
+
+def consolidated_into(facts: DataFrame, heads: DataFrame, at: str) -> DataFrame:
+    """Facts of clusters (id, head) with the time and the head they were consolidated into; those that were before keep theirs."""
+    j = facts.join(heads.groupBy("id").agg(F.min("head").alias("__head")), "id", "left")
+    new = F.col("consolidated_into").isNull() & F.col("__head").isNotNull()
+    cols = {"consolidated_into": F.when(new, F.col("__head")).otherwise(F.col("consolidated_into")), "consolidated_at": F.when(new, F.lit(at).cast("timestamp_ntz")).otherwise(F.col("consolidated_at"))}
+    return j.select(*[cols.get(c, F.col(c)).alias(c) for c in facts.columns])
+
+
+def repointed(facts: DataFrame, moves: DataFrame, key: str) -> DataFrame:
+    """Facts of an alias entity (old) carry the canonical one (new) instead."""
+    m = moves.groupBy(F.col("old").alias(key)).agg(F.min("new").alias("__new"))
+    return facts.join(m, key, "left").withColumn(key, F.coalesce("__new", key)).select(*facts.columns)
+
+
+def list_takes(takes: DataFrame, *, holder: object | None = None, domain: str | None = None, only_active: bool | None = None, resolved: bool | None = None, pages: DataFrame | None = None, visible: list[str] | None = None, least: float | None = None, sort: str = "since", limit: int = 100) -> DataFrame:
+    """Claims by any of the filters, the greatest of the sort column first, nulls last."""
+    if sort not in ("since", "weight", "row_num"):
+        raise ValueError(f"unknown order: {sort!r}")
+    t = takes
+    for c, v in (("holder", holder), ("domain", domain), ("active", only_active)):
+        t = t if v is None else t.filter(F.col(c) == v)
+    t = t if resolved is None else t.filter(F.col("quality").isNotNull() if resolved else F.col("quality").isNull())
+    t = t if pages is None else t.join(pages.select("page_id").distinct(), "page_id", "left_semi")
+    t = t if visible is None else t.filter(F.col("visibility").isin(visible))
+    t = t if least is None else t.filter(F.col("weight") >= least)
+    return t.orderBy(F.desc_nulls_last(sort), F.asc("page_id"), F.asc("row_num")).limit(limit)
+
+
+def update_takes(takes: DataFrame, changes: DataFrame, *cols: str) -> DataFrame:
+    """A partial update by (page_id, row_num): columns ``cols`` where the change has a value; resolved claims never change."""
+    keys = ["page_id", "row_num"]
+    c = changes.groupBy(*keys).agg(*[F.max(x).alias(f"__{x}") for x in cols])
+    j = takes.join(c, keys, "left")
+    return j.select(*[F.when(F.col("quality").isNull(), F.coalesce(f"__{x}", x)).otherwise(F.col(x)).alias(x) if x in cols else F.col(x) for x in takes.columns])
+
+
+def unresolved_attempts(takes: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Outcomes that may not be written because their claim is resolved already: to be reported as errors."""
+    return outcomes.join(takes.filter("quality is not null").select("page_id", "row_num"), ["page_id", "row_num"], "left_semi")
+
+
+def search_takes(takes: DataFrame, queries: DataFrame, claim: str = "claim", least: float = 0.3, k: int = 10) -> DataFrame:
+    """(query_id, page_id, row_num, similarity, rank): claims by trigram similarity, found by shared trigrams; the queries are a counted set."""
+    from loregraph.functions.expressions import jaccard, trigrams
+    from loregraph.session import broadcast_if_small
+
+    q = queries.select("query_id", trigrams(F.col("query")).alias("g"))
+    keys = broadcast_if_small(q.select("query_id", "g", F.explode("g").alias("x")))
+    t = takes.select("page_id", "row_num", trigrams(F.col(claim)).alias("t"))
+    cand = t.select("page_id", "row_num", "t", F.explode("t").alias("x")).join(keys, "x").groupBy("query_id", "page_id", "row_num").agg(F.first("t").alias("t"), F.first("g").alias("g"))
+    s = cand.select("query_id", "page_id", "row_num", F.round(jaccard(F.col("t"), F.col("g")), 6).alias("similarity")).filter(F.col("similarity") >= least)
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "page_id", "row_num")
+    return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

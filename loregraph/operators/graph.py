@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loregraph.session import checkpointed
@@ -81,3 +81,34 @@ def blast(links: DataFrame, seeds: DataFrame, depth: int = 5) -> DataFrame:
     """(seed, node, hop, confidence): what a change of a seed may reach along inbound edges, with confidence 1 / (1 + 0.3 hop) within 0.05 to 1."""
     c = F.least(F.greatest(1 / (1 + 0.3 * F.col("hop")), F.lit(0.05)), F.lit(1.0))
     return fanout(links, seeds, depth, "in", mentions=True).select("seed", "node", "hop", F.round(c, 6).alias("confidence"))
+
+
+def edges_of(links: DataFrame, ids: DataFrame, direction: str = "both") -> DataFrame:
+    """(id, other, link_type, way): the edges that leave, or reach, the asked nodes; both as the union of two equi-joins."""
+    asked = ids.select(F.col("id")).distinct()
+    out = links.select(F.col("from_page_id").alias("id"), F.col("to_page_id").alias("other"), "link_type", F.lit("out").alias("way")).join(asked, "id", "left_semi")
+    back = links.select(F.col("to_page_id").alias("id"), F.col("from_page_id").alias("other"), "link_type", F.lit("in").alias("way")).join(asked, "id", "left_semi")
+    return (out if direction == "out" else back if direction == "in" else out.unionAll(back)).distinct()
+
+
+def traverse(pages: DataFrame, links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(seed, id, slug, depth, out_links): every node of an outgoing walk at its fewest hops, the seed itself at 0, with its own outgoing links as sorted text ``type:target``."""
+    live = pages.filter("deleted_at is null").select("id", "slug")
+    w = fanout(links, seeds, depth, mentions=True).select("seed", F.col("node").alias("id"), F.col("hop").alias("depth"))
+    w = w.unionByName(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth")))
+    out = links.select("from_page_id", F.concat_ws(":", "link_type", F.col("to_page_id").cast("string")).alias("l")).groupBy(F.col("from_page_id").alias("id")).agg(F.array_sort(F.collect_set("l")).alias("out_links"))
+    return w.join(live, "id").join(out, "id", "left").select("seed", "id", "slug", "depth", F.coalesce("out_links", F.array().cast("array<string>")).alias("out_links"))
+
+
+def expanded(hits: DataFrame, links: DataFrame, hops: int = 2, per_hop: int = 50) -> DataFrame:
+    """(query_id, id, score, hop): hits (query_id, id, score) with their neighbours up to ``hops`` away at score / (1 + hop), the ``per_hop`` best new ones of each hop."""
+    e = links.select(F.col("from_page_id").alias("id"), F.col("to_page_id").alias("to")).unionAll(links.select(F.col("to_page_id"), F.col("from_page_id"))).distinct()
+    met = hits.groupBy("query_id", "id").agg(F.max("score").alias("base")).withColumn("hop", F.lit(0))
+    frontier = met
+    for hop in range(1, hops + 1):
+        nxt = frontier.select("query_id", "id", "base").join(e, "id").groupBy("query_id", F.col("to").alias("id")).agg(F.max("base").alias("base"))
+        new = nxt.join(met.select("query_id", "id"), ["query_id", "id"], "left_anti")
+        w = Window.partitionBy("query_id").orderBy(F.desc("base"), F.asc("id"))
+        frontier = checkpointed(new.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= per_hop).select("query_id", "id", "base", F.lit(hop).alias("hop")))
+        met = met.unionByName(frontier)
+    return met.select("query_id", "id", (F.col("base") / (1 + F.col("hop"))).alias("score"), "hop")

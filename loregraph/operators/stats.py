@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loregraph.functions.expressions import age_days, cosine, js_round, recency
-from loregraph.session import broadcast_if_small
+from loregraph.session import broadcast_if_small, checkpointed
 
 
 def live(pages: DataFrame) -> DataFrame:
@@ -185,11 +187,24 @@ def sessions(events: DataFrame, by: str, stamp: str, order: str, gap_minutes: in
     return s.groupBy(F.col(by).alias("entity"), "session").agg(F.count("*").alias("n"), F.min(order).alias("first_id"), F.max(order).alias("last_id")).filter(F.col("n") >= least)
 
 
+def running(df: DataFrame, by: list[str], order: list[str], amount: Column, name: str = "running") -> DataFrame:
+    """``df`` with the running sum of ``amount`` in the order of ``order`` within ``by``, for groups of any size.
+
+    The rows are cut into ranges of the order, whose sums are added up first; a task sees one range, never a whole group. Nulls in ``by`` are a group of their own.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = checkpointed(df.withColumn("__amount", amount).repartitionByRange(parts, *by, *order).withColumn("__range", F.spark_partition_id()))
+    per = cut.groupBy(*by, "__range").agg(F.sum("__amount").alias("__sum"))
+    before = per.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__range").alias("__r"), F.coalesce(F.sum("__sum").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], F.col("__range") == F.col("__r"))
+    inside = F.sum("__amount").over(Window.partitionBy(*by, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return cut.withColumn(name, inside).join(broadcast_if_small(before), same).withColumn(name, F.col(name) + F.col("__before")).select(*df.columns, name)
+
+
 def token_budget(ranked: DataFrame, by: str, rank: str, cost: Column, budget: int) -> DataFrame:
-    """The head of each ranking whose running cost stays within the budget; the first row over it ends the head."""
-    w = Window.partitionBy(by).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
-    r = ranked.withColumn("running", F.sum(cost).over(w))
-    return r.withColumn("over", F.max(F.col("running") > budget).over(w)).filter(~F.col("over")).drop("over")
+    """The head of each ranking whose running cost stays within the budget; the first row over it ends the head. Costs are not negative, so the running sum alone decides."""
+    return running(ranked, [by], [rank], F.greatest(cost, F.lit(0))).filter(F.col("running") <= budget)
 
 
 def autocut(ranked: DataFrame, by: str, rank: str, score: str, least_gap: float = 0.2) -> DataFrame:
@@ -212,10 +227,14 @@ def ir_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, by: str, score: str, shares: dict[str, float]) -> DataFrame:
-    """Values at index round((n - 1) x share), by rank within the group; no group is collected."""
-    w = Window.partitionBy(by).orderBy(score)
-    r = df.select(by, score, (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy(by)).alias("n"))
-    return r.groupBy(by).agg(F.count("*").alias("n"), *[F.max(F.when(F.col("i") == js_round((F.col("n") - 1) * s), F.col(score))).alias(c) for c, s in shares.items()])
+    """Values at index round((n - 1) x share) of each group. Equal values are counted first and ranked by running sums over ranges, so that few and large groups are spread."""
+    counts = df.filter(F.col(score).isNotNull()).groupBy(by, score).agg(F.count("*").alias("__n"))
+    upto = running(counts, [by], [score], F.col("__n"), "__upto")
+    n = broadcast_if_small(counts.groupBy(F.col(by).alias("__by")).agg(F.sum("__n").alias("n")))
+    r = upto.join(n, F.col(by).eqNullSafe(F.col("__by")))
+    at = lambda s: js_round((F.col("n") - 1) * s)
+    pick = lambda s: F.max(F.when((F.col("__upto") - F.col("__n") <= at(s)) & (at(s) < F.col("__upto")), F.col(score)))
+    return r.groupBy(by).agg(F.max("n").alias("n"), *[pick(s).alias(c) for c, s in shares.items()])
 
 
 def prefix_sample(pages: DataFrame, links: DataFrame) -> DataFrame:

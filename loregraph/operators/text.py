@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from loregraph.functions.expressions import words
-from loregraph.session import broadcast_if_small
+from loregraph.session import broadcast_if_small, checkpointed
 
 
 def entity_refs(pages: DataFrame, text: str = "compiled_truth") -> DataFrame:
@@ -178,6 +178,10 @@ def semantic_breaks(vectors: DataFrame, by: str, order: str, vec: str, share: fl
     s = vectors.withColumn("c", cosine(F.col(vec), F.lag(vec).over(w)))
     at = lambda k: F.coalesce(F.lead("c", k).over(w) if k > 0 else F.lag("c", -k).over(w) if k < 0 else F.col("c"), F.col("c"))
     s = s.withColumn("smooth", (-3 * at(-2) + 12 * at(-1) + 17 * at(0) + 12 * at(1) - 3 * at(2)) / 35)
-    low = F.percentile("smooth", F.lit(share)).over(Window.partitionBy(by))
-    cut = (F.col("smooth") <= low) & (F.col("smooth") <= F.coalesce(F.lag("smooth").over(w), F.lit(2.0))) & (F.col("smooth") < F.coalesce(F.lead("smooth").over(w), F.lit(2.0)))
-    return s.withColumn("cut", F.coalesce(cut, F.lit(False)).cast("int")).select(by, order, F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("segment"))
+    s = checkpointed(s.select(by, order, "smooth"))
+    low = broadcast_if_small(s.groupBy(by).agg(F.percentile("smooth", F.lit(share)).alias("__low")))
+    s = s.join(low, by)
+    cut = (F.col("smooth") <= F.col("__low")) & (F.col("smooth") <= F.coalesce(F.lag("smooth").over(w), F.lit(2.0))) & (F.col("smooth") < F.coalesce(F.lead("smooth").over(w), F.lit(2.0)))
+    from loregraph.operators.stats import running
+
+    return running(s.select(by, order, F.coalesce(cut, F.lit(False)).cast("int").alias("cut")), [by], [order], F.col("cut"), "segment").select(by, order, "segment")

@@ -275,3 +275,11 @@ ORACLES["hybrid_fused"] = f"""WITH v AS (SELECT id, page_id, embedding::DOUBLE[]
     b AS (SELECT *, max(s) OVER (PARTITION BY query_id) AS best, s * (1 + 0.05::DOUBLE * ln(1 + n)) * (1 + 0.15::DOUBLE * ln(1 + ew)) * (1 + 0.5::DOUBLE * {_recency("age")}) * CASE WHEN {_TITLE_FIT} THEN 1.25::DOUBLE ELSE 1 END
         * CASE WHEN lower(trim(title)) = lower(trim(query)) OR {_TAIL} = {_SLUG.format("query")} THEN 1.25::DOUBLE WHEN ends_with({_TAIL}, '-' || {_SLUG.format("query")}) THEN 1.1::DOUBLE ELSE 1 END AS boosted FROM j)
     SELECT query_id, page_id, chunk_id, round(CASE WHEN s >= 0.5 * best THEN boosted ELSE s END, 6) AS score FROM b"""
+
+from loregraph.plans.store import ORACLES as _STORE  # noqa: E402
+from loregraph.plans.structure import ORACLES as _STRUCTURE  # noqa: E402
+
+ORACLES |= _STORE | _STRUCTURE
+
+_CUT = _KW.replace("hits AS (SELECT query_id, chunk_id, sum(1 + ln(tf)) AS score", "hits0 AS (SELECT query_id, chunk_id, round(sum(1 + ln(tf)), 6) AS score") + ", hits AS (SELECT * FROM hits0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 100)"
+ORACLES["over_fetched_pages"] = f"""WITH {_CUT}, {_pool(20)} SELECT query_id, page_id, chunk_id, "rank" FROM pooled"""

@@ -483,11 +483,6 @@ def transcript_lines(spark, d):
     return T.speakers(table(spark, d, "pages"))
 
 
-@q
-def entity_refs(spark, d):
-    return T.entity_refs(table(spark, d, "pages"))
-
-
 @q
 def title_mentions(spark, d):
     p = table(spark, d, "pages")
@@ -730,3 +725,9 @@ def blast_radius(spark, d):
 @q
 def semantic_segments(spark, d):
     return T.semantic_breaks(table(spark, d, "embeddings"), "label", "vec_id", "embedding")
+
+
+from loregraph.plans.store import QUERIES as _STORE  # noqa: E402
+from loregraph.plans.structure import QUERIES as _STRUCTURE  # noqa: E402
+
+QUERIES |= _STORE | _STRUCTURE

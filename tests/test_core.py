@@ -258,3 +258,16 @@ def test_websearch_syntax(spark):
     qs = spark.createDataFrame([(1, "board -froze"), (2, '"freeze budget"'), (3, "zebra or größere"), (4, "budget board"), (5, "")], "query_id long, query string")
     got = sorted((r.query_id, r.chunk_id) for r in R.websearch_scores(chunks, qs).collect())
     assert got == [(1, 1), (1, 3), (2, 1), (3, 1), (3, 4), (4, 1), (4, 2)]
+
+
+def test_running_sums_of_a_hot_group(spark):
+    rows = [("hot" if i % 3 else f"g{i % 5}" if i % 2 else None, i, (i * 37) % 11) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, r int, x int")
+    sure, total = {}, {}
+    for g, r, x in sorted(rows, key=lambda t: t[1]):
+        total[g] = total.get(g, 0) + x
+        sure[r] = total[g]
+    assert {r.r: r.running for r in S.running(df, ["g"], ["r"], F.col("x")).collect()} == sure
+    budget = S.token_budget(df, "g", "r", F.col("x"), 40)
+    assert {r.r for r in budget.collect()} == {r for _, r, _ in rows if sure[r] <= 40}
+    assert S.running(df.limit(0), ["g"], ["r"], F.col("x")).count() == 0
