@@ -278,7 +278,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", tex
     pairs = left.join(right, ["gram", "part"]).filter("before = item_before or after = item_after").select("doc_id", "words_id", "passage_id").distinct()
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher, passages_ = Hasher(), {}
+        hasher, passages_, few = Hasher(), {}, least_seeds(min_words)
         for b in batches:
             out = []
             for doc, words, items_ in zip(b["doc_id"], b["words"], b["items"]):
@@ -290,8 +290,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", tex
                         if len(passages_) >= 100_000:
                             passages_.clear()
                         p = words_of(x["passage"])
-                        passages_[item] = p, hasher(p)
-                    p, pg = passages_[item]
+                        passages_[item] = p, (g := hasher(p)), np.sort(g)
+                    p, pg, ranked = passages_[item]
+                    if (ranked[np.minimum(np.searchsorted(ranked, wg), len(ranked) - 1)] == wg).sum() < few:
+                        continue  # too few seeds in common, wherever they stand
                     if got := best_copy(p, w, runs(wg, pg), min_words):
                         out.append((doc, item, got[0], got[1], len(p), got[2] + 1, got[3]))
             yield pd.DataFrame(out, columns=["doc_id", "passage_id", "copied_words", "altered_words", "passage_words", "first_word", "score"])
