@@ -76,7 +76,7 @@ def conversations(pages: DataFrame, text: str = "compiled_truth") -> DataFrame:
 
 def window_candidates(turns: DataFrame, by: str, order: str, speaker: str, text: str, user: str, most: int = 12) -> DataFrame:
     """(by, candidate, occurrences, newest, by_user): runs of capitalised words and handles in a conversation's turns, the ``most`` most frequent and then newest of each."""
-    found = F.concat(F.regexp_extract_all(F.col(text), F.lit(r"(?<![\p{L}.!?] )(?<!^)(\p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)*)"), 1), F.regexp_extract_all(F.col(text), F.lit(r"(?<![\w@])@(\w{2,30})"), 1))
+    found = F.concat(F.regexp_extract_all(F.col(text), F.lit(r"(?<![.!?] )(?<!^)(?<!\p{L})(\p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)*)"), 1), F.regexp_extract_all(F.col(text), F.lit(r"(?<![\w@])@(\w{2,30})"), 1))
     hit = turns.select(by, order, (F.col(speaker) == user).alias("mine"), F.explode(found).alias("candidate"))
     n = hit.groupBy(by, "candidate").agg(F.count("*").alias("occurrences"), F.max(order).alias("newest"), F.max("mine").alias("by_user"))
     w = Window.partitionBy(by).orderBy(F.desc("occurrences"), F.desc("newest"), F.asc("candidate"))

@@ -34,6 +34,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", *
 
 
 def _steps(links: DataFrame, direction: str) -> DataFrame:
+    links = links.filter("from_page_id is not null and to_page_id is not null")
     out = links.select(F.col("from_page_id").alias("at"), F.col("to_page_id").alias("to"), "link_type")
     back = links.select(F.col("to_page_id").alias("at"), F.col("from_page_id").alias("to"), "link_type")
     return (out if direction == "out" else back if direction == "in" else out.unionAll(back)).distinct()
@@ -102,7 +103,7 @@ def traverse(pages: DataFrame, links: DataFrame, seeds: DataFrame, depth: int) -
 
 def expanded(hits: DataFrame, links: DataFrame, hops: int = 2, per_hop: int = 50) -> DataFrame:
     """(query_id, id, score, hop): hits (query_id, id, score) with their neighbours up to ``hops`` away at score / (1 + hop), the ``per_hop`` best new ones of each hop."""
-    e = links.select(F.col("from_page_id").alias("id"), F.col("to_page_id").alias("to")).unionAll(links.select(F.col("to_page_id"), F.col("from_page_id"))).distinct()
+    e = links.select(F.col("from_page_id").alias("id"), F.col("to_page_id").alias("to")).unionAll(links.select(F.col("to_page_id"), F.col("from_page_id"))).filter("id is not null and to is not null").distinct()
     met = hits.groupBy("query_id", "id").agg(F.max("score").alias("base")).withColumn("hop", F.lit(0))
     frontier = met
     for hop in range(1, hops + 1):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loregraph.functions import expressions as X
@@ -15,6 +17,7 @@ from loregraph.operators import relational as L
 from loregraph.operators import retrieval as R
 from loregraph.plans.store import _LIVE, _TAKES, aliases, takes
 from loregraph.session import table
+from loregraph.streaming import ingest as I
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -421,3 +424,59 @@ def synthesis_evidence(spark, d):
     """Pages that rest on active claims."""
     t = takes(spark, d).filter("active").select("page_id").distinct()
     return t.join(table(spark, d, "pages").select(F.col("id").alias("page_id"), "title"), "page_id")
+
+
+# -- streams and files --------------------------------------------------------------------------------------------------------------------------------------------
+
+
+def _stream(spark, d):
+    return I.read_stream(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+
+
+@q("SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2")
+def streamed_counters(spark, d):
+    """Events per day and type, counted as a stream."""
+    return I.drained(I.daily_counters(_stream(spark, d), "event_type"), "complete")
+
+
+@q("SELECT event_id FROM events QUALIFY coalesce(ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) >= INTERVAL 24 HOUR, true)")
+def streamed_dedup(spark, d):
+    """Events of a user and type without those that follow one of the last day; a suppressed one renews the time."""
+    return I.drained(I.dedup_sliding(_stream(spark, d), ["user_id", "event_type"])).select("event_id")
+
+
+@q()
+def streamed_rate_limit(spark, d):
+    return I.drained(I.rate_limited(_stream(spark, d), "user_id", 3, 86_400)).select("event_id")
+
+
+@q("SELECT source_id || '/' || slug AS slug, compiled_truth FROM pages")
+def markdown_files(spark, d):
+    """All pages written as markdown files and read back."""
+    from loregraph.operators.text import from_markdown, to_markdown
+    from loregraph.session import ensure_checkpoint_dir
+    from loregraph.sources.files import read_markdown, write_markdown
+
+    p = table(spark, d, "pages")
+    folder = f"{ensure_checkpoint_dir(spark)}/markdown-{uuid.uuid4().hex}"
+    write_markdown(to_markdown(p).join(p.select("id", F.concat_ws("/", "source_id", "slug").alias("slug")), "id"), folder)
+    back = read_markdown(spark, folder).withColumn("id", F.monotonically_increasing_id())
+    return back.select("id", "slug").join(from_markdown(back), "id").select("slug", "compiled_truth")
+
+
+@q("SELECT id FROM pages WHERE id % 3 > 0 OR compiled_truth IS NULL")
+def changed_files(spark, d):
+    """Files whose content is not the one known, every third page's being known."""
+    from loregraph.sources.files import changed
+
+    p = table(spark, d, "pages").select("id", F.col("id").cast("string").alias("slug"), F.col("compiled_truth").alias("markdown"))
+    known = p.filter("id % 3 = 0 and markdown is not null").select("slug", F.sha2("markdown", 256).alias("content_hash"))
+    return changed(p, known).select("id")
+
+
+@q("SELECT id, 1 AS fence_no, 'py' AS language, 'x = ' || id || chr(10) AS code FROM pages UNION ALL SELECT id, 2, '', 'plain' || chr(10) FROM pages")
+def code_fences(spark, d):
+    from loregraph.sources.files import code_fences as fences
+
+    p = table(spark, d, "pages")
+    return fences(p.select("id", F.concat(F.lit("a\n```py\nx = "), F.col("id").cast("string"), F.lit("\n```\nb\n```\nplain\n```\n")).alias("compiled_truth")))

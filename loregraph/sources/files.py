@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +37,29 @@ def infer_front(files: DataFrame) -> DataFrame:
     return files.select("slug", F.coalesce(field("title"), heading, name).alias("title"), kind.alias("type"), day.alias("day"), body.alias("body"))
 
 
-def write_markdown(docs: DataFrame, folder: str) -> None:
-    """One text file per row of (slug, markdown), written by the executors; the slug is kept as a partition of the path."""
-    docs.select("slug", F.col("markdown").alias("value")).repartition("slug").write.mode("overwrite").partitionBy("slug").option("lineSep", "\n").text(folder)
+def write_markdown(docs: DataFrame, folder: str) -> int:
+    """One ``.md`` file per row of (slug, markdown) below ``folder``, a place all executors share, written by the executors; ``read_markdown`` reads them back. Gives their number.
+
+    A slug that leaves the folder is an error; a task that runs again writes the same files again.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+        made: set[str] = set()
+        for b in batches:
+            for slug, text in zip(b["slug"], b["markdown"]):
+                if not slug or ".." in slug.split("/") or slug.startswith("/"):
+                    raise ValueError(f"no file name: {slug!r}")
+                path = f"{base.rstrip('/')}/{slug}.md"
+                parent = path.rpartition("/")[0]
+                if parent not in made:
+                    fs.create_dir(parent, recursive=True)
+                    made.add(parent)
+                with fs.open_output_stream(path) as f:
+                    f.write((text or "").encode())
+            yield pd.DataFrame({"n": [len(b)]})
+
+    return docs.select("slug", "markdown").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def read_binary(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:

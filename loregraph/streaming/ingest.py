@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loregraph.session import ensure_checkpoint_dir
+
 DEDUP_HOURS = 24
 
 
@@ -46,10 +50,57 @@ def dedup_sliding(events: DataFrame, keys: list[str], stamp: str = "ts", hours:
     return events.groupBy(*keys).applyInPandasWithState(run, schema, "seen long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def rate_limited(events: DataFrame, by: str, capacity: int, window: str = "1 minute", stamp: str = "ts") -> DataFrame:
-    """Events over the capacity of a window per key: (key, window_start, dropped)."""
-    n = events.groupBy(by, F.window(stamp, window).alias("w")).agg(F.count("*").alias("n"))
-    return n.select(F.col(by), F.col("w.start").alias("window_start"), F.greatest(F.col("n") - capacity, F.lit(0)).alias("dropped"))
+def rate_limited(events: DataFrame, by: str, capacity: int, seconds: float = 60, stamp: str = "ts") -> DataFrame:
+    """The events of each key that fewer than ``capacity`` accepted ones precede within ``seconds``; the others are dropped. State is the times of the last accepted events.
+
+    As for ``dedup_sliding``, the events of a key are taken in time order within a batch and must carry a watermark; batches are as large as the source's limit on files.
+    """
+    schema = events.schema
+    span = pd.Timedelta(seconds=seconds)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = deque((pd.Timestamp(t, unit="us") for t in state.get[0]) if state.exists else (), maxlen=capacity)
+        rows = pd.concat(list(batches)).sort_values(stamp, kind="stable")
+        keep = []
+        for t in rows[stamp]:
+            keep.append(len(last) < capacity or t - last[0] >= span)
+            if keep[-1]:
+                last.append(t)
+        state.update(([int(t.value // 1000) for t in last],))
+        state.setTimeoutTimestamp(max(int((last[-1] + span).value // 1_000_000), state.getCurrentWatermarkMs() + 1))
+        yield rows[keep]
+
+    return events.groupBy(by).applyInPandasWithState(run, schema, "last array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def trickle_only(events: DataFrame, keys: list[str], mode: str = "mode", stamp: str = "ts", hours: int = DEDUP_HOURS) -> tuple[DataFrame, DataFrame]:
+    """(trickle without copies, bulk as it is): bulk deliveries are never suppressed."""
+    return dedup_sliding(events.filter(~F.col(mode).eqNullSafe("bulk")), keys, stamp, hours), events.filter(F.col(mode) == "bulk")
+
+
+def read_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, one file or a folder of files, as a stream of its files."""
+    files = spark.read.parquet(path)
+    folder, _, name = files.inputFiles()[0].rpartition("/")
+    return spark.readStream.schema(files.schema).option("pathGlobFilter", name if path.rstrip("/").endswith(name) else "*.parquet").parquet(folder)
+
+
+def drained(df: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream gives for what is there now, written to and read from a folder of the session's shared one."""
+    spark = df.sparkSession
+    at = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    if mode == "append":
+        drain(df, f"{at}/out", f"{at}/ckpt")
+        return spark.read.schema(df.schema).parquet(f"{at}/out")
+
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out")
+
+    df.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/ckpt").foreachBatch(replace).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{at}/out")
 
 
 def daily_counters(events: DataFrame, *by: str, stamp: str = "ts") -> DataFrame:
