@@ -248,3 +248,23 @@ def alias_hop(results: DataFrame, aliases: DataFrame, queries: DataFrame, boost:
     best = present.groupBy("query_id").agg(F.max("score").alias("best"))
     new = hit.join(results.select("query_id", "page_id").distinct(), ["query_id", "page_id"], "left_anti").join(best, "query_id", "left").withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy("page_id"))).filter(F.col("rn") <= most)
     return present.unionByName(new.select("query_id", "page_id", (F.coalesce("best", F.lit(0.0)) + 1e-6).alias("score")), allowMissingColumns=True)
+
+
+def alias_target_boost(results: DataFrame, aliases: DataFrame, factor: float = 1.05) -> DataFrame:
+    """Results (page_id, score, ...) that are the page of some alias rise a little."""
+    target = aliases.select("page_id").distinct().withColumn("__hit", F.lit(True))
+    return results.join(target, "page_id", "left").withColumn("score", F.when(F.col("__hit"), F.col("score") * factor).otherwise(F.col("score"))).select(*results.columns)
+
+
+def reranked(results: DataFrame, scorer: Column, head: int = 30) -> DataFrame:
+    """The best ``head`` results of each query in the order of a scorer the caller gives (a column, null where it fails); those it does not score keep their places below, as does the rest."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("page_id"), F.asc("chunk_id"))
+    r = results.withColumn("__rn", F.row_number().over(w)).withColumn("__s", F.when(F.col("__rn") <= head, scorer))
+    order = [F.when(F.col("__rn") > head, 2).when(F.col("__s").isNull(), 1).otherwise(0), F.desc_nulls_last("__s"), F.asc("__rn")]
+    return r.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).select(*results.columns, "rank")
+
+
+def explained(**factors: Column) -> Column:
+    """One line that names the factors other than 1 of a score, in the order given."""
+    parts = [F.when(F.round(c, 3) != 1, F.concat(F.lit(f"{n} x"), F.format_number(c, 3))) for n, c in factors.items()]
+    return F.concat_ws(", ", *parts)

@@ -125,20 +125,24 @@ def anomalies(events: DataFrame, cohort: str, stamp: str, day: str, lookback: in
     return today.join(base, "cohort").filter(over).withColumn("sigma_observed", seen).orderBy(F.desc("sigma_observed"), F.asc("cohort")).limit(k)
 
 
-def emotional_weight(tags: DataFrame, pages: DataFrame, entries: DataFrame, high: list[str]) -> DataFrame:
-    """0.5 for a tag of high emotion, 0.1 per dated entry up to 0.3, clamped to 1."""
+def emotional_weight(tags: DataFrame, pages: DataFrame, entries: DataFrame, high: list[str], takes: DataFrame | None = None, user: object = None) -> DataFrame:
+    """0.5 for a tag of high emotion, 0.1 per dated entry up to 0.3, and, of active claims (page_id, holder, weight, active), a tenth of their mean weight and of the user's share; clamped to 1."""
     hot = tags.filter(F.col("tag").isin(high)).select("page_id").distinct().withColumn("hot", F.lit(0.5))
     n = entries.groupBy("page_id").agg(F.count("*").alias("n"))
     j = pages.select(F.col("id").alias("page_id")).join(hot, "page_id", "left").join(n, "page_id", "left")
     w = F.coalesce("hot", F.lit(0.0)) + F.least(F.coalesce(F.col("n"), F.lit(0)) * 0.1, F.lit(0.3))
+    if takes is not None:
+        t = takes.filter("active").groupBy("page_id").agg(F.avg("weight").alias("__w"), F.avg((F.col("holder") == user).cast("double")).alias("__u"))
+        j = j.join(t, "page_id", "left")
+        w = w + 0.1 * F.coalesce("__w", F.lit(0.0)) + 0.1 * F.coalesce("__u", F.lit(0.0))
     return j.select("page_id", F.round(F.least(F.greatest(w, F.lit(0.0)), F.lit(1.0)), 6).alias("weight"))
 
 
-def recent_salience(pages: DataFrame, entries: DataFrame, as_of: str, days: int, k: int) -> DataFrame:
-    """5 x emotional weight + ln(1 + entries) + recency, of the pages changed within ``days``."""
+def recent_salience(pages: DataFrame, entries: DataFrame, as_of: str, days: int, k: int, takes: DataFrame | None = None) -> DataFrame:
+    """5 x emotional weight + ln(1 + entries, or active claims if they are given) + recency, of the pages changed within ``days``."""
     age = age_days(F.col("updated_at"), as_of)
     p = live(pages).filter((age >= 0) & (age <= days)).select("id", "slug", "emotional_weight", age.alias("age"))
-    n = entries.groupBy(F.col("page_id").alias("id")).agg(F.countDistinct("date", "summary").alias("n"))
+    n = entries.groupBy(F.col("page_id").alias("id")).agg(F.countDistinct("date", "summary").alias("n")) if takes is None else takes.filter("active").groupBy(F.col("page_id").alias("id")).agg(F.countDistinct("row_num").alias("n"))
     s = 5 * F.coalesce(F.col("emotional_weight").cast("double"), F.lit(0.0)) + F.log1p(F.coalesce("n", F.lit(0))) + recency(F.col("slug"), F.col("age"))
     return p.join(n, "id", "left").select("id", "slug", F.round(s, 6).alias("score")).orderBy(F.desc("score"), F.asc("id")).limit(k)
 

@@ -316,6 +316,12 @@ def generations_valid(stored: DataFrame, pages: DataFrame) -> DataFrame:
     return j.groupBy("entry").agg(F.coalesce(F.min(F.coalesce(F.col("now") == F.col("generation"), F.lit(False))), F.lit(False)).alias("valid"))
 
 
+def bump_generations(pages: DataFrame, changed: DataFrame) -> DataFrame:
+    """Pages whose id is among the changed ones have the next generation."""
+    c = changed.select("id").distinct().withColumn("__hit", F.lit(True))
+    return changed_where(pages.join(c, "id", "left"), F.col("__hit"), generation=F.col("generation") + 1).select(*pages.columns)
+
+
 def knobs_hash(**knobs: object) -> str:
     """A key for cached results: the SHA-256 of the settings in the order of their names."""
     import hashlib

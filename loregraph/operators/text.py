@@ -82,32 +82,76 @@ def alias_norm(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else re.sub(r"\s+", " ", unicodedata.normalize("NFKC", x).lower()).strip(" \"'“”‘’()[]"))
 
 
-_LEVELS = [r"\n{2,}", r"\n", r"(?<=[.!?])\s+", r"(?<=[;:,])\s+", r"\s+"]
+_LEVELS = [re.compile(p) for p in (r"\n{2,}", r"\n", r"(?<=[.!?])\s+|(?<=[。！？])", r"(?<=[;:,])\s+|(?<=[；：，、])", r"\s+")]
+_CJK = re.compile(r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff]")
 
 
-def chunk_text(text: str, target: int = 300, overlap: int = 50) -> list[str]:
-    """Chunks of about ``target`` words, cut at the strongest delimiter that makes small enough parts; each begins with the last ``overlap`` words of the one before."""
+def count_words(text: str, dense: float = 0.30) -> int:
+    """Words between blanks; characters where at least ``dense`` of the text is written without blanks."""
+    w = text.split()
+    n = sum(map(len, w))
+    return n if n and len(_CJK.findall(text)) >= dense * n else len(w)
 
-    def parts(t: str, level: int) -> list[str]:
-        if len(t.split()) <= target or level >= len(_LEVELS):
-            w = t.split()
-            return [t] if len(w) <= target else [" ".join(w[i : i + target]) for i in range(0, len(w), target)]
-        return [p for x in re.split(_LEVELS[level], t) if x.strip() for p in parts(x, level + 1)]
 
-    out: list[list[str]] = []
-    for p in parts(text or "", 0):
-        w = p.split()
-        if out and len(out[-1]) + len(w) <= target * 1.5 and len(out[-1]) < target:
-            out[-1] += w
-        elif w:
-            out.append(w)
-    return [" ".join((out[i - 1][-overlap:] if i and overlap else []) + w) for i, w in enumerate(out)]
+def chunk_spans(text: str, target: int = 300, overlap: int = 50, most_chars: int = 6_000) -> list[tuple[int, int, int]]:
+    """(begin, core, end) of chunks of about ``target`` words, cut at the strongest delimiter that makes small enough parts and merged again up to half more than that.
 
+    The cores follow one another and make up the whole text; each chunk begins with the last ``overlap`` words of the one before. A chunk of more than ``most_chars`` characters is cut
+    there, with a tenth of that, 500 at most, of overlap.
+    """
+
+    def parts(s: int, e: int, level: int) -> list[tuple[int, int]]:
+        if count_words(text[s:e]) <= target:
+            return [(s, e)]
+        if level == len(_LEVELS):
+            step = max(1, target)
+            return [(k, min(k + step, e)) for k in range(s, e, step)]  # one word, or a text without blanks
+        cuts = [s, *(m.end() for m in _LEVELS[level].finditer(text, s, e) if s < m.end() < e), e]
+        if level == len(_LEVELS) - 1:
+            cuts = [*cuts[:-1:target], e] if len(cuts) > 2 else cuts
+        return [p for x, y in zip(cuts, cuts[1:]) for p in parts(x, y, level + 1)]
+
+    cores: list[list[int]] = []
+    size = 0
+    for s, e in parts(0, len(text), 0):
+        n = count_words(text[s:e])
+        if cores and size < target and size + n <= target * 1.5:
+            cores[-1][1], size = e, size + n
+        else:
+            cores.append([s, e])
+            size = n
+    out = []
+    for k, (s, e) in enumerate(cores):
+        begin = s
+        if k and overlap:
+            starts = [m.start() for m in re.finditer(r"\S+", text[cores[k - 1][0] : s])][-overlap:]
+            begin = cores[k - 1][0] + starts[0] if starts else s
+        if e - begin <= most_chars:
+            out.append((begin, s, e))
+            continue
+        lap, at = min(500, most_chars // 10), s
+        while at < e:
+            lead = max(begin if at == s else at - lap, at - most_chars // 2)
+            stop = min(e, lead + most_chars)
+            out.append((lead, at, stop))
+            at = stop
+    return out
+
+
+def chunk_text(text: str | None, target: int = 300, overlap: int = 50, most_chars: int = 6_000) -> list[str]:
+    """The chunks of a body without its tables of claims and without its private facts; blank ones are left out."""
+    from loregraph.operators.fences import FENCES, strip_facts
+
+    body = strip_facts(FENCES["takes"].sub("", text or ""), {"world"})
+    return [c for b, _, e in (chunk_spans(body, target, overlap, most_chars) if body.strip() else []) if (c := body[b:e].strip())]
+
+
+def recursive_chunks(df: DataFrame, id_col: str, text: str, target: int = 300, overlap: int = 50, most_chars: int = 6_000) -> DataFrame:
+    """(id, chunk_index, chunk, words) of every text; null and blank texts give no chunk."""
 
-def recursive_chunks(df: DataFrame, id_col: str, text: str, target: int = 300, overlap: int = 50) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, k, c, len(c.split())) for i, t in zip(b["id"], b["t"]) if t for k, c in enumerate(chunk_text(t, target, overlap))]
+            rows = [(i, k, c, count_words(c)) for i, t in zip(b["id"], b["t"]) for k, c in enumerate(chunk_text(t, target, overlap, most_chars))]
             yield pd.DataFrame(rows, columns=["id", "chunk_index", "chunk", "words"])
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).mapInPandas(run, "id long, chunk_index int, chunk string, words int")

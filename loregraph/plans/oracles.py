@@ -283,3 +283,9 @@ ORACLES |= _STORE | _STRUCTURE
 
 _CUT = _KW.replace("hits AS (SELECT query_id, chunk_id, sum(1 + ln(tf)) AS score", "hits0 AS (SELECT query_id, chunk_id, round(sum(1 + ln(tf)), 6) AS score") + ", hits AS (SELECT * FROM hits0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 100)"
 ORACLES["over_fetched_pages"] = f"""WITH {_CUT}, {_pool(20)} SELECT query_id, page_id, chunk_id, "rank" FROM pooled"""
+
+ORACLES["semantic_segments"] = """WITH v AS (SELECT label, vec_id, embedding::DOUBLE[] AS e, lag(embedding::DOUBLE[]) OVER w AS p FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
+    c AS (SELECT label, vec_id, list_dot_product(e, p) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(p, p))) AS c FROM v),
+    s AS (SELECT label, vec_id, (-3 * coalesce(lag(c, 2) OVER w, c) + 12 * coalesce(lag(c) OVER w, c) + 17 * c + 12 * coalesce(lead(c) OVER w, c) - 3 * coalesce(lead(c, 2) OVER w, c)) / 35 AS s FROM c WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
+    q AS (SELECT *, quantile_cont(s, 0.2) OVER (PARTITION BY label) AS low, lag(s) OVER w AS b, lead(s) OVER w AS a FROM s WINDOW w AS (PARTITION BY label ORDER BY vec_id))
+    SELECT label, vec_id, sum(coalesce(s <= low AND s <= coalesce(b, 2.0) AND s < coalesce(a, 2.0), false)::INT) OVER (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING) AS segment FROM q"""

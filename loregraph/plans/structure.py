@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loregraph.functions import expressions as X
+from loregraph.operators import code as O
 from loregraph.operators import conversation as C
 from loregraph.operators import extract as E
 from loregraph.operators import facts as K
@@ -480,3 +481,55 @@ def code_fences(spark, d):
 
     p = table(spark, d, "pages")
     return fences(p.select("id", F.concat(F.lit("a\n```py\nx = "), F.col("id").cast("string"), F.lit("\n```\nb\n```\nplain\n```\n")).alias("compiled_truth")))
+
+
+# -- code, boosts, generations ------------------------------------------------------------------------------------------------------------------------------------
+
+
+def _code(spark, d):
+    """Parts as source files in Python: two definitions each, the second calls the first and that of the next part."""
+    n = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("import os\nfrom base import x\n\ndef first"), n, F.lit("(a):\n    return a\n\nclass Second"), n, F.lit(":\n    def go(self):\n        return first"), n, F.lit("(first"), (F.col("p_partkey") + 1).cast("string"), F.lit("(1))\n"))
+    return table(spark, d, "part").select(F.concat(F.lit("src/part"), n, F.lit(".py")).alias("path"), text.alias("code")).select("path", O.language_of(F.col("path")).alias("language"), "code")
+
+
+@q("""SELECT 'src/part' || p_partkey || '.py' AS path, k::INT AS chunk_index, (CASE k WHEN 0 THEN 1 WHEN 1 THEN 4 ELSE 7 END)::INT AS first_line, CASE k WHEN 0 THEN 'text' WHEN 1 THEN 'def' ELSE 'class' END AS kind,
+    CASE k WHEN 1 THEN 'first' || p_partkey WHEN 2 THEN 'Second' || p_partkey END AS symbol FROM part, range(3) r(k)""")
+def code_chunks(spark, d):
+    return O.code_chunks(_code(spark, d)).select("path", "chunk_index", "first_line", "kind", "symbol")
+
+
+@q("""SELECT 'src/part' || p_partkey || '.py' AS path, symbol, target, edge FROM part, LATERAL (SELECT NULL::VARCHAR AS symbol, 'os' AS target, 'import' AS edge UNION ALL SELECT NULL, 'base', 'import' UNION ALL SELECT 'Second' || p_partkey, 'go', 'call'
+    UNION ALL SELECT 'Second' || p_partkey, 'first' || p_partkey, 'call' UNION ALL SELECT 'Second' || p_partkey, 'first' || (p_partkey + 1), 'call')""")
+def code_edges(spark, d):
+    return O.code_edges(_code(spark, d))
+
+
+@q("SELECT 'src/part' || p_partkey || '.py' AS path FROM part WHERE p_partkey IN (6, 7)")
+def code_references(spark, d):
+    return O.references(O.code_chunks(_code(spark, d)), "first7").select("path")
+
+
+@q("SELECT id, generation + CASE WHEN type = 'daily' THEN 1 ELSE 0 END AS generation FROM pages")
+def bumped_generations(spark, d):
+    from loregraph.operators.store import bump_generations
+
+    p = table(spark, d, "pages")
+    return bump_generations(p, p.filter("type = 'daily'")).select("id", "generation")
+
+
+@q("""WITH r AS (SELECT o_custkey AS query_id, o_orderkey AS page_id, o_orderkey % 7 AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders)
+    SELECT query_id, page_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rn > 5 THEN 2 WHEN s = 0 THEN 1 ELSE 0 END, CASE WHEN rn <= 5 THEN nullif(s, 0) END DESC NULLS LAST, rn) AS rank FROM r""")
+def reranked_orders(spark, d):
+    """Each customer's dearest five orders in the order of a scorer that fails for every seventh."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("page_id"), F.col("o_orderkey").alias("chunk_id"), F.col("o_totalprice").alias("score"))
+    return R.reranked(o, F.nullif(F.col("page_id") % 7, F.lit(0)), 5).select("query_id", "page_id", "rank")
+
+
+@q(f"SELECT p.id AS page_id, round(least(coalesce(n, 0) * 0.1::DOUBLE, 0.3::DOUBLE) + 0.1 * coalesce(w, 0) + 0.1 * coalesce(u, 0), 6) AS weight FROM pages p LEFT JOIN (SELECT page_id, count(*) AS n FROM timeline_entries GROUP BY 1) e ON e.page_id = p.id LEFT JOIN (SELECT page_id, avg(weight) AS w, avg((holder = 3)::INT::DOUBLE) AS u FROM {_TAKES} WHERE active GROUP BY 1) t ON t.page_id = p.id")
+def emotional_weight_of_claims(spark, d):
+    from loregraph.operators.pages import page_tags
+    from loregraph.operators.stats import emotional_weight
+
+    p = table(spark, d, "pages")
+    return emotional_weight(page_tags(p), p, table(spark, d, "timeline_entries"), [], takes(spark, d), 3)

@@ -116,3 +116,47 @@ def test_walks(spark):
     assert got == {(1, 0): ["a:2"], (2, 1): ["b:3"], (3, 2): ["c:1"]}
     hits = spark.createDataFrame([(1, 1, 0.8)], "query_id long, id long, score double")
     assert sorted((r.id, r.hop, round(r.score, 3)) for r in G.expanded(hits, links).collect()) == [(1, 0, 0.8), (2, 1, 0.4), (3, 1, 0.4)]
+
+
+def test_chunks_lose_no_text():
+    from loregraph.operators.text import chunk_spans, chunk_text
+
+    texts = ["", "one", "a b  c\n\n d. e! f, g; h " * 200, "x" * 20_000, "漢字" * 5_000, ("word " * 299 + "\n\n") * 7, "a. " * 3_000 + "\n" * 50 + "tail"]
+    for t in texts:
+        for target, overlap, most in ((300, 50, 6_000), (10, 3, 80), (5, 0, 40)):
+            spans = chunk_spans(t, target, overlap, most)
+            assert "".join(t[c:e] for _, c, e in spans) == t
+            assert all(b <= c <= e and e - b <= most for b, c, e in spans)
+    secret = "open text\n<!--- kb:facts:begin -->\n| 1 | hidden | fact | 0.9 | private | low | 2020 | | s | |\n<!--- kb:facts:end -->"
+    assert "hidden" not in " ".join(chunk_text(secret)) and "open text" in chunk_text(secret)[0]
+    assert chunk_text(None) == [] == chunk_text("  \n ")
+
+
+def test_code_pieces(spark, tmp_path):
+    from loregraph.operators import code as O
+
+    src = "#!/bin/x\n" + "".join(f"export function f{i}(a) {{\n  return g(a)\n}}\n\n" for i in range(3)) + "export default class K {\n" + "  x() {}\n\n" * 100 + "}\n"
+    got = O.pieces(src, "typescript", 50)
+    assert [(a, k, n) for a, _, k, n in got][:5] == [(1, "text", ""), (2, "function", "f0"), (6, "function", "f1"), (10, "function", "f2"), (14, "class", "K")]
+    assert [a for a, *_ in got[1:]] == [e + 1 for _, e, *_ in got[:-1]] and got[-1][1] == len(src.split("\n")) and all(e - a < 50 for a, e, *_ in got)
+    assert O.pieces(None, "python") == [] == O.pieces("", None) and O.pieces("no language", None) == [(1, 1, "text", "")]
+    (tmp_path / "a.rs").write_text("use std::io;\npub fn run(x: u8) {\n  helper(x);\n}\n")
+    (tmp_path / "b.txt").write_text("fn no() {}")
+    files = O.read_code(spark, str(tmp_path))
+    assert [(r.language, r.code.count("fn")) for r in files.collect()] == [("rust", 1)]
+    assert sorted((r.edge, r.symbol or "", r.target) for r in O.code_edges(files).collect()) == [("call", "run", "helper"), ("import", "", "std::io")]
+
+
+def test_explanations(spark):
+    from loregraph.operators.retrieval import alias_target_boost, explained
+
+    df = spark.createDataFrame([(1, 1.25, 1.0), (2, 1.0, 1.0)], "page_id long, title double, recency double")
+    assert [r.x for r in df.orderBy("page_id").select(explained(title=F.col("title"), recency=F.col("recency")).alias("x")).collect()] == ["title x1.250", ""]
+    got = alias_target_boost(df.withColumn("score", F.lit(1.0)), spark.createDataFrame([(2, "a"), (2, "b")], "page_id long, alias string"))
+    assert {r.page_id: r.score for r in got.collect()} == {1: 1.0, 2: 1.05}
+
+
+def test_copy(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "a" / "x.parquet"))
+    W.copy_tables(spark, str(tmp_path / "a"), str(tmp_path / "b"), ["x"])
+    assert spark.read.parquet(str(tmp_path / "b" / "x.parquet")).count() == 5
