@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loregraph.operators.graph import fanout
 from loregraph.operators.resolve import resolve_names
-from loregraph.session import broadcast_if_small
+from loregraph.session import broadcast_if_small, checkpointed
 
 #: (verbs of "who ... X", link types that answer them); all are walked against their direction.
 WHO = (
@@ -66,25 +66,24 @@ def relational_hits(queries: DataFrame, pages: DataFrame, links: DataFrame, dept
 
     Seeds are resolved to pages, links of the asked types are walked from them; for two seeds the pages that both walks reach.
     """
-    asked = parse_questions(queries)
-    live = pages.filter("deleted_at is null")
+    asked = checkpointed(parse_questions(queries))
+    spark, live = pages.sparkSession, pages.filter("deleted_at is null")
     slugs = resolve_names(asked.select(F.col("seed").alias("name")), live, links).filter("how <> 'new'").select(F.col("name").alias("seed"), "slug")
-    seeds = asked.join(broadcast_if_small(slugs), "seed").join(live.groupBy("slug").agg(F.min("id").alias("id")), "slug")
-    walks = None
-    for way in ("in", "out", "both"):
-        part = seeds.filter(F.col("direction") == way)
-        for types, some in ((True, part.filter("types is not null")), (False, part.filter("types is null"))):
-            if types:
-                # the few sets of types are walked together: an edge counts for a seed if its type is asked for
-                e = links.select("from_page_id", "to_page_id", "link_type").distinct()
-                step = e.select(F.col("from_page_id").alias("id"), F.col("to_page_id").alias("node"), "link_type")
-                back = e.select(F.col("to_page_id").alias("id"), F.col("from_page_id").alias("node"), "link_type")
-                steps = step if way == "out" else back if way == "in" else step.union(back)
-                got = some.join(steps, "id").filter(F.array_contains("types", F.col("link_type"))).select("query_id", "seed_no", "node", F.lit(1).alias("hop"))
-            else:
-                w = fanout(links, some.select("id").distinct(), depth + 1, way)
-                got = some.join(w.withColumnRenamed("seed", "id"), "id").select("query_id", "seed_no", "node", "hop")
-            walks = got if walks is None else walks.unionByName(got)
+    seeds = checkpointed(asked.join(broadcast_if_small(slugs), "seed").join(live.groupBy("slug").agg(F.min("id").alias("id")), "slug"))
+    walks = spark.createDataFrame([], "query_id long, seed_no int, node long, hop int")
+    e = links.select("from_page_id", "to_page_id", "link_type").distinct()
+    step = e.select(F.col("from_page_id").alias("id"), F.col("to_page_id").alias("node"), "link_type")
+    back = e.select(F.col("to_page_id").alias("id"), F.col("from_page_id").alias("node"), "link_type")
+    for way, typed in sorted(tuple(r) for r in seeds.select("direction", F.col("types").isNotNull()).distinct().collect()):  # six at most
+        some = seeds.filter((F.col("direction") == way) & (F.col("types").isNotNull() == F.lit(typed)))
+        if typed:
+            # the few sets of types are walked together: an edge counts for a seed if its type is asked for
+            steps = step if way == "out" else back if way == "in" else step.union(back)
+            got = some.join(steps, "id").filter(F.array_contains("types", F.col("link_type"))).select("query_id", "seed_no", "node", F.lit(1).alias("hop"))
+        else:
+            w = fanout(links, some.select("id").distinct(), depth + 1, way)
+            got = some.join(w.withColumnRenamed("seed", "id"), "id").select("query_id", "seed_no", "node", "hop")
+        walks = walks.unionByName(got)
     need = asked.groupBy("query_id").agg((F.max("seed_no") + 1).alias("need"))
     per = walks.groupBy("query_id", "seed_no", "node").agg(F.min("hop").alias("hop")).groupBy("query_id", "node").agg(F.count("*").alias("n"), F.sum("hop").alias("hops"))
     hit = per.join(need, "query_id").filter("n = need").join(live.select(F.col("id").alias("node"), "slug"), "node").join(seeds.select("query_id", F.col("id").alias("node")), ["query_id", "node"], "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loregraph.functions.expressions import age_days, cosine, jaccard, recency, slugify, source_factor, stems, trigrams, words
 from loregraph.operators.text import greedy_distinct
 from loregraph.operators.vectors import nearest
-from loregraph.session import broadcast_if_small
+from loregraph.session import broadcast_if_small, checkpointed
 
 
 def top(df: DataFrame, by: str | list[str], score: str, k: int, *ties: str, rank: str = "rank") -> DataFrame:
@@ -184,6 +184,7 @@ def fused_scores(pages: DataFrame, chunks: DataFrame, links: DataFrame, queries:
     """Keyword and vector arms for all queries (query_id, query, embedding) of live pages, fused by reciprocal ranks, with the boosts for compiled truth and source, and, for chunks of at
     least ``floor`` of the query's best, those for backlinks, salience, recency, titles and exact matches: query_id, page_id, chunk_id, chunk_source, slug, type, score.
     """
+    queries = checkpointed(queries.select("query_id", "query", "embedding"))  # read by both arms and the boosts
     kw = top(keyword_scores(chunks, queries).withColumn("score", F.round("score", 6)), "query_id", "score", arm, "chunk_id")
     ve = vector_hits(chunks, queries, arm)
     fused = rrf([(kw, 1.0), (ve, 1.0)], "chunk_id").join(chunks.select(F.col("id").alias("chunk_id"), "page_id", "chunk_source"), "chunk_id")
@@ -200,8 +201,10 @@ def fused_scores(pages: DataFrame, chunks: DataFrame, links: DataFrame, queries:
 
 def hybrid_search(pages: DataFrame, chunks: DataFrame, links: DataFrame, queries: DataFrame, as_of: str, k: int = 10, *, aliases: DataFrame | None = None) -> DataFrame:
     """The whole pipeline: fused and boosted arms, the four layers of deduplication and the guarantee of a compiled chunk, graph signals over the best 20, the top ``k``."""
-    r = fused_scores(pages, chunks, links, queries, as_of, aliases=aliases).join(chunks.select(F.col("id").alias("chunk_id"), "chunk_text"), "chunk_id", "left")
-    d = guarantee_compiled(dedup_results(r, alike=0.85), r)
+    r = checkpointed(fused_scores(pages, chunks, links, queries, as_of, aliases=aliases))  # a few hundred rows a query, read several times below
+    few = top(r, ["query_id", "page_id"], "score", 3, "chunk_id").drop("rank")
+    text = few.join(chunks.select(F.col("id").alias("chunk_id"), "chunk_text"), "chunk_id", "left")
+    d = checkpointed(guarantee_compiled(dedup_results(text, alike=0.85).drop("chunk_text"), r))
     g = graph_signals(d, query_adjacency(d, links, pages))
     return top(g.withColumn("score", F.round("score", 6)), "query_id", "score", k, "page_id", "chunk_id").select("query_id", "page_id", "chunk_id", "score", "rank")
 
