@@ -8,6 +8,7 @@ chain. It names the chain of each suspicious word; the chain is inverted and the
 from __future__ import annotations
 
 import math
+import re as stdre
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -51,12 +52,12 @@ _UTF8 = [c[0][0] == "utf-8" for c in CHAINS]
 _FROM_UTF8 = np.array(_UTF8)
 NAMES = [">".join(f"{r}:{w}" for r, w in c) for c in CHAINS]
 
-_WORD = re.compile(r"(?<![^ \t\r\n])[!-~]*+[^\x00-\x7f][^ \t\r\n]*")
-_RUN = re.compile(r"[^\x00-\x7f]+")
+_WORD = stdre.compile(r"(?<![^ \t\r\n])[!-~]*+[^\x00-\x7f][^ \t\r\n]*")
+_RUN = stdre.compile(r"[^\x00-\x7f]+")
 _BAD = re.compile(r"[\ufffd\p{Cn}\x80-\x9f]")
-_LOST = re.compile("\ufffd+")
+_LOST = stdre.compile("\ufffd+")
 #: A letter beside a sign that is none of a word: both halves of what was one character.
-_STRAY = re.compile(r"(?=[^\x00-\x7f])\p{L}(?=[^\x00-\x7f])[^\p{L}\p{M}\s\ufffd]")
+_STRAY = re.compile(r"[^\x00-\x7f](?<=\p{L})[^\x00-\x7f\p{L}\p{M}\s\ufffd]")
 _INVISIBLE = "\xa0\xad"
 
 
