@@ -9,6 +9,7 @@ pass the gate are measured by edit distances on both sides of their run.
 
 from __future__ import annotations
 
+import re as stdre
 import unicodedata
 from collections.abc import Iterator
 
@@ -28,9 +29,11 @@ FILTER_BITS, LEAST_BITS, MOST_BITS = 32, 23, 28
 #: Hits of a seed in documents from which its rows are spread over several tasks.
 HOT_SEED = 100_000
 
-_TAG = re.compile(r"<[^<>]{1,200}>|&#?\w{1,10};")
+_TAG = stdre.compile(r"<[^<>]{1,200}>|&#?\w{1,10};")
 _FORMAT = re.compile(r"\p{Cf}+")
 _WORDS = re.compile(r"[\p{L}\p{M}\p{N}]+")
+#: The same where no marks are left beside their letters.
+_PLAIN_WORDS, _MARK = stdre.compile(r"[^\W_]+"), re.compile(r"\p{M}")
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -38,9 +41,11 @@ def words_of(text: str | None) -> list[str]:
     """The words of a text without case, punctuation, markup, spacing and invisible characters."""
     if not text:
         return []
+    find = _PLAIN_WORDS
     if not text.isascii():
         text = unicodedata.normalize("NFKC", _FORMAT.sub("", text))
-    return _WORDS.findall(_TAG.sub(" ", text).casefold())
+        find = _WORDS if _MARK.search(text) else find
+    return find.findall(_TAG.sub(" ", text).casefold())
 
 
 class Hasher:

@@ -23,6 +23,9 @@ from loregraph.llm.names import BRANCH, GIVEN, LEGAL, parse, plain
 
 #: Pages whose titles of persons and firms the surname model is fitted on at most. Words are counted over all bodies.
 SAMPLE_PAGES = 20_000
+#: How far, in characters, the parsers look from an anchor: back for the local part of an email address (64 at most by RFC 5321, and the blanks and words of disguised dots), on for the
+#: number that a cue announces, and, within the line, back and on for the elements of an address beside its street word.
+EMAIL_BACK, NUMBER_ON, ADDRESS_BACK, ADDRESS_ON = 200, 45, 120, 200
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "national_id": "[NATIONAL_ID]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 # Words that announce identity numbers, honorifics, street words, ambiguous given names.
@@ -295,7 +298,7 @@ class Finder:
         right = _DOMAIN.match(text, b)
         if not right:
             return None
-        low = max(0, a - 90)
+        low = max(0, a - EMAIL_BACK)
         left = (_LOCAL_PLAIN if plain_at and text[a - 1 : a] != " " else _LOCAL).search(text[low:a])
         if not left:
             return None
@@ -329,7 +332,7 @@ class Finder:
             elif what == "id":
                 if (a and text[a - 1].isalnum()) or text[b : b + 1].isalpha() or _THING_BEFORE.search(text[max(0, a - 12) : a]):
                     continue  # part of another word, or the id of a thing
-                if m := _ID.search(text, b, b + 45):
+                if m := _ID.search(text, b, b + NUMBER_ON):
                     between = text[b : m.start()]
                     if "\n" not in between and not stdre.search(r"\d", between) and not _NOT_ID.search(text[max(0, m.start() - 12) : m.start()]):
                         spans.append((*m.span(), "national_id"))
@@ -338,10 +341,10 @@ class Finder:
                 if not (after.isspace() or after.isdigit()) if what == "ending" else (after.isalpha() or text[a - 1 : a].isalnum()):
                     continue  # part of another word
                 line = text.rfind("\n", 0, a) + 1
-                low = max(line, a - 100)
+                low = max(line, a - ADDRESS_BACK)
                 if a > seen_line:
                     high = text.find("\n", b)
-                    high = min(len(text) if high < 0 else high, b + 160)
+                    high = min(len(text) if high < 0 else high, b + ADDRESS_ON)
                     lines.append((low, high))
                     seen_line = a + 1
         done = -1
