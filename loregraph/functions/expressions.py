@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
@@ -15,7 +16,7 @@ SOURCE_FACTORS = {
 }
 # Fixed values: (half-life in days, coefficient) by slug prefix; 0 means evergreen.
 RECENCY = {
-    "concepts/": (0, 0.0), "originals/": (180, 0.5), "writing/": (365, 0.4), "daily/": (14, 1.5), "meetings/": (60, 1.0), "chat/": (7, 1.0), "media/x/": (7, 1.5),
+    "concepts/": (0, 0.0), "originals/": (180, 0.5), "writing/": (365, 0.4), "daily/": (14, 1.5), "meetings/": (60, 1.0), "chat/": (7, 1.0), "openclaw/chat/": (7, 1.0), "media/x/": (7, 1.5),
     "media/articles/": (90, 0.5), "people/": (365, 0.3), "companies/": (365, 0.3), "deals/": (180, 0.5),
 }
 RECENCY_DEFAULT = (90, 0.5)
@@ -89,6 +90,17 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1))
 
 
+def _latin() -> tuple[str, str]:
+    """Accented Latin letters and the plain ones they are decomposed to."""
+    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))) for lo, hi in ((0xC0, 0x250), (0x1E00, 0x1F00)) for c in range(lo, hi)]
+    plain = [(c, "".join(x for x in d if not unicodedata.combining(x))) for c, d in pairs if c == c.lower()]
+    plain = [(c, p) for c, p in plain if len(p) == 1 and p.isascii()]
+    return "".join(c for c, _ in plain), "".join(p for _, p in plain)
+
+
+ACCENTED, PLAIN = _latin()
+
+
 def slugify(text: Column) -> Column:
-    plain = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    plain = F.translate(F.lower(text), ACCENTED, PLAIN)
     return F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", "")

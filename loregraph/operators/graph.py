@@ -57,6 +57,15 @@ def fanout(links: DataFrame, seeds: DataFrame, depth: int, direction: str = "out
     return met.filter("hop > 0")
 
 
+def fanout_in_source(links: DataFrame, pages: DataFrame, seeds: DataFrame, depth: int, direction: str = "out", limit: int = 200) -> DataFrame:
+    """(seed, node, hop, types, rank): ``fanout`` that never leaves the seed's source and live pages, the ``limit`` nearest of each seed, fewest hops and then smallest ids first."""
+    live = pages.filter("deleted_at is null").select("id", "source_id")
+    a, b = live.select(F.col("id").alias("from_page_id"), F.col("source_id").alias("__sa")), live.select(F.col("id").alias("to_page_id"), F.col("source_id").alias("__sb"))
+    own = checkpointed(links.join(a, "from_page_id").join(b, "to_page_id").filter("__sa = __sb").select("from_page_id", "to_page_id", "link_type", "link_source"))
+    w = Window.partitionBy("seed").orderBy("hop", "node")
+    return fanout(own, seeds, depth, direction).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+
+
 def walk_edges(links: DataFrame, seeds: DataFrame, depth: int, link_type: str | None = None) -> DataFrame:
     """(seed, from_page_id, to_page_id, link_type, depth): the edges that a breadth-first walk along outgoing links follows, each once per level."""
     e = links.select("from_page_id", "to_page_id", "link_type").distinct()

@@ -49,10 +49,12 @@ def page_tags(pages: DataFrame) -> DataFrame:
 
 
 def upsert_pages(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("source_id", "slug"), keep: tuple[str, ...] = ("import_filename", "effective_date_source")) -> DataFrame:
-    """Rows of ``new`` replace those of ``old`` with the same keys; columns in ``keep`` stay where the new row has none."""
+    """Rows of ``new`` replace those of ``old`` with the same keys, of repeated ones the last changed; columns in ``keep`` stay where the new row has none."""
+    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("updated_at"), F.desc("id"))
+    n = new.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
     o = old.select(*keys, *[F.col(c).alias(f"__old_{c}") for c in keep])
-    merged = new.join(o, list(keys), "left").select(*[F.coalesce(c, f"__old_{c}").alias(c) if c in keep else F.col(c) for c in new.columns])
-    return old.join(new.select(*keys), list(keys), "left_anti").unionByName(merged)
+    merged = n.join(o, list(keys), "left").select(*[F.coalesce(c, f"__old_{c}").alias(c) if c in keep else F.col(c) for c in new.columns])
+    return old.join(n.select(*keys), list(keys), "left_anti").unionByName(merged)
 
 
 def duplicate_pages(pages: DataFrame) -> DataFrame:
@@ -61,6 +63,19 @@ def duplicate_pages(pages: DataFrame) -> DataFrame:
     return live.groupBy("content_hash").agg(F.count("*").alias("copies"), F.min("id").alias("first_id")).filter("copies > 1")
 
 
+def find_duplicates(new: DataFrame, pages: DataFrame) -> DataFrame:
+    """(id, duplicate_of, how): for new pages the first live page of their source with the same content hash, else with the same id in the front matter."""
+    live = pages.filter("deleted_at is null")
+    key = lambda df, how: F.col("content_hash") if how == "hash" else F.get_json_object("frontmatter", "$.id")
+    hits = None
+    for how in ("hash", "id"):
+        known = live.select("source_id", key(live, how).alias("k"), F.col("id").alias("other")).filter("k is not null")
+        asked = new.select("id", "source_id", key(new, how).alias("k")).filter("k is not null")
+        h = asked.join(known, ["source_id", "k"]).filter("id <> other").groupBy("id").agg(F.min("other").alias("duplicate_of")).withColumn("how", F.lit(how))
+        hits = h if hits is None else hits.unionByName(h.join(hits.select("id"), "id", "left_anti"))
+    return hits
+
+
 def purge_deleted(pages: DataFrame, as_of: str, hours: int = 72) -> DataFrame:
     """Without pages that were deleted more than ``hours`` before ``as_of``."""
     limit = F.lit(as_of).cast("timestamp_ntz") - F.make_interval(hours=F.lit(hours))
@@ -95,9 +110,20 @@ def effective_dates(pages: DataFrame) -> DataFrame:
     return pages.select("source_id", "slug", F.coalesce("effective_date", "updated_at", "created_at").alias("effective"))
 
 
-def content_sanity(pages: DataFrame, warn: int = 50_000, block: int = 500_000) -> DataFrame:
-    """(id, bytes, verdict): oversize, junk (error pages), large, ok."""
+def content_sanity(pages: DataFrame, warn: int = 50_000, block: int = 500_000, markup: float = 0.85) -> DataFrame:
+    """(id, bytes, verdict): oversize, junk (titles and beginnings of error pages), markup (between the two limits, hardly any prose beside tags, links and code), large, ok."""
     size = F.octet_length("compiled_truth")
-    junk = F.lower(F.concat_ws(" ", "title", F.substring("compiled_truth", 1, 2048))).rlike("access denied|attention required|just a moment|enable javascript|404 not found|captcha")
-    verdict = F.when(size > block, "oversize").when(junk, "junk").when(size > warn, "large").otherwise("ok")
+    junk = F.lower(F.concat_ws(" ", "title", F.substring("compiled_truth", 1, 2048))).rlike(JUNK)
+    prose = F.regexp_replace(F.regexp_replace(F.regexp_replace("compiled_truth", r"(?s)```.*?```", ""), r"<[^<>]*>", ""), r"!?\[[^\]]*\]\([^)]*\)|https?://\S+", "")
+    ratio = 1 - F.length(F.regexp_replace(prose, r"\s", "")) / F.greatest(F.length(F.regexp_replace("compiled_truth", r"\s", "")), F.lit(1))
+    verdict = F.when(size > block, "oversize").when(junk, "junk").when((size > warn) & (ratio > markup), "markup").when(size > warn, "large").otherwise("ok")
     return pages.filter(F.col("compiled_truth").isNotNull()).select("id", size.alias("bytes"), verdict.alias("verdict"))
+
+
+#: Phrases of pages that stand in for what was asked: blocked, missing, challenges of bots.
+JUNK = "access denied|attention required|just a moment\\.\\.\\.|enable javascript|404 not found|captcha"
+
+
+def annotated(pages: DataFrame) -> DataFrame:
+    """Pages with the reason of a content flag in their front matter, which annotates them where a quarantine would hide them; null for most."""
+    return pages.withColumn("content_flag", F.coalesce(F.get_json_object("frontmatter", "$.content_flag.reason"), F.get_json_object("frontmatter", "$.content_flag")))

@@ -29,6 +29,18 @@ def resolve_names(names: DataFrame, pages: DataFrame, links: DataFrame, least: f
     return r.select("name", F.coalesce("exact", "fuzzy", "prefix", "as_slug").alias("slug"), how.alias("how"))
 
 
+def suggested_slugs(names: DataFrame, pages: DataFrame, k: int = 5, least: float = 0.3) -> DataFrame:
+    """(name, slug, similarity, rank): the page whose slug is the name, or else the ``k`` slugs whose titles are most similar to it; names are a small, counted set."""
+    n = broadcast_if_small(names.select("name").distinct().withColumn("g", trigrams(F.col("name"))))
+    p = pages.filter("deleted_at is null").select("slug", "title")
+    exact = p.join(n, F.col("slug") == F.col("name")).select("name", "slug").distinct().select("name", "slug", F.lit(1.0).alias("similarity"), F.lit(1).alias("rank"))
+    rest = broadcast_if_small(n.join(exact.select("name"), "name", "left_anti").select("name", "g", F.explode("g").alias("x")))
+    keys = p.filter("title is not null").select("slug", trigrams(F.col("title")).alias("t")).select("slug", "t", F.explode("t").alias("x"))
+    sim = keys.join(rest, "x").groupBy("name", "slug").agg(F.max(F.round(jaccard(F.col("t"), F.col("g")), 6)).alias("similarity")).filter(F.col("similarity") >= least)
+    w = Window.partitionBy("name").orderBy(F.desc("similarity"), "slug")
+    return exact.unionByName(sim.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
+
+
 def intent(query: Column) -> Column:
     """temporal, entity, event or general, by the first family of words that occurs."""
     q = F.lower(query)

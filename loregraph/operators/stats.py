@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loregraph.functions.expressions import age_days, cosine, js_round, recency
+from loregraph.operators.pages import page_tags
 from loregraph.session import broadcast_if_small, checkpointed
 
 
@@ -19,7 +20,8 @@ def brain_stats(pages: DataFrame, chunks: DataFrame, links: DataFrame, entries:
     """One row of counts; each table is read once."""
     p = live(pages).agg(F.count("*").alias("page_count"))
     c = chunks.agg(F.count("*").alias("chunk_count"), F.count("embedding").alias("embedded_count"))
-    return p.crossJoin(c).crossJoin(links.agg(F.count("*").alias("link_count"))).crossJoin(entries.agg(F.count("*").alias("timeline_count")))
+    t = page_tags(pages).agg(F.count("*").alias("tag_count"))
+    return p.crossJoin(c).crossJoin(links.agg(F.count("*").alias("link_count"))).crossJoin(entries.agg(F.count("*").alias("timeline_count"))).crossJoin(t)
 
 
 def orphans(pages: DataFrame, links: DataFrame) -> DataFrame:
@@ -163,9 +165,9 @@ def trajectory_regressions(facts: DataFrame, entity: str, metric: str, value: st
 
 
 def validity_chain(facts: DataFrame, entity: str, metric: str, stamp: str, id_col: str) -> DataFrame:
-    """Each fact is valid until the next one of the same entity and metric."""
+    """Each fact is valid until the next one of the same entity and metric begins."""
     w = Window.partitionBy(entity, metric).orderBy(stamp, id_col)
-    return facts.select(F.col(id_col).alias("id"), F.lead(id_col).over(w).alias("next_id"))
+    return facts.select(F.col(id_col).alias("id"), F.lead(id_col).over(w).alias("next_id"), F.lead(stamp).over(w).alias("valid_until"))
 
 
 def drift_score(vectors: DataFrame, by: str, order: str, vec: str) -> DataFrame:
@@ -211,13 +213,28 @@ def token_budget(ranked: DataFrame, by: str, rank: str, cost: Column, budget: in
     return running(ranked, [by], [rank], F.greatest(cost, F.lit(0))).filter(F.col("running") <= budget)
 
 
-def autocut(ranked: DataFrame, by: str, rank: str, score: str, least_gap: float = 0.2) -> DataFrame:
-    """Each ranking down to its largest gap of scores relative to the best, if that is at least ``least_gap``; never nothing."""
+def autocut(ranked: DataFrame, by: str, rank: str, score: str, least_gap: float = 0.2, keep: Column | None = None) -> DataFrame:
+    """Each ranking down to its largest gap of scores relative to the best, if that is at least ``least_gap``; never nothing. Rows for which ``keep`` holds, such as alias hits, stay."""
     w = Window.partitionBy(by).orderBy(rank)
     top = F.max(score).over(Window.partitionBy(by))
     g = ranked.withColumn("__gap", (F.col(score) - F.lead(score).over(w)) / top)
     cut = g.groupBy(by).agg(F.max_by(rank, F.struct(F.coalesce("__gap", F.lit(-1.0)), -F.col(rank))).alias("__at"), F.max("__gap").alias("__most"))
-    return g.join(cut, by).filter((F.coalesce("__most", F.lit(0.0)) < least_gap) | (F.col(rank) <= F.col("__at"))).drop("__gap", "__at", "__most")
+    stays = (F.coalesce("__most", F.lit(0.0)) < least_gap) | (F.col(rank) <= F.col("__at"))
+    stays = stays if keep is None else stays | F.coalesce(keep, F.lit(False))
+    return g.join(cut, by).filter(stays).drop("__gap", "__at", "__most")
+
+
+def seeded_sample(df: DataFrame, id_col: str, k: int, seed: int) -> DataFrame:
+    """``k`` rows in an order that a seed decides, the same in every run."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), id_col).limit(k)
+
+
+def run_trend(runs: DataFrame, stamp: str, hits: str, n: str, as_of: str, days: int) -> DataFrame:
+    """(at, hits, n, share, low, high) of the runs of the last ``days``, oldest first, with the 95 % interval of the share."""
+    age = age_days(F.col(stamp), as_of)
+    lo, hi = wilson(F.col(hits), F.col(n))
+    r = runs.filter((age >= 0) & (age <= days) & (F.col(n) > 0))
+    return r.select(F.col(stamp).alias("at"), F.col(hits).alias("hits"), F.col(n).alias("n"), F.round(F.col(hits) / F.col(n), 6).alias("share"), F.round(lo, 6).alias("low"), F.round(hi, 6).alias("high")).orderBy("at")
 
 
 def ir_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
@@ -227,7 +244,7 @@ def ir_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     j = n.join(hits, "query", "left")
     h = F.coalesce("h", F.lit(0))
-    return j.select("query", F.round(h / k, 6).alias("p_at_k"), F.round(h / F.col("n"), 6).alias("r_at_k"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("rr"), F.round(F.coalesce("dcg", F.lit(0.0)) / ideal, 6).alias("ndcg"))
+    return j.select("query", F.coalesce(F.col("first") == 1, F.lit(False)).alias("top1"), F.round(h / k, 6).alias("p_at_k"), F.round(h / F.col("n"), 6).alias("r_at_k"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("rr"), F.round(F.coalesce("dcg", F.lit(0.0)) / ideal, 6).alias("ndcg"))
 
 
 def nearest_rank(df: DataFrame, by: str, score: str, shares: dict[str, float]) -> DataFrame:
@@ -242,8 +259,8 @@ def nearest_rank(df: DataFrame, by: str, score: str, shares: dict[str, float]) -
 
 
 def prefix_sample(pages: DataFrame, links: DataFrame) -> DataFrame:
-    """The best connected page of each first slug segment."""
-    p = live(pages).select("id", "slug").join(degrees(links), "id", "left").withColumn("prefix", F.substring_index("slug", "/", 1)).withColumn("degree", F.coalesce("degree", F.lit(0)))
+    """The best connected page of each prefix of two slug segments."""
+    p = live(pages).select("id", "slug").join(degrees(links), "id", "left").withColumn("prefix", F.substring_index("slug", "/", 2)).withColumn("degree", F.coalesce("degree", F.lit(0)))
     w = Window.partitionBy("prefix").orderBy(F.desc("degree"), F.asc("slug"), F.asc("id"))
     return p.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("prefix", "id", "degree")
 

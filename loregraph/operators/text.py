@@ -76,6 +76,14 @@ def link_type(context: Column) -> Column:
     return F.when(c.rlike(r"\b(founded|founder|co-founded|started)\b"), "founded").when(c.rlike(r"\b(invested|investor|backed|led the round)\b"), "invested_in").when(c.rlike(r"\b(advises|adviser|advisor|mentor)\b"), "advises").when(c.rlike(r"\b(works at|engineer|joined|employee|head of)\b"), "works_at").otherwise("mentions")
 
 
+def typed_link(context: Column, page_type: Column, target: Column, role: Column | None = None) -> Column:
+    """The link type by the page: media only mentions, a meeting's people attended it; else by the context, and for a person whose own role (a text about them) tells it, by that."""
+    by = link_type(context)
+    prior = F.when(F.lower(role).rlike(r"\b(partner|investor|venture|fund)\b"), "invested_in").when(F.lower(role).rlike(r"\badvis(?:e|o)r\b"), "advises").otherwise("mentions") if role is not None else F.lit("mentions")
+    rest = F.when((by == "mentions") & (page_type == "person") & target.startswith("companies/"), prior).otherwise(by)
+    return F.when(page_type == "media", "mentions").when((page_type == "meeting") & target.startswith("people/"), "attended").otherwise(rest)
+
+
 @F.pandas_udf(StringType())
 def alias_norm(s: pd.Series) -> pd.Series:
     """NFKC, lower case, single blanks, without wrapping quotes."""

@@ -132,8 +132,7 @@ def ingest_rollup(spark, d):
 
 @q
 def corpus_sample(spark, d):
-    """A reproducible sample: the order of a fixed arithmetic scramble of the id stands in for a seeded random order."""
-    return table(spark, d, "pages").filter("deleted_at is null").select("id", ((F.col("id") * 7919 + 17) % 100003).alias("k")).orderBy("k", "id").limit(50)
+    return S.seeded_sample(table(spark, d, "pages").filter("deleted_at is null"), "id", 50, 11).select("id")
 
 
 # -- statistics ---------------------------------------------------------------------------------------------------------------------------------------------------
@@ -592,9 +591,9 @@ def result_pairs(spark, d):
 
 @q
 def retrieval_gate(spark, d):
-    """Means of the retrieval metrics over all queries, and whether they pass the gate of 0.70 recall and 0.60 first relevant."""
+    """Means of the retrieval metrics over all queries, and whether they pass the gate of 0.70 recall, 0.60 first relevant and 0.50 relevant at the top."""
     m = ir_metrics(spark, d)
-    return m.agg(F.count("*").alias("queries"), F.round(F.avg("r_at_k"), 6).alias("recall"), F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg("ndcg"), 6).alias("ndcg")).withColumn("passed", (F.col("recall") >= 0.7) & (F.col("mrr") >= 0.6))
+    return m.agg(F.count("*").alias("queries"), F.round(F.avg("r_at_k"), 6).alias("recall"), F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg("ndcg"), 6).alias("ndcg"), F.round(F.avg(F.col("top1").cast("double")), 6).alias("top1")).withColumn("passed", (F.col("recall") >= 0.7) & (F.col("mrr") >= 0.6) & (F.col("top1") >= 0.5))
 
 
 @q

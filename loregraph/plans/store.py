@@ -387,3 +387,22 @@ def preference_counts(spark, d):
 @q("SELECT content_hash AS hash, count(*) AS n FROM (SELECT sha256('{\"slug\":' || to_json(slug) || ',\"source_id\":' || to_json(source_id) || '}') AS content_hash FROM pages) GROUP BY 1")
 def content_hashes(spark, d):
     return W.content_hash(table(spark, d, "pages").select("source_id", "slug"), "source_id", "slug").groupBy("hash").agg(F.count("*").alias("n"))
+
+
+@q(f"""WITH n AS (SELECT id, source_id, content_hash FROM pages WHERE id % 2 = 0), l AS (SELECT source_id, content_hash, id FROM {_LIVE} WHERE content_hash IS NOT NULL)
+    SELECT n.id, min(l.id) AS duplicate_of, 'hash' AS how FROM n JOIN l ON l.source_id = n.source_id AND l.content_hash = n.content_hash AND l.id <> n.id GROUP BY 1""")
+def found_duplicates(spark, d):
+    from loregraph.operators.pages import find_duplicates
+
+    p = table(spark, d, "pages")
+    return find_duplicates(p.filter("id % 2 = 0"), p)
+
+
+@q("""WITH r AS (SELECT ts::DATE AS dd, count(*) FILTER (event_type = 'error')::DOUBLE AS h, count(*)::DOUBLE AS n FROM events GROUP BY 1)
+    SELECT strftime(dd, '%Y-%m-%d') AS day, round(h / n, 6) AS share, round(CASE WHEN h = 0 THEN 0.0 ELSE (h / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt(h / n * (1 - h / n) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n) END, 6) AS low FROM r WHERE date_diff('day', dd, DATE '2024-01-30') BETWEEN 0 AND 14""")
+def error_trend(spark, d):
+    """Days as runs: the share of errors with its interval."""
+    from loregraph.operators.stats import run_trend
+
+    runs = table(spark, d, "events").groupBy(F.col("ts").cast("date").cast("timestamp").alias("day")).agg(F.count_if(F.col("event_type") == "error").alias("hits"), F.count("*").alias("n"))
+    return run_trend(runs, "day", "hits", "n", "2024-01-30 00:00:00", 14).select(F.date_format("at", "yyyy-MM-dd").alias("day"), "share", "low")

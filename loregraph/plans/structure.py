@@ -266,7 +266,7 @@ def over_fetched_pages(spark, d):
     return R.over_fetched(R.keyword_scores(c, kw_queries(spark)).withColumn("score", F.round("score", 6)), c, table(spark, d, "pages"), 20).select("query_id", "page_id", "chunk_id", "rank")
 
 
-_SLUG = "regexp_replace(regexp_replace(translate(lower({0}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+_SLUG = f"regexp_replace(regexp_replace(translate(lower({{0}}), '{X.ACCENTED}', '{X.PLAIN}'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 
 
 @q(f"""WITH n AS (SELECT id AS query_id, title FROM {_LIVE} WHERE id % 20 = 0 AND type = 'company' AND split_part(slug, '/', -1) = {_SLUG.format("title")} AND regexp_matches(title, '^[A-Za-z ]+$') AND NOT regexp_matches(title, '^(The|the|A|An) ')),
@@ -533,3 +533,44 @@ def emotional_weight_of_claims(spark, d):
 
     p = table(spark, d, "pages")
     return emotional_weight(page_tags(p), p, table(spark, d, "timeline_entries"), [], takes(spark, d), 3)
+
+
+@q(f"""WITH e AS (SELECT DISTINCT a.id AS a, b.id AS b, link_type FROM links l JOIN {_LIVE} a ON a.id = l.from_page_id JOIN {_LIVE} b ON b.id = l.to_page_id AND a.source_id = b.source_id WHERE link_source IS DISTINCT FROM 'mentions'),
+    h1 AS (SELECT a AS seed, b AS node, 1 AS hop, count(DISTINCT link_type) AS types FROM e WHERE a % 20 = 0 AND a <> b GROUP BY 1, 2),
+    h2 AS (SELECT seed, e.b AS node, 2 AS hop, count(DISTINCT link_type) AS types FROM h1 JOIN e ON e.a = h1.node WHERE e.b <> seed AND NOT EXISTS (SELECT 1 FROM h1 x WHERE x.seed = h1.seed AND x.node = e.b) GROUP BY 1, 2)
+    SELECT *, row_number() OVER (PARTITION BY seed ORDER BY hop, node) AS rank FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) QUALIFY rank <= 200""")
+def fanout_in_source(spark, d):
+    p = table(spark, d, "pages")
+    return G.fanout_in_source(table(spark, d, "links"), p, p.filter("id % 20 = 0").select("id"), 2)
+
+
+@q(f"""WITH n AS (SELECT name, {_G3.format("name")} AS g FROM (VALUES ('Runway log'), ('weekly revue digest'), ('release rhythm')) v(name)), t AS (SELECT slug, {_G3.format("title")} AS g FROM {_LIVE} WHERE title IS NOT NULL),
+    s AS (SELECT name, slug, max(round(len(list_intersect(t.g, n.g)) / len(list_distinct(list_concat(t.g, n.g)))::DOUBLE, 6)) AS similarity FROM n, t GROUP BY 1, 2)
+    SELECT *, row_number() OVER (PARTITION BY name ORDER BY similarity DESC, slug) AS rank FROM s WHERE similarity >= 0.3 QUALIFY rank <= 5""")
+def suggested_slugs(spark, d):
+    from loregraph.operators.resolve import suggested_slugs as suggest
+
+    return suggest(spark.createDataFrame([("Runway log",), ("weekly revue digest",), ("release rhythm",)], "name string"), table(spark, d, "pages"))
+
+
+@q(r"""SELECT p.type, CASE WHEN p.type = 'media' THEN 'mentions' WHEN p.type = 'meeting' AND starts_with(t.slug, 'people/') THEN 'attended' WHEN regexp_matches(lower(context), '\b(founded|founder|co-founded|started)\b') THEN 'founded'
+    WHEN regexp_matches(lower(context), '\b(invested|investor|backed|led the round)\b') THEN 'invested_in' WHEN regexp_matches(lower(context), '\b(advises|adviser|advisor|mentor)\b') THEN 'advises'
+    WHEN regexp_matches(lower(context), '\b(works at|engineer|joined|employee|head of)\b') THEN 'works_at' ELSE 'mentions' END AS inferred, count(*) AS n FROM links l JOIN pages p ON p.id = l.from_page_id JOIN pages t ON t.id = l.to_page_id GROUP BY 1, 2""")
+def typed_links(spark, d):
+    from loregraph.operators.text import typed_link
+
+    p = table(spark, d, "pages")
+    j = table(spark, d, "links").join(p.select(F.col("id").alias("from_page_id"), "type"), "from_page_id").join(p.select(F.col("id").alias("to_page_id"), "slug"), "to_page_id")
+    return j.groupBy("type", typed_link(F.coalesce("context", F.lit("")), F.col("type"), F.col("slug")).alias("inferred")).agg(F.count("*").alias("n"))
+
+
+@q("SELECT source_id || '/' || slug AS slug, coalesce(title, '') AS title, type, ['t' || id, 'x y'] AS tags, trim(compiled_truth, chr(10)) AS body FROM pages WHERE compiled_truth IS NOT NULL AND NOT regexp_matches(compiled_truth, '(?i)timeline')")
+def parsed_pages(spark, d):
+    """Pages written with front matter in YAML and parsed."""
+    from loregraph.sources.markdown import parse_pages
+
+    p = table(spark, d, "pages").filter("compiled_truth is not null").filter(~F.col("compiled_truth").rlike("(?i)timeline"))
+    front = F.concat(F.lit("---\ntitle: "), F.to_json(F.array("title")), F.lit("\ntype: "), "type", F.lit("\ntags:\n  - t"), F.col("id").cast("string"), F.lit("\n  - \"x y\"\n---\n"))
+    front = F.regexp_replace(F.regexp_replace(front, r"title: \[", "title: "), r"\]\ntype", "\ntype")
+    got = parse_pages(p.select(F.concat_ws("/", "source_id", "slug").alias("slug"), F.concat(front, "compiled_truth").alias("markdown")))
+    return got.select("slug", "title", "type", "tags", F.col("compiled_truth").alias("body"))

@@ -59,7 +59,10 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """``df`` on at least two partitions a core, for work in Python that follows; more partitions than that stay as they are."""
+    """``df`` on at least two partitions a core, for work in Python that follows; more partitions than that stay as they are.
+
+    For frames read from files or a checkpoint: to tell the partitions of one with a shuffle would run it.
+    """
     wanted = 2 * parallelism(df.sparkSession)
     return df.repartition(wanted, *cols) if df._jdf.queryExecution().toRdd().getNumPartitions() < wanted else df
 

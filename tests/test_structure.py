@@ -160,3 +160,22 @@ def test_copy(spark, tmp_path):
     spark.range(5).write.parquet(str(tmp_path / "a" / "x.parquet"))
     W.copy_tables(spark, str(tmp_path / "a"), str(tmp_path / "b"), ["x"])
     assert spark.read.parquet(str(tmp_path / "b" / "x.parquet")).count() == 5
+
+
+def test_front_matter(spark):
+    from loregraph.sources.markdown import parse_front, parse_page, parse_pages
+
+    text = "title: 'It''s'\ncount: 3\nshare: 0.5\non: true\nnone: ~\nlist: [a, \"b, c\", 4]\ntags:\n  - x\n  - y # why\nmap:\n  k: v\n  n: 1\nnote: |\n  one\n  two\n# comment\n???\nlast: http://a.test/x: y"
+    assert parse_front(text) == {"title": "It's", "count": 3, "share": 0.5, "on": True, "none": None, "list": ["a", "b, c", 4], "tags": ["x", "y"], "map": {"k": "v", "n": 1}, "note": "one\ntwo", "last": "http://a.test/x: y"}
+    assert parse_front('{"a": [1]}') == {"a": [1]} and parse_front("") == {}
+    assert parse_page("people/ann-lee", "---\ntags: a, b\n---\n# Ann\ntext\n\n## Timeline\n- **2024-01-01** | x\n") == ("Ann", "person", ["a", "b"], '{"tags": "a, b"}', "# Ann\ntext", "- **2024-01-01** | x")
+    assert parse_page("x/some_name", None) == ("some name", "note", [], "{}", "", "") and parse_page("a", "---\nno end")[4] == "---\nno end"
+    assert parse_pages(spark.createDataFrame([("a", None), (None, "x")], "slug string, markdown string")).count() == 1
+
+
+def test_typed_links(spark):
+    from loregraph.operators.text import typed_link
+
+    rows = [("founded it", "person", "companies/a", ""), ("", "meeting", "people/b", ""), ("founded", "media", "people/b", ""), ("met", "person", "companies/a", "a venture partner"), ("met", "person", "people/a", "a venture partner")]
+    df = spark.createDataFrame(rows, "c string, t string, s string, r string")
+    assert [x[0] for x in df.select(typed_link(F.col("c"), F.col("t"), F.col("s"), F.col("r"))).collect()] == ["founded", "attended", "mentions", "invested_in", "mentions"]
