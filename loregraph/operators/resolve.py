@@ -59,14 +59,3 @@ def far_set(vectors: DataFrame, close: DataFrame, id_col: str, group: str, vec:
 
 def adaptive_return(ranked: DataFrame, by: str, rank: str, intent_col: str, entity: int = 2, other: int = 6) -> DataFrame:
     return ranked.filter(F.col(rank) <= F.when(F.col(intent_col) == "entity", entity).otherwise(other))
-
-
-def mask_injections(text: Column) -> Column:
-    """Phrases that address a model are replaced by a mark."""
-    t = F.regexp_replace(text, r"(?i)\b(ignore|disregard|forget)( all| any)?( the)?( previous| prior| above)? (instructions?|prompts?|rules)\b", "[removed]")
-    return F.regexp_replace(t, r"(?i)<\/?(system|assistant|user|instructions?)>|\b(system|assistant) prompt:", "[removed]")
-
-
-def spread_types(ranked: DataFrame, by: str, type_col: str, score: str, tie: str) -> DataFrame:
-    """Each row's place among the rows of its type, by which lists can be interleaved."""
-    return ranked.withColumn("place", F.row_number().over(Window.partitionBy(by, type_col).orderBy(F.desc(score), F.asc(tie))))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loregraph.functions.expressions import age_days, cosine, js_round, recency
+from loregraph.functions.expressions import age_days, cosine, jaccard, js_round, recency, source_factor
 from loregraph.operators.pages import page_tags
 from loregraph.session import broadcast_if_small, checkpointed
 
@@ -272,3 +272,55 @@ def adjacency(result: DataFrame, links: DataFrame, pages: DataFrame) -> DataFram
     a, b = p.select(F.col("id").alias("from_page_id"), F.col("source_id").alias("sa")), p.select(F.col("id").alias("to_page_id"), F.col("source_id").alias("sb"))
     e = links.join(a, "from_page_id").join(b, "to_page_id").filter("from_page_id <> to_page_id")
     return e.groupBy(F.col("to_page_id").alias("id")).agg(F.countDistinct("from_page_id").alias("inbound"), F.countDistinct(F.when(F.col("sa") != F.col("sb"), F.col("sa"))).alias("foreign_sources"))
+
+
+def queue_stats(jobs: DataFrame, status: str, kind: str, cost: str, stamp: str) -> DataFrame:
+    """(status, kind, n, mean of ``cost``, last day) of a queue's jobs."""
+    return jobs.groupBy(status, kind).agg(F.count("*").alias("n"), F.round(F.avg(cost), 4).alias("mean"), F.date_format(F.max(stamp), "yyyy-MM-dd").alias("last"))
+
+
+def telemetry(events: DataFrame, kind: str, stamp: str, value: str) -> DataFrame:
+    """(kind, n, mean, least, most, days) from daily sums, as a store of daily counters gives them: means are weighted by the days' counts."""
+    day = events.groupBy(kind, F.to_date(stamp).alias("__d")).agg(F.count("*").alias("n"), F.count(value).alias("k"), F.sum(value).alias("s"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    return day.groupBy(kind).agg(F.sum("n").alias("n"), F.round(F.try_divide(F.sum("s"), F.sum("k")), 6).alias("mean"), F.min("lo").alias("least"), F.max("hi").alias("most"), F.count("*").alias("days"))
+
+
+def tier(slug: Column) -> Column:
+    """curated for source factors above 1.05, bulk below 0.95."""
+    f = source_factor(slug)
+    return F.when(f > 1.05, "curated").when(f < 0.95, "bulk").otherwise("other")
+
+
+def tier_pairs(links: DataFrame, pages: DataFrame) -> DataFrame:
+    """(tier_a, tier_b, n): links by the tiers of their ends, in either direction alike."""
+    p = pages.select("id", tier(F.col("slug")).alias("tier"))
+    l = links.join(p.select(F.col("id").alias("from_page_id"), F.col("tier").alias("a")), "from_page_id").join(p.select(F.col("id").alias("to_page_id"), F.col("tier").alias("b")), "to_page_id")
+    return l.groupBy(F.least("a", "b").alias("tier_a"), F.greatest("a", "b").alias("tier_b")).agg(F.count("*").alias("n"))
+
+
+def link_coverage(pages: DataFrame, links: DataFrame, share: float = 1.0, seed: int = 5) -> DataFrame:
+    """(type, n, share, error): live pages with an inbound link by type, on a sample that a seed decides if ``share`` is below 1, with the half-width of one standard error."""
+    p = live(pages)
+    p = p if share >= 1 else p.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    hit = links.select(F.col("to_page_id").alias("id")).distinct().withColumn("__hit", F.lit(1.0))
+    s = p.join(hit, "id", "left").groupBy("type").agg(F.count("*").alias("n"), F.avg(F.coalesce("__hit", F.lit(0.0))).alias("p"))
+    return s.select("type", "n", F.round("p", 6).alias("share"), F.round(F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n")), 6).alias("error"))
+
+
+def quarter_totals(df: DataFrame, stamp: str, amount: str) -> DataFrame:
+    """(quarter, n, total): tumbling quarters, labelled 2024Q1."""
+    label = F.concat(F.year(stamp).cast("string"), F.lit("Q"), F.quarter(stamp).cast("string"))
+    return df.groupBy(label.alias("quarter")).agg(F.count("*").alias("n"), F.round(F.sum(amount), 2).alias("total"))
+
+
+def result_pairs(ranked: DataFrame, by: str, rank: str, item: str, score: str, differ: str) -> DataFrame:
+    """(by, item_a, item_b, combined): pairs of each ranking whose ``differ`` is not the same, the better one first; rankings are short by construction."""
+    a, b = (ranked.select(by, F.col(item).alias(f"{item}_{x}"), F.col(differ).alias(f"__d{x}"), F.col(score).alias(f"__s{x}"), F.col(rank).alias(f"__r{x}")) for x in "ab")
+    return a.join(b, by).filter("__ra < __rb and __da <> __db").select(by, f"{item}_a", f"{item}_b", F.round(F.col("__sa") + F.col("__sb"), 2).alias("combined"))
+
+
+def set_stability(first: DataFrame, second: DataFrame, by: str, item: str, rank: str) -> DataFrame:
+    """One row: n of the groups that both rankings have, mean Jaccard of their items, share of them with the same item at the top."""
+    side = lambda df, x: df.groupBy(by).agg(F.collect_set(item).alias(f"s{x}"), F.min_by(item, rank).alias(f"t{x}"))
+    s = side(first, 1).join(side(second, 2), by)
+    return s.agg(F.count("*").alias("n"), F.round(F.avg(jaccard(F.col("s1"), F.col("s2"))), 6).alias("jaccard"), F.round(F.avg((F.col("t1") == F.col("t2")).cast("double")), 6).alias("top1"))

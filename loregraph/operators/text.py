@@ -212,13 +212,6 @@ def greedy_distinct(results: DataFrame, by: str, order: list[str], ascending: li
     return results.groupBy(by).applyInPandas(run, results.schema)
 
 
-def conversation_windows(turns: DataFrame, by: str, order: str, size: int) -> DataFrame:
-    """Turns numbered and grouped in windows of ``size``."""
-    w = Window.partitionBy(by).orderBy(order)
-    n = F.row_number().over(w) - 1
-    return turns.withColumn("window", F.floor(n / size))
-
-
 def semantic_breaks(vectors: DataFrame, by: str, order: str, vec: str, share: float = 0.2) -> DataFrame:
     """(by, order, segment): a new segment begins where the similarity to the row before is a local minimum of the smoothed curve below its ``share`` quantile.
 

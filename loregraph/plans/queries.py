@@ -313,9 +313,7 @@ def replay_metrics(spark, d):
     e = table(spark, d, "events").select("user_id", "event_type", (F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")).alias("first"))
     n = e.groupBy("user_id", "first", "event_type").agg(F.count("*").alias("n"))
     top = n.withColumn("r", F.row_number().over(Window.partitionBy("user_id", "first").orderBy(F.desc("n"), F.asc("event_type")))).filter("r <= 3")
-    s = top.groupBy("user_id").pivot("first", [True, False]).agg(F.collect_set("event_type").alias("s"), F.min_by("event_type", "r").alias("t"))
-    s = s.filter("true_s is not null and false_s is not null")
-    return s.agg(F.count("*").alias("n"), F.round(F.avg(X.jaccard(F.col("true_s"), F.col("false_s"))), 6).alias("jaccard"), F.round(F.avg((F.col("true_t") == F.col("false_t")).cast("double")), 6).alias("top1"))
+    return S.set_stability(top.filter("first"), top.filter("not first"), "user_id", "event_type", "r")
 
 
 @q
@@ -555,38 +553,29 @@ def upserted_takes(spark, d):
 
 @q
 def telemetry_stats(spark, d):
-    e = table(spark, d, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.sum("value").alias("s"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    return e.groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("s") / F.sum("n"), 6).alias("mean"), F.min("lo").alias("least"), F.max("hi").alias("most"), F.count("*").alias("days"))
+    return S.telemetry(table(spark, d, "events"), "event_type", "ts", "value")
 
 
 @q
 def tier_pairs(spark, d):
-    """Links by the tiers of their ends: curated above 1.05, bulk below 0.95."""
-    f = X.source_factor(F.col("slug"))
-    p = table(spark, d, "pages").select("id", F.when(f > 1.05, "curated").when(f < 0.95, "bulk").otherwise("other").alias("tier"))
-    l = table(spark, d, "links").join(p.select(F.col("id").alias("from_page_id"), F.col("tier").alias("a")), "from_page_id").join(p.select(F.col("id").alias("to_page_id"), F.col("tier").alias("b")), "to_page_id")
-    return l.groupBy(F.least("a", "b").alias("tier_a"), F.greatest("a", "b").alias("tier_b")).agg(F.count("*").alias("n"))
+    return S.tier_pairs(table(spark, d, "links"), table(spark, d, "pages"))
 
 
 @q
 def job_stats(spark, d):
-    o = table(spark, d, "orders")
-    return o.groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean_price"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("last"))
+    return S.queue_stats(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority", "o_totalprice", "o_orderdate").withColumnRenamed("mean", "mean_price")
 
 
 @q
 def quarter_windows(spark, d):
-    o = table(spark, d, "orders")
-    label = F.concat(F.year("o_orderdate").cast("string"), F.lit("Q"), F.quarter("o_orderdate").cast("string"))
-    return o.groupBy(label.alias("quarter")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return S.quarter_totals(table(spark, d, "orders"), "o_orderdate", "o_totalprice")
 
 
 @q
 def result_pairs(spark, d):
     """Pairs of each customer's five dearest orders of different status, with their combined score."""
     r = R.top(table(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("doc"), "o_orderstatus", "o_totalprice"), "query_id", "o_totalprice", 5, "doc")
-    a, b = (r.select("query_id", F.col("doc").alias(f"doc_{x}"), F.col("o_orderstatus").alias(f"s_{x}"), F.col("o_totalprice").alias(f"p_{x}"), F.col("rank").alias(f"r_{x}")) for x in "ab")
-    return a.join(b, "query_id").filter("r_a < r_b and s_a <> s_b").select("query_id", "doc_a", "doc_b", F.round(F.col("p_a") + F.col("p_b"), 2).alias("combined"))
+    return S.result_pairs(r, "query_id", "rank", "doc", "o_totalprice", "o_orderstatus")
 
 
 @q
@@ -607,11 +596,7 @@ def edge_union(spark, d):
 
 @q
 def page_link_coverage(spark, d):
-    """Per type: pages, the share with an inbound link, and the half-width of its error."""
-    p = table(spark, d, "pages").filter("deleted_at is null")
-    hit = table(spark, d, "links").select(F.col("to_page_id").alias("id")).distinct().withColumn("hit", F.lit(1.0))
-    s = p.join(hit, "id", "left").groupBy("type").agg(F.count("*").alias("n"), F.avg(F.coalesce("hit", F.lit(0.0))).alias("p"))
-    return s.select("type", "n", F.round("p", 6).alias("share"), F.round(F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n")), 6).alias("error"))
+    return S.link_coverage(table(spark, d, "pages"), table(spark, d, "links"))
 
 
 @q

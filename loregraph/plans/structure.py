@@ -574,3 +574,9 @@ def parsed_pages(spark, d):
     front = F.regexp_replace(F.regexp_replace(front, r"title: \[", "title: "), r"\]\ntype", "\ntype")
     got = parse_pages(p.select(F.concat_ws("/", "source_id", "slug").alias("slug"), F.concat(front, "compiled_truth").alias("markdown")))
     return got.select("slug", "title", "type", "tags", F.col("compiled_truth").alias("body"))
+
+
+@q("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'alias' WHEN o_orderkey % 7 = 0 THEN 'title' WHEN o_orderkey % 100 >= 85 THEN 'strong' WHEN o_orderkey % 100 >= 60 THEN 'medium' ELSE 'weak' END AS evidence FROM orders")
+def evidence_stamps(spark, d):
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select(k.alias("id"), R.evidence(k % 5 == 0, k % 7 == 0, (k % 100) / 100).alias("evidence"))
