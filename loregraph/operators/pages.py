@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loregraph.functions.expressions import not_excluded
+from loregraph.operators.store import latest
 from loregraph.session import broadcast_if_small
 
 
@@ -50,8 +51,7 @@ def page_tags(pages: DataFrame) -> DataFrame:
 
 def upsert_pages(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("source_id", "slug"), keep: tuple[str, ...] = ("import_filename", "effective_date_source")) -> DataFrame:
     """Rows of ``new`` replace those of ``old`` with the same keys, of repeated ones the last changed; columns in ``keep`` stay where the new row has none."""
-    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("updated_at"), F.desc("id"))
-    n = new.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
+    n = latest(new, list(keys), *[c for c in ("updated_at", "id") if c in new.columns])
     o = old.select(*keys, *[F.col(c).alias(f"__old_{c}") for c in keep])
     merged = n.join(o, list(keys), "left").select(*[F.coalesce(c, f"__old_{c}").alias(c) if c in keep else F.col(c) for c in new.columns])
     return old.join(n.select(*keys), list(keys), "left_anti").unionByName(merged)
