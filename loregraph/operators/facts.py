@@ -41,13 +41,14 @@ def dedup_candidates(facts: DataFrame, new: DataFrame, entity: str, id_col: str,
     return near.select(F.col("query_id").alias("new_id"), "id", F.col("score").alias("similarity"), "rank", (F.col("score") >= duplicate).alias("duplicate"))
 
 
-def consolidate(facts: DataFrame, entity: str, id_col: str, vec: str, least: int = 3, limit: float = 0.85) -> DataFrame:
+def consolidate(facts: DataFrame, entity: str, id_col: str, vec: str, least: int = 3, limit: float = 0.85, stamp: str | None = None, as_of: str | None = None, hours: float = 24) -> DataFrame:
     """(entity, head, id): greedy clusters, newest first, of facts at least ``limit`` similar to a cluster's head; clusters of two or more.
 
-    Entities with fewer than ``least`` facts are left out before the shuffle of the vectors. The sorted partitions are streamed: an entity's facts are never held
+    Entities with fewer than ``least`` facts, or, if ``stamp`` and ``as_of`` are given, none of which is ``hours`` old, are left out before the shuffle of the vectors. The sorted partitions are streamed: an entity's facts are never held
     together, only the heads of its clusters so far. Facts without a vector stay out.
     """
-    n = facts.groupBy(entity).agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(entity)
+    old = F.lit(True) if stamp is None else F.min(stamp) <= F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(int(hours)))
+    n = facts.groupBy(entity).agg(F.count("*").alias("n"), old.alias("__old")).filter((F.col("n") >= least) & F.col("__old")).select(entity)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, ids, heads = None, [], np.empty((0, 0))
@@ -195,3 +196,9 @@ def search_takes(takes: DataFrame, queries: DataFrame, claim: str = "claim", lea
     s = cand.select("query_id", "page_id", "row_num", F.round(jaccard(F.col("t"), F.col("g")), 6).alias("similarity")).filter(F.col("similarity") >= least)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "page_id", "row_num")
     return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def promoted(clusters: DataFrame, facts: DataFrame, claim: str = "claim", confidence: str = "confidence") -> DataFrame:
+    """(entity, head, claim, weight, n): a claim for each cluster, in the words of its surest fact, of the smallest id among equals, with the mean confidence as its weight."""
+    f = clusters.join(facts.select("id", F.col(claim).alias("__c"), F.least(F.greatest(F.coalesce(confidence, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("__w")), "id")
+    return f.groupBy("entity", "head").agg(F.max_by("__c", F.struct("__w", -F.col("id"))).alias("claim"), F.round(F.avg("__w"), 6).alias("weight"), F.count("*").alias("n"))

@@ -291,3 +291,15 @@ ORACLES["semantic_segments"] = """WITH v AS (SELECT label, vec_id, embedding::DO
     s AS (SELECT label, vec_id, (-3 * coalesce(lag(c, 2) OVER w, c) + 12 * coalesce(lag(c) OVER w, c) + 17 * c + 12 * coalesce(lead(c) OVER w, c) - 3 * coalesce(lead(c, 2) OVER w, c)) / 35 AS s FROM c WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
     q AS (SELECT *, quantile_cont(s, 0.2) OVER (PARTITION BY label) AS low, lag(s) OVER w AS b, lead(s) OVER w AS a FROM s WINDOW w AS (PARTITION BY label ORDER BY vec_id))
     SELECT label, vec_id, sum(coalesce(s <= low AND s <= coalesce(b, 2.0) AND s < coalesce(a, 2.0), false)::INT) OVER (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING) AS segment FROM q"""
+
+ORACLES["streamed_rate_limit"] = """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    s AS (SELECT DISTINCT user_id, 0::BIGINT AS k, []::TIMESTAMP[] AS last, NULL::BIGINT AS event_id FROM e
+    UNION ALL SELECT user_id, k, CASE WHEN ok THEN list_append(last, ts)[-3:] ELSE last END, CASE WHEN ok THEN event_id END FROM (SELECT s.user_id, e.k, s.last, e.ts, e.event_id, len(s.last) < 3 OR e.ts - s.last[1] >= INTERVAL 24 HOUR AS ok FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1))
+    SELECT event_id FROM s WHERE event_id IS NOT NULL"""
+ORACLES["consolidated_facts"] = """WITH RECURSIVE u AS (SELECT label, vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings WHERE embedding IS NOT NULL AND label IN (SELECT label FROM embeddings GROUP BY 1 HAVING count(*) >= 3)),
+    e AS (SELECT label, vec_id, list_transform(v, lambda x: x / n) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS k FROM u),
+    s AS (SELECT DISTINCT label, 0::BIGINT AS k, []::BIGINT[] AS ids, []::DOUBLE[][] AS vs, NULL::BIGINT AS id, NULL::BIGINT AS head FROM e
+    UNION ALL SELECT label, k, CASE WHEN p IS NULL THEN list_append(ids, vec_id) ELSE ids END, CASE WHEN p IS NULL THEN list_append(vs, v) ELSE vs END, vec_id, coalesce(ids[p], vec_id) FROM
+    (SELECT s.label, e.k, s.ids, s.vs, e.vec_id, e.v, nullif(list_position(list_transform(s.vs, lambda h: list_dot_product(h, e.v) >= 0.4), true), 0) AS p FROM s JOIN e ON e.label = s.label AND e.k = s.k + 1))
+    SELECT label::VARCHAR AS entity, head, id FROM s WHERE id IS NOT NULL QUALIFY count(*) OVER (PARTITION BY label, head) > 1"""
+ORACLES["promoted_takes"] = f"""SELECT entity, head, 'c' || arg_max(id, (id % 10) * 1000000000::BIGINT - id) AS claim, round(avg((id % 10) / 10.0::DOUBLE), 6) AS weight, count(*) AS n FROM ({ORACLES["consolidated_facts"]}) GROUP BY 1, 2"""

@@ -580,3 +580,11 @@ def parsed_pages(spark, d):
 def evidence_stamps(spark, d):
     k = F.col("o_orderkey")
     return table(spark, d, "orders").select(k.alias("id"), R.evidence(k % 5 == 0, k % 7 == 0, (k % 100) / 100).alias("evidence"))
+
+
+@q()
+def promoted_takes(spark, d):
+    """The clusters of vectors as claims."""
+    e = table(spark, d, "embeddings")
+    c = K.consolidate(e, "label", "vec_id", "embedding", 3, 0.4)
+    return K.promoted(c, e.select(F.col("vec_id").alias("id"), F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("claim"), ((F.col("vec_id") % 10) / 10).alias("confidence")))

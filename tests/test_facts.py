@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 from loregraph.operators import facts as K
 
 TAKES = "page_id long, row_num int, claim string, weight double, quality string, active boolean"
@@ -42,3 +43,13 @@ def test_consolidation_equals_a_plain_model(spark):
             clusters.append([(i, v)]) if c is None else c.append((i, v))
         want |= {(e, c[0][0], i) for c in clusters if len(c) > 1 for i, _ in c}
     assert got == want
+
+
+def test_consolidation_waits_for_age(spark):
+    from loregraph.operators import facts as K
+
+    rows = [(i, "e" if i < 5 else "f", [1.0, 0.0], "2024-01-01 00:00:00" if i < 5 else "2024-01-02 12:00:00") for i in range(10)]
+    df = spark.createDataFrame(rows, "id long, e string, v array<double>, s string").withColumn("s", F.col("s").cast("timestamp_ntz"))
+    got = K.consolidate(df, "e", "id", "v", stamp="s", as_of="2024-01-03 00:00:00").collect()
+    assert {r.entity for r in got} == {"e"} and {r.head for r in got} == {4}
+    assert {r.entity for r in K.consolidate(df, "e", "id", "v").collect()} == {"e", "f"}
