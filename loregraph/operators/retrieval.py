@@ -20,13 +20,14 @@ def top(df: DataFrame, by: str | list[str], score: str, k: int, *ties: str, rank
 def keyword_scores(chunks: DataFrame, queries: DataFrame, text: str = "chunk_text", id_col: str = "id", keep: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, chunk_id, ``keep``, score): all terms of a query must occur; the score sums 1 + ln(term frequency).
 
-    The terms of all queries are broadcast only if counted small; postings are made for query terms alone and counted before the shuffle. Columns of the chunks that later steps
+    The terms of all queries are broadcast only if counted small; postings are made for query terms alone, before the shuffle. Columns of the chunks that later steps
     need go along, so that the chunks are read once.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term")).withColumn("need", F.count("*").over(Window.partitionBy("query_id")))
-    tokens = chunks.select(F.col(id_col).alias("chunk_id"), *keep, F.explode(words(F.col(text))).alias("term"))
-    tf = tokens.join(broadcast_if_small(terms), "term").groupBy("query_id", "need", "chunk_id", *keep, "term").agg(F.count("*").alias("tf"))
-    hit = tf.groupBy("query_id", "need", "chunk_id", *keep).agg(F.count("*").alias("found"), F.sum(1 + F.log("tf")).alias("score"))
+    terms = queries.select("query_id", F.array_distinct(words(F.col("query"))).alias("__t")).select("query_id", F.size("__t").alias("need"), F.explode("__t").alias("term"))
+    tokens = chunks.select(F.col(id_col).alias("chunk_id"), *keep, F.explode(words(F.col(text))).alias("term")).join(broadcast_if_small(terms.select("term").distinct()), "term", "left_semi")
+    # one shuffle by chunk serves the term frequencies and the scores
+    tf = tokens.repartition("chunk_id").groupBy("chunk_id", *keep, "term").agg(F.count("*").alias("tf"))
+    hit = tf.join(broadcast_if_small(terms), "term").groupBy("query_id", "need", "chunk_id", *keep).agg(F.count("*").alias("found"), F.sum(1 + F.log("tf")).alias("score"))
     return hit.filter("found = need").select("query_id", "chunk_id", *keep, "score")
 
 
@@ -47,8 +48,8 @@ def websearch_scores(chunks: DataFrame, queries: DataFrame, text: str = "chunk_t
     alts = parse_websearch(queries)
     need = alts.select("query_id", "alt", F.size("terms").alias("need"), "phrases", "without", F.explode("terms").alias("term"))
     doc = chunks.select(F.col(id_col).alias("chunk_id"), stems(F.col(text)).alias("w"))
-    hits = doc.select("chunk_id", F.explode("w").alias("term")).join(broadcast_if_small(need.select("query_id", "alt", "need", "term")), "term")
-    tf = hits.groupBy("query_id", "alt", "need", "chunk_id", "term").agg(F.count("*").alias("tf"))
+    tokens = doc.select("chunk_id", F.explode("w").alias("term")).join(broadcast_if_small(need.select("term").distinct()), "term", "left_semi")
+    tf = tokens.repartition("chunk_id").groupBy("chunk_id", "term").agg(F.count("*").alias("tf")).join(broadcast_if_small(need.select("query_id", "alt", "need", "term")), "term")
     full = tf.groupBy("query_id", "alt", "need", "chunk_id").agg(F.count("*").alias("found"), F.sum(1 + F.log("tf")).alias("score")).filter("found = need")
     rules = broadcast_if_small(alts.select("query_id", "alt", "phrases", "without"))
     run = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
