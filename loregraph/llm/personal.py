@@ -345,7 +345,10 @@ class Finder:
                 if a > seen_line:
                     high = text.find("\n", b)
                     high = min(len(text) if high < 0 else high, b + ADDRESS_ON)
-                    lines.append((low, high))
+                    if lines and low <= lines[-1][1]:  # one stretch, so that no address is cut at the end of the first
+                        lines[-1] = (lines[-1][0], max(high, lines[-1][1]))
+                    else:
+                        lines.append((low, high))
                     seen_line = a + 1
         done = -1
         for low, high in lines:

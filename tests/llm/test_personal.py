@@ -90,3 +90,11 @@ def test_surnames_outside_the_sample(spark):
         model = P.train_surnames(df, bound=bound)
         assert "tongolchul" not in model.ordinary and {"shipped", "weekly", "board"} <= model.ordinary
     assert P.ordinary_from(20_000) == (3, 20) and P.ordinary_from(600_000) == (90, 600)
+
+
+@pytest.mark.parametrize("gap", range(120, 230, 5))
+def test_addresses_are_whole_wherever_an_earlier_anchor_stands(finder, gap):
+    """A street word some way before an address does not cut it."""
+    address = "Flat 36, 85 Quillham Avenue, Cresswater WX16 5FT"
+    text = "the way " + "x" * gap + " to " + address + " and on"
+    assert [text[a:b] for a, b, k in finder.find(text) if k == "address"] == [address]
