@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Documents that the classifier is fitted on at most; everything else covers all rows.
-SAMPLE_DOCS = 4_000
+SAMPLE_DOCS = 8_000
 #: Words of these documents that the driver fits on at most, the most frequent first.
 SAMPLE_WORDS = 200_000
 BUCKETS, SMOOTHING = 1 << 15, 0.05
@@ -31,7 +31,7 @@ MARGIN_UTF8, MARGIN_BYTE, MARGIN_WEAK = -2.0, 6.0, 1.0
 MARGIN_CLEAN = 2.0
 #: Nats by which a chain from UTF-8 must beat the reading as correct text for a word that it no longer decodes, because bytes were dropped, to count as garbled beyond restoration.
 MARGIN_STRAY = 9.0
-RARER = 50
+RARER = 10
 
 # Fixed values: (encoding of the bytes, encoding they were wrongly read in), applied from left to right.
 _ONE = [
