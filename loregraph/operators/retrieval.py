@@ -120,6 +120,25 @@ def title_boost(score: Column, title: Column, query: Column, factor: float = 1.2
     return F.when((t == q) | run, score * factor).otherwise(score)
 
 
+def title_hits(pages: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, id): pages whose title is a query's words, or holds at least two of them as a run; found by the first word of the query among those of the title."""
+    q = queries.select("query_id", words(F.col("query")).alias("__q")).filter("size(__q) > 0").select("query_id", "__q", F.col("__q")[0].alias("w"))
+    t = pages.select("id", words(F.col("title")).alias("__t")).select("id", "__t", F.posexplode("__t").alias("__p", "w"))
+    hit = t.join(broadcast_if_small(q), "w").filter(F.slice("__t", F.col("__p") + 1, F.size("__q")) == F.col("__q"))
+    return hit.filter((F.size("__q") >= 2) | (F.size("__t") == 1)).select("query_id", "id").distinct()
+
+
+def exact_hits(pages: DataFrame, queries: DataFrame, strong: float = 1.25, weak: float = 1.10) -> DataFrame:
+    """(query_id, id, factor): strong if the query is the title or the slug's last segment, weak if that ends in it after a hyphen; found by equality with the title and with all such ends."""
+    q = queries.select("query_id", F.lower(F.trim("query")).alias("__title"), slugify(F.col("query")).alias("__slug"))
+    tail = F.substring_index("slug", "/", -1)
+    parts = F.split(tail, "-")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, i, F.size(parts)), "-").alias("__slug"), F.when(i == 1, strong).otherwise(weak).alias("factor")))
+    by_slug = pages.select("id", F.inline(ends)).join(broadcast_if_small(q.filter("__slug <> ''")), "__slug").select("query_id", "id", "factor")
+    by_title = pages.select("id", F.lower(F.trim("title")).alias("__title")).join(broadcast_if_small(q), "__title").select("query_id", "id", F.lit(strong).alias("factor"))
+    return by_slug.unionAll(by_title).groupBy("query_id", "id").agg(F.max("factor").alias("factor"))
+
+
 def evidence(alias: Column, title: Column, base: Column) -> Column:
     return F.when(alias, "alias").when(title, "title").when(base >= 0.85, "strong").when(base >= 0.60, "medium").otherwise("weak")
 

@@ -247,8 +247,9 @@ ORACLES |= {
     "cosine_rescored": f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), f AS (SELECT b.vec_id AS query_id, a.vec_id AS chunk_id, {_COS} AS c FROM v a, v b WHERE b.vec_id % 20 = 0),
         r AS (SELECT *, 1 / (60.0::DOUBLE + row_number() OVER (PARTITION BY query_id ORDER BY round(c, 6) DESC, chunk_id)) AS s FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(c, 6) DESC, chunk_id) <= 50)
         SELECT query_id, chunk_id, round(0.7 * s / max(s) OVER (PARTITION BY query_id) + 0.3 * c, 6) AS score FROM r""",
-    "exact_matches": f"""SELECT id, query, round({_FACTOR} * CASE WHEN lower(trim(title)) = lower(trim(query)) OR split_part(slug, '/', -1) = {_SLUG.format("query")} THEN 1.25 WHEN ends_with(split_part(slug, '/', -1), '-' || {_SLUG.format("query")}) THEN 1.1 ELSE 1.0 END, 6) AS score
-        FROM ({_LIVE}), (VALUES ('Runway log'), ('notes'), ('weekly review digest')) q(query)""",
+    "exact_matches": f"""WITH q AS (SELECT * FROM (VALUES (-1, 'Runway log'), (-2, 'notes'), (-3, 'weekly review digest'), (-4, '2023')) v(query_id, query) UNION ALL SELECT id, title FROM ({_LIVE}) WHERE id % 20 = 0 AND title IS NOT NULL),
+        m AS (SELECT query_id, id, CASE WHEN lower(trim(title)) = lower(trim(query)) OR split_part(slug, '/', -1) = s THEN 1.25 WHEN ends_with(split_part(slug, '/', -1), '-' || s) THEN 1.1 END AS factor FROM ({_LIVE}), (SELECT *, {_SLUG.format("query")} AS s FROM q))
+        SELECT * FROM m WHERE factor IS NOT NULL""",
     "graph_signals": """WITH r AS (SELECT id, source_id, slug, type, emotional_weight::DOUBLE AS s FROM pages),
         a AS (SELECT b.id, count(DISTINCT a.id) AS i, count(DISTINCT CASE WHEN a.source_id <> b.source_id THEN a.source_id END) AS f FROM links l JOIN r a ON l.from_page_id = a.id JOIN r b ON l.to_page_id = b.id WHERE a.id <> b.id GROUP BY b.id),
         h AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY s DESC, id) <= 20 AS head FROM r),

@@ -384,10 +384,7 @@ def boosted_scores(spark, d):
 @q
 def title_matches(spark, d):
     qs = spark.createDataFrame([(1, "retrieval quality"), (2, "weekly review log"), (3, "runway")], "query_id int, query string")
-    p = table(spark, d, "pages").select("id", "title")
-    from loregraph.session import broadcast_if_small
-
-    return p.join(broadcast_if_small(qs), R.title_boost(F.lit(1.0), F.col("title"), F.col("query")) > 1).select("query_id", "id")
+    return R.title_hits(table(spark, d, "pages"), qs)
 
 
 @q
@@ -686,11 +683,10 @@ def cosine_rescored(spark, d):
 
 @q
 def exact_matches(spark, d):
+    """Titles of the pages whose id is divisible by 20, and a few words, as queries."""
     p = table(spark, d, "pages").filter("deleted_at is null")
-    qs = spark.createDataFrame([("Runway log",), ("notes",), ("weekly review digest",)], "query string")
-    from loregraph.session import broadcast_if_small
-
-    return p.crossJoin(broadcast_if_small(qs)).select("id", "query", F.round(R.exact_match_boost(X.source_factor(F.col("slug")), F.col("slug"), F.col("title"), F.col("query")), 6).alias("score"))
+    qs = spark.createDataFrame([(-1, "Runway log"), (-2, "notes"), (-3, "weekly review digest"), (-4, "2023")], "query_id long, query string")
+    return R.exact_hits(p, qs.unionAll(p.filter("id % 20 = 0 and title is not null").select("id", "title")))
 
 
 @q
