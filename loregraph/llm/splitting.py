@@ -83,9 +83,11 @@ def bisect_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int
             near = [ends[j] for j in (k - 1, k) if 0 <= j < len(ends) and abs(ends[j] - mid) <= reach and low < ends[j] < high and not splits_cluster(text, ends[j])]
             if near:
                 return min(near, key=lambda e: abs(e - mid))
-        # no boundary in the middle half: the one nearest to the midpoint, wherever it is
+        # no boundary in the middle half: the one nearest to the midpoint, wherever it is, unless it cuts off little and what is left has to be torn all the same
         far = [e for ends in levels for e in (_inside(ends, mid, -1, low, high), _inside(ends, mid, 1, low, high)) if e]
-        return min(far, key=lambda e: abs(e - mid)) if far else _hard_cut(text, mid, low)
+        at = min(far, key=lambda e: abs(e - mid), default=low)
+        small, large = sorted((at - low, high - at))
+        return at if small and (small >= core // 8 or large <= core) else _hard_cut(text, mid, low)
 
     todo, cores = [(0, n)], []
     while todo:

@@ -49,3 +49,6 @@ def test_boundaries_outside_the_middle():
     pieces = bisect_text(text, 1200, 64)
     assert [text[s:e] for s, e, o in pieces if "x" * 1100 in text[s:e]] and len(pieces) == 3
     assert "".join(text[s + o : e] for s, e, o in pieces) == text
+    # a long run that has to be torn anyway does not leave single words as pieces
+    text = "word " + "x" * 4_000 + " word"
+    assert min(e - s - o for s, e, o in bisect_text(text, 1200, 64)) > 100
