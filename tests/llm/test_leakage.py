@@ -137,3 +137,15 @@ def test_two_altered_of_twenty_amid_boilerplate(spark):
     docs += [(500, " ".join(["x", *part, "y"])), (501, " ".join(items[7][1].split()[4:27]))]
     got = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string")).collect()
     assert sorted((r.doc_id, r.item_id, r.copied_words, r.altered_words) for r in got) == [(500, 4, 20, 2), (501, 7, 23, 0)]
+
+
+def test_hot_seeds_are_spread(spark, monkeypatch):
+    """A passage that most documents hold: the same rows whether or not its seeds are spread over parts."""
+    from loregraph.llm import leakage
+
+    items = spark.createDataFrame([(1, " ".join(VOCAB[:40])), (2, " ".join(VOCAB[20:60]))], "item_id long, passage string")
+    docs = spark.createDataFrame([(i, " ".join([f"d{i}", *VOCAB[:40], f"e{i}"])) for i in range(60)] + [(100, " ".join(VOCAB[30:60]))], "doc_id long, text string")
+    rows = sorted(map(tuple, find_leaks(docs, items).collect()))
+    monkeypatch.setattr(leakage, "HOT_SEED", 7)
+    assert sorted(map(tuple, find_leaks(docs, items).collect())) == rows
+    assert {(r[0], r[1]) for r in rows} == {(i, j) for i in range(60) for j in (1, 2)} | {(100, 2)}
