@@ -371,11 +371,11 @@ def capped_sessions(spark, d):
     return W.capped_sessions(table(spark, d, "events"), "user_id", "ts", "event_id", 6000, 5)
 
 
-@q("SELECT from_page_id AS id, list_sort(list_distinct(list(link_type))) AS types, string_agg(link_type, ',' ORDER BY link_type, id) AS every FROM links WHERE link_type <> '' GROUP BY 1")
+@q("SELECT from_page_id AS id, array_to_string(list_sort(list_distinct(list(link_type))), ',') AS types, string_agg(link_type, ',' ORDER BY link_type, id) AS every FROM links WHERE link_type <> '' GROUP BY 1")
 def link_type_lists(spark, d):
     l = table(spark, d, "links").filter("link_type <> ''")
     s = F.array_sort(F.collect_list(F.struct("link_type", "id")))
-    return l.groupBy(F.col("from_page_id").alias("id")).agg(F.array_sort(F.collect_set("link_type")).alias("types"), F.array_join(s["link_type"], ",").alias("every"))
+    return l.groupBy(F.col("from_page_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("link_type")), ",").alias("types"), F.array_join(s["link_type"], ",").alias("every"))
 
 
 @q("SELECT event_type AS preferred, count(*) AS n FROM events WHERE ts > TIMESTAMP '2024-01-30' - INTERVAL 7 DAY AND ts <= TIMESTAMP '2024-01-30' GROUP BY 1")

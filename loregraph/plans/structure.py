@@ -292,9 +292,9 @@ def edges_of_pages(spark, d):
 @q(f"""WITH e AS (SELECT DISTINCT from_page_id AS a, to_page_id AS b FROM links), s AS (SELECT id FROM pages WHERE id % 20 = 0), h1 AS (SELECT DISTINCT a AS seed, b AS id, 1 AS depth FROM e WHERE a IN (SELECT id FROM s) AND a <> b),
     h2 AS (SELECT DISTINCT seed, e.b AS id, 2 AS depth FROM h1 JOIN e ON e.a = h1.id WHERE e.b <> seed AND NOT EXISTS (SELECT 1 FROM h1 x WHERE x.seed = h1.seed AND x.id = e.b)),
     o AS (SELECT from_page_id AS id, list_sort(list(DISTINCT link_type || ':' || to_page_id)) AS out_links FROM links GROUP BY 1)
-    SELECT seed, w.id, slug, depth, coalesce(out_links, []) AS out_links FROM (SELECT id AS seed, id, 0 AS depth FROM s UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) w JOIN {_LIVE} p ON p.id = w.id LEFT JOIN o ON o.id = w.id""")
+    SELECT seed, w.id, slug, depth, array_to_string(coalesce(out_links, []), ' ') AS out_links FROM (SELECT id AS seed, id, 0 AS depth FROM s UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) w JOIN {_LIVE} p ON p.id = w.id LEFT JOIN o ON o.id = w.id""")
 def traversed(spark, d):
-    return G.traverse(table(spark, d, "pages"), table(spark, d, "links"), table(spark, d, "pages").filter("id % 20 = 0").select("id"), 2)
+    return G.traverse(table(spark, d, "pages"), table(spark, d, "links"), table(spark, d, "pages").filter("id % 20 = 0").select("id"), 2).withColumn("out_links", F.array_join("out_links", " "))
 
 
 @q("""WITH e AS (SELECT from_page_id AS a, to_page_id AS b FROM links UNION SELECT to_page_id, from_page_id FROM links), h0 AS (SELECT id % 7 AS query_id, id, 1.0 / id AS base FROM pages WHERE id % 20 = 0),
@@ -564,7 +564,7 @@ def typed_links(spark, d):
     return j.groupBy("type", typed_link(F.coalesce("context", F.lit("")), F.col("type"), F.col("slug")).alias("inferred")).agg(F.count("*").alias("n"))
 
 
-@q("SELECT source_id || '/' || slug AS slug, coalesce(title, '') AS title, type, ['t' || id, 'x y'] AS tags, trim(compiled_truth, chr(10)) AS body FROM pages WHERE compiled_truth IS NOT NULL AND NOT regexp_matches(compiled_truth, '(?i)timeline')")
+@q("SELECT source_id || '/' || slug AS slug, coalesce(title, '') AS title, type, 't' || id || ',x y' AS tags, trim(compiled_truth, chr(10)) AS body FROM pages WHERE compiled_truth IS NOT NULL AND NOT regexp_matches(compiled_truth, '(?i)timeline')")
 def parsed_pages(spark, d):
     """Pages written with front matter in YAML and parsed."""
     from loregraph.sources.markdown import parse_pages
@@ -573,7 +573,7 @@ def parsed_pages(spark, d):
     front = F.concat(F.lit("---\ntitle: "), F.to_json(F.array("title")), F.lit("\ntype: "), "type", F.lit("\ntags:\n  - t"), F.col("id").cast("string"), F.lit("\n  - \"x y\"\n---\n"))
     front = F.regexp_replace(F.regexp_replace(front, r"title: \[", "title: "), r"\]\ntype", "\ntype")
     got = parse_pages(p.select(F.concat_ws("/", "source_id", "slug").alias("slug"), F.concat(front, "compiled_truth").alias("markdown")))
-    return got.select("slug", "title", "type", "tags", F.col("compiled_truth").alias("body"))
+    return got.select("slug", "title", "type", F.array_join("tags", ",").alias("tags"), F.col("compiled_truth").alias("body"))
 
 
 @q("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'alias' WHEN o_orderkey % 7 = 0 THEN 'title' WHEN o_orderkey % 100 >= 85 THEN 'strong' WHEN o_orderkey % 100 >= 60 THEN 'medium' ELSE 'weak' END AS evidence FROM orders")
