@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loregraph.functions.expressions import age_days, cosine, jaccard, recency, slugify, source_factor, stems, trigrams, words
+from loregraph.operators.keywords import keyword_hits
 from loregraph.operators.text import greedy_distinct
 from loregraph.operators.vectors import nearest
 from loregraph.session import broadcast_if_small, checkpointed
@@ -205,7 +206,7 @@ def fused_scores(pages: DataFrame, chunks: DataFrame, links: DataFrame, queries:
     least ``floor`` of the query's best, those for backlinks, salience, recency, titles and exact matches: query_id, page_id, chunk_id, chunk_source, slug, type, score.
     """
     queries = checkpointed(queries.select("query_id", "query", "embedding"))  # read by both arms and the boosts
-    kw = top(keyword_scores(chunks, queries).withColumn("score", F.round("score", 6)), "query_id", "score", arm, "chunk_id")
+    kw = keyword_hits(chunks, queries, arm)
     ve = vector_hits(chunks, queries, arm)
     fused = rrf([(kw, 1.0), (ve, 1.0)], "chunk_id").join(chunks.select(F.col("id").alias("chunk_id"), "page_id", "chunk_source"), "chunk_id")
     p = pages.filter(F.col("deleted_at").isNull()).select(F.col("id").alias("page_id"), "slug", "title", "type", F.coalesce(F.col("emotional_weight").cast("double"), F.lit(0.0)).alias("weight"), F.coalesce("effective_date", "updated_at", "created_at").alias("at"))
