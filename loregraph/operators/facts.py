@@ -185,17 +185,26 @@ def unresolved_attempts(takes: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def search_takes(takes: DataFrame, queries: DataFrame, claim: str = "claim", least: float = 0.3, k: int = 10) -> DataFrame:
-    """(query_id, page_id, row_num, similarity, rank): claims by trigram similarity, found by shared trigrams; the queries are a counted set."""
+    """(query_id, page_id, row_num, similarity, rank): claims by trigram similarity. Equal claims, and equal queries, are compared once; the ``k`` first rows of a claim stand for all.
+
+    Texts are joined on their rarest trigrams: a pair of the wanted similarity shares one of the first n - ceil(least x n) + 1 of either in order of rarity (prefix filter).
+    """
     from loregraph.functions.expressions import jaccard, trigrams
-    from loregraph.session import broadcast_if_small
-
-    q = queries.select("query_id", trigrams(F.col("query")).alias("g"))
-    keys = broadcast_if_small(q.select("query_id", "g", F.explode("g").alias("x")))
-    t = takes.select("page_id", "row_num", trigrams(F.col(claim)).alias("t"))
-    cand = t.select("page_id", "row_num", "t", F.explode("t").alias("x")).join(keys, "x").groupBy("query_id", "page_id", "row_num").agg(F.first("t").alias("t"), F.first("g").alias("g"))
-    s = cand.select("query_id", "page_id", "row_num", F.round(jaccard(F.col("t"), F.col("g")), 6).alias("similarity")).filter(F.col("similarity") >= least)
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "page_id", "row_num")
-    return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+    rows = takes.select("page_id", "row_num", F.lower(claim).alias("c")).filter("c is not null")
+    few = rows.withColumn("__rn", F.row_number().over(Window.partitionBy("c").orderBy("page_id", "row_num"))).filter(F.col("__rn") <= k).drop("__rn")
+    asked = queries.select("query_id", F.lower("query").alias("a"))
+    grams = lambda df, c: df.select(c).distinct().withColumn("g", trigrams(F.col(c))).withColumn("n", F.size("g")).filter("n > 0")
+    t, s = grams(few, "c"), grams(asked, "a")
+    floor = least - 1e-6  # similarities are rounded before they are compared
+    df = t.select(F.explode("g").alias("x")).groupBy("x").agg(F.count("*").alias("df"))
+    rarest = lambda g, c: g.select(c, "n", F.explode("g").alias("x")).join(df, "x", "left").withColumn("r", F.row_number().over(Window.partitionBy(c).orderBy(F.coalesce("df", F.lit(0)), "x"))).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * floor) + 1).select(c, F.col("n").alias(f"n_{c}"), "x")
+    cand = rarest(t, "c").join(rarest(s, "a"), "x").filter(F.least("n_a", "n_c") >= floor * F.greatest("n_a", "n_c")).select("a", "c").distinct()
+    j = cand.join(t.select("c", F.col("g").alias("gc")), "c").join(s.select("a", F.col("g").alias("ga")), "a")
+    near = j.select("a", "c", F.round(jaccard(F.col("gc"), F.col("ga")), 6).alias("similarity")).filter(F.col("similarity") >= least)
+    w = Window.partitionBy("a").orderBy(F.desc("similarity"), "page_id", "row_num")
+    best = near.join(few, "c").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return asked.join(best, "a").select("query_id", "page_id", "row_num", "similarity", "rank")
 
 
 def promoted(clusters: DataFrame, facts: DataFrame, claim: str = "claim", confidence: str = "confidence") -> DataFrame:

@@ -6,21 +6,25 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from loregraph.operators import facts as K
 from loregraph.operators import keywords as KW
 from loregraph.operators import retrieval as R
 
 
-def shuffled(spark, df) -> int:
-    """Rows that the shuffles of a query write."""
+def shuffled(spark, df, what: str = "records") -> int:
+    """Rows, or bytes, that the shuffles of a query write; ``df`` gives a frame, or runs the query itself."""
     store = spark.sparkContext._jsc.sc().statusStore()
-    every = lambda: {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in map(stages().apply, range(stages().size()))}
     none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
-    stages = lambda: store.stageList(None, False, False, none, None)
     wait = lambda: spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-    wait()
+
+    def every() -> dict:
+        wait()
+        stages = store.stageList(None, False, False, none, None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() if what == "records" else s.shuffleWriteBytes() for s in map(stages.apply, range(stages.size()))}
+
     before = every()
-    df().write.format("noop").mode("overwrite").save()
-    wait()
+    if hasattr(got := df(), "write"):
+        got.write.format("noop").mode("overwrite").save()
     return sum(n for k, n in every().items() if k not in before)
 
 
@@ -28,7 +32,7 @@ def keyword_tables(spark, n=1_500, nq=120):
     """Texts that all hold one word forty times, and queries of this word and a rare one."""
     c = spark.range(n).select(F.col("id"), F.col("id").alias("page_id"), F.lit("body").alias("chunk_source"), F.concat(F.repeat(F.lit("common "), 40), F.concat(F.lit("w"), F.col("id") % nq)).alias("chunk_text"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
     q = spark.range(nq).select(F.col("id").alias("query_id"), F.concat(F.lit("Common w"), F.col("id")).alias("query"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
-    p = spark.range(n).select("id", F.concat(F.lit("notes/"), "id").alias("slug"), F.lit("t").alias("title"), F.lit("note").alias("type"), F.lit(None).cast("timestamp").alias("deleted_at"), F.lit(0.0).alias("emotional_weight"), *[F.lit("2025-01-01").cast("timestamp").alias(x) for x in ("effective_date", "updated_at", "created_at")])
+    p = spark.range(n).select("id", F.concat(F.lit("notes/"), "id").alias("slug"), F.lit("t").alias("title"), F.lit("note").alias("type"), F.lit("s").alias("source_id"), F.lit(None).cast("timestamp").alias("deleted_at"), F.lit(0.0).alias("emotional_weight"), *[F.lit("2025-01-01").cast("timestamp").alias(x) for x in ("effective_date", "updated_at", "created_at")])
     l = spark.createDataFrame([], "to_page_id long, from_page_id long, link_source string")
     return p, c, l, q
 
@@ -67,3 +71,35 @@ def test_best_of_set_against_counting():
         want = sorted((-round(sum(1 + np.log(Counter(d)[t]) for t in terms), 6), i) for i, d in enumerate(docs) if set(terms) <= set(d))[:8]
         r, s = KW.best_of_set(np.array(terms), rows, gain, bounds, np.arange(len(docs)), 8)
         assert sorted(zip(-s, r)) == want
+
+
+def test_claims_of_one_text_are_compared_once(spark):
+    n, nq = 3_000, 200
+    t = spark.range(n).select((F.col("id") % 7).alias("page_id"), F.col("id").alias("row_num"), F.element_at(F.array(*[F.lit(x) for x in ("red bolt", "Red bolt", "red rod", "blue anvil")]), (F.col("id") % 4 + 1).cast("int")).alias("claim"))
+    q = spark.range(nq).select(F.col("id").alias("query_id"), F.when(F.col("id") % 2 == 0, "red bolt").otherwise("anvil of blue").alias("query"))
+    df = lambda: K.search_takes(t, q)
+    rows = shuffled(spark, df)
+    assert rows < n * nq / 40, rows
+    got = {}
+    for x in df().orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((x.page_id, x.row_num, x.similarity))
+    want = sorted(((i % 7, i, 1.0) for i in range(n) if i % 4 < 2))[:10]
+    assert len(got) == nq and got[0] == want == got[198] and [x[:2] for x in got[1]] == sorted((i % 7, i) for i in range(n) if i % 4 == 3)[:10]
+
+
+def test_claims_found_are_those_of_all_pairs(spark):
+    rnd = random.Random(2)
+    name = lambda: " ".join(rnd.choice(["red", "rod", "bolt", "bold", "anvil", "a", "ab", "größe", "new", "news"]) for _ in range(rnd.randrange(0, 4)))
+    claims, asked = [name() for _ in range(120)] + [None], [name() for _ in range(30)] + [None]
+    grams = lambda s: {f"  {w} "[i : i + 3] for w in (s or "").lower().split() for i in range(len(w) + 1)}
+    want = []
+    for a, x in enumerate(asked):
+        hits = []
+        for i, y in enumerate(claims):
+            p, q = grams(x), grams(y)
+            if p & q and round(len(p & q) / len(p | q), 6) >= 0.3:
+                hits.append((-round(len(p & q) / len(p | q), 6), i % 5, i))
+        want += [(a, m, i, r + 1) for r, (_, m, i) in enumerate(sorted(hits)[:10])]
+    t = spark.createDataFrame([(i % 5, i, c) for i, c in enumerate(claims)], "page_id long, row_num long, claim string")
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    assert sorted((x.query_id, x.page_id, x.row_num, x["rank"]) for x in K.search_takes(t, q).collect()) == sorted(want)
