@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loregraph.functions.expressions import age_days, cosine, jaccard, recency, slugify, source_factor, stems, trigrams, words
 from loregraph.operators.keywords import keyword_hits
-from loregraph.operators.text import greedy_distinct
+from loregraph.operators.text import greedy_distinct, greedy_distinct_rows
 from loregraph.operators.vectors import nearest
 from loregraph.session import broadcast_if_small, checkpointed
 
@@ -144,12 +144,14 @@ def evidence(alias: Column, title: Column, base: Column) -> Column:
     return F.when(alias, "alias").when(title, "title").when(base >= 0.85, "strong").when(base >= 0.60, "medium").otherwise("weak")
 
 
-def dedup_results(results: DataFrame, *, per_page: int = 3, share: float = 0.6, cap: int = 2, alike: float | None = None) -> DataFrame:
-    """Of each query's results (query_id, page_id, chunk_id, type, score): the best per page, without texts (chunk_text) nearer than ``alike`` to a better one if that is given,
-    at most a share per type, then at most ``cap`` per page.
+def dedup_results(results: DataFrame, *, per_page: int = 3, share: float = 0.6, cap: int = 2, alike: float | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """Of each query's results (query_id, page_id, chunk_id, type, score): the best per page, without texts (chunk_text, of the results or of ``texts`` by chunk_id) nearer than
+    ``alike`` to a better one if that is given, at most a share per type, then at most ``cap`` per page.
     """
     r = top(results, ["query_id", "page_id"], "score", per_page, "chunk_id", rank="__page").drop("__page")
-    if alike is not None:
+    if texts is not None:
+        r = greedy_distinct_rows(r, texts, "query_id", ["score", "page_id", "chunk_id"], [False, True, True], "chunk_id", "chunk_text", alike)
+    elif alike is not None:
         r = greedy_distinct(r, "query_id", ["score", "page_id", "chunk_id"], [False, True, True], "chunk_text", alike)
     most = F.ceil(F.count("*").over(Window.partitionBy("query_id")) * share)
     r = r.withColumn("__most", most)
@@ -223,9 +225,8 @@ def fused_scores(pages: DataFrame, chunks: DataFrame, links: DataFrame, queries:
 def hybrid_search(pages: DataFrame, chunks: DataFrame, links: DataFrame, queries: DataFrame, as_of: str, k: int = 10, *, aliases: DataFrame | None = None) -> DataFrame:
     """The whole pipeline: fused and boosted arms, the four layers of deduplication and the guarantee of a compiled chunk, graph signals over the best 20, the top ``k``."""
     r = checkpointed(fused_scores(pages, chunks, links, queries, as_of, aliases=aliases))  # a few hundred rows a query, read several times below
-    few = top(r, ["query_id", "page_id"], "score", 3, "chunk_id").drop("rank")
-    text = few.join(chunks.select(F.col("id").alias("chunk_id"), "chunk_text"), "chunk_id", "left")
-    d = checkpointed(guarantee_compiled(dedup_results(text, alike=0.85).drop("chunk_text"), r))
+    text = chunks.select(F.col("id").alias("chunk_id"), "chunk_text")
+    d = checkpointed(guarantee_compiled(dedup_results(r, alike=0.85, texts=text), r))
     g = graph_signals(d, query_adjacency(d, links, pages))
     return top(g.withColumn("score", F.round("score", 6)), "query_id", "score", k, "page_id", "chunk_id").select("query_id", "page_id", "chunk_id", "score", "rank")
 

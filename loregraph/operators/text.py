@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -212,6 +215,67 @@ def greedy_distinct(results: DataFrame, by: str, order: list[str], ascending: li
     return results.groupBy(by).applyInPandas(run, results.schema)
 
 
+#: Bits of the parity marks of a set of words.
+MARK_BITS = 256
+
+
+def word_marks(text: str | None) -> tuple[int, bytes, bytes] | None:
+    """Size, parity marks and digest of the set of lower-case words; None for a null or empty one. Each word flips one bit, so two sets differ by as many words as their marks by bits, at least."""
+    s = set((text or "").lower().split())
+    if not s:
+        return None
+    bits = 0
+    for w in s:
+        bits ^= 1 << (zlib.crc32(w.encode("utf-8", "surrogatepass")) % MARK_BITS)
+    return len(s), bits.to_bytes(MARK_BITS // 8, "little"), hashlib.blake2b(" ".join(sorted(s)).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def may_be_near(size: np.ndarray, marks: np.ndarray, limit: float) -> np.ndarray:
+    """Whether each set may be nearer than ``limit`` to another: sets of Jaccard ``limit`` differ by (1 - limit) / (1 + limit) of their joint sizes at most. Never false for sets that are."""
+    out = np.zeros(len(size), bool)
+    for a in range(0, len(size), 512):
+        apart = np.bitwise_count(marks[a : a + 512, None, :] ^ marks[None, :, :]).sum(axis=2, dtype=np.int64)
+        n, m = size[a : a + 512, None], size[None, :]
+        near = (apart <= (1 - limit) / (1 + limit) * (n + m) + 1e-6) & (np.minimum(n, m) >= limit * np.maximum(n, m) - 1e-6)
+        near[np.arange(len(near)), a + np.arange(len(near))] = False
+        out[a : a + 512] = near.any(axis=1)
+    return out
+
+
+def greedy_distinct_rows(results: DataFrame, docs: DataFrame, by: str, order: list[str], ascending: list[bool], key: str, text: str, limit: float = 0.85) -> DataFrame:
+    """The rows of ``results`` that ``greedy_distinct`` keeps, with texts looked up in ``docs`` (``key``, ``text``), below 1 for ``limit``.
+
+    Texts do not go along: sizes, marks and digests of their words do, which tell most rows from all others and equal sets apart from the rest; texts are fetched for rows alone that these leave open.
+    """
+
+    def mark(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in parts:
+            got = [word_marks(t) for t in d[text]]
+            known = [g is not None for g in got]
+            yield pd.DataFrame({key: d[key][known], **{c: pd.Series([g[i] for g in got if g], index=d.index[known], dtype=kind) for i, (c, kind) in enumerate((("__n", "int32"), ("__bits", "object"), ("__same", "object")))}})
+
+    def sift(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(order, ascending=ascending, kind="stable")
+        g = g[g["__n"].isna() | ~g["__same"].duplicated()]
+        known = g["__n"].notna().to_numpy()
+        ask = np.zeros(len(g), bool)
+        if known.any():
+            marks = np.frombuffer(b"".join(bytes(x) for x in g["__bits"][known]), np.uint64).reshape(-1, MARK_BITS // 64)
+            ask[known] = may_be_near(g["__n"][known].to_numpy(np.int64), marks, limit)
+        return g.drop(columns=["__n", "__bits", "__same"]).assign(__ask=ask)
+
+    cols = list(dict.fromkeys([by, *order, key]))
+    kind = dict(docs.dtypes)[key]
+    marks = docs.select(key, text).mapInPandas(mark, f"{key} {kind}, __n int, __bits binary, __same binary")
+    lean = results.filter(F.col(key).isNotNull()).select(*cols)
+    sifted = checkpointed(lean.join(marks, key, "left").groupBy(by).applyInPandas(sift, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lean.schema) + ", __ask boolean"))
+    asked = sifted.filter("__ask").drop("__ask")
+    texts = docs.select(key, text).join(broadcast_if_small(asked.select(key).distinct()), key, "left_semi")
+    kept = greedy_distinct(asked.join(texts, key).select(*cols, text), by, order, ascending, text, limit)
+    some = results.join(sifted.filter("not __ask").select(by, key).unionAll(kept.select(by, key)), [by, key], "left_semi").select(*results.columns)
+    return some.unionAll(results.filter(F.col(key).isNull()))  # rows without a text to look up are kept
+
+
 def semantic_breaks(vectors: DataFrame, by: str, order: str, vec: str, share: float = 0.2) -> DataFrame:
     """(by, order, segment): a new segment begins where the similarity to the row before is a local minimum of the smoothed curve below its ``share`` quantile.
 

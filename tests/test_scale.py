@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loregraph.operators import facts as K
 from loregraph.operators import keywords as KW
 from loregraph.operators import retrieval as R
+from loregraph.operators import text as T
 
 
 def shuffled(spark, df, what: str = "records") -> int:
@@ -73,6 +74,40 @@ def test_best_of_set_against_counting():
         assert sorted(zip(-s, r)) == want
 
 
+def alike_tables(spark, n=300, nq=20):
+    """Results with texts, of which some are near copies, equal sets of words, empty or null."""
+    rnd = random.Random(9)
+    base = [[f"w{rnd.randrange(2000)}" for _ in range(rnd.choice([3, 40, 60]))] for _ in range(n // 3)]
+    texts = []
+    for i in range(n):
+        words = list(base[rnd.randrange(len(base))])
+        for _ in range(rnd.choice([0, 0, 1, 3, 8])):
+            words[rnd.randrange(len(words))] = f"x{rnd.randrange(2000)}"
+        texts.append((i, None if i % 31 == 0 else "" if i % 37 == 0 else " ".join(words if i % 2 else reversed(words)).title()))
+    docs = spark.createDataFrame(texts, "chunk_id long, chunk_text string")
+    rows = [(q, c, c, "t", float(rnd.randrange(50))) for q in range(nq) for c in rnd.sample(range(n), 120)] + [(0, -1, None, "t", 3.0), (0, -2, None, "t", 3.0)]
+    return spark.createDataFrame(rows, "query_id long, page_id long, chunk_id long, type string, score double"), docs
+
+
+def test_near_texts_by_marks_are_those_by_texts(spark):
+    r, docs = alike_tables(spark)
+    order, up = ["score", "page_id", "chunk_id"], [False, True, True]
+    plain = lambda df: sorted((x.query_id, x.page_id) for x in df.collect())
+    for limit in (0.5, 0.85):
+        want = plain(T.greedy_distinct(r.join(docs, "chunk_id", "left"), "query_id", order, up, "chunk_text", limit))
+        got = plain(T.greedy_distinct_rows(r, docs, "query_id", order, up, "chunk_id", "chunk_text", limit))
+        assert got == want and 100 < len(got) < r.count() and (0, -1) in got and (0, -2) in got
+
+
+def test_texts_of_results_do_not_go_along(spark):
+    """Every query finds every text: a text is looked up once, not carried along with each result."""
+    p, c, l, q = keyword_tables(spark, 300, 30)
+    c = c.withColumn("chunk_text", F.concat_ws(" ", "chunk_text", *[F.sha2(F.concat(F.col("id").cast("string"), F.lit(str(i))), 512) for i in range(40)]))
+    written = lambda: R.hybrid_search(p, c, l, q, "2025-06-01 00:00:00").collect()
+    size = shuffled(spark, written, "bytes")
+    assert size < 30 * 100 * 5_000 / 2, size  # 30 queries with 100 texts of 5 kB each, at least
+
+
 def test_claims_of_one_text_are_compared_once(spark):
     n, nq = 3_000, 200
     t = spark.range(n).select((F.col("id") % 7).alias("page_id"), F.col("id").alias("row_num"), F.element_at(F.array(*[F.lit(x) for x in ("red bolt", "Red bolt", "red rod", "blue anvil")]), (F.col("id") % 4 + 1).cast("int")).alias("claim"))
